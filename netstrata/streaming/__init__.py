@@ -1,0 +1 @@
+"""The domain has no streams; kept for the package layout."""
