@@ -12,7 +12,9 @@ ordered by text; equal rows keep one row each. An empty table writes no rows. Ot
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,34 +37,64 @@ TOKEN_SCHEMA = "doc_id long, n_tokens long, part int, part_start long, ids array
 class WordEncoder:
     """Encodes texts with the tokenizers library, one white-space separated word at a time, and remembers words.
 
-    The tokenizer drops white space before it makes tokens, so the ids of a text are those of its words in turn; only
-    plain spaces and line feeds are cut at here, everything else is left to the library. The memory holds ``limit``
-    words at most and is emptied when full; longer words than ``longest`` aren't kept.
+    The tokenizer drops white space and makes letters small before it makes tokens, so the ids of a text are those of its
+    words in turn; only plain spaces and line feeds are cut at, and only A-Z made small, here. It also never joins a
+    letter or digit with a sign after it, so common signs at the end of a word are cut off, and fewer words are new. The
+    memory holds about ``limit`` words and is emptied when full; words longer than ``longest`` bytes aren't kept.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 48):
+    #: a-z and the small letters of Latin-1, in code order.
+    SMALL = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+    PLAIN = re.compile(f"[{SMALL}]+").fullmatch
+    TAIL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))[.,*%$&#|;:!?]+(?=[ \n])")
+
+    def __init__(self, path: str, limit: int = 500_000, longest: int = 48):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.library, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.letters = self._letters()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        split = [self.TAIL.sub(rb" \g<0>", (text or "").encode().lower()).replace(b"\n", b" ").split(b" ") for text in texts]
         known = self.known
         if len(known) > self.limit:
             known.clear()
-            known[""] = b""
-        new = list(set().union(*split).difference(known)) if split else []
-        for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
+            known[b""] = b""
+        new = list({word for words in split for word in words if word not in known})
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > self.longest:
                 del known[word]
         return out
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words: those of plain letters alone by the library's model, others by the whole tokenizer."""
+        known, letters, rest = self.known, self.letters, []
+        tokenize = self.library.model.tokenize
+        for word in words:
+            text = word.decode()
+            if self.PLAIN(text) and letters:
+                known[word] = array("I", [token.id for token in tokenize(text.translate(letters))]).tobytes()
+            else:
+                rest.append(word)
+        for word, got in zip(rest, self.library.encode_batch_fast([word.decode() for word in rest], add_special_tokens=False), strict=True):
+            known[word] = array("I", got.ids).tobytes()
+
+    def _letters(self) -> dict[int, str] | None:
+        """How the tokenizer spells each small Latin letter to its model, if it leaves runs of them whole; else None."""
+        normal, cut = self.library.normalizer, self.library.pre_tokenizer
+        if cut is None or normal is not None and normal.normalize_str(self.SMALL) != self.SMALL:
+            return None
+        spelt = {letter: cut.pre_tokenize_str(letter) for letter in self.SMALL}
+        whole = cut.pre_tokenize_str(self.SMALL)
+        if any(len(x) != 1 for x in spelt.values()) or len(whole) != 1 or whole[0][0] != "".join(x[0][0] for x in spelt.values()):
+            return None
+        return {ord(letter): x[0][0] for letter, x in spelt.items() if x[0][0] != letter} or {0: "\0"}
+
 
 ENCODERS: dict[str, WordEncoder] = {}
 
