@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lines import OP9_SQL, op9_line_dedup
+from .media import op7_media_columns
 from .packing import op5_packing
+from .quality import OP3_SQL, op3_quality_rules
 from .simhash import op6_simhash
 from .tokens import op2_token_output
 
@@ -14,10 +17,13 @@ from .tokens import op2_token_output
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": op2_token_output,
+        "op3_quality_rules": op3_quality_rules,
         "op5_packing": op5_packing,
         "op6_simhash": op6_simhash,
+        "op7_media_columns": op7_media_columns,
+        "op9_line_dedup": op9_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3_SQL, "op9_line_dedup": OP9_SQL}
