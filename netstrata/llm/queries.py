@@ -6,22 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op10_language_id
 from .lines import OP9_SQL, op9_line_dedup
 from .media import op7_media_columns
 from .packing import op5_packing
 from .quality import OP3_SQL, op3_quality_rules
 from .simhash import op6_simhash
+from .suffix import op8_suffix_dedup
 from .tokens import op2_token_output
+from .urls import op1_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_token_output": op2_token_output,
         "op3_quality_rules": op3_quality_rules,
         "op5_packing": op5_packing,
         "op6_simhash": op6_simhash,
         "op7_media_columns": op7_media_columns,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_line_dedup": op9_line_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
