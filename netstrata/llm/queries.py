@@ -10,6 +10,7 @@ from .langid import op10_language_id
 from .lines import OP9_SQL, op9_line_dedup
 from .media import op7_media_columns
 from .packing import op5_packing
+from .pieces import op4_sentencepiece
 from .quality import OP3_SQL, op3_quality_rules
 from .simhash import op6_simhash
 from .suffix import op8_suffix_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_token_output": op2_token_output,
         "op3_quality_rules": op3_quality_rules,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_packing": op5_packing,
         "op6_simhash": op6_simhash,
         "op7_media_columns": op7_media_columns,
