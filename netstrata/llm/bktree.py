@@ -74,18 +74,59 @@ def smallest_linked(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     return labels
 
 
-def components(shard: np.ndarray, prints: np.ndarray, radius: np.ndarray | int, accept=None, visits: int = 2_000_000) -> np.ndarray:
+def clustered(prints: np.ndarray, radius: np.ndarray, accept, labels: np.ndarray, rows: np.ndarray, leaders: int = 32) -> np.ndarray:
+    """Join, in labels, the items rows of a crowded shard with what is near to some leaders; returns the items still to search.
+
+    A leader takes the items within half of the least radius as its followers. Any other item within its radius is joined
+    to the leader; one too far for every follower needs no look at them; only those between are compared with followers.
+    So all links of followers are found, and only the items that no leader took remain.
+    """
+    waiting = rows
+    for _ in range(leaders):
+        if len(waiting) < 64:
+            break
+        leader = waiting[0]
+        distance = hamming(prints[rows], prints[leader][None, :])
+        half = int(radius[rows].min()) // 2
+        near = np.full(len(rows), leader)
+        linked = (distance <= radius[rows]) & accept(near, rows, distance)
+        taken = linked & (distance <= half) & np.isin(rows, waiting, assume_unique=True)
+        smallest_linked(labels, near[linked], rows[linked])
+        followers = rows[taken]
+        between = rows[(distance <= radius[rows].max() + half) & ~linked]
+        for at in range(0, len(between), 64):
+            a = np.repeat(between[at : at + 64], len(followers))
+            b = np.tile(followers, len(between[at : at + 64]))
+            d = hamming(prints[a], prints[b])
+            kept = (d <= radius[a]) & accept(a, b, d)
+            smallest_linked(labels, a[kept], b[kept])
+        waiting = waiting[~np.isin(waiting, followers, assume_unique=True)]
+        waiting = waiting[waiting != leader]
+        if len(followers) < 16:
+            break
+    return waiting
+
+
+def components(shard: np.ndarray, prints: np.ndarray, radius: np.ndarray | int, accept=None, crowded: int = 0, visits: int = 2_000_000) -> np.ndarray:
     """For each item the first item of its component under links within the radius, shard by shard.
 
-    accept(a, b, distance) may turn down links. Queries go in blocks whose first frontier can't pass ``visits`` visits.
+    accept(a, b, distance) may turn down links. Shards over ``crowded`` items (0: none) are clustered first. Queries go in blocks whose first frontier can't pass ``visits`` visits.
     """
     forest, labels = Forest(shard, prints), np.arange(len(shard))
     if not len(shard):
         return labels
     sizes = np.bincount(forest.root, minlength=len(shard))[forest.root]
+    radius = np.broadcast_to(np.asarray(radius, np.int64), shard.shape)
+    if crowded and (sizes > crowded).any():
+        keep = np.ones(len(shard), bool)
+        for root in np.unique(forest.root[sizes > crowded]):
+            rows = np.flatnonzero(forest.root == root)
+            keep[rows] = np.isin(rows, clustered(prints, radius, accept, labels, rows), assume_unique=True)
+        kept = np.flatnonzero(keep)
+        inner = components(shard[kept], prints[kept], radius[kept], accept and (lambda a, b, d: accept(kept[a], kept[b], d)), 0, visits)
+        return smallest_linked(labels, kept, kept[inner])
     searched = np.flatnonzero(sizes > 1)
     block = np.cumsum(sizes[searched]) // visits
-    radius = np.broadcast_to(np.asarray(radius, np.int64), shard.shape)
     for queries in np.split(searched, np.flatnonzero(np.diff(block)) + 1):
         for a, b, distance in forest.search(queries, radius[queries]):
             if accept is not None:

@@ -8,7 +8,7 @@ agree in one place, so no link is lost.
 
 ``near_duplicates`` is the wider search of the pipeline stage: five-word shingles and a similarity of 0.8. A radius of 3
 in 64 bits can't reach that similarity (it stands for about 10 differing bits, at which equal blocks no longer shard),
-so it uses 512-bit fingerprints of the distinct shingles, sharded by minima of shingle hashes; see its docstring.
+so it uses 1024-bit fingerprints of the distinct shingles, sharded by minima of shingle hashes; see its docstring.
 
 Nulls and odd input: null, empty and blank texts have fingerprint zero and are linked like any other. A row with null
 doc_id gets its fingerprint's component. Equal rows keep one row each. Empty tables give no rows. Other columns of the
@@ -148,6 +148,109 @@ def similar_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "simhash", "left")
 
 
+WIDE_WORDS = 16
+SHINGLE, SIMILARITY = 5, 0.8
+KEYS = 8
+#: Standard errors of the wide fingerprint's distance that a pair at the similarity is allowed.
+ALLOWED_ERRORS = 1.5
+CROWDED = 512
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x632BE59BD9B4E019 * i) % 2**64 | 1 for i in range(WIDE_WORDS + KEYS)], np.uint64)
+
+
+def _mixed(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """(n, factors) further hashes of each hash."""
+    out = (hashes[:, None] ^ (hashes[:, None] >> np.uint64(29))) * factors[None, :]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(31))
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, print (binary, 64 * WIDE_WORDS bits over the distinct shingles), n_shingles, keys (minima of KEYS hashes)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints, sizes, keys = [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = np.unique(shingle_hashes(text, SHINGLE))
+                if len(hashes):
+                    parts = [_mixed(hashes[at : at + 4096], _ODD) for at in range(0, len(hashes), 4096)]
+                    prints.append(_majority([p[:, :WIDE_WORDS] for p in parts], len(hashes)))
+                    keys.append(np.min([p[:, WIDE_WORDS:].min(axis=0) for p in parts], axis=0).view(np.int64))
+                else:
+                    prints.append(bytes(8 * WIDE_WORDS))
+                    keys.append(np.zeros(KEYS, np.int64))
+                sizes.append(len(hashes))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "print", "n_shingles", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, print binary, n_shingles long, keys array<long>")
+
+
+def _majority(parts: list[np.ndarray], n: int) -> bytes:
+    total = np.zeros(64 * WIDE_WORDS, np.int64)
+    for part in parts:
+        bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1)
+        total += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return np.packbits(2 * total > n).tobytes()
+
+
+def farthest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits up to which sets of a and b shingles count as of the similarity: the cosine that the similarity means
+    for these sizes, the share of bits that its angle gives, and the allowed errors. Below 0: sizes too far apart."""
+    a, b = np.maximum(a, 1).astype(float), np.maximum(b, 1).astype(float)
+    cosine = SIMILARITY * (a + b) / ((1 + SIMILARITY) * np.sqrt(a * b))
+    share = np.arccos(np.minimum(cosine, 1.0)) / np.pi
+    bits = 64 * WIDE_WORDS
+    reach = bits * share + ALLOWED_ERRORS * np.sqrt(bits * share * (1 - share))
+    return np.where(np.minimum(a, b) >= SIMILARITY * np.maximum(a, b), np.maximum(reach, 0), -1)
+
+
+def near_duplicate_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, component_id) of all documents with an id: groups linked by a similarity of 0.8 or more of five-word shingles.
+
+    Equal fingerprints are one item. Items that share the minimum of one of eight hashes are a shard (two documents at the
+    similarity share none with a chance of 0.2 ** 8); shards over ``hot`` items are dealt again by a second minimum.
+    Crowds of near copies in a shard are clustered around leaders before BK-trees search the rest.
+    """
+    made = materialise(wide_fingerprints(docs.filter("doc_id is not null")), "wide-prints")
+    # equal texts have equal keys, so a class keeps the keys of any of its documents
+    classes = materialise(made.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "print-classes")
+    dealt = classes.select("node", F.posexplode("keys").alias("i", "key"))
+    sizes = materialise(dealt.groupBy("i", "key").count().filter("count > 1"), "shards")
+    calm = dealt.join(sizes.filter(F.col("count") <= hot), ["i", "key"]).select(F.xxhash64("i", "key").alias("shard"), "node")
+    crowd = dealt.join(sizes.filter(F.col("count") > hot).select("i", "key"), ["i", "key"]).join(classes.select("node", "keys"), "node")
+    twice = crowd.select("node", "i", "key", F.posexplode("keys").alias("j", "other")).filter("i < j")
+    shards = calm.union(twice.select(F.xxhash64("i", "key", "j", "other").alias("shard"), "node"))
+    rows = shards.join(classes.select("node", "print", "n_shingles"), "node")
+
+    def link(rows: pa.Table) -> np.ndarray:
+        prints = np.frombuffer(b"".join(rows["print"].to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+        size = rows["n_shingles"].to_numpy()
+        reach = np.ceil(farthest(size, np.ceil(size / SIMILARITY))).astype(np.int64)
+        reach = np.maximum(reach, np.ceil(farthest(size, size)).astype(np.int64))
+        accept = lambda a, b, distance: distance <= farthest(size[a], size[b])
+        return bktree.components(rows["shard"].to_numpy(), prints, reach, accept, CROWDED)
+
+    found = components(_local_edges(rows, WIDE_WORDS, link).distinct())
+    named = classes.join(found, "node", "left").select("print", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    return made.join(named, ["print", "n_shingles"]).select("doc_id", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """The input's rows without those that are near copies of one with a smaller doc_id; of rows with one doc_id one stays
+    if it is the smallest of its group, and rows without a doc_id all stay."""
+    groups = materialise(near_duplicate_groups(docs), "groups")
+    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    kept = materialise(kept, "kept")
+    single = kept.filter("_n = 1").select(F.col("doc_id").alias("_id"))
+    out = docs.filter("doc_id is null").union(docs.join(single, docs["doc_id"] == F.col("_id"), "left_semi"))
+    if kept.filter("_n > 1").limit(1).count():
+        several = kept.filter("_n > 1").select(F.col("doc_id").alias("_id"))
+        out = out.union(docs.join(several, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return out
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialise(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     return similar_groups(prints).select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
