@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table
-from .tokens import END_ID, default_tokenizer, encoder
+from .tokens import END_ID, default_tokenizer, encoder, utf8
 
 SEQUENCE = 4096
 GROUP_PIECES = 2048
@@ -36,7 +36,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = SEQUENCE, tokenizer: str |
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: list[tuple] = []
-            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(utf8(batch.column("text"))), strict=True):
                 ids = memoryview(got + end)
                 n = len(ids) // 4
                 rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]

@@ -34,55 +34,56 @@ ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 32 << 20, 256 << 10, 1 << 20
 TOKEN_SCHEMA = "doc_id long, n_tokens long, part int, part_start long, ids array<int>"
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Encodes texts with the tokenizers library, one white-space separated word at a time, and remembers words.
 
     The tokenizer drops white space and makes letters small before it makes tokens, so the ids of a text are those of its
-    words in turn; only plain spaces and line feeds are cut at, and only A-Z made small, here. It also never joins a
-    letter or digit with a sign after it, so common signs at the end of a word are cut off, and fewer words are new. The
+    words in turn; only plain spaces and line feeds are cut at, and only A-Z made small, here. A word of plain letters is
+    one piece for the tokenizer's model and goes straight to it. The tokenizer never joins a letter with a sign after it,
+    so a word that ends in signs is its letters and then its signs. All other words go through the whole tokenizer. The
     memory holds about ``limit`` words and is emptied when full; words longer than ``longest`` bytes aren't kept.
     """
 
     #: a-z and the small letters of Latin-1, in code order.
     SMALL = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
     PLAIN = re.compile(f"[{SMALL}]+").fullmatch
-    TAIL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))[.,*%$&#|;:!?]+(?=[ \n])")
+    SIGNS = b".,*%$&#|;:!?"
 
     def __init__(self, path: str, limit: int = 500_000, longest: int = 48):
+        super().__init__({b"": b""})
         single_threaded()
         from tokenizers import Tokenizer
 
         self.library, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
-        self.known: dict[bytes, bytes] = {b"": b""}
         self.letters = self._letters()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.TAIL.sub(rb" \g<0>", (text or "").encode().lower()).replace(b"\n", b" ").split(b" ") for text in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-            known[b""] = b""
-        new = list({word for words in split for word in words if word not in known})
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > self.longest:
-                del known[word]
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words: those of plain letters alone by the library's model, others by the whole tokenizer."""
-        known, letters, rest = self.known, self.letters, []
-        tokenize = self.library.model.tokenize
-        for word in words:
-            text = word.decode()
-            if self.PLAIN(text) and letters:
-                known[word] = array("I", [token.id for token in tokenize(text.translate(letters))]).tobytes()
-            else:
-                rest.append(word)
-        for word, got in zip(rest, self.library.encode_batch_fast([word.decode() for word in rest], add_special_tokens=False), strict=True):
-            known[word] = array("I", got.ids).tobytes()
+        self.model = self.library.model
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        if len(self) > self.limit:
+            self.clear()
+            self[b""] = b""
+        return [b"".join(map(self.__getitem__, text.lower().replace(b"\n", b" ").split(b" "))) if text else b"" for text in texts]
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(self.SIGNS)
+        if not self.letters or not core:
+            ids = self._whole(word)
+        elif core.isalpha():  # of ASCII
+            ids = self._letters_only(word.decode()) if len(core) == len(word) else self[core] + self[word[len(core) :]]
+        elif self.PLAIN(text := core.decode()):
+            ids = self._letters_only(text.translate(self.letters)) if len(core) == len(word) else self[core] + self[word[len(core) :]]
+        else:
+            ids = self._whole(word)
+        if len(word) <= self.longest:
+            self[word] = ids
+        return ids
+
+    def _letters_only(self, spelt: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(spelt)]).tobytes()
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.library.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def _letters(self) -> dict[int, str] | None:
         """How the tokenizer spells each small Latin letter to its model, if it leaves runs of them whole; else None."""
@@ -93,7 +94,9 @@ class WordEncoder:
         whole = cut.pre_tokenize_str(self.SMALL)
         if any(len(x) != 1 for x in spelt.values()) or len(whole) != 1 or whole[0][0] != "".join(x[0][0] for x in spelt.values()):
             return None
-        return {ord(letter): x[0][0] for letter, x in spelt.items() if x[0][0] != letter} or {0: "\0"}
+        if any(spelt[letter][0][0] != letter for letter in self.SMALL[:26]):
+            return None
+        return {ord(letter): x[0][0] for letter, x in spelt.items()}
 
 
 ENCODERS: dict[str, WordEncoder] = {}
@@ -106,6 +109,10 @@ def encoder(path: str) -> WordEncoder:
     return ENCODERS[path]
 
 
+def utf8(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()
+
+
 def default_tokenizer() -> str:
     return public_tokenizers.path(WORD_BPE)
 
@@ -118,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids = [got + end for got in encoder(tokenizer).encode(batch.column("text").to_pylist())]
+            ids = [got + end for got in encoder(tokenizer).encode(utf8(batch.column("text")))]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
