@@ -27,35 +27,36 @@ def propagate_annotations(gene_terms: DataFrame, term_parents: DataFrame) -> Dat
 
 
 def enrich(cluster_genes: DataFrame, annotations: DataFrame, terms: DataFrame, keys: list[str], min_size: int = 2, max_size: int = 500, max_depth: int | None = None) -> DataFrame:
-    """(keys, term, namespace, x, n, N, M, p, q): hypergeometric upper tail of hits x of n annotated, N asked, M in all.
+    """(keys, term, namespace, x, n, n_query, n_background, p, q): hypergeometric upper tail of hits x of n annotated, with
+    n_query genes asked for and n_background in all.
 
     cluster_genes(keys, gene), annotations(gene, term) distinct, terms(term, namespace, depth). Genes without annotation
-    don't count. q is by cluster. The tail is summed over rows i = x .. min(n, N) of each (cluster, term).
+    don't count. q is by cluster. The tail is summed over rows i = x .. min(n, n_query) of each (cluster, term).
     """
     background = annotations.select("gene").distinct()
-    m = background.agg(F.count("*").alias("M"))
+    m = background.agg(F.count("*").alias("n_background"))
     sizes = annotations.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n").between(min_size, max_size))
     chosen = sizes.join(terms.select("term", "namespace", "depth"), "term")
     if max_depth is not None:
         chosen = chosen.filter(F.col("depth") <= max_depth)
     asked = cluster_genes.select(*keys, "gene").distinct().join(background, "gene", "left_semi")
-    query = asked.groupBy(*keys).agg(F.count("*").alias("N"))
+    query = asked.groupBy(*keys).agg(F.count("*").alias("n_query"))
     hits = asked.join(annotations, "gene").groupBy(*keys, "term").agg(F.count("*").alias("x"))
     rows = hits.join(chosen, "term").join(query, keys).join(F.broadcast(m))
-    tail = rows.withColumn("i", F.explode(F.sequence(F.col("x"), F.least("n", "N"))))
+    tail = rows.withColumn("i", F.explode(F.sequence(F.col("x"), F.least("n", "n_query"))))
     lf = lambda c: log_factorial(c.cast("double"))
-    i, n, q, whole = (F.col(c) for c in ("i", "n", "N", "M"))
+    i, n, q, whole = (F.col(c) for c in ("i", "n", "n_query", "n_background"))
     possible = (q - i) <= (whole - n)
     log_p = lf(n) - lf(i) - lf(n - i) + lf(whole - n) - lf(q - i) - lf(F.greatest(whole - n - q + i, F.lit(0))) - (lf(whole) - lf(q) - lf(whole - q))
-    own = [*keys, "term", "namespace", "depth", "x", "n", "N", "M"]
+    own = [*keys, "term", "namespace", "depth", "x", "n", "n_query", "n_background"]
     found = tail.groupBy(*own).agg(F.least(F.lit(1.0), F.sum(F.when(possible, F.exp(log_p)).otherwise(0.0))).alias("p"))
     return adjust_bh(found.filter("p is not null"), "p", keys)
 
 
 def enrichment_scores(found: DataFrame) -> DataFrame:
-    """Rows with p < 0.05 and lod = (x/n) / (N/M - N), z = normal quantile of p, score = -ln p; nulls where undefined."""
+    """Rows with p < 0.05 and lod = (x/n) / (n_query/n_background - n_query), z = normal quantile of p, score = -ln p; nulls where undefined."""
     rows = found.filter("p < 0.05")
-    lod = (F.col("x") / F.col("n")) / F.nullif(F.col("N") / F.col("M") - F.col("N"), F.lit(0.0))
+    lod = (F.col("x") / F.col("n")) / F.nullif(F.col("n_query") / F.col("n_background") - F.col("n_query"), F.lit(0.0))
     return rows.withColumns({"lod": lod, "z": normal_quantile("p"), "score": F.when(F.col("p") > 0, -F.log("p"))})
 
 
