@@ -183,27 +183,25 @@ def _piece_counts(docs: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """(piece, class, doc_id, th, at, before, after) of every anchor; before and after: bytes of the segment around at."""
+    """(piece, class, doc_id, th, at) of every anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            pieces, places, kinds, sizes, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], []
+            pieces, places, kinds, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
             for text in batch.column("text").to_pylist():
                 data = (text or "").encode()
                 at, piece = anchors(np.frombuffer(data, np.uint8))
                 pieces.append(piece)
                 places.append(at)
                 sizes.append(len(at))
-                lengths.append(len(data))
                 # the place of the anchor in the segment is part of its class
                 kinds += [xxhash.xxh64_intdigest(data[max(0, x - REACH) : x + LENGTH], min(x, REACH)) for x in at.tolist()]
             at, row = np.concatenate(places), pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            after = np.minimum(np.repeat(np.array(lengths, np.int64), sizes) - at, LENGTH)
             kind = np.array(kinds, np.uint64).view(np.int64)
-            fields = [pa.array(np.concatenate(pieces).view(np.int64)), pa.array(kind), batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(at.astype(np.int32)), pa.array(np.minimum(at, REACH).astype(np.int16)), pa.array(after.astype(np.int16))]
-            yield pa.RecordBatch.from_arrays(fields, ["piece", "class", "doc_id", "th", "at", "before", "after"])
+            fields = [pa.array(np.concatenate(pieces).view(np.int64)), pa.array(kind), batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(fields, ["piece", "class", "doc_id", "th", "at"])
 
-    return docs.mapInArrow(find, "piece long, class long, doc_id long, th long, at int, before short, after short")
+    return docs.mapInArrow(find, "piece long, class long, doc_id long, th long, at int")
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -272,14 +270,14 @@ def _sort_shards(rows: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, start, end) of byte runs, overlapping ones among them, that strings seen earlier cover."""
+    """(doc_id, th, start, end) of byte runs, overlapping ones among them, that strings seen earlier cover; ends may pass the text's."""
     docs = _keyed(docs).filter("text is not null")
     pieces = _piece_counts(docs).groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").select("piece")
     segments = materialise(_segments(docs).join(pieces, "piece"), "segments")
     place = F.struct(*DOC, "at")
     classes = materialise(segments.groupBy("piece", "class").agg(F.min(place).alias("first"), F.count("*").alias("n")), "segment-classes")
     copies = segments.join(classes.filter("n > 1").select("piece", "class", "first"), ["piece", "class"]).filter(~place.eqNullSafe(F.col("first")))
-    whole = copies.select(*DOC, (F.col("at") - F.col("before")).cast("long").alias("start"), (F.col("at") + F.col("after")).cast("long").alias("end"))
+    whole = copies.select(*DOC, F.greatest(F.col("at") - REACH, F.lit(0)).cast("long").alias("start"), (F.col("at") + LENGTH).cast("long").alias("end"))
     several = classes.groupBy("piece").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("piece")
     wanted = classes.join(several, "piece").select("piece", "first.doc_id", "first.th", "first.at")
     return whole.union(_sort_shards(_with_bytes(docs, wanted)))
@@ -309,7 +307,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             texts, counts = [], []
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 data = (text or "").encode()
-                runs = _merged([r["start"] for r in runs], [r["end"] for r in runs]) if runs else []
+                runs = _merged([r["start"] for r in runs], [min(r["end"], len(data)) for r in runs]) if runs else []
                 kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(data)], strict=True))
                 texts.append(text if text is None or not runs else kept.decode(errors="ignore"))
                 counts.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
