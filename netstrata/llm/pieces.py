@@ -52,17 +52,31 @@ class Vocabulary:
         self.least = min(self.scores.values(), default=0.0)
         merged = sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-self.scores[p], self.ids[p]))
         self.rank = {piece: i for i, piece in enumerate(merged)}
-        inside = set("".join(merged))
-        alone = "".join(c for c in "\n\t\r" if c not in inside)
-        crossing = any(MARK in piece.lstrip(MARK) for piece in merged)
-        lone = f"[{re.escape(alone)}]" if alone else "(?!)"
-        self.cut = re.compile(rf"{lone}|{MARK}+[^{MARK}{re.escape(alone)}]*|[^{MARK}{re.escape(alone)}]+" if not crossing else "(?s).+").findall
+        self.suffixes = {piece[i:] for piece in merged for i in range(len(piece))}
+        self.cut = self._cutter(merged)
         self.text = [b""] * self.size
         for piece, i in self.ids.items():
             self.text[i] = piece.replace(MARK, " ").encode()
         for value, i in self.bytes.items():
             self.text[i] = bytes([value])
 
+    @staticmethod
+    def _cutter(merged: list[str]):
+        """Cuts a marked text before marks and signs, where no piece has such a character after another kind."""
+        pairs = {(a, b) for piece in merged for a, b in zip(piece, piece[1:], strict=False)}
+        if any(b == MARK != a for a, b in pairs):
+            return re.compile("(?s).+").findall
+        signs = set("\n\t\r.,;:!?%*#$&|()[]{}<>=+/\"'")
+        plain = lambda a: a.isascii() and a.isalnum() or a.isalpha()
+        while crossed := {b for a, b in pairs if b in signs and a not in signs and plain(a)}:
+            signs -= crossed
+        own = re.escape("".join(sorted(signs)))
+        if not own:
+            return re.compile(rf"(?s){MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        glue = re.escape("".join(sorted({a for a, b in pairs if b in signs and a not in signs and a != MARK})))
+        rest = rf"[^{MARK}{own}]*" + (rf"(?:(?<=[{glue}])[{own}]+[^{MARK}{own}]*)*" if glue else "")
+        return re.compile(rf"(?s){MARK}+[{own}]*{rest}|[{own}]+{rest}|[^{MARK}{own}]{rest}").findall
+
     def spelled(self, piece: str) -> list[int]:
         """Ids of a piece, or of a character that is none."""
         if piece in self.ids:
@@ -100,18 +114,18 @@ class ValidLasts:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.length = vocabulary, [0]
-        self.halves = {piece: self._halves(piece) for piece in vocabulary.rank}
+        self.halves = {piece: halves for piece in vocabulary.rank if (halves := self._halves(piece))}
         self.pairs: dict[tuple[str, str], bool] = {}
 
-    def _halves(self, piece: str) -> tuple[str, str]:
-        """The two parts that merging joins last into the piece."""
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merging joins last into the piece; None if merging never makes it."""
         rank, parts = self.vocabulary.rank, list(piece)
         while len(parts) > 2:
             best = min(range(len(parts) - 1), key=lambda i: (rank.get(parts[i] + parts[i + 1], NEVER), i))
             if parts[best] + parts[best + 1] not in rank:
-                break  # merging never makes this piece
+                return None
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return (parts[0], "".join(parts[1:])) if len(parts) == 2 else ("", "")
+        return parts[0], parts[1]
 
     def beside(self, left: str, right: str) -> bool:
         """Whether merging leaves two pieces apart: undo merges from the last and look for an earlier one across."""
@@ -131,22 +145,24 @@ class ValidLasts:
         del self.length[n + 1 :]
 
     def forward(self, word: str) -> None:
-        halves, pairs, length = self.halves, self.pairs, self.length
-        longest = self.vocabulary.longest
+        halves, pairs, length, suffixes = self.halves, self.pairs, self.length, self.vocabulary.suffixes
         for end in range(len(length), len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                if start < end - 1 and halves.get(piece, ("",))[0] == "":
-                    continue
+            start = end - 1
+            fits = [start]
+            while start and word[start - 1 : end] in suffixes:
+                start -= 1
+                if word[start:end] in halves:
+                    fits.append(start)
+            for start in reversed(fits):  # one of them fits
                 if not start:
                     break
-                pair = (word[start - length[start] : start], piece)
-                fits = pairs.get(pair)
-                if fits is None:
+                pair = (word[start - length[start] : start], word[start:end])
+                beside = pairs.get(pair)
+                if beside is None:
                     if len(pairs) > 2_000_000:
                         pairs.clear()
-                    fits = pairs[pair] = self.beside(*pair)
-                if fits:
+                    beside = pairs[pair] = self.beside(*pair)
+                if beside:
                     break
             length.append(end - start)
 
@@ -242,27 +258,23 @@ def decode(encoded: DataFrame, model: str | None = None, kind: str = "bpe") -> D
     return encoded.mapInArrow(run, f"{fields}, _decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, decoded_sha256, and whether the decoded text is the text."""
+def round_trips(docs: DataFrame, model: str | None = None, kind: str = "bpe") -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, decoded_sha256, and whether the text decoded from the ids is the text, in one pass."""
+    model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        names, types = ["n_tokens", "ids_crc32", "decoded_sha256", "lossless"], [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        coder = encoder(model, kind)
         for batch in slices(batches):
-            lists = batch.column("_ids")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
-            decoded = batch.column("_decoded").to_pylist()
-            columns = [
-                batch.column("doc_id"),
-                pa.array(np.diff(offsets).astype(np.int64)),
-                pa.array([zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.int64()),
-                pa.array([hashlib.sha256(text.encode()).hexdigest() for text in decoded], pa.string()),
-                pa.array([a == (b or "") for a, b in zip(decoded, batch.column("text").to_pylist(), strict=True)], pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names)
+            texts, rows = batch.column("text").to_pylist(), []
+            for text, ids in zip(texts, coder.encode(texts), strict=True):
+                decoded = coder.vocabulary.decode(array("I", ids))
+                rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(decoded.encode()).hexdigest(), decoded == (text or "")))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *names])
 
-    return coded.select("doc_id", "text", "_ids", "_decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return digests(decode(encode(docs)))
+    return round_trips(table(spark, sf_dir, "documents"))

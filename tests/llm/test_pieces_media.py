@@ -1,0 +1,157 @@
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+import sentencepiece
+from tests.conftest import MEDIUM, SMALL
+from tests.llm.samples import ROWS, SCHEMA, TEXTS, crowded, odd_documents
+
+from netstrata.llm import media, pieces
+from netstrata.llm.common import new_path
+
+ODD = ["\ta\n\nb  c ▁x", "日本語のテキスト", "a\0b", "é́́", "100,000.50€ m².x", "😀😀" * 50, " " * 40 + "z", "ﬁ Ⅷ ².", "a.b.c...d ,,x"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+
+
+def ids(coder, text):
+    return np.frombuffer(coder.encode([text])[0], "<u4").tolist()
+
+
+def test_encoder_gives_the_librarys_pieces(library):
+    coder = pieces.TrieEncoder(pieces.default_model())
+    for text in [t for t in TEXTS if t] + ODD:
+        assert ids(coder, text) == library.encode(text)
+        assert coder.vocabulary.decode(ids(coder, text)) == library.decode(library.encode(text))
+    assert ids(coder, None) == ids(coder, "") == []
+
+
+def test_encoder_forgets_when_full(library):
+    coder = pieces.TrieEncoder(pieces.default_model(), limit=2, longest=3)
+    for text in [t for t in TEXTS if t] * 2:
+        assert ids(coder, text) == library.encode(text)
+
+
+def test_viterbi_is_the_best_of_all_segmentations():
+    vocabulary = pieces.Vocabulary(pieces.default_model(), "unigram")
+    coder = pieces.TrieEncoder(pieces.default_model(), "unigram")
+
+    def best(word):
+        top = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            options = []
+            for start in range(end):
+                piece = word[start:end]
+                own = vocabulary.scores.get(piece, vocabulary.least - 10 if end - start == 1 else None)
+                if own is not None:
+                    options.append((top[start][0] + own, [*top[start][1], piece]))
+            top.append(max(options, key=lambda x: x[0]))
+        return top[-1][0]
+
+    for word in ["▁hello", "▁thanking", "▁the", "xyz", "▁日本"]:
+        forward = coder.forward
+        forward.back(0)
+        forward.forward(word)
+        assert abs(forward.score[len(word)] - best(word)) < 1e-6
+
+
+def test_shared_prefixes_change_nothing():
+    words = sorted({"▁thank", "▁thanks", "▁than", "▁the", "▁thankful", "a", "ab"})
+    together = dict(pieces.TrieEncoder(pieces.default_model()).walk(words))
+    for word in words:
+        assert dict(pieces.TrieEncoder(pieces.default_model()).walk([word]))[word] == together[word]
+
+
+def test_piece_query(spark, library):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
+    rows = pieces.op4_sentencepiece(spark, MEDIUM).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = library.encode(docs[r.doc_id])
+        assert r.n_tokens == len(want) and r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
+        assert r.lossless and r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_piece_columns(spark, library):
+    docs = crowded(odd_documents(spark), "_n", "ids", "piece")
+    rows = pieces.decode(pieces.encode(docs)).collect()
+    assert len(rows) == docs.count() and set(docs.columns) < set(rows[0].asDict())
+    for r in rows:
+        assert list(r._ids) == (library.encode(r.text) if r.text else [])
+        assert r._decoded == library.decode(list(r._ids))
+    assert pieces.decode(pieces.encode(spark.createDataFrame([], SCHEMA))).collect() == []
+    assert pieces.round_trips(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_media_query(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = media.op7_media_columns(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    features = {}
+    for r in rows:
+        data = docs[r.doc_id]
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        stored = media.to_media(payload)
+        assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert features.setdefault(data, r.feature) == r.feature and r.caption == "whole text" and r.position == 1
+
+
+def test_media_odd_rows(spark):
+    docs = crowded(spark.createDataFrame(ROWS + [ROWS[0]], SCHEMA), "digest", "media", "n_bytes", "position", "html")
+    docs.drop("html").write.parquet(f"{(folder := new_path(spark, 'odd'))}/documents.parquet")
+    rows = media.op7_media_columns(spark, folder).collect()
+    assert len(rows) == len(ROWS) + 1
+    by = {r.doc_id: r for r in rows}
+    assert by[14].payload_bytes == by[21].payload_bytes == 64 and by[14].n_bytes == 0
+    assert by[0].feature == by[7].feature and by[42].n_bytes == 5000
+    none = spark.createDataFrame([], SCHEMA)
+    none.write.parquet(f"{(folder := new_path(spark, 'none'))}/documents.parquet")
+    assert media.op7_media_columns(spark, folder).collect() == []
+
+
+PAGE = """<html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p>";</script></head><body><p>One <b>two</b></p>
+<figure><img src="sha256:aa" alt="alt a"><img src="sha256:bb"><figcaption>Both <i>here</i></figcaption></figure><p>three<br>four
+<img src='x/sha256:cc' alt="alone"> five<img alt="no source"></body>"""
+
+
+def test_items_keep_order_positions_and_captions(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<p>unclosed <figure><img src=sha256:dd>"), (1, PAGE)], "doc_id long, html string")
+    items = media.sequences(pages)
+    rows = sorted(items.collect(), key=lambda r: (r.item_row, r.position))
+    first = [(r.position, r.kind, r.text, r.digest, r.caption) for r in rows if r.item_row == rows[0].item_row]
+    assert first == [
+        (0, "text", "T & U", None, None),
+        (1, "text", "One two", None, None),
+        (2, "media", None, "aa", "Both here"),
+        (3, "media", None, "bb", "Both here"),
+        (4, "text", "three", None, None),
+        (5, "text", "four", None, None),
+        (6, "media", None, "cc", "alone"),
+        (7, "text", "five", None, None),
+    ]
+    assert len(rows) == 2 * 8 + 2
+    found = spark.createDataFrame([("aa", 3), ("dd", 4)], "digest string, n_bytes long")
+    whole = media.gather(media.resolve(items, found)).collect()
+    assert sorted(len(r["items"]) for r in whole) == [2, 8, 8]
+    assert [i["n_bytes"] for i in max(whole, key=lambda r: len(r["items"]))["items"]] == [None, None, 3, None, None, None, None, None]
+
+
+def test_pages_parse_whole(spark):
+    pages = spark.read.parquet(f"{MEDIUM}/pages.parquet")
+    items = media.sequences(pages, "page_id")
+    assert items.select("doc_id").distinct().count() == pages.count()
+    assert items.filter("kind = 'text' and text like '%track(%'").count() == 0
+
+
+def test_media_is_lossless():
+    for data in (b"", b"a", bytes(range(256)), b"x" * 6400):
+        payload = media.padded(data)
+        assert len(payload) % 64 == 0 and payload and media.from_media(media.to_media(payload)) == payload
+    with pytest.raises(ValueError):
+        media.from_media(b"P5\n64 2\n255\n" + bytes(64))
