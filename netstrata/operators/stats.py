@@ -114,4 +114,4 @@ def adjust_bh(df: DataFrame, p: str, groups: list[str], out: str = "q") -> DataF
     raw = df.withColumn("_raw", F.when(known, F.col(p) * F.count("*").over(own) / rank))
     down = own.orderBy(F.desc(p), F.desc("_raw")).rowsBetween(Window.unboundedPreceding, 0)
     least = F.min("_raw").over(Window.partitionBy(*groups, known, p))  # ties share the value of their last rank
-    return raw.withColumn("_raw", least).withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_raw")
+    return raw.withColumn("_raw", least).withColumn(out, F.when(known, F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw")
