@@ -166,7 +166,8 @@ def _mixed(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, print (binary, 64 * WIDE_WORDS bits over the distinct shingles), n_shingles, keys (minima of KEYS hashes)."""
+    """doc_id, th (text hash), print (binary, 64 * WIDE_WORDS bits over the distinct shingles), n_shingles, keys (minima of
+    KEYS hashes)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -182,9 +183,10 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
                     keys.append(np.zeros(KEYS, np.int64))
                 sizes.append(len(hashes))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "print", "n_shingles", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "th", "print", "n_shingles", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, print binary, n_shingles long, keys array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return narrow.mapInArrow(make, "doc_id long, th long, print binary, n_shingles long, keys array<long>")
 
 
 def _majority(parts: list[np.ndarray], n: int) -> bytes:
@@ -207,7 +209,7 @@ def farthest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_duplicate_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, component_id) of all documents with an id: groups linked by a similarity of 0.8 or more of five-word shingles.
+    """(doc_id, th, component_id) of all documents with an id: groups linked by a similarity of 0.8 or more of five-word shingles.
 
     Equal fingerprints are one item. Items that share the minimum of one of eight hashes are a shard (two documents at the
     similarity share none with a chance of 0.2 ** 8); shards over ``hot`` items are dealt again by a second minimum.
@@ -234,20 +236,22 @@ def near_duplicate_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     found = components(_local_edges(rows, WIDE_WORDS, link).distinct())
     named = classes.join(found, "node", "left").select("print", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return made.join(named, ["print", "n_shingles"]).select("doc_id", "component_id")
+    return made.join(named, ["print", "n_shingles"]).select("doc_id", "th", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """The input's rows without those that are near copies of one with a smaller doc_id; of rows with one doc_id one stays
-    if it is the smallest of its group, and rows without a doc_id all stay."""
-    groups = materialise(near_duplicate_groups(docs), "groups")
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = materialise(kept, "kept")
-    single = kept.filter("_n = 1").select(F.col("doc_id").alias("_id"))
-    out = docs.filter("doc_id is null").union(docs.join(single, docs["doc_id"] == F.col("_id"), "left_semi"))
+    """The input's rows without those that are near copies of one with a smaller doc_id; of equal rows one stays, and rows
+    without a doc_id all stay. Different texts under one doc_id are one member of a group."""
+    groups = near_duplicate_groups(docs).filter("doc_id = component_id")
+    kept = materialise(groups.groupBy("doc_id", "th").agg(F.count("*").alias("_n")), "kept")
+
+    def rows(which: str) -> DataFrame:
+        ids = kept.filter(which).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+        return docs.join(ids, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left_semi")
+
+    out = docs.filter("doc_id is null").union(rows("_n = 1"))
     if kept.filter("_n > 1").limit(1).count():
-        several = kept.filter("_n > 1").select(F.col("doc_id").alias("_id"))
-        out = out.union(docs.join(several, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+        out = out.union(rows("_n > 1").dropDuplicates(["doc_id", "text"]))
     return out
 
 

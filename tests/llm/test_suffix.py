@@ -1,0 +1,97 @@
+import hashlib
+
+import numpy as np
+import pytest
+from tests.conftest import MEDIUM
+from tests.llm.samples import SCHEMA, crowded, odd_documents
+
+from netstrata.llm import suffix
+
+
+def plainly(docs):
+    """{doc_id: (n_bytes, n_removed, n_spans, sha256)} for (doc_id, text) in order."""
+    seen, out = set(), {}
+    for doc_id, text in docs:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for at in range(len(data) - 99):
+            if data[at : at + 100] in seen:
+                gone[at : at + 100] = b"\1" * 100
+            seen.add(data[at : at + 100])
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        runs = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
+        out[doc_id] = (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def got(rows):
+    return {r.doc_id: (r._n_bytes, r._n_removed, r._n_spans, r._kept_sha256) for r in rows}
+
+
+def test_query_against_brute_force(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect())
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.op8_suffix_dedup(spark, MEDIUM).collect()}
+    assert rows == plainly(docs)
+
+
+def test_hard_repeats(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, n))
+    passage = word(130)
+    docs = [(i, word(int(rng.integers(0, 90))) + passage[int(rng.integers(0, 20)) :] + word(40)) for i in range(60)]
+    docs += [(100, "é" * 49 + "x"), (101, "é" * 300), (102, "ab" * 400), (103, "z" * 1000), (104, passage[:100]), (105, passage[:99]), (106, passage + passage), (107, "é" * 49 + "x" + "é" * 49 + "y")]
+    docs += [(200 + i, "a" * int(n)) for i, n in enumerate(rng.integers(90, 300, 20))]
+    table = spark.createDataFrame([(i, t, None, "s", 0) for i, t in docs], SCHEMA)
+    assert got(suffix.dedup(table).collect()) == plainly(docs)
+
+
+@pytest.mark.parametrize("folder", [False, True])
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_sorting_in_memory_and_on_disk(tmp_path, monkeypatch, folder, block):
+    monkeypatch.setattr(suffix, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    columns = rng.integers(97, 99, (suffix.WIDTH, 40)).astype(np.uint8)
+    columns[:, 10:30] = columns[:, :20]
+    columns[rng.integers(0, suffix.WIDTH, 30), rng.integers(0, 40, 30)] = 120
+    age = rng.permutation(40)
+    marks = suffix.repeated_strings(columns, age, str(tmp_path) if folder else None)
+    for k in range(suffix.REACH + 1):
+        strings = [bytes(columns[k : k + 100, i]) for i in range(40)]
+        for i in range(40):
+            assert marks[i, k] == any(s == strings[i] and age[j] < age[i] for j, s in enumerate(strings))
+
+
+def test_large_shards_on_disk(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, n))
+    passage = word(120)
+    docs = [(i, word(int(rng.integers(0, 60))) + passage + word(50)) for i in range(60)]
+    table = suffix._keyed(spark.createDataFrame([(i, t, None, "s", 0) for i, t in docs], SCHEMA))
+    wanted = suffix._segments(table).select("piece", "doc_id", "th", "at")
+    rows = suffix._with_bytes(table, wanted)
+    spans = lambda limit: {tuple(r) for r in suffix._sort_shards(rows, limit).collect()}
+    assert spans(3) == spans(10**6) != set()
+
+
+def test_odd_rows(spark):
+    docs = crowded(odd_documents(spark), "piece", "class", "at", "th", "spans", "start", "end")
+    rows = suffix.dedup(docs).collect()
+    assert len(rows) == docs.count()
+    assert set(docs.columns) <= set(rows[0].asDict())
+    by = {r.doc_id: r for r in rows if r.doc_id != 7}
+    assert by[21].text is None and by[21]._n_bytes == 0
+    assert by[14].text == "" and by[42]._n_bytes == 5000 and by[42]._n_removed == 4999
+    assert suffix.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_repeated_rows_share_their_fate(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, n))
+    a, b = word(400), word(150)
+    rows = [(1, a + b, None, "s", 0)] * 2 + [(2, b + word(60), None, "s", 0), (2, word(50) + b, None, "s", 0), (3, word(20) + a, None, "s", 0)] + [(None, a, None, "s", 0)]
+    out = suffix.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    by = {(r.doc_id, r._n_bytes): [] for r in out}
+    for r in out:
+        by[r.doc_id, r._n_bytes].append(r._n_removed)
+    assert by[None, 400] == [0] and by[1, 550] == [400, 400] and by[3, 420] == [400]
+    assert by[2, 210] == [150] and by[2, 200] == [150]
