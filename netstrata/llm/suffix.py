@@ -39,6 +39,8 @@ WIDTH = REACH + LENGTH
 OUTSIDE = 0xFF
 #: Segments that a task sorts in memory at once, and entries of a block of a queue.
 IN_MEMORY, BLOCK = 200_000, 1 << 20
+#: Largest bitmap (2 ** 27 bits are 16 MB) by which anchors with single pieces are left out before the shuffle.
+MOST_BITS = 27
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -182,8 +184,24 @@ def _piece_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "piece long, n long")
 
 
-def _segments(docs: DataFrame) -> DataFrame:
-    """(piece, class, doc_id, th, at) of every anchor."""
+def _bitmap(pieces: DataFrame) -> tuple[np.ndarray, int] | None:
+    """Bits of the trailing places of all pieces, about 16 for each and at most 2 ** MOST_BITS; None if they would be too full
+    to tell pieces apart. Its size is bounded whatever the input, and what it lets through by chance the join drops."""
+    n = pieces.count()
+    if n > 1 << MOST_BITS:
+        return None
+    bits = min(max(int(16 * n).bit_length(), 12), MOST_BITS)
+    # the trailing places: anchors have the least hashes, so their leading places are alike
+    word = F.shiftright(F.col("piece").bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    words = pieces.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(piece & 63 as int))")).alias("set"))
+    found, bitmap = words.toArrow(), np.zeros(1 << (bits - 6), np.int64)
+    bitmap[found["word"].to_numpy()] = found["set"].to_numpy()
+    return bitmap.view(np.uint64), bits
+
+
+def _segments(docs: DataFrame, bitmap: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """(piece, class, doc_id, th, at) of every anchor whose piece may be in the bitmap."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap) if bitmap else None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -191,6 +209,11 @@ def _segments(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 data = (text or "").encode()
                 at, piece = anchors(np.frombuffer(data, np.uint8))
+                if held is not None:
+                    words, bits = held.value
+                    place = piece & np.uint64((1 << bits) - 1)
+                    kept = (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    at, piece = at[kept], piece[kept]
                 pieces.append(piece)
                 places.append(at)
                 sizes.append(len(at))
@@ -208,7 +231,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(piece, doc_id, th, at, before, segment) for wanted(piece, doc_id, th, at); a document's list is bounded by its length."""
     lists = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("piece", "at")).alias("places"))
     ours = lists.select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), "places")
-    joined = docs.join(ours, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select(*DOC, "text", "places").dropDuplicates(DOC)
+    joined = docs.join(ours, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select(*DOC, "text", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()]
@@ -228,11 +251,13 @@ def _sort_shards(rows: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
 
     def order(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
+        doc = rows["doc_id"].fill_null(_FIRST).to_numpy()
+        th, at = rows["th"].to_numpy(), rows["at"].to_numpy()
+        by_age = np.lexsort((at, th, doc))
+        same = (np.diff(doc[by_age]) == 0) & (np.diff(th[by_age]) == 0) & (np.diff(at[by_age]) == 0)
+        rows = rows.take(pa.array(by_age[np.r_[True, ~same]])).combine_chunks()  # repeated rows of a document are one
         n = rows.num_rows
-        doc = rows["doc_id"].to_pandas().fillna(_FIRST).to_numpy(np.int64) if rows["doc_id"].null_count else rows["doc_id"].to_numpy()
-        th, at, before = (rows[c].to_numpy() for c in ("th", "at", "before"))
-        age = np.empty(n, np.int64)
-        age[np.lexsort((at, th, doc))] = np.arange(n)
+        at, before, age = rows["at"].to_numpy(), rows["before"].to_numpy(), np.arange(n)
         with tempfile.TemporaryDirectory() as temporary:
             folder = temporary if n > 4 * in_memory else None
             columns = np.memmap(Path(folder, "text"), np.uint8, "w+", shape=(WIDTH, n)) if folder else np.empty((WIDTH, n), np.uint8)
@@ -272,8 +297,8 @@ def _sort_shards(rows: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, start, end) of byte runs, overlapping ones among them, that strings seen earlier cover; ends may pass the text's."""
     docs = _keyed(docs).filter("text is not null")
-    pieces = _piece_counts(docs).groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").select("piece")
-    segments = materialise(_segments(docs).join(pieces, "piece"), "segments")
+    pieces = materialise(_piece_counts(docs).groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").select("piece"), "pieces")
+    segments = materialise(_segments(docs, _bitmap(pieces)).join(pieces, "piece"), "segments")
     place = F.struct(*DOC, "at")
     classes = materialise(segments.groupBy("piece", "class").agg(F.min(place).alias("first"), F.count("*").alias("n")), "segment-classes")
     copies = segments.join(classes.filter("n > 1").select("piece", "class", "first"), ["piece", "class"]).filter(~place.eqNullSafe(F.col("first")))
