@@ -791,9 +791,17 @@ def f9_linkage_ward(spark, sf_dir):
     return _tree(spark, sf_dir, "ward")
 
 
-@query("f10_cut_tree")
+#: Single linkage joins a pair at the least largest step of any path between them: five squarings reach paths of 32 steps.
+_MINIMAX = (
+    _DISTANCES
+    + ", p0 AS (SELECT id_a AS u, id_b AS v, distance AS d FROM dist UNION ALL SELECT id_b, id_a, distance FROM dist UNION ALL SELECT p_brand, p_brand, 0 FROM b)"
+    + "".join(f", p{i + 1} AS (SELECT x.u, y.v, min(greatest(x.d, y.d)) AS d FROM p{i} x JOIN p{i} y ON x.v = y.u GROUP BY 1, 2)" for i in range(5))
+)
+
+
+@query("f10_cut_tree", _SINGLE + ", heights AS (SELECT height, row_number() OVER (ORDER BY height) AS step, count(*) OVER () AS merges FROM grown WHERE n > 1), cut AS (SELECT max(height) AS h FROM heights WHERE step <= merges + 1 - 4), " + _MINIMAX.removeprefix(_DISTANCES + ", ") + ", roots AS (SELECT u AS id, min(v) AS root FROM p5, cut WHERE d <= h GROUP BY 1) SELECT id, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS cluster FROM roots")
 def f10_cut_tree(spark, sf_dir):
-    return hierarchy.cut_tree(_tree(spark, sf_dir), 4)
+    return hierarchy.cut_tree(_tree(spark, sf_dir, "single"), 4)
 
 
 @query("f11_leaf_order")
@@ -803,9 +811,10 @@ def f11_leaf_order(spark, sf_dir):
     return hierarchy.reorder(_distances(spark, sf_dir).withColumnRenamed("distance", "consensus"), order)
 
 
-@query("f12_cophenetic")
+@query("f12_cophenetic", f"WITH {_MINIMAX} SELECT round(corr(distance, d), 6) AS correlation FROM dist JOIN p5 ON u = id_a AND v = id_b")
 def f12_cophenetic(spark, sf_dir):
-    return hierarchy.cophenetic_correlation(_distances(spark, sf_dir), _tree(spark, sf_dir))
+    found = hierarchy.cophenetic_correlation(_distances(spark, sf_dir), _tree(spark, sf_dir, "single"))
+    return found.withColumn("correlation", r6("correlation"))
 
 
 # Tests and enrichment ----------------------------------------------------------------------------------------------
@@ -924,13 +933,23 @@ def a21_term_counts(spark, sf_dir):
     return found.withColumn("ratio", r6("ratio"))
 
 
-@query("t11_enrichment_by_k")
+_BY_K = (
+    _ENRICH.replace("asked AS (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS cluster, l_suppkey AS gene FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')", "asked AS (SELECT DISTINCT l_returnflag || ':' || k || ':' || (l_linenumber % k) AS cluster, l_suppkey AS gene FROM lineitem, range(2, 6) AS r(k) WHERE l_quantity > 45 AND l_returnflag <> 'N')")
+    + """, counts AS (SELECT cluster, namespace, count(*) AS terms, count(*) FILTER (p < 0.05) AS hits FROM found GROUP BY 1, 2),
+wide AS (SELECT split_part(cluster, ':', 1) AS cohort, CAST(split_part(cluster, ':', 2) AS INTEGER) AS k, """
+    + ", ".join(f"CAST(coalesce(sum(hits) FILTER (namespace = '{s}'), 0) AS BIGINT) AS {s}_n, coalesce(max(hits / terms) FILTER (namespace = '{s}'), 0.0) AS {s}_ratio" for s in ("nation", "region"))
+    + " FROM counts GROUP BY 1, 2)"
+)
+
+
+@query("t11_enrichment_by_k", f"WITH {_BY_K} SELECT x.k, " + ", ".join(f"{'xy'[i - 1]}.{s}_n AS {s}_n{i}, round({'xy'[i - 1]}.{s}_ratio, 6) AS {s}_ratio{i}" for i in (1, 2) for s in ("nation", "region")) + " FROM wide x JOIN wide y ON x.k = y.k AND x.cohort = 'A' AND y.cohort = 'R'")
 def t11_enrichment_by_k(spark, sf_dir):
     """Two cohorts and all k as keys of one job."""
     _, annotations, parents = _enriched(spark, sf_dir)
     lines = t.table(spark, sf_dir, "lineitem").filter("l_quantity > 45 and l_returnflag <> 'N'").select(F.col("l_returnflag").alias("cohort"), F.col("l_suppkey").alias("gene"), "l_linenumber")
     asked = lines.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(5)))).select("cohort", "k", (F.col("l_linenumber") % F.col("k")).alias("cluster"), "gene")
-    return enrichment.enrichment_by_k(asked, annotations, parents, "A", "R", ["nation", "region"])
+    found = enrichment.enrichment_by_k(asked, annotations, parents, "A", "R", ["nation", "region"])
+    return found.withColumns({c: r6(c) for c in found.columns if "_ratio" in c})
 
 
 # Parameters and the whole run --------------------------------------------------------------------------------------
