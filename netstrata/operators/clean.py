@@ -43,7 +43,7 @@ def top_fraction(df: DataFrame, score: str, frac: float, tiebreak: list[str]) ->
     they don't all fit. Integer-like scores have few values; the counts are a table of distinct scores.
     """
     counts = df.groupBy(score).agg(F.count("*").alias("_n"))
-    total = df.agg(F.bround(F.count("*") * F.lit(frac)).cast("long").alias("_want"))
+    total = counts.agg(F.bround(F.coalesce(F.sum("_n"), F.lit(0)) * F.lit(frac)).cast("long").alias("_want"))
     # running counts over ranges of scores: partial sums of 1024 slices, then within a slice
     edge = counts.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     slices = counts.join(F.broadcast(edge)).withColumn("_slice", F.when(F.col("_hi") > F.col("_lo"), F.floor(1023 * (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0)))
