@@ -21,8 +21,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete the shuffle files of a query when it ends, instead of when the driver next collects its garbage.
+EARLY_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write a table to the shared folder and read it again. What its query shuffled isn't needed then and goes at once."""
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(EARLY_CLEANUP, None)
+    conf.set(EARLY_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(EARLY_CLEANUP) if before is None else conf.set(EARLY_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
