@@ -18,6 +18,7 @@ tables give no rows. Other columns of the input are kept by ``dedup``.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ WIDTH = REACH + LENGTH
 #: Fills segments past the ends of a document; no UTF-8 text has this byte.
 OUTSIDE = 0xFF
 #: Segments that a task sorts in memory at once, and entries of a block of a queue.
-IN_MEMORY, BLOCK = 200_000, 1 << 20
+IN_MEMORY, BLOCK = 60_000, 1 << 20
 #: Largest bitmap (2 ** 27 bits are 16 MB) by which anchors with single pieces are left out before the shuffle.
 MOST_BITS = 27
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -130,7 +131,7 @@ def repeated_strings(columns: np.ndarray, age: np.ndarray, folder: str | None =
     columns: (WIDTH, segments), a row for each place. age: distinct, smaller is earlier. folder: for queues as files.
     """
     n = columns.shape[1]
-    marks = np.zeros((n, REACH + 1), bool)
+    marks = np.memmap(Path(folder, "marks"), bool, "w+", shape=(n, REACH + 1)) if folder else np.zeros((n, REACH + 1), bool)
     suffix, prefix = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
     for place in range(WIDTH - 1, -1, -1):
         counts = np.zeros(256, np.int64)
@@ -249,47 +250,67 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _sort_shards(rows: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
     """(doc_id, th, start, end) of strings in shards that an earlier segment has too."""
 
-    def order(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
+    def order(rows: pa.Table, folder: str | None) -> Iterator[pa.RecordBatch]:
+        """Spans of the segments of whole shards; text, queues and marks are files if there is a folder."""
         doc = rows["doc_id"].fill_null(_FIRST).to_numpy()
         th, at = rows["th"].to_numpy(), rows["at"].to_numpy()
         by_age = np.lexsort((at, th, doc))
         same = (np.diff(doc[by_age]) == 0) & (np.diff(th[by_age]) == 0) & (np.diff(at[by_age]) == 0)
-        rows = rows.take(pa.array(by_age[np.r_[True, ~same]])).combine_chunks()  # repeated rows of a document are one
-        n = rows.num_rows
-        at, before, age = rows["at"].to_numpy(), rows["before"].to_numpy(), np.arange(n)
-        with tempfile.TemporaryDirectory() as temporary:
-            folder = temporary if n > 4 * in_memory else None
-            columns = np.memmap(Path(folder, "text"), np.uint8, "w+", shape=(WIDTH, n)) if folder else np.empty((WIDTH, n), np.uint8)
-            for low in range(0, n, 4096):
-                segments = rows["segment"].slice(low, 4096).to_pylist()
-                lead = before[low : low + 4096].tolist()
-                block = b"".join((b"\xff" * (REACH - b) + s).ljust(WIDTH, b"\xff") for b, s in zip(lead, segments, strict=True))
-                columns[:, low : low + 4096] = np.frombuffer(block, np.uint8).reshape(-1, WIDTH).T
-            marks = repeated_strings(columns, age, folder)
-            del columns
-        # strings that reach outside of their document are no strings
+        kept = by_age[np.r_[True, ~same]]  # repeated rows of a document are one
+        del doc, th, by_age, same
+        n, at, before = len(kept), at[kept], rows["before"].to_numpy()[kept]
+        sizes = np.zeros(n, np.int16)
+        columns = np.memmap(Path(folder, "text"), np.uint8, "w+", shape=(WIDTH, n)) if folder else np.empty((WIDTH, n), np.uint8)
+        for low in range(0, n, 4096):
+            segments = rows["segment"].take(pa.array(kept[low : low + 4096])).to_pylist()
+            sizes[low : low + 4096] = [len(x) for x in segments]
+            block = b"".join((b"\xff" * (REACH - b) + x).ljust(WIDTH, b"\xff") for b, x in zip(before[low : low + 4096].tolist(), segments, strict=True))
+            columns[:, low : low + 4096] = np.frombuffer(block, np.uint8).reshape(-1, WIDTH).T
+        marks = repeated_strings(columns, np.arange(n), folder)
+        del columns
         first = np.arange(REACH + 1)[None, :]
-        size = np.array([len(x) for x in rows["segment"].to_pylist()])
-        marks &= (first >= (REACH - before)[:, None]) & (first + LENGTH <= (REACH - before + size)[:, None])
-        segment, start, end = spans(marks)
-        base = at[segment].astype(np.int64) - REACH
-        row = pa.array(segment)
-        return pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(row), rows["th"].combine_chunks().take(row), pa.array(base + start), pa.array(base + end)], [*DOC, "start", "end"])
+        for low in range(0, n, 1 << 16):
+            own = slice(low, low + (1 << 16))
+            lead = (REACH - before[own])[:, None]
+            # strings that reach outside of their document are no strings
+            segment, start, end = spans(marks[own] & (first >= lead) & (first + LENGTH <= lead + sizes[own][:, None]))
+            base, row = at[own][segment].astype(np.int64) - REACH, pa.array(kept[own][segment])
+            ids = [rows[c].take(row).combine_chunks() for c in DOC]
+            yield pa.RecordBatch.from_arrays([*(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in ids), pa.array(base + start), pa.array(base + end)], [*DOC, "start", "end"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        """Whole shards together, IN_MEMORY segments or more; what is far more than that waits in a file."""
+        held, size, spill, stack = [], 0, None, contextlib.ExitStack()
+
+        def found() -> Iterator[pa.RecordBatch]:
+            with stack:
+                if spill is None:
+                    yield from order(pa.Table.from_batches(held).combine_chunks(), None)
+                else:
+                    for batch in held:
+                        spill[1].write_batch(batch)
+                    spill[1].close()
+                    yield from order(pa.ipc.open_file(stack.enter_context(pa.memory_map(f"{spill[0]}/rows"))).read_all(), spill[0])
+
         for batch in batches:
             piece = batch.column("piece").to_numpy()
             last = int(np.searchsorted(piece, piece[-1])) if len(piece) else 0
-            if size >= in_memory and (last or held[-1].column("piece")[-1].as_py() != piece[0]):
-                yield order([*held, batch.slice(0, last)])
-                held, size, batch = [], 0, batch.slice(last)
+            if size >= in_memory and (last or ending != piece[0]):
+                held.append(batch.slice(0, last))
+                yield from found()
+                held, size, spill, stack, batch = [], 0, None, contextlib.ExitStack(), batch.slice(last)
             if batch.num_rows:
                 held.append(batch)
-                size += batch.num_rows
-        if held:
-            yield order(held)
+                size, ending = size + batch.num_rows, piece[-1]
+            if size > 4 * in_memory:
+                if spill is None:
+                    folder = stack.enter_context(tempfile.TemporaryDirectory())
+                    spill = folder, pa.ipc.new_file(stack.enter_context(pa.OSFile(f"{folder}/rows", "wb")), batch.schema)
+                for waiting in held:
+                    spill[1].write_batch(waiting)
+                held = []
+        if size:
+            yield from found()
 
     return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(sort, "doc_id long, th long, start long, end long")
 
