@@ -58,7 +58,7 @@ class Forest:
 
 
 def smallest_linked(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (indices of smaller or equal items) after joining the components of each a and b."""
+    """Labels (indices of smaller or equal items), changed in place, after joining the components of each a and b."""
     while len(a):
         x, y = labels[a], labels[b]
         apart = x != y
@@ -70,10 +70,30 @@ def smallest_linked(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
             jumped = labels[labels]
             if np.array_equal(jumped, labels):
                 break
-            labels = jumped
+            labels[:] = jumped
     return labels
 
 
+def join(labels: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, accept=None) -> None:
+    """Join, in labels, the components of each a and b that accept lets stand; pairs that others have joined aren't asked.
+
+    A round asks about the first few pairs of each component, twice as many each time: near copies need few questions.
+    """
+    few = 1
+    while len(a):
+        x, y = labels[a], labels[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return
+        order = apart[np.argsort(x[apart], kind="stable")]
+        a, b, distance, x = a[order], b[order], distance[order], x[order]
+        first = np.r_[True, x[1:] != x[:-1]]
+        asked = np.arange(len(x)) - np.flatnonzero(first)[np.cumsum(first) - 1] < few
+        kept = accept(a[asked], b[asked], distance[asked]) if accept is not None else np.ones(int(asked.sum()), bool)
+        smallest_linked(labels, a[asked][kept], b[asked][kept])
+        a, b, distance, few = a[~asked], b[~asked], distance[~asked], 2 * few
+
+
 def clustered(prints: np.ndarray, radius: np.ndarray, accept, labels: np.ndarray, rows: np.ndarray, leaders: int = 32) -> np.ndarray:
     """Join, in labels, the items rows of a crowded shard with what is near to some leaders; returns the items still to search.
 
@@ -88,18 +108,18 @@ def clustered(prints: np.ndarray, radius: np.ndarray, accept, labels: np.ndarray
         leader = waiting[0]
         distance = hamming(prints[rows], prints[leader][None, :])
         half = int(radius[rows].min()) // 2
-        near = np.full(len(rows), leader)
-        linked = (distance <= radius[rows]) & accept(near, rows, distance)
+        linked = distance <= radius[rows]
+        linked[linked] = accept(np.full(int(linked.sum()), leader), rows[linked], distance[linked])
         taken = linked & (distance <= half) & np.isin(rows, waiting, assume_unique=True)
-        smallest_linked(labels, near[linked], rows[linked])
+        smallest_linked(labels, np.full(int(linked.sum()), leader), rows[linked])
         followers = rows[taken]
         between = rows[(distance <= radius[rows].max() + half) & ~linked]
         for at in range(0, len(between), 64):
             a = np.repeat(between[at : at + 64], len(followers))
             b = np.tile(followers, len(between[at : at + 64]))
             d = hamming(prints[a], prints[b])
-            kept = (d <= radius[a]) & accept(a, b, d)
-            smallest_linked(labels, a[kept], b[kept])
+            kept = d <= radius[a]
+            join(labels, a[kept], b[kept], d[kept], accept)
         waiting = waiting[~np.isin(waiting, followers, assume_unique=True)]
         waiting = waiting[waiting != leader]
         if len(followers) < 16:
@@ -129,8 +149,5 @@ def components(shard: np.ndarray, prints: np.ndarray, radius: np.ndarray | int,
     block = np.cumsum(sizes[searched]) // visits
     for queries in np.split(searched, np.flatnonzero(np.diff(block)) + 1):
         for a, b, distance in forest.search(queries, radius[queries]):
-            if accept is not None:
-                kept = accept(a, b, distance)
-                a, b = a[kept], b[kept]
-            labels = smallest_linked(labels, a, b)
+            join(labels, a, b, distance, accept)
     return labels

@@ -8,7 +8,8 @@ agree in one place, so no link is lost.
 
 ``near_duplicates`` is the wider search of the pipeline stage: five-word shingles and a similarity of 0.8. A radius of 3
 in 64 bits can't reach that similarity (it stands for about 10 differing bits, at which equal blocks no longer shard),
-so it uses 1024-bit fingerprints of the distinct shingles, sharded by minima of shingle hashes; see its docstring.
+so 1024-bit fingerprints of the distinct shingles, sharded by minima of shingle hashes, choose candidates, and the sets of
+shingle hashes decide; see its docstring.
 
 Nulls and odd input: null, empty and blank texts have fingerprint zero and are linked like any other. A row with null
 doc_id gets its fingerprint's component. Equal rows keep one row each. Empty tables give no rows. Other columns of the
@@ -17,6 +18,9 @@ input are ignored (link functions) or kept (near_duplicates).
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import materialise, slices, table
+from .common import materialise, new_path, slices, table
 from .graph import components
 
 SEED = 42
@@ -151,8 +155,12 @@ def similar_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 WIDE_WORDS = 16
 SHINGLE, SIMILARITY = 5, 0.8
 KEYS = 8
-#: Standard errors of the wide fingerprint's distance that a pair at the similarity is allowed.
-ALLOWED_ERRORS = 1.5
+#: Standard errors of the wide fingerprint's distance that a candidate is allowed beyond a pair at the similarity; sets of
+#: fewer shingles than FEW, whose fingerprints say little, are candidates at every distance.
+ALLOWED_ERRORS = 4.5
+FEW = 32
+#: Bytes of shingle hashes that a task remembers while it compares sets.
+HELD_SETS = 64 << 20
 CROWDED = 512
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x632BE59BD9B4E019 * i) % 2**64 | 1 for i in range(WIDE_WORDS + KEYS)], np.uint64)
 
@@ -165,28 +173,75 @@ def _mixed(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def _local(path: str) -> str:
+    """The shared folder as a path of this machine."""
+    scheme, _, rest = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"shingle sets need a shared folder that is mounted, not {path}")
+    return "/" + rest.lstrip("/")
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (text hash), print (binary, 64 * WIDE_WORDS bits over the distinct shingles), n_shingles, keys (minima of
-    KEYS hashes)."""
+    KEYS hashes), digest of the set of shingle hashes, and the file and place in it at which the task wrote the set, sorted."""
+    folder = _local(new_path(docs.sparkSession, "shingle-sets"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            prints, sizes, keys = [], [], []
-            for text in batch.column("text").to_pylist():
-                hashes = np.unique(shingle_hashes(text, SHINGLE))
-                if len(hashes):
-                    parts = [_mixed(hashes[at : at + 4096], _ODD) for at in range(0, len(hashes), 4096)]
-                    prints.append(_majority([p[:, :WIDE_WORDS] for p in parts], len(hashes)))
-                    keys.append(np.min([p[:, WIDE_WORDS:].min(axis=0) for p in parts], axis=0).view(np.int64))
-                else:
-                    prints.append(bytes(8 * WIDE_WORDS))
-                    keys.append(np.zeros(KEYS, np.int64))
-                sizes.append(len(hashes))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "th", "print", "n_shingles", "keys"])
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{uuid.uuid4().hex}"
+        with open(path, "wb") as out:
+            for batch in slices(batches):
+                prints, sizes, keys, digests, places = [], [], [], [], []
+                for text in batch.column("text").to_pylist():
+                    hashes = np.unique(shingle_hashes(text, SHINGLE))
+                    if len(hashes):
+                        parts = [_mixed(hashes[at : at + 4096], _ODD) for at in range(0, len(hashes), 4096)]
+                        prints.append(_majority([p[:, :WIDE_WORDS] for p in parts], len(hashes)))
+                        keys.append(np.min([p[:, WIDE_WORDS:].min(axis=0) for p in parts], axis=0).view(np.int64))
+                    else:
+                        prints.append(bytes(8 * WIDE_WORDS))
+                        keys.append(np.zeros(KEYS, np.int64))
+                    sizes.append(len(hashes))
+                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    places.append(out.tell())
+                    out.write(hashes.tobytes())
+                out.flush()  # before the rows that name the places
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * KEYS), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                columns = [batch.column("doc_id"), batch.column("th"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), lists]
+                columns += [pa.array(digests, pa.binary()), pa.array([path] * len(keys), pa.string()), pa.array(places, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "print", "n_shingles", "keys", "digest", "file", "place"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return narrow.mapInArrow(make, "doc_id long, th long, print binary, n_shingles long, keys array<long>")
+    return narrow.mapInArrow(make, "doc_id long, th long, print binary, n_shingles long, keys array<long>, digest binary, file string, place long")
+
+
+class ShingleSets:
+    """Exact similarity of the sets of rows(file, place, n_shingles), read where tasks wrote them."""
+
+    def __init__(self, rows: pa.Table):
+        self.file, self.place, self.size = rows["file"], rows["place"].to_numpy(), rows["n_shingles"].to_numpy()
+        self.held: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.bytes = 0
+
+    def hashes(self, row: int) -> np.ndarray:
+        if row not in self.held:
+            with open(self.file[row].as_py(), "rb") as whole:
+                whole.seek(self.place[row])
+                self.held[row] = np.fromfile(whole, np.uint64, int(self.size[row]))
+            self.bytes += self.held[row].nbytes
+            while self.bytes > HELD_SETS and len(self.held) > 2:
+                self.bytes -= self.held.popitem(last=False)[1].nbytes
+        self.held.move_to_end(row)
+        return self.held[row]
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether shared shingles are at least 0.8 of all shingles of each a and b."""
+        small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        out = 5 * small >= 4 * large
+        for i in np.flatnonzero(out):
+            both = np.sort(np.concatenate([self.hashes(int(a[i])), self.hashes(int(b[i]))]), kind="stable")
+            out[i] = 9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * len(both)
+        return out
 
 
 def _majority(parts: list[np.ndarray], n: int) -> bytes:
@@ -198,45 +253,53 @@ def _majority(parts: list[np.ndarray], n: int) -> bytes:
 
 
 def farthest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits up to which sets of a and b shingles count as of the similarity: the cosine that the similarity means
-    for these sizes, the share of bits that its angle gives, and the allowed errors. Below 0: sizes too far apart."""
+    """Differing bits up to which sets of a and b shingles may be of the similarity: the cosine that the similarity means for
+    these sizes, the share of bits that its angle gives, bits at a tie, and the allowed errors. Below 0: sizes too far apart."""
     a, b = np.maximum(a, 1).astype(float), np.maximum(b, 1).astype(float)
     cosine = SIMILARITY * (a + b) / ((1 + SIMILARITY) * np.sqrt(a * b))
-    share = np.arccos(np.minimum(cosine, 1.0)) / np.pi
+    share = np.minimum(np.arccos(np.minimum(cosine, 1.0)) / np.pi + np.sqrt(0.5 / np.pi / np.minimum(a, b)), 0.5)
     bits = 64 * WIDE_WORDS
     reach = bits * share + ALLOWED_ERRORS * np.sqrt(bits * share * (1 - share))
-    return np.where(np.minimum(a, b) >= SIMILARITY * np.maximum(a, b), np.maximum(reach, 0), -1)
+    reach = np.where(np.minimum(a, b) < FEW, bits, reach)
+    return np.where(np.minimum(a, b) >= SIMILARITY * np.maximum(a, b), reach, -1)
 
 
 def near_duplicate_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, th, component_id) of all documents with an id: groups linked by a similarity of 0.8 or more of five-word shingles.
 
-    Equal fingerprints are one item. Items that share the minimum of one of eight hashes are a shard (two documents at the
+    Equal sets are one item. Items that share the minimum of one of eight hashes are a shard (two documents at the
     similarity share none with a chance of 0.2 ** 8); shards over ``hot`` items are dealt again by a second minimum.
-    Crowds of near copies in a shard are clustered around leaders before BK-trees search the rest.
+    Fingerprints only choose candidates: a link needs the similarity of the two sets of shingle hashes themselves. Crowds
+    of near copies in a shard are clustered around leaders before BK-trees search the rest.
     """
     made = materialise(wide_fingerprints(docs.filter("doc_id is not null")), "wide-prints")
-    # equal texts have equal keys, so a class keeps the keys of any of its documents
-    classes = materialise(made.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "print-classes")
+    # equal sets have equal keys, so a class keeps what any of its documents has
+    first = F.min_by(F.struct("print", "keys", "file", "place"), "doc_id").alias("first")
+    classes = materialise(made.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"), first).select("digest", "n_shingles", "node", "first.*"), "print-classes")
     dealt = classes.select("node", F.posexplode("keys").alias("i", "key"))
     sizes = materialise(dealt.groupBy("i", "key").count().filter("count > 1"), "shards")
     calm = dealt.join(sizes.filter(F.col("count") <= hot), ["i", "key"]).select(F.xxhash64("i", "key").alias("shard"), "node")
     crowd = dealt.join(sizes.filter(F.col("count") > hot).select("i", "key"), ["i", "key"]).join(classes.select("node", "keys"), "node")
     twice = crowd.select("node", "i", "key", F.posexplode("keys").alias("j", "other")).filter("i < j")
     shards = calm.union(twice.select(F.xxhash64("i", "key", "j", "other").alias("shard"), "node"))
-    rows = shards.join(classes.select("node", "print", "n_shingles"), "node")
+    rows = shards.join(classes.select("node", "print", "n_shingles", "file", "place"), "node")
+    found = components(_local_edges(rows, WIDE_WORDS, link_sets).distinct())
+    named = classes.join(found, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    return made.join(named, ["digest", "n_shingles"]).select("doc_id", "th", "component_id")
 
-    def link(rows: pa.Table) -> np.ndarray:
-        prints = np.frombuffer(b"".join(rows["print"].to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-        size = rows["n_shingles"].to_numpy()
-        reach = np.ceil(farthest(size, np.ceil(size / SIMILARITY))).astype(np.int64)
-        reach = np.maximum(reach, np.ceil(farthest(size, size)).astype(np.int64))
-        accept = lambda a, b, distance: distance <= farthest(size[a], size[b])
-        return bktree.components(rows["shard"].to_numpy(), prints, reach, accept, CROWDED)
-
-    found = components(_local_edges(rows, WIDE_WORDS, link).distinct())
-    named = classes.join(found, "node", "left").select("print", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return made.join(named, ["print", "n_shingles"]).select("doc_id", "th", "component_id")
+
+def link_sets(rows: pa.Table) -> np.ndarray:
+    """First row of each row's component under links of the similarity, shard by shard."""
+    prints = np.frombuffer(b"".join(rows["print"].to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+    size, sets = rows["n_shingles"].to_numpy(), ShingleSets(rows)
+    reach = np.ceil(farthest(np.ceil(size * SIMILARITY), np.ceil(size * SIMILARITY))).astype(np.int64)
+
+    def accept(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        kept = distance <= farthest(size[a], size[b])
+        kept[kept] = sets.similar(a[kept], b[kept])
+        return kept
+
+    return bktree.components(rows["shard"].to_numpy(), prints, reach, accept, CROWDED)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -126,3 +126,25 @@ def test_model_free_stages(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert langid.calibrate(none, None) == 0.0
     assert lines.widespread_lines(none).collect() == []
+
+
+def test_near_duplicates_link_at_the_similarity_only(spark):
+    texts = {}
+
+    def pair(at, shared, own):  # two texts of shared + own words each: shared - 4 shingles in common
+        words = [f"w{at}x{i}" for i in range(shared)]
+        texts[at], texts[at + 1] = (" ".join(words + [f"{side}{at}x{i}" for i in range(own)]) for side in "ab")
+
+    for n in range(40):
+        pair(100 + 2 * n, 404, 50)  # 400 of 500 shingles: 0.8
+        pair(300 + 2 * n, 404, 54)  # 400 of 508: 0.787
+        pair(500 + 2 * n, 404, 60)  # 400 of 520: 0.769
+        texts[700 + 2 * n] = " ".join(f"s{n}x{i}" for i in range(8))
+        texts[701 + 2 * n] = texts[700 + 2 * n] + " more"  # 4 of 5 shingles: 0.8
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(table).collect()}
+    for first in range(100, 780, 2):
+        if first in texts:
+            near = similarity(shingles(texts[first]), shingles(texts[first + 1])) >= 0.8
+            assert near == (first < 300 or first >= 700)
+            assert group[first + 1] == (first if near else first + 1)
