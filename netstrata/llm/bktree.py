@@ -115,11 +115,13 @@ def clustered(prints: np.ndarray, radius: np.ndarray, accept, labels: np.ndarray
         followers = rows[taken]
         between = rows[(distance <= radius[rows].max() + half) & ~linked]
         for at in range(0, len(between), 64):
-            a = np.repeat(between[at : at + 64], len(followers))
-            b = np.tile(followers, len(between[at : at + 64]))
-            d = hamming(prints[a], prints[b])
-            kept = d <= radius[a]
-            join(labels, a[kept], b[kept], d[kept], accept)
+            for low in range(0, len(followers), 1024):
+                own, tile = between[at : at + 64], followers[low : low + 1024]
+                own = own[labels[own] != labels[leader]]  # a follower was met: all are linked to the leader
+                a, b = np.repeat(own, len(tile)), np.tile(tile, len(own))
+                d = hamming(prints[a], prints[b])
+                kept = d <= radius[a]
+                join(labels, a[kept], b[kept], d[kept], accept)
         waiting = waiting[~np.isin(waiting, followers, assume_unique=True)]
         waiting = waiting[waiting != leader]
         if len(followers) < 16:

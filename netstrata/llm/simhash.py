@@ -22,6 +22,7 @@ import os
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +162,9 @@ ALLOWED_ERRORS = 4.5
 FEW = 32
 #: Bytes of shingle hashes that a task remembers while it compares sets.
 HELD_SETS = 64 << 20
+#: Rounds in which leaders thin shards over the hot size.
+ROUNDS = 4
+MEMBER = ["shard", "node", "print", "n_shingles", "file", "place"]
 CROWDED = 512
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x632BE59BD9B4E019 * i) % 2**64 | 1 for i in range(WIDE_WORDS + KEYS)], np.uint64)
 
@@ -219,28 +223,29 @@ class ShingleSets:
     """Exact similarity of the sets of rows(file, place, n_shingles), read where tasks wrote them."""
 
     def __init__(self, rows: pa.Table):
-        self.file, self.place, self.size = rows["file"], rows["place"].to_numpy(), rows["n_shingles"].to_numpy()
-        self.held: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.file, self.place, self.size = rows["file"].to_pylist(), rows["place"].to_pylist(), rows["n_shingles"].to_numpy()
+        self.held: OrderedDict[tuple[str, int], np.ndarray] = OrderedDict()
         self.bytes = 0
 
     def hashes(self, row: int) -> np.ndarray:
-        if row not in self.held:
-            with open(self.file[row].as_py(), "rb") as whole:
-                whole.seek(self.place[row])
-                self.held[row] = np.fromfile(whole, np.uint64, int(self.size[row]))
-            self.bytes += self.held[row].nbytes
+        key = self.file[row], self.place[row]
+        if key not in self.held:
+            with open(key[0], "rb") as whole:
+                whole.seek(key[1])
+                self.held[key] = np.fromfile(whole, np.uint64, int(self.size[row]))
+            self.bytes += self.held[key].nbytes
             while self.bytes > HELD_SETS and len(self.held) > 2:
                 self.bytes -= self.held.popitem(last=False)[1].nbytes
-        self.held.move_to_end(row)
-        return self.held[row]
+        self.held.move_to_end(key)
+        return self.held[key]
 
-    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether shared shingles are at least 0.8 of all shingles of each a and b."""
+    def similar(self, a: np.ndarray, b: np.ndarray, fifths: int = 4) -> np.ndarray:
+        """Whether shared shingles are at least so many fifths of all shingles of each a and b."""
         small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
-        out = 5 * small >= 4 * large
+        out = 5 * small >= fifths * large
         for i in np.flatnonzero(out):
             both = np.sort(np.concatenate([self.hashes(int(a[i])), self.hashes(int(b[i]))]), kind="stable")
-            out[i] = 9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * len(both)
+            out[i] = (5 + fifths) * np.count_nonzero(both[1:] == both[:-1]) >= fifths * len(both)
         return out
 
 
@@ -264,11 +269,76 @@ def farthest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(np.minimum(a, b) >= SIMILARITY * np.maximum(a, b), reach, -1)
 
 
+def _parts(n: F.Column, hot: int) -> F.Column:
+    return F.ceil(n / F.lit(max(1, hot // 2)))
+
+
+def _in_pairs(rows: DataFrame, hot: int) -> DataFrame:
+    """Rows of each shard in shards of about ``hot`` rows, at least one of which holds any two of them: pairs of parts."""
+    counted = rows.join(F.broadcast(rows.groupBy("shard").agg(_parts(F.count("*"), hot).alias("parts"))), "shard")
+    own = counted.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("other <> own or parts = 1")
+    return other.withColumn("shard", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).select(*MEMBER)
+
+
+def _across(judged: DataFrame, turn: int, hot: int) -> DataFrame:
+    """Followers and the rows that may be near to one, in shards of about ``hot`` rows that bring each two of them together."""
+    count = lambda role: F.count(F.when(F.col("role") == role, 1))
+    sizes = judged.groupBy("shard").agg(_parts(count(1), hot).alias("between"), _parts(count(2), hot).alias("followers")).filter("between > 0")
+    both = judged.filter("role > 0").join(F.broadcast(sizes), "shard")
+    mine, theirs = (F.when(F.col("role") == role, F.col("between")).otherwise(F.col("followers")) for role in (1, 2))
+    both = both.withColumns({"own": F.pmod(F.xxhash64("node", F.lit(1)), mine), "other": F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1))})
+    first = F.when(F.col("role") == 1, F.col("own")).otherwise(F.col("other"))
+    second = F.when(F.col("role") == 1, F.col("other")).otherwise(F.col("own"))
+    return both.withColumn("shard", F.xxhash64("shard", F.lit(turn), first, second)).select(*MEMBER)
+
+
+def _judged(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Members with their shard's leader and a role: 2 similar to it (a follower), 1 near enough to be similar to a follower, 0.
+
+    1 - similarity is a metric, so what is similar to a follower (0.8) is of similarity 0.6 or more to the leader.
+    """
+    names = [*MEMBER, "leader", "role"]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            n, rows = batch.num_rows, pa.Table.from_batches([batch])
+            own = rows.select(["file", "place", "n_shingles"])
+            sets = ShingleSets(pa.concat_tables([own, rows.select(["leader_file", "leader_place", "leader_n"]).rename_columns(own.column_names)]))
+            role, at = np.zeros(n, np.int64), np.arange(n)
+            for fifths in (3, 4):
+                at = at[sets.similar(at, at + n, fifths)]
+                role[at] += 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(role)], names)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in members.select(*MEMBER).dtypes)
+    return members.join(F.broadcast(leaders), "shard").mapInArrow(judge, f"{kinds}, leader long, role long")
+
+
+def _thinned(members: DataFrame, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(edges, rows to search) of shards over ``hot`` rows, no shard of which is one task's: in each round a leader of every
+    such shard takes the members similar to it out, after these are brought together with what may be near to them; what
+    then is over ``hot`` still is searched in pairs of parts."""
+    edges, rows = [], []
+    for turn in range(ROUNDS):
+        sizes = members.groupBy("shard").count().filter(F.col("count") > hot)
+        leader = F.min_by(F.struct(F.col("node").alias("leader"), F.col("file").alias("leader_file"), F.col("place").alias("leader_place"), F.col("n_shingles").alias("leader_n")), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+        leaders = materialise(members.join(F.broadcast(sizes), "shard", "left_semi").groupBy("shard").agg(leader.alias("l")).select("shard", "l.*"), "leaders")
+        if not leaders.limit(1).count():
+            break
+        judged = materialise(_judged(members, leaders), "judged")
+        edges.append(judged.filter("role = 2 and node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+        rows.append(_across(judged, turn, hot))
+        rows.append(members.join(F.broadcast(leaders), "shard", "left_anti").select(*MEMBER))
+        members = judged.filter("role < 2").select(*MEMBER)
+    return edges, [*rows, _in_pairs(members, hot)]
+
+
 def near_duplicate_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, th, component_id) of all documents with an id: groups linked by a similarity of 0.8 or more of five-word shingles.
 
     Equal sets are one item. Items that share the minimum of one of eight hashes are a shard (two documents at the
-    similarity share none with a chance of 0.2 ** 8); shards over ``hot`` items are dealt again by a second minimum.
+    similarity share none with a chance of 0.2 ** 8); shards over ``hot`` items are thinned by leaders and split over tasks.
     Fingerprints only choose candidates: a link needs the similarity of the two sets of shingle hashes themselves. Crowds
     of near copies in a shard are clustered around leaders before BK-trees search the rest.
     """
@@ -278,12 +348,17 @@ def near_duplicate_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     classes = materialise(made.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"), first).select("digest", "n_shingles", "node", "first.*"), "print-classes")
     dealt = classes.select("node", F.posexplode("keys").alias("i", "key"))
     sizes = materialise(dealt.groupBy("i", "key").count().filter("count > 1"), "shards")
-    calm = dealt.join(sizes.filter(F.col("count") <= hot), ["i", "key"]).select(F.xxhash64("i", "key").alias("shard"), "node")
-    crowd = dealt.join(sizes.filter(F.col("count") > hot).select("i", "key"), ["i", "key"]).join(classes.select("node", "keys"), "node")
-    twice = crowd.select("node", "i", "key", F.posexplode("keys").alias("j", "other")).filter("i < j")
-    shards = calm.union(twice.select(F.xxhash64("i", "key", "j", "other").alias("shard"), "node"))
-    rows = shards.join(classes.select("node", "print", "n_shingles", "file", "place"), "node")
-    found = components(_local_edges(rows, WIDE_WORDS, link_sets).distinct())
+    members = classes.select("node", "print", "n_shingles", "file", "place")
+
+    def shards(which: F.Column) -> DataFrame:
+        return dealt.join(sizes.filter(which), ["i", "key"]).select(F.xxhash64("i", "key").alias("shard"), "node").join(members, "node").select(*MEMBER)
+
+    edges, rows = [], [shards(F.col("count") <= hot)]
+    if sizes.filter(F.col("count") > hot).limit(1).count():
+        edges, more = _thinned(materialise(shards(F.col("count") > hot), "crowds"), hot)
+        rows += more
+    searched = _local_edges(reduce(DataFrame.union, rows), WIDE_WORDS, link_sets)
+    found = components(reduce(DataFrame.union, edges, searched).distinct())
     named = classes.join(found, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return made.join(named, ["digest", "n_shingles"]).select("doc_id", "th", "component_id")
 

@@ -148,3 +148,28 @@ def test_near_duplicates_link_at_the_similarity_only(spark):
             near = similarity(shingles(texts[first]), shingles(texts[first + 1])) >= 0.8
             assert near == (first < 300 or first >= 700)
             assert group[first + 1] == (first if near else first + 1)
+
+
+def test_crowded_shards_are_split_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6))
+    rows, base = [], [word() for _ in range(300)]
+    for i in range(200):  # near copies of one text
+        text = list(base)
+        for at in rng.integers(0, 300, 3):
+            text[at] = word()
+        rows.append((i, " ".join(text), "en", "s", 0))
+    long = [word() for _ in range(2400)]
+    rows += [(1000 + i, " ".join(long[20 * i : 20 * i + 400]), "en", "s", 0) for i in range(100)]  # a chain
+    table = spark.createDataFrame(rows, SCHEMA)
+    largest, local_edges = [], simhash._local_edges
+
+    def spy(shards, *rest):
+        shards = materialise(shards, "spied")
+        largest.append(max(r["count"] for r in shards.groupBy("shard").count().collect()))
+        return local_edges(shards, *rest)
+
+    monkeypatch.setattr(simhash, "_local_edges", spy)
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(table, 12).collect()}
+    assert all(group[i] == (0 if i < 1000 else 1000) for i in group) and len(group) == 300
+    assert max(largest) <= 36
