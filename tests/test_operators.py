@@ -405,3 +405,25 @@ def test_burden_histogram_of_one_value(spark):
     table = spark.createDataFrame([(1, 2.0), (2, 2.0)], "individual long, burden double")
     rows = profiles.burden_histogram(table, 4).collect()
     assert sum(r.n for r in rows) == 2 and abs(sum(r.density for r in rows) * 0.25 - 1) < 1e-9
+
+
+def test_replicates_without_lambda_are_plain(spark, monkeypatch):
+    cells = [(f"i{i:02}", f"g{g:02}", 1.0 + (i * g) % 3) for i in range(10) for g in range(8) if (i < 5) == (g < 4) or (i + g) % 7 == 0]
+    profile = spark.createDataFrame(cells, "individual string, gene string, value double")
+    made, plain = [], factorize.nmf
+    monkeypatch.setattr(factorize, "nmf", lambda *given: made.append(plain(*given)) or made[-1])
+    labels, _ = factorize.bootstrap_labels(profile, None, 2, 1, lambd=0.0, max_iter=1)
+    found = {r.id: r.cluster for r in labels.collect()}
+    want = {r.id: max(range(2), key=lambda i: (r.weights[i], -i)) for r in made[0][0].collect()}
+    assert len(found) == 8 and len(made) == 1 and all(found[i] == c for i, c in want.items())
+
+
+def test_replicates_use_edges_of_their_own_genes(spark):
+    edges = spark.createDataFrame([(f"g{a:02}", f"g{b:02}", 1.0) for a in range(4) for b in range(4) if a != b], "src string, dst string, weight double")
+    columns = spark.createDataFrame([(0, "g00"), (0, "g01"), (1, "g00")], "replicate int, gene string")
+    assert sorted(map(tuple, factorize.sampled_edges(edges, columns).collect())) == [(0, "g00", "g01", 1.0), (0, "g01", "g00", 1.0)]
+    runs = spark.createDataFrame([(0, "g00", [1.0]), (0, "g01", [1.0]), (1, "g00", [1.0])], "replicate int, id string, weights array<double>")
+    w = spark.createDataFrame([(0, "i00", [1.0]), (1, "i00", [1.0])], "replicate int, id string, weights array<double>")
+    x = spark.createDataFrame([(0, "i00", "g00", 1.0), (1, "i00", "g00", 1.0)], "replicate int, individual string, gene string, value double")
+    h = {(r.replicate, r.id): r.weights[0] for r in factorize.update_h(x, w, runs, factorize.sampled_edges(edges, columns), 1, 1.0, ["replicate"]).collect()}
+    assert h[0, "g00"] == pytest.approx(1.0) and h[0, "g01"] == pytest.approx(0.5) and h[1, "g00"] == pytest.approx(1.0)
