@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models, one column per language of a shared table.
 
 Training counts words of each language over all its training texts in Spark, cuts distinct words into grams of at most
-``ORDER`` characters and sums again; ``MOST_GRAMS`` bounds the table that goes to the driver and then, as sorted hash
-arrays, to the executors (grams that are most frequent relative to their language come first). A text is cut at blanks
+``ORDER`` characters and sums again; the table of all grams goes to the driver and then, as sorted hash arrays, to the
+executors, and grows with the different grams of the input. A text is cut at blanks
 and its words, letters only and made small, are scored once each; the language with the lowest cross-entropy for each
 character wins. The score is its softmax share at a fixed sharpness. Rejection is calibrated on ``CALIBRATION_TEXTS``
 training texts: a text goes if its cross-entropy is above what nearly all of those have in their own language, with an
@@ -27,7 +27,6 @@ from .charmodel import Model, count_units, kneser_ney
 from .common import slices, table
 
 ORDER = 4
-MOST_GRAMS = 300_000
 #: Entries that a task counts before it passes them on.
 FLUSH = 200_000
 #: Texts, first by hash of their ids, on which rejection is calibrated; the quantile that must pass, and the allowance.
@@ -90,17 +89,15 @@ def gram_counts(units: DataFrame, order: int) -> DataFrame:
     return units.mapInArrow(count, "label string, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded_counts(grams: DataFrame, most: int) -> dict[tuple[str, str], int]:
-    """At most ``most`` grams, those with the largest share of their label's count; labels are few."""
-    totals = grams.groupBy("label").agg(F.sum("n").alias("total"))
-    top = grams.join(totals, "label").orderBy((F.col("n") / F.col("total")).desc(), "label", "gram").limit(most)
-    found = top.select("label", "gram", "n").toArrow()
+def all_counts(grams: DataFrame) -> dict[tuple[str, str], int]:
+    """Every gram with its count; the table grows with the different grams of the input."""
+    found = grams.select("label", "gram", "n").orderBy("label", "gram").toArrow()
     return dict(zip(zip(found["label"].to_pylist(), found["gram"].to_pylist(), strict=True), found["n"].to_pylist(), strict=True))
 
 
-def train(texts: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> Model | None:
+def train(texts: DataFrame, order: int = ORDER) -> Model | None:
     """The model of texts(label, text) without nulls; None if there is no letter in them."""
-    counts = bounded_counts(gram_counts(word_counts(texts), order), most)
+    counts = all_counts(gram_counts(word_counts(texts), order))
     return kneser_ney(counts, order, sorted({label for label, _ in counts})) if counts else None
 
 

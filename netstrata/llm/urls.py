@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 
 from .charmodel import Model, count_units, witten_bell
 from .common import slices, table
-from .langid import _counts, _Held, bounded_counts
+from .langid import _counts, _Held, all_counts
 
 #: (verdict, host, path)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 ORDER = 6
 FEWEST = 2
-MOST_GRAMS = 400_000
 MOST_LOST = 0.02
 #: Width and number of the buckets in which scores are counted for calibration.
 STEP, BUCKETS = 0.02, 400
@@ -58,7 +57,7 @@ def _calibration_fold() -> Column:
     return F.crc32(F.col("host").cast("binary")) % 5 == 0
 
 
-def train(found: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> Model | None:
+def train(found: DataFrame, order: int = ORDER) -> Model | None:
     """The two models from ruled URLs outside the calibration fold; None unless both kinds are there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +70,7 @@ def train(found: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> Model
 
     known = found.filter(F.col("ruling").isNotNull() & ~_calibration_fold()).select("ruling", F.concat("host", "path").alias("unit"))
     grams = known.mapInArrow(count, "label string, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    counts = bounded_counts(grams, most)
+    counts = all_counts(grams)
     labels = sorted({label for label, _ in counts})
     if labels != ["allow", "block"]:
         return None

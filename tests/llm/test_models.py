@@ -150,3 +150,9 @@ def test_rare_contexts_shorten():
     counts = {("a", "\x02xy"): 1, ("a", "\x02xz"): 5, ("b", "qy"): 1, ("a", "y"): 1}
     out = defaultdict(int, urls._shortened(counts))
     assert out["a", "\x02xz"] == 5 and out["a", "y"] == 2 and out["b", "y"] == 1
+
+
+def test_models_keep_every_gram(spark):
+    texts = spark.range(160_000).selectExpr("'xx' as label", "concat(decode(unhex(hex(19968 + int(id % 400))), 'UTF-16BE'), decode(unhex(hex(20968 + int(id / 400))), 'UTF-16BE'), '一') as text")
+    model = langid.train(texts)
+    assert len(model.known[3][0]) == 320_000
