@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.scratch import materialise, new_path, shared_dir
+from ..functions.scratch import materialise, new_path, shared_dir, temporary
 
-__all__ = ["materialise", "new_path", "shared_dir", "single_threaded", "slices", "table"]
+__all__ = ["forget", "kept", "local_path", "materialise", "new_path", "shared_dir", "single_threaded", "slices", "table", "temporary"]
 
 #: Rows of an Arrow batch that a Python step holds as Python objects at once.
 SLICE_ROWS = 128
@@ -27,6 +28,31 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, such as a tokenizer with the words it knows. It is one thing at a time:
+    Spark uses workers again for later stages, which have no use for the models of earlier ones."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Free what this worker keeps; steps without a model begin with it."""
+    _KEPT.clear()
+
+
+def local_path(path: str) -> str:
+    """A path of the shared folder as one of this machine, for files that tasks write and map themselves."""
+    scheme, _, rest = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"this step needs a shared folder that is mounted, not {path}")
+    return "/" + rest.lstrip("/")
+
+
 def single_threaded() -> None:
     """Spark already runs one Python worker for each core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -1,13 +1,14 @@
 """Line dedup by spread over sites: lines that stand on many sites are kept where they come first and removed elsewhere.
 
-Lines are trimmed and hashed. Distinct (line, site) pairs come first, so a line on a third of all pages is a few rows
-when it is shuffled. Lines on more than one site get a HyperLogLog sketch of their sites, merged by aggregation; lines
-whose estimate lies within the sketch's error of the threshold are counted exactly; the flagged lines are joined back.
-They are broadcast only if at most ``BROADCAST_LINES`` of them were counted, and joined by shuffle beyond that.
+Lines are trimmed and hashed. Every line gets a HyperLogLog sketch of its sites; tasks make sketches of what they read, and
+sketches are merged by aggregation, so a line on a third of all pages is one small row for each task when it is shuffled.
+Lines whose estimate lies clearly above the threshold are boilerplate; only for lines within the sketch's error of it are
+(line, site) pairs made and counted exactly. Lines below are settled by the sketch alone. Candidates are joined back to find
+where they stand: broadcast if at most ``BROADCAST_LINES`` of them were counted, and joined by shuffle beyond that.
 
 Nulls and odd input: a null text stays null with 0 lines; blank lines are never removed; a null site counts as no site,
 though lines may be removed there. First means smallest (doc_id, text hash, position), null doc_id before all; rows that
-are equal in doc_id and text share their fate. An empty table gives no rows. Other columns of the input are kept.
+are equal in doc_id and text share their fate. Texts of very many lines take time in proportion to them. An empty table gives no rows. Other columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, temporary
 
 MOST_SITES = 10
 #: log2 of the sketch's registers; its standard error is 1.04 / sqrt(2 ** LOG_REGISTERS).
@@ -24,6 +25,7 @@ LOG_REGISTERS = 12
 NEAR_ERRORS, NEAR_SITES = 4, 2
 BROADCAST_LINES = 200_000
 BLANKS = " \t\n\x0b\x0c\r"
+LINE = ["_h1", "_h2"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -39,36 +41,53 @@ def _lines(docs: DataFrame) -> DataFrame:
     return hashed.select("_id", "_text_hash", "_site", "_at", F.xxhash64("_line").alias("_h1"), F.hash("_line").alias("_h2"))
 
 
-def widespread_lines(docs: DataFrame, most_sites: int = MOST_SITES) -> DataFrame:
-    """(_h1, _h2) of the lines that stand on most_sites sites or more."""
-    line = ["_h1", "_h2"]
-    pairs = _lines(docs).filter("_site is not null").select(*line, "_site").distinct()
-    spread = pairs.groupBy(*line).agg(F.min("_site").alias("_low"), F.max("_site").alias("_high")).filter("_low <> _high").select(*line)
-    pairs = materialise(pairs.join(spread, line, "left_semi"), "line-sites")
-    sketches = pairs.groupBy(*line).agg(F.hll_sketch_agg("_site", LOG_REGISTERS).alias("_sketch"))
-    estimates = materialise(sketches.select(*line, F.hll_sketch_estimate("_sketch").alias("_sites")), "line-estimates")
+def line_spread(docs: DataFrame, most_sites: int = MOST_SITES) -> DataFrame:
+    """(_h1, _h2, _clear) of lines whose sketch doesn't rule out most_sites sites; _clear: beyond the sketch's error."""
+    sketches = _lines(docs).filter("_site is not null").groupBy(*LINE).agg(F.hll_sketch_agg("_site", LOG_REGISTERS).alias("_sketch"))
     margin = max(NEAR_SITES, NEAR_ERRORS * 1.04 / 2 ** (LOG_REGISTERS / 2) * most_sites)
-    clear = estimates.filter(F.col("_sites") > most_sites + margin).select(*line)
-    near = estimates.filter(F.abs(F.col("_sites") - most_sites) <= margin).select(*line)
-    counted = pairs.join(near, line, "left_semi").groupBy(*line).count().filter(F.col("count") >= most_sites).select(*line)
-    return clear.union(counted)
+    estimates = sketches.select(*LINE, F.hll_sketch_estimate("_sketch").alias("_sites")).filter(F.col("_sites") >= most_sites - margin)
+    return estimates.select(*LINE, (F.col("_sites") > most_sites + margin).alias("_clear"))
+
+
+def _small(lines: DataFrame) -> DataFrame:
+    """Lines as a side to broadcast, if they were counted to be few."""
+    return F.broadcast(lines) if lines.count() <= BROADCAST_LINES else lines
+
+
+def widespread_hits(docs: DataFrame, most_sites: int = MOST_SITES) -> DataFrame:
+    """(_id, _text_hash, _at, _h1, _h2): where lines stand that are on most_sites sites or more."""
+    candidates = materialise(line_spread(docs, most_sites), "lines")
+    hits = materialise(_lines(docs).join(_small(candidates), LINE), "line-hits")
+    near = hits.filter(~F.col("_clear") & F.col("_site").isNotNull()).select(*LINE, "_site").distinct()
+    counted = materialise(near.groupBy(*LINE).count().filter(F.col("count") >= most_sites).select(*LINE), "lines-counted")
+    where = ["_id", "_text_hash", "_at", *LINE]
+    return hits.filter("_clear").select(*where).union(hits.filter(~F.col("_clear")).join(_small(counted), LINE).select(*where))
+
+
+def _removals(docs: DataFrame, most_sites: int) -> DataFrame:
+    """(__id, __hash, __removed): positions of the lines to remove from each document that has any."""
+    with temporary(docs.sparkSession) as result:
+        doc = ["_id", "_text_hash"]
+        hits = widespread_hits(docs, most_sites)
+        first = materialise(hits.groupBy(*LINE).agg(F.min(F.struct(*doc, "_at")).alias("_first")), "line-firsts")
+        repeats = hits.join(_small(first), LINE).filter(~F.struct(*doc, "_at").eqNullSafe(F.col("_first")))
+        removed = repeats.groupBy(F.col("_id").alias("__id"), F.col("_text_hash").alias("__hash")).agg(F.collect_set("_at").alias("__removed"))
+        return result(removed, "line-removals")
 
 
 def dedup_lines(docs: DataFrame, most_sites: int = MOST_SITES) -> DataFrame:
     """The input's columns with text cut, and _n_lines, _n_removed (long)."""
-    line, doc = ["_h1", "_h2"], ["_id", "_text_hash"]
-    flagged = materialise(widespread_lines(docs, most_sites), "lines")
-    if flagged.count() <= BROADCAST_LINES:
-        flagged = F.broadcast(flagged)
-    hits = materialise(_lines(docs).drop("_site").join(flagged, line), "line-hits")
-    first = hits.groupBy(*line).agg(F.min(F.struct(*doc, "_at")).alias("_first"))
-    repeats = hits.join(first, line).filter(~F.struct(*doc, "_at").eqNullSafe(F.col("_first")))
-    removed = repeats.groupBy(*doc).agg(F.collect_set("_at").alias("_removed")).select(*(F.col(c).alias(f"{c}_r") for c in doc), "_removed")
-    joined = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("_id_r")) & (F.xxhash64("text") == F.col("_text_hash_r")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, at: ~F.array_contains("_removed", at)), "\n")
-    columns = [F.when(F.col("_removed").isNull(), docs[c]).otherwise(kept).alias(c) if c == "text" else docs[c] for c in docs.columns]
-    counts = [F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("_n_lines"), F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long").alias("_n_removed")]
-    return joined.select(*columns, *counts)
+    removed = _removals(docs, most_sites)
+    joined = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    # the array of lines is used more than once, which keeps Spark from splitting the text for each of them
+    cut = joined.select(*(docs[c] for c in docs.columns), F.split("text", "\n").alias("__lines"), "__removed")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed")
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda at: F.get("__lines", at)), "\n"))
+    return cut.select(
+        *(text.alias(c) if c == "text" else c for c in docs.columns),
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("_n_lines"),
+        F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).cast("long").alias("_n_removed"),
+    )
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,23 @@ def test_line_plan_has_no_python(spark):
     assert not re.search("Python|ArrowEval|Pandas", plan)
 
 
+def test_sketches_come_before_pairs(spark):
+    """No distinct pairs of all lines and sites: the one shuffle of whole lines carries sketches."""
+    plan = lines.line_spread(spark.read.parquet(f"{MEDIUM}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_hll_sketch_agg" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert not re.search(r"keys=\[[^\]]*_site", plan)
+
+
+def test_texts_of_many_lines(spark):
+    text = "\n".join(["Menu", *(f"line {i}" for i in range(100_000)), "Menu"])
+    rows = [(i, f"Menu\nown {i}", "en", f"site{i}", 0) for i in range(12)] + [(50, text, "en", "site1", 0)]
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, SCHEMA), 10).collect()}
+    assert out[50].text == text.removeprefix("Menu\n").removesuffix("\nMenu") and (out[50]._n_lines, out[50]._n_removed) == (100_002, 2)
+    assert out[0].text == "Menu\nown 0" and out[1].text == "own 1"
+
+
 def test_line_odd_rows(spark):
     docs = odd_documents(spark)
     assert lines.dedup_lines(docs, 2).count() == docs.count()
+    assert lines.dedup_lines(crowded(docs, "_lines", "_removed", "_id", "_h1", "_clear", "lines", "pos"), 2).count() == docs.count()
     assert lines.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
