@@ -1,16 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models, one column per language of a shared table.
 
 Training counts words of each language over all its training texts in Spark, cuts distinct words into grams of at most
-``ORDER`` characters and sums again; the table of all grams goes to the driver and then, as sorted hash arrays, to the
-executors, and grows with the different grams of the input. A text is cut at blanks
-and its words, letters only and made small, are scored once each; the language with the lowest cross-entropy for each
-character wins. The score is its softmax share at a fixed sharpness. Rejection is calibrated on ``CALIBRATION_TEXTS``
-training texts: a text goes if its cross-entropy is above what nearly all of those have in their own language, with an
-allowance for short texts.
+``ORDER`` characters, sums again and smooths all grams there (``charmodel``); nothing is pruned. A text is cut at blanks and
+its words, letters only and made small, are scored once each; the language with the lowest cross-entropy for each character
+wins. The score is its softmax share at a fixed sharpness. Rejection is calibrated on all labelled texts of one fold that
+the model hasn't seen: for each language, the cross-entropy that nearly all texts predicted as it stay below. A text goes
+if its own is above that, with an allowance for short texts; a language without calibration texts takes the largest limit.
 
 Nulls and odd input: a null text, and one without letters, gets ``und``, score 0 and is rejected. With no labelled text
-at all every text gets ``und``. Ties go to the language that sorts first. Repeated rows get equal results. An empty
-table gives no rows. Other columns of the input are kept.
+at all every text gets ``und``. Ties go to the language that sorts first. Repeated rows get equal results. Very long texts
+take memory in proportion in the task that reads them. An empty table gives no rows. Other columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -24,16 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charmodel import Model, count_units, kneser_ney
-from .common import slices, table
+from .common import kept, materialise, slices, table
 
 ORDER = 4
 #: Entries that a task counts before it passes them on.
 FLUSH = 200_000
-#: Texts, first by hash of their ids, on which rejection is calibrated; the quantile that must pass, and the allowance.
-CALIBRATION_TEXTS, CALIBRATION_QUANTILE, MARGIN, SHORT_ALLOWANCE = 4000, 0.999, 1.15, 4.0
+#: Rejection: the fold it is calibrated on, letters a text must have for that, the share that must pass, and the allowance.
+CALIBRATION_FOLD, FEWEST_LETTERS, CALIBRATION_QUANTILE, SHORT_ALLOWANCE = 4, 50, 0.999, 4.0
 SHARPNESS = 6.0
 UNKNOWN = "und"
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 
 
 def letters(word: str) -> str:
@@ -89,59 +88,59 @@ def gram_counts(units: DataFrame, order: int) -> DataFrame:
     return units.mapInArrow(count, "label string, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def all_counts(grams: DataFrame) -> dict[tuple[str, str], int]:
-    """Every gram with its count; the table grows with the different grams of the input."""
-    found = grams.select("label", "gram", "n").orderBy("label", "gram").toArrow()
-    return dict(zip(zip(found["label"].to_pylist(), found["gram"].to_pylist(), strict=True), found["n"].to_pylist(), strict=True))
-
-
 def train(texts: DataFrame, order: int = ORDER) -> Model | None:
     """The model of texts(label, text) without nulls; None if there is no letter in them."""
-    counts = all_counts(gram_counts(word_counts(texts), order))
-    return kneser_ney(counts, order, sorted({label for label, _ in counts})) if counts else None
+    counts = materialise(gram_counts(word_counts(texts), order), "gram-counts")
+    labels = sorted(r["label"] for r in counts.select("label").distinct().collect())
+    return kneser_ney(counts, order, labels) if labels else None
 
 
 class Scorer:
-    """Cross-entropies of texts; remembers the words it has scored."""
+    """Cross-entropies of texts; remembers about ``limit`` words that it has scored."""
 
     def __init__(self, model: Model, limit: int = KNOWN_WORDS):
         self.model, self.limit = model, limit
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, len(model.labels) + 1), np.float64)
+        self.rows = np.zeros((1024, len(model.labels) + 1), np.float64)
+
+    def _learn(self, words: list[str]) -> None:
+        units = [letters(word) for word in words]
+        first, need = len(self.place), len(self.place) + len(words)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows[:first], np.zeros((max(need, 2 * len(self.rows)) - first, self.rows.shape[1]))])
+        self.rows[first:need] = 0
+        some = np.array([i for i, unit in enumerate(units) if unit], np.int64)
+        if len(some):
+            sums, sizes = self.model.score([units[i] for i in some])
+            self.rows[first + some] = np.c_[sums, sizes]
+        self.place.update(zip(words, range(first, need), strict=True))
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, labels) mean negative log probability of a character, and the number of characters (0: no letter)."""
-        split = [(text or "").split() for text in texts]
-        if len(self.place) > self.limit:
-            self.place.clear()
-            self.rows = self.rows[:0]
-        new = list({word for words in split for word in words if word not in self.place})
-        if new:
-            units = [letters(word) for word in new]
-            scored = np.zeros((len(new), self.rows.shape[1]))
-            some = [i for i, unit in enumerate(units) if unit]
-            if some:
-                sums, sizes = self.model.score([units[i] for i in some])
-                scored[some] = np.c_[sums, sizes]
-            self.place.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, scored])
         totals = np.zeros((len(texts), self.rows.shape[1]))
-        for i, words in enumerate(split):
-            if words:
-                totals[i] = self.rows[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            words = (text or "").split()
+            for at in range(0, len(words), self.limit):
+                part = words[at : at + self.limit] if len(words) > self.limit else words
+                if size + len(part) > self.limit:
+                    self._add(totals, held)
+                    held, size = [], 0
+                held.append((i, part))
+                size += len(part)
+        self._add(totals, held)
         sizes = totals[:, -1]
         return -totals[:, :-1] / np.maximum(sizes, 1)[:, None], sizes
 
-
-SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(held) -> Scorer:
-    """One for each broadcast model and Python worker."""
-    if held.id not in SCORERS:
-        SCORERS.clear()
-        SCORERS[held.id] = Scorer(held.value)
-    return SCORERS[held.id]
+    def _add(self, totals: np.ndarray, parts: list[tuple[int, list[str]]]) -> None:
+        """Add the scores of each part's words, at most ``limit`` in all, to its row of totals."""
+        if len(self.place) > self.limit:
+            self.place.clear()
+        if new := list({word for _, words in parts for word in words if word not in self.place}):
+            self._learn(new)
+        for i, words in parts:
+            totals[i] += self.rows[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
 
 class _Held:
@@ -166,7 +165,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     held, names = _Held(docs.sparkSession, model), docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(held)
+        scorer = kept(("scorer", held.id), lambda: Scorer(held.value))
         labels = np.array([*scorer.model.labels, UNKNOWN], object)
         for batch in slices(batches):
             entropy, sizes = scorer.entropies(batch.column("text").to_pylist())
@@ -187,34 +186,36 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.filter((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
 def training_texts(docs: DataFrame) -> DataFrame:
-    return docs.filter((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").alias("label"), "text")
+    return _labelled(docs).filter(fold() != CALIBRATION_FOLD).select(F.col("lang").alias("label"), "text")
 
 
-def calibrate(docs: DataFrame, model: Model | None) -> float:
-    """The cross-entropy that nearly all training texts stay below."""
+def calibrate(docs: DataFrame, model: Model | None) -> dict[str, float]:
+    """By language, the cross-entropy that nearly all texts of the calibration fold stay below."""
     if model is None:
-        return 0.0
-    chosen = docs.filter((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    first = chosen.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_TEXTS)
-    last = first.agg(F.max(F.xxhash64("doc_id"))).first()[0]
-    if last is None:
-        return float("inf")
-    seen = predict(chosen.filter(F.xxhash64("doc_id") <= last), model).filter("_letters >= 50")
-    found = seen.agg(F.percentile_approx("_entropy", CALIBRATION_QUANTILE, 10_000)).first()[0]
-    return float("inf") if found is None else found * MARGIN
+        return {}
+    texts = _labelled(docs).filter(fold() == CALIBRATION_FOLD).select("text")
+    seen = predict(texts, model).filter(F.col("_letters") >= FEWEST_LETTERS)
+    found = seen.groupBy("_lang").agg(F.percentile_approx("_entropy", CALIBRATION_QUANTILE, 10_000).alias("limit"))
+    return {r["_lang"]: r["limit"] for r in found.collect()}
 
 
-def accepted(limit: float) -> F.Column:
-    """Whether a predicted row is in a known language."""
-    if limit == float("inf"):
-        return F.col("_letters") > 0
-    return (F.col("_letters") > 0) & (F.col("_entropy") <= F.lit(limit) + SHORT_ALLOWANCE / F.sqrt("_letters"))
+def accepted(limits: dict[str, float]) -> F.Column:
+    """Whether a predicted row is in a known language; without limits every text with a letter is."""
+    some = F.col("_letters") > 0
+    if not limits:
+        return some
+    limit = F.coalesce(*(F.when(F.col("_lang") == lang, F.lit(top)) for lang, top in sorted(limits.items())), F.lit(max(limits.values())))
+    return some & (F.col("_entropy") <= limit + SHORT_ALLOWANCE / F.sqrt("_letters"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(training_texts(docs))
     found = predict(docs.select("doc_id", "text"), model).drop("text")
-    limit = calibrate(docs, model)
-    return found.select("doc_id", (fold() == 0).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.coalesce(accepted(limit), F.lit(False)).alias("accepted"))
+    limits = calibrate(docs, model)
+    return found.select("doc_id", (fold() == 0).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.coalesce(accepted(limits), F.lit(False)).alias("accepted"))

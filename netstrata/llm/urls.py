@@ -1,14 +1,15 @@
 """URL filter: rules first, then the ratio of two variable-order Markov models of characters.
 
 A rule is a host and a path prefix and fits the host and its subdomains; the longest rule wins. URLs that rules allow or
-block train two Witten-Bell smoothed models with contexts of up to ``ORDER - 1`` characters; contexts that were seen once
-are dropped, so the order used varies with what is known. All other URLs get the difference of the models' log
-likelihoods for each character; the threshold is calibrated on ruled URLs of one fold of hosts that the models haven't
-seen, so that at most ``MOST_LOST`` of the allowed ones are blocked.
+block train two Witten-Bell smoothed models with contexts of up to ``ORDER - 1`` characters; a context that a model has seen
+less than ``FEWEST`` times is left to its shorter ones, so the order used varies with what is known. All other URLs get the
+difference of the models' log likelihoods for each character, over the host and all that follows it; the threshold is
+calibrated on ruled URLs of one fold of hosts that the models haven't seen, so that at most ``MOST_LOST`` of the allowed ones
+are blocked, and is never above 0, where a URL looks more like the allowed ones.
 
 Nulls and odd input: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed. Without
-URLs of both kinds to learn from, everything without a rule is allowed. Repeated rows are judged alike. An empty table
-gives no rows. Other columns of the input are ignored.
+URLs of both kinds to learn from, everything without a rule is allowed. Repeated rows are judged alike. Very long URLs take
+memory in proportion in the task that scores them. An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charmodel import Model, count_units, witten_bell
-from .common import slices, table
-from .langid import _counts, _Held, all_counts
+from .common import materialise, slices, table
+from .langid import _counts, _Held
 
 #: (verdict, host, path)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -44,8 +45,10 @@ def path(url: str = "url") -> Column:
 
 
 def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule and ruling (nulls where no rule fits)."""
-    parts = pages.select("page_id", host().alias("host"), path().alias("path"))
+    """page_id, host, path, unit (what the models read: the host and all after it), rule and ruling (nulls where no rule fits)."""
+    rest = F.coalesce(F.regexp_extract(F.col("url"), r"(?s)^.*?://[^/?#]*(.*)$", 1), F.lit(""))
+    parts = pages.select("page_id", host().alias("host"), path().alias("path"), rest.alias("unit"))
+    parts = parts.withColumn("unit", F.concat("host", "unit"))
     rule, ruling = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, name, prefix in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):
         fits = ((F.col("host") == name) | F.endswith(F.col("host"), F.lit(f".{name}"))) & F.startswith(F.col("path"), F.lit(prefix))
@@ -68,23 +71,11 @@ def train(found: DataFrame, order: int = ORDER) -> Model | None:
 
         return _counts(batches, add, ["label", "gram", "n"])
 
-    known = found.filter(F.col("ruling").isNotNull() & ~_calibration_fold()).select("ruling", F.concat("host", "path").alias("unit"))
+    known = found.filter(F.col("ruling").isNotNull() & ~_calibration_fold()).select("ruling", "unit")
     grams = known.mapInArrow(count, "label string, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    counts = all_counts(grams)
-    labels = sorted({label for label, _ in counts})
-    if labels != ["allow", "block"]:
-        return None
-    return witten_bell(_shortened(counts), order, labels)
-
-
-def _shortened(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], int]:
-    """Grams seen less than FEWEST times give up the far end of their context."""
-    counts = Counter(counts)
-    for size in range(max((len(gram) for _, gram in counts), default=0), 1, -1):
-        for (label, gram), n in [x for x in counts.items() if len(x[0][1]) == size and x[1] < FEWEST]:
-            del counts[label, gram]
-            counts[label, gram[1:]] += n
-    return counts
+    grams = materialise(grams, "gram-counts")
+    labels = sorted(r["label"] for r in grams.select("label").distinct().collect())
+    return witten_bell(grams, order, labels, FEWEST) if labels == ["allow", "block"] else None
 
 
 def log_ratio(found: DataFrame, model: Model) -> DataFrame:
@@ -93,8 +84,7 @@ def log_ratio(found: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            units = [h + p for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            sums, sizes = held.value.score(units)
+            sums, sizes = held.value.score(batch.column("unit").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((sums[:, 0] - sums[:, 1]) / sizes)], [*names, "ratio"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)

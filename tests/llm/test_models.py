@@ -1,61 +1,87 @@
 import math
+import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
+import pytest
 from tests.conftest import MEDIUM, SMALL
 from tests.llm.samples import SCHEMA, crowded, odd_documents
 
 from netstrata.llm import charmodel, langid, urls
 
 
-def plain_kneser_ney(words, order, discount=0.75):
-    """Probability function of (context, char) by the textbook recursion."""
-    levels = [Counter() for _ in range(order)]
-    for word in words:
-        for gram in charmodel.grams(word, order):
-            levels[len(gram) - 1][gram] += 1
-    for k in range(order - 1, 0, -1):
-        for gram in list(levels[k]):
-            levels[k - 1][gram[1:]] += 1
-    alphabet = len(levels[0]) + 1
-
-    def p(context, char):
-        if context is None:
-            return 1 / alphabet
-        k = len(context)
-        below = p(context[1:] if k else None, char)
-        own = [(g, n) for g, n in levels[k].items() if g[:-1] == context]
-        total = sum(n for _, n in own)
+class Plain:
+    """The models by the textbook recursion, over a dictionary of each label's counts."""
+
+    def __init__(self, units, order, discount=0.75, fewest=1):
+        self.order, self.discount = order, discount
+        self.n, self.total, self.types = {}, {}, {}
+        letters = set()
+        for label in {label for label, _ in units}:
+            raw, n = Counter(), Counter()
+            for (own, unit), times in units.items():
+                for gram in charmodel.grams(unit, order) if own == label else []:
+                    raw[gram] += times
+            if discount is None:
+                for gram, times in raw.items():
+                    for at in range(len(gram)):
+                        n[gram[at:]] += times
+                n = Counter({g: v for g, v in n.items() if v >= fewest or len(g) == 1})
+            else:
+                n.update(raw)
+                for longer in {gram[at:] for gram in raw for at in range(len(gram))}:
+                    if len(longer) > 1:
+                        n[longer[1:]] += 1
+            letters |= {g for g in n if len(g) == 1}
+            self.n[label], self.total[label], self.types[label] = n, Counter(), Counter()
+            for gram, times in n.items():
+                self.total[label][gram[:-1]] += times
+                self.types[label][gram[:-1]] += 1
+        self.alphabet = len(letters) + 1
+
+    def chance(self, label, gram):
+        if not gram:
+            return 1 / self.alphabet
+        n, total, types = self.n[label][gram], self.total[label][gram[:-1]], self.types[label][gram[:-1]]
+        below = self.chance(label, gram[1:])
         if not total:
             return below
-        return max(levels[k][context + char] - discount, 0) / total + discount * len(own) / total * below
+        if self.discount is None:
+            return (n + types * below) / (total + types)
+        return (max(n - self.discount, 0) + self.discount * types * below) / total
 
-    return p
+    def score(self, label, unit):
+        return sum(math.log(self.chance(label, gram)) for gram in charmodel.grams(unit, self.order))
 
 
-def test_kneser_ney_is_the_recursion_and_sums_to_one():
-    words = ["banana", "bandana", "nab", "cab", "cabana"]
-    model = charmodel.kneser_ney(charmodel.count_units(Counter(("x", w) for w in words), 3), 3, ["x"])
-    p = plain_kneser_ney(words, 3)
-    for unit in ["banana", "zoo", "abba", "cab", "", "nabz"]:
-        marked = charmodel.START + unit + charmodel.END
-        want = sum(math.log(p(marked[max(0, i - 2) : i], marked[i])) for i in range(1, len(marked)))
-        sums, sizes = model.score([unit])
-        assert abs(sums[0, 0] - want) < 1e-9 and sizes[0] == len(unit) + 1
-    letters = set("".join(words)) | {charmodel.END}
-    for context in ["", "a", "an", "ba"]:
-        assert abs(sum(p(context, c) for c in letters) + p(context, "?") - 1) < 1e-9
+def counts(spark, units, order):
+    rows = [(label, gram, n) for (label, gram), n in charmodel.count_units(Counter(units), order).items()]
+    return spark.createDataFrame(rows, "label string, gram string, n long")
 
 
-def test_scores_of_many_units_are_those_of_each():
-    units = Counter({("a", "hello"): 3, ("a", "help"): 2, ("b", "welp"): 4, ("b", "yellow"): 1})
-    for build in (charmodel.kneser_ney, charmodel.witten_bell):
-        model = build(charmodel.count_units(units, 4), 4, ["a", "b"])
-        words = ["hello", "x", "yelp", "", "hellowelp"]
-        together = model.score(words)[0]
-        assert np.allclose(together, np.concatenate([model.score([w])[0] for w in words]))
-        assert model.score(["help"])[0][0, 0] > model.score(["help"])[0][0, 1]
+WORDS = Counter({("a", "banana"): 3, ("a", "bandana"): 1, ("a", "nab"): 2, ("b", "cab"): 4, ("b", "cabana"): 1, ("b", "日本語"): 2})
+
+
+@pytest.mark.parametrize("most", [charmodel.MOST_BYTES, 0])  # in memory, in files
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_models_are_the_recursions(spark, monkeypatch, most, order):
+    monkeypatch.setattr(charmodel, "MOST_BYTES", most)
+    table, labels = counts(spark, WORDS, order), ["a", "b"]
+    for model, plain in (
+        (charmodel.kneser_ney(table, order, labels), Plain(WORDS, order)),
+        (charmodel.witten_bell(table, order, labels), Plain(WORDS, order, None)),
+        (charmodel.witten_bell(table, order, labels, 3), Plain(WORDS, order, None, 3)),
+    ):
+        units = ["banana", "zoo", "abba", "cab", "", "nabz", "本", "\U0001f600x"]
+        sums, sizes = model.score(units)
+        assert sizes.tolist() == [len(u) + 1 for u in units]
+        for i, unit in enumerate(units):
+            assert np.allclose(sums[i], [plain.score(label, unit) for label in labels], atol=1e-9)
+        for label in labels:
+            for context in ["", "a", "an", "ba", "本"]:
+                own = {g for g in plain.n["a"] | plain.n["b"] if len(g) == 1}
+                assert abs(sum(plain.chance(label, context[-order + 1 :] * (order > 1) + c) for c in own | {"?"}) - 1) < 1e-9
 
 
 def test_language_query(spark):
@@ -74,7 +100,46 @@ def test_held_out_languages_are_not_read(spark):
 
     spoiled = docs.withColumn("lang", F.when(langid.fold() == 0, F.lit("xx")).otherwise(F.col("lang")))
     a, b = (langid.train(langid.training_texts(d)) for d in (docs, spoiled))
-    assert a.labels == b.labels and all(np.array_equal(x[0], y[0]) and np.allclose(x[1], y[1]) for x, y in zip(a.known, b.known, strict=True))
+    assert a.labels == b.labels and all(np.array_equal(x.keys, y.keys) and np.allclose(x.values, y.values) for x, y in zip(a.known, b.known, strict=True))
+
+
+def test_language_query_against_the_recursion(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    words = lambda text: [u for w in (text or "").split() if (u := langid.letters(w))]
+    where = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 for r in docs}
+    units = Counter((r.lang, w) for r in docs if r.lang and where[r.doc_id] in (1, 2, 3) for w in words(r.text))
+    plain, labels, known = Plain(units, langid.ORDER), sorted({label for label, _ in units}), {}
+
+    def entropies(text):
+        own = words(text)
+        for w in own:
+            if w not in known:
+                known[w] = np.array([plain.score(label, w) for label in labels])
+        return -sum(known[w] for w in own) / sum(len(w) + 1 for w in own)
+
+    want, seen = {}, {}
+    for r in docs:
+        e = entropies(r.text)
+        best = int(e.argmin())
+        n = sum(len(w) + 1 for w in words(r.text))
+        want[r.doc_id] = labels[best], float(e[best]), n, 1 / np.exp(-langid.SHARPNESS * (e - e[best])).sum()
+        if r.lang and where[r.doc_id] == langid.CALIBRATION_FOLD and n >= langid.FEWEST_LETTERS:
+            seen.setdefault(labels[best], []).append(float(e[best]))
+    limits = {label: sorted(own)[math.ceil(langid.CALIBRATION_QUANTILE * len(own)) - 1] for label, own in seen.items()}
+    for r in langid.op10_language_id(spark, SMALL).collect():
+        label, least, n, share = want[r.doc_id]
+        assert (r.lang_pred, r.held_out) == (label, where[r.doc_id] == 0) and abs(r.score - share) < 1e-6
+        assert r.accepted == (least <= limits.get(label, max(limits.values())) + langid.SHORT_ALLOWANCE / math.sqrt(n))
+
+
+def test_scorer_forgets_when_full(spark):
+    model = langid.train(spark.createDataFrame([("en", "the quick fox"), ("de", "der schnelle Fuchs")], "label string, text string"))
+    texts = ["the fox der Fuchs " * 20, "one two three four five six", None, "7", "quick"]
+    whole, small = langid.Scorer(model), langid.Scorer(model, 3)
+    for _ in range(2):
+        for a, b in zip(whole.entropies(texts), small.entropies(texts), strict=True):
+            assert np.allclose(a, b)
+    assert len(small.place) <= 6
 
 
 def test_language_odd_rows(spark):
@@ -97,10 +162,10 @@ def test_language_odd_rows(spark):
 def test_foreign_texts_are_rejected(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     model = langid.train(langid.training_texts(docs))
-    limit = langid.calibrate(docs, model)
+    limits = langid.calibrate(docs, model)
     strange = spark.createDataFrame([(1, "zxqj vkpw xxqz jjkq wvxz qqpk zzvw kkxj " * 30, "en", "s", 0)], SCHEMA)
-    assert langid.predict(strange, model).filter(langid.accepted(limit)).count() == 0
-    assert langid.predict(docs, model).filter(langid.accepted(limit)).count() >= 0.999 * docs.count()
+    assert langid.predict(strange, model).filter(langid.accepted(limits)).count() == 0
+    assert langid.predict(docs, model).filter(langid.accepted(limits)).count() >= 0.999 * docs.count()
 
 
 def plain_rule(url):
@@ -146,13 +211,23 @@ def test_url_models_tell_kinds_apart(spark):
     assert verdicts[5001] == "allow" and verdicts[5002] == "block"
 
 
-def test_rare_contexts_shorten():
-    counts = {("a", "\x02xy"): 1, ("a", "\x02xz"): 5, ("b", "qy"): 1, ("a", "y"): 1}
-    out = defaultdict(int, urls._shortened(counts))
-    assert out["a", "\x02xz"] == 5 and out["a", "y"] == 2 and out["b", "y"] == 1
+def test_url_query_against_the_recursion(spark):
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    parts = {i: plain_rule(url) for i, url in pages.items()}
+    unit = {i: parts[i][0] + re.sub(r"(?s)^.*?://[^/?#]*", "", url) if url and "://" in url else "" for i, url in pages.items()}
+    held = {i: zlib.crc32(parts[i][0].encode()) % 5 == 0 for i in pages}
+    plain = Plain(Counter((parts[i][3], unit[i]) for i in pages if parts[i][3] and not held[i]), urls.ORDER, None, urls.FEWEST)
+    ratio = {i: (plain.score("allow", u) - plain.score("block", u)) / (len(u) + 1) for i, u in unit.items()}
+    buckets = sorted(max(-urls.BUCKETS, min(urls.BUCKETS, math.floor(ratio[i] / urls.STEP))) for i in pages if parts[i][3] == "allow" and held[i])
+    limit = min(buckets[math.floor(urls.MOST_LOST * len(buckets))] * urls.STEP, 0.0)
+    for r in urls.op1_url_filter(spark, SMALL).collect():
+        host, path, rule, ruling = parts[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (ruling or ("block" if ratio[r.page_id] < limit and host else "allow"))
+        assert ruling or abs(r.ratio - ratio[r.page_id]) < 1e-9
 
 
 def test_models_keep_every_gram(spark):
     texts = spark.range(160_000).selectExpr("'xx' as label", "concat(decode(unhex(hex(19968 + int(id % 400))), 'UTF-16BE'), decode(unhex(hex(20968 + int(id / 400))), 'UTF-16BE'), '一') as text")
     model = langid.train(texts)
-    assert len(model.known[3][0]) == 320_000
+    assert len(model.known[3]) == 320_000
