@@ -1,12 +1,14 @@
 """Packing documents into sequences: first-fit decreasing over a tournament tree of bin capacities.
 
 Documents are cut at multiples of the sequence length; all pieces, full ones included, are dealt to groups by a hash of
-document and piece, and every group is packed on its own. A group has about ``GROUP_PIECES`` pieces whatever the size of
-the input, so a task's memory doesn't grow with it. Sequences are padded to the full length unless their fill is a power
-of two.
-
-Nulls and odd input: a null or empty text is the end id alone. Rows with equal doc_id are packed one by one. An empty
-table packs to no rows. Other columns of the input are ignored.
+document, piece and the row's place in its task, so rows without a doc_id, or many of one, spread like others. Every group
+is packed on its own, in Arrow, where ids beside a null stay whole. A group has about ``GROUP_PIECES`` pieces whatever the
+size of the input, so a task's memory doesn't grow with it. Sequences are padded to the full length unless their fill is a
+power of two.
+
+Nulls and odd input: a null or empty text is the end id alone. Null doc_ids stay null. Rows with equal doc_id are packed
+one by one. A very long text gives many pieces, in as many groups as there are. An empty table packs to no rows. Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +75,16 @@ def pack(pieces: DataFrame, n_pieces: int, capacity: int = SEQUENCE, group_piece
     groups = max(1, -(-n_pieces // group_pieces))
     names = pieces.columns
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        bins, offsets = first_fit(frame["length"].tolist(), capacity)
-        group = int(frame["pack_group"].iloc[0])
-        return frame[names].assign(sequence_id=np.array(bins, np.int64) + (group << 32), offset=np.array(offsets, np.int64))
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
+        bins, offsets = first_fit(rows["length"].to_pylist(), capacity)
+        first = rows["pack_group"][0].as_py() << 32
+        placed = rows.select(names).append_column("sequence_id", pa.array(np.array(bins, np.int64) + first))
+        return placed.append_column("offset", pa.array(np.array(offsets, np.int64)))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(fill, f"{schema}, sequence_id long, offset long")
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy("pack_group").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,8 @@ def test_encoder_forgets_when_full(library):
     from netstrata.llm.tokens import WordEncoder
 
     small = WordEncoder(default_tokenizer(), limit=3)
-    for _ in range(2):
+    for chunk in (1 << 16, 2):
+        small.CHUNK = chunk
         got = small.encode([None if t is None else t.encode() for t in TEXTS])
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(library, t)[:-1] for t in TEXTS]
 
@@ -134,6 +135,21 @@ def test_packing_odd_rows(spark, library):
     assert pack(tokenised_pieces(odd), odd.count()).select("doc_id").distinct().count() == len(ROWS) + 1
 
 
+def test_large_ids_beside_null_ids_stay_whole(spark, library):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "one text", "en", "s", 0), (None, "another", "en", "s", 0), (-(2**63), None, "en", "s", 0), (2**63 - 1, "x" * 900, "en", "s", 0)], SCHEMA)
+    for group in (1, 1000):
+        rows = pack(tokenised_pieces(docs, 64), docs.count(), 64, group).collect()
+        assert {r.doc_id for r in rows} == {big, None, -(2**63), 2**63 - 1}
+        check_packed(rows, {r.doc_id: r.text for r in docs.collect()}, library, 64)
+
+
+def test_rows_without_ids_spread_over_groups(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'same text' as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    rows = pack(tokenised_pieces(docs), 4000, group_pieces=200).selectExpr("sequence_id >> 32 as g").groupBy("g").count().collect()
+    assert len(rows) == 20 and max(r["count"] for r in rows) < 300
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pack(tokenised_pieces(none), 0).collect() == []
