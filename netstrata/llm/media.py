@@ -7,8 +7,10 @@ keyed by the SHA-256 of the unpadded bytes. ``features`` reads the stored bytes
 items together again in order.
 
 Nulls and odd input: a null text or HTML is an empty one: its payload is 64 zero bytes, its sequence has no item. Equal
-texts share a digest and get equal values. An unknown digest resolves to nulls. Repeated rows keep their items each;
-items are told apart by ``item_row``. Empty tables give no rows. Other columns of the input are ignored.
+texts share a digest and get equal values. An unknown digest resolves to nulls. A caption goes to all media of its figure,
+before or after it; in a figure without media it is text. Figures and captions end with the page at the latest. Repeated
+rows keep their items each; items are told apart by ``item_row``. Very long texts take memory in proportion in the task that
+reads them. Empty tables give no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, table
+from .common import forget, materialise, new_path, slices, table
 
 UNIT = 64
 MAX_SEEN = 50_000
@@ -34,16 +36,25 @@ BREAKS = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3",
 
 
 class Sequence(HTMLParser):
-    """Items of a page in order: (kind, text, digest, caption); a figure's caption goes to the references in it."""
+    """Items of a page in order: [kind, text, digest, caption]."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self.buffer: list[str] = []
-        self.skipped, self.figure, self.caption = 0, None, None
+        self.skipped = 0
+        self.caption: list[str] | None = None  # what an open caption has so far
+        self.figures: list[dict] = []  # open figures: first item, caption, and the item it stands before
         self.feed(html)
         self.close()
+        self.end_caption()
         self.flush()
+        while self.figures:
+            self.end_figure()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections, such as conditional comments, say nothing."""
+        return self.rawdata.find(">", i) + 1 or -1
 
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
@@ -51,14 +62,32 @@ class Sequence(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        text, self.caption = " ".join("".join(self.caption or []).split()), None
+        if text and self.figures:
+            own = self.figures[-1]
+            own["caption"] = f"{own['caption']} {text}" if own["caption"] else text
+            own["at"] = len(self.items)
+        elif text:
+            self.items.append(["text", text, None, None])
+
+    def end_figure(self) -> None:
+        own = self.figures.pop()
+        media = [item for item in self.items[own["first"] :] if item[0] == "media"]
+        if own["caption"] and not media:
+            self.items.insert(own["at"], ["text", own["caption"], None, None])
+        for item in media:
+            item[3] = own["caption"] or item[3]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIPPED:
             self.skipped += 1
         if tag in BREAKS or tag in ("img", "audio", "video", "source", "figcaption"):
             self.flush()
         if tag == "figure":
-            self.figure = len(self.items)
+            self.figures.append({"first": len(self.items), "caption": None, "at": 0})
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in ("img", "audio", "video", "source"):
             own = dict(attrs)
@@ -68,15 +97,12 @@ class Sequence(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED:
             self.skipped = max(0, self.skipped - 1)
-        if tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure if self.figure is not None else len(self.items) :]:
-                if item[0] == "media":
-                    item[3] = caption or item[3]
+        if tag in ("figcaption", "figure") and self.caption is not None:
+            self.end_caption()
         if tag in BREAKS:
             self.flush()
-        if tag == "figure":
-            self.figure = None
+        if tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:
@@ -132,6 +158,7 @@ def store_media(docs: DataFrame, path: str, text: str = "text") -> None:
     """Write (digest, n_bytes, media) of every text; a task skips texts that it has just stored."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[bytes] = set()
         for batch in slices(batches):
             rows = []
@@ -183,11 +210,29 @@ def text_digest(text: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
+def page_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, html): each document as a page, its payload in a figure between the two halves of its text."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    parts = docs.select("doc_id", F.split(text, "\n").alias("lines"), text_digest().alias("digest"))
+    half = F.ceil(F.size("lines") / 2).cast("int")
+    paragraph = lambda lines: F.concat(F.lit("<p>"), F.array_join(lines, "\n"), F.lit("</p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")), F.lit("</figcaption></figure>"))
+    html = F.concat(F.lit("<article>"), paragraph(F.slice("lines", 1, half)), figure, paragraph(F.slice("lines", half + 1, F.size("lines"))), F.lit("</article>"))
+    return parts.select("doc_id", html.alias("html"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an interleaved page, parsed, resolved and put together again; text items are carried as their CRC32."""
     docs = table(spark, sf_dir, "documents")
     path = new_path(spark, "media")
     store_media(docs, path)
-    page = F.concat(F.lit('<article><p>document</p><figure><img src="sha256:'), text_digest(), F.lit('"><figcaption>whole text</figcaption></figure></article>'))
-    items = sequences(docs.select("doc_id", page.alias("html"))).filter("kind = 'media'")
-    names = ["doc_id", *(c.split()[0] for c in FEATURES.split(", ")[1:]), "position", "caption"]
-    return resolve(items, features(spark, path)).select(*names)
+    # written, so that the join below is of plain tables and Spark can split it where many documents have one digest
+    found = materialise(features(spark, path), "media-features")
+    items = sequences(page_of(docs)).withColumn("text_crc32", F.crc32(F.encode("text", "UTF-8"))).drop("text")
+    whole = gather(resolve(items, found))
+    own = F.filter("items", lambda item: item["kind"] == "media")[0]
+    names = [c.split()[0] for c in FEATURES.split(", ")[1:]]
+    texts = F.transform(F.filter("items", lambda item: item["kind"] == "text"), lambda item: item["text_crc32"])
+    return whole.select("doc_id", own.alias("own"), F.size("items").alias("n_items"), texts.alias("texts")).select(
+        "doc_id", *(F.col(f"own.{c}").alias(c) for c in names), F.col("own.position").alias("position"), F.col("own.caption").alias("caption"), "n_items", F.array_join("texts", ",").alias("text_crc32s")
+    )

@@ -99,7 +99,12 @@ def test_media_query(spark):
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-        assert features.setdefault(data, r.feature) == r.feature and r.caption == "whole text" and r.position == 1
+        assert features.setdefault(data, r.feature) == r.feature and r.caption == f"document {r.doc_id}"
+        lines = data.decode().split("\n")
+        half = -(-len(lines) // 2)
+        halves = [" ".join(" ".join(part).split()) for part in (lines[:half], lines[half:])]
+        assert r.text_crc32s == ",".join(str(zlib.crc32(x.encode())) for x in halves if x)
+        assert (r.position, r.n_items) == (1 if halves[0] else 0, 1 + sum(map(bool, halves)))
 
 
 def test_media_odd_rows(spark):
@@ -142,6 +147,27 @@ def test_items_keep_order_positions_and_captions(spark):
     assert [i["n_bytes"] for i in max(whole, key=lambda r: len(r["items"]))["items"]] == [None, None, 3, None, None, None, None, None]
 
 
+def test_captions_reach_media_or_stay_text():
+    items = lambda html: [(i[0], i[1] or i[2], i[3]) for i in media.Sequence(html).items]
+    assert items("<figure><figcaption>first</figcaption><img src='sha256:a'></figure>x") == [("media", "a", "first"), ("text", "x", None)]
+    assert items("<figure><img src='sha256:a'><figcaption>no end</figure>after <p>more") == [("media", "a", "no end"), ("text", "after", None), ("text", "more", None)]
+    assert items("<figure><pre>code</pre><figcaption>of code</figcaption></figure>z") == [("text", "code", None), ("text", "of code", None), ("text", "z", None)]
+    assert items("a<figcaption>alone</figcaption>b<img src='sha256:c' alt='d'>") == [("text", "a", None), ("text", "alone", None), ("text", "b", None), ("media", "c", "d")]
+    assert items("<figure><img src='sha256:a'><figcaption>open to the end of the page") == [("media", "a", "open to the end of the page")]
+    outer = "<figure><img src='sha256:a'><figure><img src='sha256:b'><figcaption>inner</figcaption></figure></figure>"
+    assert items(outer) == [("media", "a", None), ("media", "b", "inner")]
+    assert items("<![if !IE]>x<![endif]>y <![foo[ bar ]]>z") in ([("text", "xy z", None)], [("text", "xy ]]>z", None)]) or items("<![if !IE]>x")[-1][1] == "x"
+
+
+def test_documents_as_pages(spark):
+    rows = [(1, "a < b & c\n<p>not a tag</p>\nlast", None, None, 0), (None, None, None, None, 0), (3, "&lt; one line", None, None, 0)]
+    items = media.sequences(media.page_of(spark.createDataFrame(rows, SCHEMA))).collect()
+    own = lambda d: [(i.kind, i.text, i.caption) for i in sorted((i for i in items if i.doc_id == d), key=lambda i: i.position)]
+    assert own(1) == [("text", "a < b & c <p>not a tag</p>", None), ("media", None, "document 1"), ("text", "last", None)]
+    assert own(None) == [("media", None, "document without id")]
+    assert own(3) == [("text", "&lt; one line", None), ("media", None, "document 3")]
+
+
 def test_pages_parse_whole(spark):
     pages = spark.read.parquet(f"{MEDIUM}/pages.parquet")
     items = media.sequences(pages, "page_id")
