@@ -4,16 +4,20 @@
    anchors at equal places. A document is thus a few anchors, and only anchors whose piece is seen twice go on.
 2. Segments. All strings of an anchor lie within 68 bytes before and 100 bytes after its start. Equal segments are one
    class; all but the first of a class are removed whole, so thousands of copies of a passage end here.
-3. Shards. Pieces with several classes are shards of the suffix sort. In a shard strings can only be equal at the same
-   place from the anchor, so suffixes are sorted one place at a time, from the right: the order at a place is induced
-   from the order at the next, by tuples (byte, suffix, common prefix with the one before) that go through a priority
-   queue of a bucket for each byte. Queues and text are arrays in memory up to ``IN_MEMORY`` segments and files beyond,
-   read and written in blocks. Neighbours with a common prefix of 100 bytes are equal strings; all but the first go.
-4. Spans are joined to their documents and cut out.
+3. Shards. Pieces with several classes are shards of the suffix sort. Spark sorts the segments of a shard by age, spilling
+   as it does; a task reads them in that order. In a shard strings can only be equal at the same place from the anchor, so
+   suffixes are sorted one place at a time, from the right: the order at a place is induced from the order at the next, by
+   tuples (byte, suffix, common prefix with the one before) that go through a priority queue of a bucket for each byte.
+   Queues, text and marks are arrays in memory up to ``2 * IN_MEMORY`` segments and files beyond, read and written in
+   blocks. Neighbours with a common prefix of 100 bytes are equal strings; all but the first go.
+4. A shard over ``CROWD`` segments is cut in two by halving the places: strings of the left half all hold the bytes up to
+   its middle, those of the right half the bytes from there on, so each half is dealt again by a hash of those bytes. That
+   goes on until shards are small or a shard has a single place, where all its strings are equal and the oldest is a minimum.
+5. Spans are joined to their documents and cut out.
 
 Nothing is sampled or capped. Nulls and odd input: a null text is an empty one; texts under 100 bytes lose nothing. Order
-is (doc_id, text hash, position), null doc_id first; rows that are equal in doc_id and text share their fate. Empty
-tables give no rows. Other columns of the input are kept by ``dedup``.
+is (doc_id, text hash, position), null doc_id first; rows that are equal in doc_id and text share their fate. Very long
+texts take memory in proportion in the task that reads them. Empty tables give no rows. Other columns of the input are kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table
+from .common import forget, materialise, slices, table, temporary
 
 LENGTH = 100
 PIECE = 32  # a power of two
@@ -38,8 +43,8 @@ REACH = LENGTH - PIECE
 WIDTH = REACH + LENGTH
 #: Fills segments past the ends of a document; no UTF-8 text has this byte.
 OUTSIDE = 0xFF
-#: Segments that a task sorts in memory at once, and entries of a block of a queue.
-IN_MEMORY, BLOCK = 60_000, 1 << 20
+#: Segments that a task sorts together, twice as many in memory; entries of a block of a queue; largest shard.
+IN_MEMORY, BLOCK, CROWD = 16_000, 1 << 20, 40_000
 #: Largest bitmap (2 ** 27 bits are 16 MB) by which anchors with single pieces are left out before the shuffle.
 MOST_BITS = 27
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -70,6 +75,11 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, value[at]
 
 
+def _array(folder: str | None, name: str, kind: type, shape: int | tuple[int, int]) -> np.ndarray:
+    """An array in memory, or in a file of the folder if there is one."""
+    return np.memmap(Path(folder, name), kind, "w+", shape=shape) if folder else np.empty(shape, kind)
+
+
 class BucketQueue:
     """A priority queue of (byte, arrival) for tuples (suffix, common prefix with the tuple before): a bucket for each byte.
 
@@ -80,8 +90,7 @@ class BucketQueue:
 
     def __init__(self, counts: np.ndarray, folder: str | None, name: str):
         n = int(counts.sum())
-        make = (lambda f, t: np.memmap(Path(folder, f"{name}-{f}"), t, "w+", shape=(n,))) if folder else (lambda f, t: np.empty(n, t))
-        self.suffix, self.prefix = make("suffix", np.int32), make("prefix", np.uint8)
+        self.suffix, self.prefix = _array(folder, f"{name}-suffix", np.int32, n), _array(folder, f"{name}-prefix", np.uint8, n)
         self.head = np.cumsum(counts) - counts
         self.first, self.since = np.ones(256, bool), np.zeros(256, np.uint8)
 
@@ -125,14 +134,23 @@ class BucketQueue:
         self.first[kinds] = False
 
 
-def repeated_strings(columns: np.ndarray, age: np.ndarray, folder: str | None = None) -> np.ndarray:
+def _oldest(age: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The least age of each row's group; groups are runs of equal numbers."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return np.repeat(np.minimum.reduceat(age, starts), np.diff(np.r_[starts, len(age)]))
+
+
+def repeated_strings(columns: np.ndarray, age: np.ndarray, folder: str | None = None, shard: np.ndarray | None = None) -> np.ndarray:
     """(segments, REACH + 1) marks: from the k-th byte of a segment on, LENGTH bytes are those of an older segment.
 
-    columns: (WIDTH, segments), a row for each place. age: distinct, smaller is earlier. folder: for queues as files.
+    columns: (WIDTH, segments), a row for each place. age: smaller is earlier, equal for repeated rows. folder: for files.
+    shard: numbers of shards that may have the same strings and are told apart.
     """
     n = columns.shape[1]
-    marks = np.memmap(Path(folder, "marks"), bool, "w+", shape=(n, REACH + 1)) if folder else np.zeros((n, REACH + 1), bool)
-    suffix, prefix = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
+    marks = _array(folder, "marks", bool, (n, REACH + 1))
+    suffix, prefix = _array(folder, "first-suffix", np.int32, n), _array(folder, "first-prefix", np.uint8, n)
+    for at in range(0, n, BLOCK):
+        suffix[at : at + BLOCK], prefix[at : at + BLOCK] = np.arange(at, min(n, at + BLOCK)), 0
     for place in range(WIDTH - 1, -1, -1):
         counts = np.zeros(256, np.int64)
         for at in range(0, n, BLOCK):
@@ -148,10 +166,12 @@ def repeated_strings(columns: np.ndarray, age: np.ndarray, folder: str | None =
                 end = min(n, at + BLOCK)
                 while end < n and prefix[end] >= LENGTH:  # never through a group of equal strings
                     end += 1
-                own, new = np.asarray(suffix[at:end]), np.asarray(prefix[at:end]) < LENGTH
-                starts = np.flatnonzero(new)
-                oldest = np.minimum.reduceat(age[own], starts)[np.cumsum(new) - 1]
-                marks[own, place] = age[own] > oldest
+                own, group = np.asarray(suffix[at:end]), np.cumsum(np.asarray(prefix[at:end]) < LENGTH)
+                if shard is not None:
+                    group = group << 32 | shard[own]
+                    by = np.argsort(group, kind="stable")
+                    own, group = own[by], group[by]
+                marks[own, place] = age[own] > _oldest(age[own], group)
                 at = end
     return marks
 
@@ -177,6 +197,7 @@ def _piece_counts(docs: DataFrame) -> DataFrame:
     """(piece, n) as each task saw them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, 512):
             found = [anchors(np.frombuffer((text or "").encode(), np.uint8))[1] for text in batch.column("text").to_pylist()]
             piece, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
@@ -247,45 +268,91 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "piece long, doc_id long, th long, at int, before short, segment binary")
 
 
+ROW = ["shard", "low", "high", *DOC, "at", "before", "segment"]
+
+
+def _shards(rows: DataFrame) -> DataFrame:
+    """Rows of _with_bytes as shards in which strings at all places, low to high, are looked for."""
+    places = [F.lit(p).cast("short").alias(c) for p, c in ((0, "low"), (REACH, "high"))]
+    return rows.select(F.col("piece").alias("shard"), *places, *DOC, "at", "before", "segment")
+
+
+def _split(rows: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): the same work in shards of at most ``crowd`` rows; spans are what shards of one place have found.
+
+    All strings of a shard at places low to high hold the bytes from high to low + LENGTH, and the shard's rows agree there.
+    """
+    spare = REACH - F.col("before")  # the first place that a row's document reaches
+    bytes_from = lambda place, n: F.substring(F.col("segment"), place - spare + 1, n)
+    age, calm, found = F.struct(*DOC, "at"), None, None
+    while True:
+        rows = materialise(rows.select(*ROW), "crowds")
+        hot = materialise(rows.groupBy("shard").count().filter(F.col("count") > crowd).select("shard"), "hot-shards")
+        small = rows.join(hot, "shard", "left_anti").select(*ROW)
+        calm = small if calm is None else calm.union(small)
+        large = rows.join(hot, "shard", "left_semi")
+        single = large.filter("low = high")
+        first = single.groupBy("shard").agg(F.min(age).alias("first"))
+        later = single.join(first, "shard").filter(~age.eqNullSafe(F.col("first")))
+        start = (F.col("at") - REACH + F.col("low")).cast("long")
+        spans_ = later.select(*DOC, start.alias("start"), (start + LENGTH).alias("end"))
+        found = spans_ if found is None else found.union(spans_)
+        if not hot.limit(1).count():
+            return calm, found
+        wide = large.filter("low < high").withColumn("middle", F.floor((F.col("low") + F.col("high")) / 2).cast("int"))
+        left_bytes = bytes_from(F.col("middle"), F.col("high") - F.col("middle"))
+        left = wide.filter(spare <= F.col("middle")).withColumns({"shard": F.xxhash64("shard", F.lit(0), left_bytes), "high": F.col("middle").cast("short")})
+        right_bytes = bytes_from(F.col("low") + LENGTH, F.col("middle") + 1 - F.col("low"))
+        right = wide.filter(spare + F.length("segment") >= F.col("middle") + 1 + LENGTH)
+        right = right.withColumns({"shard": F.xxhash64("shard", F.lit(1), right_bytes), "low": (F.col("middle") + 1).cast("short")})
+        rows = left.select(*ROW).union(right.select(*ROW))
+
+
 def _sort_shards(rows: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
     """(doc_id, th, start, end) of strings in shards that an earlier segment has too."""
 
+    def blocks(rows: pa.Table, size: int = 1 << 12) -> Iterator[tuple[slice, pa.Table]]:
+        for low in range(0, rows.num_rows, size):
+            part = rows.slice(low, size)
+            yield slice(low, low + part.num_rows), part
+
     def order(rows: pa.Table, folder: str | None) -> Iterator[pa.RecordBatch]:
-        """Spans of the segments of whole shards; text, queues and marks are files if there is a folder."""
-        doc = rows["doc_id"].fill_null(_FIRST).to_numpy()
-        th, at = rows["th"].to_numpy(), rows["at"].to_numpy()
-        by_age = np.lexsort((at, th, doc))
-        same = (np.diff(doc[by_age]) == 0) & (np.diff(th[by_age]) == 0) & (np.diff(at[by_age]) == 0)
-        kept = by_age[np.r_[True, ~same]]  # repeated rows of a document are one
-        del doc, th, by_age, same
-        n, at, before = len(kept), at[kept], rows["before"].to_numpy()[kept]
-        sizes = np.zeros(n, np.int16)
-        columns = np.memmap(Path(folder, "text"), np.uint8, "w+", shape=(WIDTH, n)) if folder else np.empty((WIDTH, n), np.uint8)
-        for low in range(0, n, 4096):
-            segments = rows["segment"].take(pa.array(kept[low : low + 4096])).to_pylist()
-            sizes[low : low + 4096] = [len(x) for x in segments]
-            block = b"".join((b"\xff" * (REACH - b) + x).ljust(WIDTH, b"\xff") for b, x in zip(before[low : low + 4096].tolist(), segments, strict=True))
-            columns[:, low : low + 4096] = np.frombuffer(block, np.uint8).reshape(-1, WIDTH).T
-        marks = repeated_strings(columns, np.arange(n), folder)
+        """Spans of the segments of whole shards, which come by age; all arrays are files if there is a folder."""
+        n = rows.num_rows
+        columns, age = _array(folder, "text", np.uint8, (WIDTH, n)), _array(folder, "age", np.int32, n)
+        number, last, oldest, alike = _array(folder, "shard", np.int64, n), None, 0, False
+        for own, part in blocks(rows):
+            segments, before = part["segment"].to_pylist(), part["before"].to_numpy()
+            block = b"".join((b"\xff" * (REACH - b) + x).ljust(WIDTH, b"\xff") for b, x in zip(before.tolist(), segments, strict=True))
+            columns[:, own] = np.frombuffer(block, np.uint8).reshape(-1, WIDTH).T
+            key = np.stack([part["doc_id"].fill_null(_FIRST).to_numpy(), part["th"].to_numpy(), part["at"].to_numpy(), part["shard"].to_numpy()])
+            new = np.r_[last is None or bool((key[:, 0] != last).any()), (key[:, 1:] != key[:, :-1]).any(axis=0)]
+            firsts = np.maximum.accumulate(np.where(new, np.arange(own.start, own.stop), oldest))  # repeated rows of a document are one
+            changed = np.r_[last is not None and key[3, 0] != last[3], key[3, 1:] != key[3, :-1]]
+            number[own] = np.cumsum(changed) + (number[own.start - 1] if own.start else 0)
+            age[own], last, oldest = firsts, key[:, -1], int(firsts[-1])
+            alike = alike or bool(part["low"].to_numpy().any() or (part["high"].to_numpy() < REACH).any())
+        marks = repeated_strings(columns, age, folder, number if alike else None)
         del columns
-        first = np.arange(REACH + 1)[None, :]
-        for low in range(0, n, 1 << 16):
-            own = slice(low, low + (1 << 16))
-            lead = (REACH - before[own])[:, None]
+        place = np.arange(REACH + 1)[None, :]
+        for own, part in blocks(rows, 1 << 16):
+            lead = (REACH - part["before"].to_numpy())[:, None]
+            size = pc.binary_length(part["segment"]).to_numpy()[:, None]
+            low, high = part["low"].to_numpy()[:, None], part["high"].to_numpy()[:, None]
             # strings that reach outside of their document are no strings
-            segment, start, end = spans(marks[own] & (first >= lead) & (first + LENGTH <= lead + sizes[own][:, None]))
-            base, row = at[own][segment].astype(np.int64) - REACH, pa.array(kept[own][segment])
-            ids = [rows[c].take(row).combine_chunks() for c in DOC]
-            yield pa.RecordBatch.from_arrays([*(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in ids), pa.array(base + start), pa.array(base + end)], [*DOC, "start", "end"])
+            segment, start, end = spans(marks[own] & (place >= lead) & (place + LENGTH <= lead + size) & (place >= low) & (place <= high))
+            base, row = part["at"].to_numpy()[segment].astype(np.int64) - REACH, pa.array(segment)
+            ids = [pa.concat_arrays(part[c].take(row).chunks or [pa.array([], pa.int64())]) for c in DOC]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(base + start), pa.array(base + end)], [*DOC, "start", "end"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole shards together, IN_MEMORY segments or more; what is far more than that waits in a file."""
+        """Whole shards together, in_memory segments or more; what is over twice that waits in a file."""
         held, size, spill, stack = [], 0, None, contextlib.ExitStack()
 
         def found() -> Iterator[pa.RecordBatch]:
             with stack:
                 if spill is None:
-                    yield from order(pa.Table.from_batches(held).combine_chunks(), None)
+                    yield from order(pa.Table.from_batches(held), None)
                 else:
                     for batch in held:
                         spill[1].write_batch(batch)
@@ -293,16 +360,16 @@ def _sort_shards(rows: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
                     yield from order(pa.ipc.open_file(stack.enter_context(pa.memory_map(f"{spill[0]}/rows"))).read_all(), spill[0])
 
         for batch in batches:
-            piece = batch.column("piece").to_numpy()
-            last = int(np.searchsorted(piece, piece[-1])) if len(piece) else 0
-            if size >= in_memory and (last or ending != piece[0]):
+            shard = batch.column("shard").to_numpy()
+            last = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0
+            if size >= in_memory and (last or ending != shard[0]):
                 held.append(batch.slice(0, last))
                 yield from found()
                 held, size, spill, stack, batch = [], 0, None, contextlib.ExitStack(), batch.slice(last)
             if batch.num_rows:
                 held.append(batch)
-                size, ending = size + batch.num_rows, piece[-1]
-            if size > 4 * in_memory:
+                size, ending = size + batch.num_rows, shard[-1]
+            if size > 2 * in_memory:
                 if spill is None:
                     folder = stack.enter_context(tempfile.TemporaryDirectory())
                     spill = folder, pa.ipc.new_file(stack.enter_context(pa.OSFile(f"{folder}/rows", "wb")), batch.schema)
@@ -312,10 +379,10 @@ def _sort_shards(rows: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
         if size:
             yield from found()
 
-    return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(sort, "doc_id long, th long, start long, end long")
+    return rows.repartition("shard").sortWithinPartitions("shard", *DOC, "at").mapInArrow(sort, "doc_id long, th long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, th, start, end) of byte runs, overlapping ones among them, that strings seen earlier cover; ends may pass the text's."""
     docs = _keyed(docs).filter("text is not null")
     pieces = materialise(_piece_counts(docs).groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").select("piece"), "pieces")
@@ -324,9 +391,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     classes = materialise(segments.groupBy("piece", "class").agg(F.min(place).alias("first"), F.count("*").alias("n")), "segment-classes")
     copies = segments.join(classes.filter("n > 1").select("piece", "class", "first"), ["piece", "class"]).filter(~place.eqNullSafe(F.col("first")))
     whole = copies.select(*DOC, F.greatest(F.col("at") - REACH, F.lit(0)).cast("long").alias("start"), (F.col("at") + LENGTH).cast("long").alias("end"))
-    several = classes.groupBy("piece").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("piece")
-    wanted = classes.join(several, "piece").select("piece", "first.doc_id", "first.th", "first.at")
-    return whole.union(_sort_shards(_with_bytes(docs, wanted)))
+    kinds = materialise(classes.groupBy("piece").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "piece-kinds")
+
+    def wanted(which: str) -> DataFrame:
+        chosen = kinds.filter(which).select("piece")
+        return _shards(_with_bytes(docs, classes.join(chosen, "piece").select("piece", "first.doc_id", "first.th", "first.at")))
+
+    found = whole.union(_sort_shards(wanted(f"kinds <= {crowd}")))
+    if kinds.filter(F.col("kinds") > crowd).limit(1).count():
+        rows, single = _split(wanted(f"kinds > {crowd}"), crowd)
+        found = found.union(_sort_shards(rows)).union(single)
+    return found
 
 
 def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -340,15 +415,17 @@ def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The input's columns with text cut (a character that is cut through goes whole), and _n_bytes, _n_removed, _n_spans, _kept_sha256."""
-    found = materialise(repeated_spans(docs), "spans")
+    with temporary(docs.sparkSession) as result:
+        found = result(repeated_spans(docs, crowd), "spans")
     lists = found.groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     lists = lists.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "_spans")
     joined = docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left").select(*(docs[c] for c in docs.columns), "_spans")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             texts, counts = [], []
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):

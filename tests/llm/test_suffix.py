@@ -42,7 +42,8 @@ def test_hard_repeats(spark):
     docs += [(100, "é" * 49 + "x"), (101, "é" * 300), (102, "ab" * 400), (103, "z" * 1000), (104, passage[:100]), (105, passage[:99]), (106, passage + passage), (107, "é" * 49 + "x" + "é" * 49 + "y")]
     docs += [(200 + i, "a" * int(n)) for i, n in enumerate(rng.integers(90, 300, 20))]
     table = spark.createDataFrame([(i, t, None, "s", 0) for i, t in docs], SCHEMA)
-    assert got(suffix.dedup(table).collect()) == plainly(docs)
+    for crowd in (suffix.CROWD, 30, 2):  # small crowds are cut by places until they are small or a single place
+        assert got(suffix.dedup(table, crowd).collect()) == plainly(docs)
 
 
 @pytest.mark.parametrize("folder", [False, True])
@@ -53,7 +54,7 @@ def test_sorting_in_memory_and_on_disk(tmp_path, monkeypatch, folder, block):
     columns = rng.integers(97, 99, (suffix.WIDTH, 40)).astype(np.uint8)
     columns[:, 10:30] = columns[:, :20]
     columns[rng.integers(0, suffix.WIDTH, 30), rng.integers(0, 40, 30)] = 120
-    age = rng.permutation(40)
+    age = rng.permutation(40) // 2
     marks = suffix.repeated_strings(columns, age, str(tmp_path) if folder else None)
     for k in range(suffix.REACH + 1):
         strings = [bytes(columns[k : k + 100, i]) for i in range(40)]
@@ -68,9 +69,13 @@ def test_large_shards_on_disk(spark):
     docs = [(i, word(int(rng.integers(0, 60))) + passage + word(50)) for i in range(60)]
     table = suffix._keyed(spark.createDataFrame([(i, t, None, "s", 0) for i, t in docs], SCHEMA))
     wanted = suffix._segments(table).select("piece", "doc_id", "th", "at")
-    rows = suffix._with_bytes(table, wanted)
+    rows = suffix._shards(suffix._with_bytes(table, wanted))
     spans = lambda limit: {tuple(r) for r in suffix._sort_shards(rows, limit).collect()}
     assert spans(3) == spans(10**6) != set()
+    cut, single = suffix._split(rows, 10)
+    largest = cut.groupBy("shard").count().agg({"count": "max"}).first()[0]
+    covered = lambda found: {(d, t, x) for d, t, a, b in found for x in range(a, b)}
+    assert largest <= 10 and covered({tuple(r) for r in suffix._sort_shards(cut, 10**6).union(single).collect()}) == covered(spans(10**6))
 
 
 def test_odd_rows(spark):
