@@ -132,7 +132,8 @@ def clustered(prints: np.ndarray, radius: np.ndarray, accept, labels: np.ndarray
 def components(shard: np.ndarray, prints: np.ndarray, radius: np.ndarray | int, accept=None, crowded: int = 0, visits: int = 2_000_000) -> np.ndarray:
     """For each item the first item of its component under links within the radius, shard by shard.
 
-    accept(a, b, distance) may turn down links. Shards over ``crowded`` items (0: none) are clustered first. Queries go in blocks whose first frontier can't pass ``visits`` visits.
+    accept(a, b, distance) may turn down links. Shards over ``crowded`` items (0: none) are clustered first. Queries go in
+    blocks whose frontiers can't pass ``visits`` fingerprints of one word, or as many bytes of wider ones.
     """
     forest, labels = Forest(shard, prints), np.arange(len(shard))
     if not len(shard):
@@ -148,7 +149,7 @@ def components(shard: np.ndarray, prints: np.ndarray, radius: np.ndarray | int,
         inner = components(shard[kept], prints[kept], radius[kept], accept and (lambda a, b, d: accept(kept[a], kept[b], d)), 0, visits)
         return smallest_linked(labels, kept, kept[inner])
     searched = np.flatnonzero(sizes > 1)
-    block = np.cumsum(sizes[searched]) // visits
+    block = np.cumsum(sizes[searched]) // max(1, visits // prints.shape[1])
     for queries in np.split(searched, np.flatnonzero(np.diff(block)) + 1):
         for a, b, distance in forest.search(queries, radius[queries]):
             join(labels, a, b, distance, accept)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import kept, slices, table
 
 PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
@@ -214,14 +214,9 @@ class TrieEncoder(dict):
         return out
 
 
-ENCODERS: dict[tuple[str, str], TrieEncoder] = {}
-
-
 def encoder(path: str, kind: str = "bpe") -> TrieEncoder:
-    """One for each Python worker and model."""
-    if (path, kind) not in ENCODERS:
-        ENCODERS[path, kind] = TrieEncoder(path, kind)
-    return ENCODERS[path, kind]
+    """One for each Python worker, kept between tasks."""
+    return kept(("pieces", path, kind), lambda: TrieEncoder(path, kind))
 
 
 def default_model() -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import materialise, new_path, slices, table
+from .common import forget, local_path, materialise, new_path, slices, table, temporary
 from .graph import components
 
 SEED = 42
@@ -147,9 +147,10 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -
 
 def similar_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, simhash, component_id: the smallest doc_id that links within the radius lead to."""
-    classes = materialise(prints.groupBy("simhash").agg(F.min("doc_id").alias("node")).filter("node is not null"), "classes")
-    found = components(link_fingerprints(classes, radius))
-    named = classes.join(found, "node", "left").select("simhash", F.coalesce("component", "node").alias("component_id"))
+    with temporary(prints.sparkSession) as result:
+        classes = materialise(prints.groupBy("simhash").agg(F.min("doc_id").alias("node")).filter("node is not null"), "classes")
+        found = components(link_fingerprints(classes, radius))
+        named = result(classes.join(found, "node", "left").select("simhash", F.coalesce("component", "node").alias("component_id")), "components")
     return prints.join(named, "simhash", "left")
 
 
@@ -177,20 +178,13 @@ def _mixed(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def _local(path: str) -> str:
-    """The shared folder as a path of this machine."""
-    scheme, _, rest = path.rpartition(":")
-    if scheme not in ("", "file"):
-        raise ValueError(f"shingle sets need a shared folder that is mounted, not {path}")
-    return "/" + rest.lstrip("/")
-
-
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (text hash), print (binary, 64 * WIDE_WORDS bits over the distinct shingles), n_shingles, keys (minima of
     KEYS hashes), digest of the set of shingle hashes, and the file and place in it at which the task wrote the set, sorted."""
-    folder = _local(new_path(docs.sparkSession, "shingle-sets"))
+    folder = local_path(new_path(docs.sparkSession, "shingle-sets"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         os.makedirs(folder, exist_ok=True)
         path = f"{folder}/{uuid.uuid4().hex}"
         with open(path, "wb") as out:
@@ -380,8 +374,9 @@ def link_sets(rows: pa.Table) -> np.ndarray:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """The input's rows without those that are near copies of one with a smaller doc_id; of equal rows one stays, and rows
     without a doc_id all stay. Different texts under one doc_id are one member of a group."""
-    groups = near_duplicate_groups(docs).filter("doc_id = component_id")
-    kept = materialise(groups.groupBy("doc_id", "th").agg(F.count("*").alias("_n")), "kept")
+    with temporary(docs.sparkSession) as result:
+        groups = near_duplicate_groups(docs).filter("doc_id = component_id")
+        kept = result(groups.groupBy("doc_id", "th").agg(F.count("*").alias("_n")), "kept")
 
     def rows(which: str) -> DataFrame:
         ids = kept.filter(which).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, single_threaded, slices, table
+from .common import kept, new_path, single_threaded, slices, table
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
@@ -41,15 +41,17 @@ class WordEncoder(dict):
     words in turn; only plain spaces and line feeds are cut at, and only A-Z made small, here. A word of plain letters is
     one piece for the tokenizer's model and goes straight to it. The tokenizer never joins a letter with a sign after it,
     so a word that ends in signs is its letters and then its signs. All other words go through the whole tokenizer. The
-    memory holds about ``limit`` words and is emptied when full; words longer than ``longest`` bytes aren't kept.
+    memory holds about ``limit`` words and is emptied when full; words longer than ``longest`` bytes aren't kept. A text is
+    encoded ``CHUNK`` words at a time, so one very long text can't fill it beyond that.
     """
 
     #: a-z and the small letters of Latin-1, in code order.
     SMALL = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
     PLAIN = re.compile(f"[{SMALL}]+").fullmatch
     SIGNS = b".,*%$&#|;:!?"
+    CHUNK = 1 << 16
 
-    def __init__(self, path: str, limit: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 250_000, longest: int = 48):
         super().__init__({b"": b""})
         single_threaded()
         from tokenizers import Tokenizer
@@ -60,10 +62,16 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        if len(self) > self.limit:
-            self.clear()
-            self[b""] = b""
-        return [b"".join(map(self.__getitem__, text.lower().replace(b"\n", b" ").split(b" "))) if text else b"" for text in texts]
+        return [self._encode(text.lower().replace(b"\n", b" ").split(b" ")) if text else b"" for text in texts]
+
+    def _encode(self, words: list[bytes]) -> bytes:
+        ids = []
+        for at in range(0, len(words), self.CHUNK):
+            if len(self) > self.limit:
+                self.clear()
+                self[b""] = b""
+            ids.append(b"".join(map(self.__getitem__, words[at : at + self.CHUNK] if len(words) > self.CHUNK else words)))
+        return ids[0] if len(ids) == 1 else b"".join(ids)
 
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(self.SIGNS)
@@ -99,14 +107,9 @@ class WordEncoder(dict):
         return {ord(letter): x[0][0] for letter, x in spelt.items()}
 
 
-ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker, kept between tasks."""
-    if path not in ENCODERS:
-        ENCODERS[path] = WordEncoder(path)
-    return ENCODERS[path]
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

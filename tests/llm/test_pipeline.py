@@ -124,8 +124,8 @@ def test_near_duplicates_keep_one_row(spark):
 
 def test_model_free_stages(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert langid.calibrate(none, None) == 0.0
-    assert lines.widespread_lines(none).collect() == []
+    assert langid.calibrate(none, None) == {}
+    assert lines.widespread_hits(none).collect() == []
 
 
 def test_near_duplicates_link_at_the_similarity_only(spark):

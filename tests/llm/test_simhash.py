@@ -73,6 +73,31 @@ def test_forest_finds_what_brute_force_finds():
     assert hits == want and want
 
 
+def test_unions_in_place_lose_no_link():
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        labels, best = np.arange(12), {i: {i} for i in range(12)}
+        for _ in range(4):
+            a, b = rng.integers(0, 12, (2, 4))
+            bktree.smallest_linked(labels, a, b)
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                whole = best[x] | best[y]
+                best.update(dict.fromkeys(whole, whole))
+        assert labels.tolist() == [min(best[i]) for i in range(12)]
+
+
+def test_crowds_with_overlapping_leaders():
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        centres = rng.integers(0, 2**62, (4, 2), dtype=np.uint64)
+        flips = lambda: [np.uint64(sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 9), replace=False))) for _ in range(2)]
+        prints = np.unique(np.array([centres[i % 4] ^ np.array(flips(), np.uint64) for i in range(200)]), axis=0)
+        shard, accept = np.zeros(len(prints), np.int64), lambda a, b, d: (a + b) % 5 != 0
+        for radius in (8, 16, 24):
+            plain = bktree.components(shard, prints, radius, accept, visits=500)
+            assert np.array_equal(plain, bktree.components(shard, prints, radius, accept, crowded=16))
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(200, i) for i in range(100, 140)] + [(5, 5), (300, 301), (301, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
