@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. ``run``
 writes each stage's result to the shared folder and gives the next stage what it reads back.
+
+Nulls and odd input: language ID drops null texts and texts without letters; later stages keep a null text as it is and
+count it as empty. Documents without a doc_id are kept by all stages and come first where order matters; of rows that are
+equal in doc_id and text near-duplicate removal keeps one. Texts of any length pass whole. Columns other than those of
+documents are dropped by the first stage, whatever their names. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; a missing lang becomes the predicted one."""
     docs = docs.select(*COLUMNS)
     model = langid.train(langid.training_texts(docs))
-    limit = langid.calibrate(docs, model)
-    kept = langid.predict(docs, model).filter(langid.accepted(limit))
+    limits = langid.calibrate(docs, model)
+    kept = langid.predict(docs, model).filter(langid.accepted(limits))
     return _documents(kept.withColumn("lang", F.coalesce("lang", "_lang")))
 
 
