@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _share_removed(before: DataFrame, after: DataFrame) -> DataFrame:
-    a, b = before.agg(F.count("*").alias("n_before")), after.agg(F.count("*").alias("n_after"))
-    return a.join(b, F.lit(True)).select("n_before", "n_after", F.when(F.col("n_before") > 0, 1 - F.col("n_after") / F.col("n_before")).alias("share_removed"))
-
-
 def filter_species(df: DataFrame, cols: list[str], tag: str) -> DataFrame:
     """Rows whose endpoint names all contain the tag; null names don't."""
     return df.filter(reduce(and_, (F.col(c).contains(tag) for c in cols)))

@@ -43,7 +43,17 @@ def cluster_ratios(counts: DataFrame, run: list[str]) -> DataFrame:
 
 
 def cluster_medians(members: DataFrame, keys: list[str], measures: list[str] = MEASURES) -> DataFrame:
-    return members.groupBy(*keys).agg(*(F.median(c).alias(f"median_{c}") for c in measures))
+    """(keys, median_<measure>): nulls don't count; null without values. Values are counted first, and running counts over
+    the sorted distinct values find the middle ones, so no task holds a cluster's values."""
+    long = members.unpivot(keys, [F.col(c).cast("double").alias(c) for c in measures], "_measure", "_value")
+    counts = long.groupBy(*keys, "_measure", "_value").agg(F.count("_value").alias("_n"))
+    own = Window.partitionBy(*keys, "_measure")
+    upto = F.sum("_n").over(own.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    running = counts.select(*keys, "_measure", "_value", "_n", F.sum("_n").over(own).alias("_total"), upto.alias("_upto"))
+    at = lambda place: F.max(F.when((F.col("_upto") - F.col("_n") < place) & (place <= F.col("_upto")), F.col("_value")))
+    low, high = (F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1)
+    middle = running.groupBy(*keys, "_measure").agg(((at(low) + at(high)) / 2).alias("_median"))
+    return middle.groupBy(*keys).agg(*(F.max(F.when(F.col("_measure") == c, F.col("_median"))).alias(f"median_{c}") for c in measures))
 
 
 def component_composition(labels: DataFrame, category: str) -> DataFrame:
@@ -100,10 +110,3 @@ def align_labels(a: DataFrame, b: DataFrame, shift: int = 0) -> DataFrame:
         picked = one if picked is None else picked.union(one)
         left = left.filter((F.col("label_a") != x) & (F.col("label_b") != y))
     return picked if picked is not None else left.select("label_a", "label_b")
-
-
-def get_role_counts(members: DataFrame) -> DataFrame:
-    """cluster_counts of members with roles taken from ids (role_from_id)."""
-    from .clean import role_from_id
-
-    return cluster_counts(role_from_id(members, "individual"), ["cluster"])
