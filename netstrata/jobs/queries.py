@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scratch import materialise, new_path
 from ..operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, mapping, network, normalize, profiles, stats, sweep
 from ..sources import io
+from . import stratify as job
 from . import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,25 +45,26 @@ def s1_read_interactions(spark, sf_dir):
     return io.read_interactions(spark, path).agg(F.count("*").alias("n"), F.sum("gene_a").alias("sum_a"), F.sum("gene_b").alias("sum_b"))
 
 
-@query("s1_scored_links", f"WITH {t.LINKS} SELECT '9606.P' || a AS protein1, '9606.P' || b AS protein2, CAST(score AS INTEGER) AS combined_score FROM links WHERE score >= 90")
+@query("s1_scored_links", f"WITH {t.LINKS} SELECT '9606.P' || a AS protein1, '9606.P' || b AS protein2, CAST(score AS INTEGER) AS combined_score FROM links")
 def s1_scored_links(spark, sf_dir):
     path = new_path(spark, "links")
-    rows = t.links(spark, sf_dir).filter("score >= 90")
+    rows = t.links(spark, sf_dir)
     line = F.concat(F.lit("9606.P"), "a", F.lit("  9606.P"), "b", F.lit(" "), F.col("score").cast("int"))
     rows.select(line.alias("value")).write.text(path)
     return io.read_interactions(spark, path, "links")
 
 
-@query("s2_read_newest", "SELECT n_nationkey AS gene_a, CAST(n_regionkey AS BIGINT) AS gene_b FROM nation")
+@query("s2_read_newest", "SELECT c_custkey AS gene_a, CAST(c_nationkey AS BIGINT) AS gene_b FROM customer")
 def s2_read_newest(spark, sf_dir):
+    """An extract is one file; the later one has all customers."""
     old, new = new_path(spark, "extract-1"), new_path(spark, "extract-2")
-    rows = t.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("gene_a"), F.col("n_regionkey").cast("long").alias("gene_b"))
-    io.write_tsv(rows.limit(3).coalesce(1), old)
-    io.write_tsv(rows.coalesce(1), new)
+    rows = t.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("gene_b"), "c_acctbal").withColumnRenamed("c_custkey", "gene_a")
+    io.write_tsv(rows.filter("c_acctbal > 0").drop("c_acctbal").coalesce(1), old)
+    io.write_tsv(rows.drop("c_acctbal").coalesce(1), new)
     return io.read_newest(spark, [old, new], io.PAIRS)
 
 
-@query("s3_read_carriers", f"WITH {t.PROFILE} SELECT p.p_partkey AS gene, 'n' || n_nationkey AS individual, CAST(p_size AS DOUBLE) AS score FROM part p JOIN nation ON n_nationkey % 5 = p_partkey % 5")
+@query("s3_read_carriers", "SELECT p.p_partkey AS gene, 'n' || n_nationkey AS individual, CAST(p_size AS DOUBLE) AS score FROM part p JOIN nation ON n_nationkey % 5 = p_partkey % 5")
 def s3_read_carriers(spark, sf_dir):
     """Lists of nations for each part, written as list literals and read back."""
     path = new_path(spark, "carriers")
@@ -89,8 +91,10 @@ def s5_read_phenotypes(spark, sf_dir):
     members.select("individual", "sex", F.coalesce("iq", F.lit(float("nan"))).alias("iq"), "srs", "vineland").write.option("header", True).csv(paths[0])
     members.select("individual", F.col("distance").alias("distanceCEU")).write.option("header", True).csv(paths[1])
     members.select(F.col("individual").cast("string").alias("value")).write.text(paths[2])
+    members.select(F.col("individual").alias("entrez_id")).write.option("header", True).csv(paths[3])
     found = io.read_phenotypes(spark, paths[0]).join(io.read_distance(spark, paths[1]), "individual")
-    return found.join(io.read_id_list(spark, paths[2]), "individual", "left_semi")
+    found = found.join(io.read_id_list(spark, paths[2]), "individual", "left_semi")
+    return found.join(io.read_gene_set(spark, paths[3]).select(F.col("gene").cast("string").alias("individual")), "individual", "left_semi")
 
 
 @query("s6_write_cluster_members", f"WITH {t.MEMBERS} SELECT 4 AS k, cluster, CAST(individual AS VARCHAR) AS gene FROM members")
@@ -100,14 +104,19 @@ def s6_write_cluster_members(spark, sf_dir):
     return spark.read.schema("gene string, k int, cluster int").csv(path)
 
 
-@query("s7_pending_runs", "SELECT k, lambd FROM (VALUES (2), (3), (4)) AS a(k), (VALUES (0), (1), (200)) AS b(lambd) WHERE NOT (k = 3 AND lambd = 1) AND EXISTS (SELECT 1 FROM region)")
+_RUNS = "runs AS (SELECT l_linenumber AS k, CAST(round(l_tax * 100) AS INTEGER) AS lambd, l_quantity FROM lineitem)"
+
+
+@query("s7_pending_runs", f"WITH {_RUNS}, done AS (SELECT k, lambd FROM runs WHERE (k + lambd) % 3 <> 0 GROUP BY 1, 2 HAVING avg(l_quantity) > 0) SELECT CAST(a.k AS INTEGER) AS k, CAST(b.lambd AS INTEGER) AS lambd FROM range(1, 8) a(k), range(0, 9) b(lambd) WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.k = a.k AND done.lambd = b.lambd)")
 def s7_pending_runs(spark, sf_dir):
-    """Results of some runs written by run; the rest of the grid is pending."""
+    """Results of most runs written by run, twice; the rest of the grid is pending."""
     path = new_path(spark, "results")
-    done = t.table(spark, sf_dir, "region").select(F.lit(3).alias("k"), F.lit(1).alias("lambd"), "r_name")
+    runs = t.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("k"), F.round(F.col("l_tax") * 100).cast("int").alias("lambd"), "l_quantity")
+    done = runs.filter("(k + lambd) % 3 <> 0").groupBy("k", "lambd").agg(F.avg("l_quantity").alias("error"))
     for _ in range(2):
         io.write_results(done, path, ["k", "lambd"])
-    return io.pending_runs(sweep.parameter_grid(spark, k=[2, 3, 4], lambd=[0, 1, 200]), spark.read.parquet(path), ["k", "lambd"])
+    grid = sweep.parameter_grid(spark, k=list(range(1, 8)), lambd=list(range(9)))
+    return io.pending_runs(grid, spark.read.parquet(path), ["k", "lambd"])
 
 
 # Cleaning ----------------------------------------------------------------------------------------------------------
@@ -168,9 +177,9 @@ def p6_dedupe_pairs(spark, sf_dir):
     return clean.dedupe_pairs(t.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")), "a", "b")
 
 
-@query("p7_drop_self", f"WITH {t.BRAND_PAIRS} SELECT * FROM brand_pairs WHERE brand_a <> brand_b")
+@query("p7_drop_self", f"WITH {t.RAW_PAIRS} SELECT * FROM raw_pairs WHERE a <> b")
 def p7_drop_self(spark, sf_dir):
-    return clean.drop_self_interactions(t.brand_pairs(spark, sf_dir), "brand_a", "brand_b")
+    return clean.drop_self_interactions(t.raw_pairs(spark, sf_dir), "a", "b")
 
 
 @query("p8_clean_symbols", "SELECT p_name || CASE WHEN p_size % 7 = 0 THEN '~old' ELSE '' END AS symbol, p_partkey AS entrez FROM part WHERE p_size % 7 <> 0 AND p_size % 5 <> 0 AND p_size % 11 <> 0")
@@ -180,18 +189,18 @@ def p8_clean_symbols(spark, sf_dir):
     return clean.clean_symbols(part.select(F.concat("p_name", F.when(F.col("p_size") % 7 == 0, "~withdrawn").otherwise("")).alias("symbol"), entrez.alias("entrez")), "symbol", "entrez")
 
 
-@query("p9_validate", f"WITH {t.BRAND_EDGES}, {t.PROFILE} SELECT (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM profile) AS n_cells")
+@query("p9_validate", f"WITH {t.EDGES}, {t.PROFILE} SELECT (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM profile) AS n_cells")
 def p9_validate(spark, sf_dir):
-    edges, cells = clean.validate_network(t.brand_edges(spark, sf_dir)), clean.validate_profile(t.profile(spark, sf_dir))
+    edges, cells = clean.validate_network(materialise(t.edges(spark, sf_dir), "edges")), clean.validate_profile(t.profile(spark, sf_dir))
     return edges.agg(F.count("*").alias("n_edges")).join(cells.agg(F.count("*").alias("n_cells")), F.lit(True))
 
 
 _BURDENS = "burdens AS (SELECT individual, coalesce(sum(value), 0) AS burden FROM individuals LEFT JOIN profile USING (individual) GROUP BY 1)"
 
 
-@query("p10_filter_by_burden", f"WITH {t.PROFILE}, {t.INDIVIDUALS}, {_BURDENS} SELECT individual, coalesce(value, 0) AS value, gene FROM burdens LEFT JOIN profile USING (individual) WHERE burden BETWEEN 0 AND 20")
+@query("p10_filter_by_burden", f"WITH {t.PROFILE}, {t.INDIVIDUALS}, {_BURDENS} SELECT individual, coalesce(value, 0) AS value, gene FROM burdens LEFT JOIN profile USING (individual) WHERE burden BETWEEN 580 AND 620")
 def p10_filter_by_burden(spark, sf_dir):
-    cells, kept = clean.filter_by_burden(t.profile(spark, sf_dir), t.individuals(spark, sf_dir), 0, 20)
+    cells, kept = clean.filter_by_burden(t.profile(spark, sf_dir), t.individuals(spark, sf_dir), 580, 620)
     return kept.join(cells, "individual", "left").select("individual", F.coalesce("value", F.lit(0.0)).alias("value"), "gene")
 
 
@@ -213,9 +222,9 @@ def p11_subset_report(spark, sf_dir):
     return clean.subset_report(t.profile(spark, sf_dir), _some(spark, sf_dir), "individual")
 
 
-@query("p12_subset_genes", f"WITH {t.PROFILE} SELECT * FROM profile WHERE gene IN (SELECT p_brand FROM part WHERE p_brand < 'Brand#2')")
+@query("p12_subset_genes", f"WITH {t.PROFILE} SELECT * FROM profile WHERE gene IN (SELECT p_partkey FROM part WHERE p_size <= 10)")
 def p12_subset_genes(spark, sf_dir):
-    return clean.subset_genes(t.profile(spark, sf_dir), t.table(spark, sf_dir, "part").filter("p_brand < 'Brand#2'").select(F.col("p_brand").alias("gene")))
+    return clean.subset_genes(t.profile(spark, sf_dir), t.table(spark, sf_dir, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("gene")))
 
 
 @query("p13_role_from_id", "SELECT c_custkey, CASE substr(id, -2, 1) WHEN 's' THEN 'sibling' WHEN 'p' THEN 'proband' END AS role FROM (SELECT c_custkey, c_custkey || '.' || substr('spx', CAST(c_custkey % 3 AS INTEGER) + 1, 1) || '1' AS id FROM customer)")
@@ -257,53 +266,53 @@ def j3_unmapped_report(spark, sf_dir):
     return mapping.unmapped_report(t.links(spark, sf_dir), "a", "b", _mapping(spark, sf_dir), "key").withColumn("share_unmapped", r6("share_unmapped"))
 
 
-@query("j4_map_profile_genes", f"WITH {t.PROFILE} SELECT individual, gene, value, m.entrez FROM profile JOIN (SELECT p_brand AS gene, min(p_partkey) AS entrez FROM part WHERE p_size < 40 GROUP BY 1) m USING (gene)")
+@query("j4_map_profile_genes", f"WITH {t.PROFILE} SELECT individual, gene, value, m.entrez FROM profile JOIN (SELECT p_partkey AS gene, p_partkey * 100 + p_size AS entrez FROM part WHERE p_size < 40) m USING (gene)")
 def j4_map_profile_genes(spark, sf_dir):
-    own = t.table(spark, sf_dir, "part").filter("p_size < 40").groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_partkey").alias("entrez"))
+    own = t.table(spark, sf_dir, "part").filter("p_size < 40").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") * 100 + F.col("p_size")).alias("entrez"))
     return mapping.map_profile_genes(t.profile(spark, sf_dir), own, "gene").select("individual", "gene", "value", "entrez")
 
 
-_BIG = "net AS (SELECT DISTINCT g AS gene FROM (SELECT a AS g FROM links WHERE score >= 80 UNION ALL SELECT b FROM links WHERE score >= 80)), big AS (SELECT o_custkey AS individual, l_partkey AS gene, CAST(count(*) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 30 GROUP BY 1, 2)"
+_BIG = f"{t.edges_sql(0.01)}, net AS (SELECT DISTINCT src AS gene FROM edges), big AS (SELECT o_custkey AS individual, l_partkey AS gene, CAST(count(*) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 
 
 def _big(spark, sf_dir):
-    """(strong links, profile of customers over parts)."""
-    lines = t.table(spark, sf_dir, "lineitem").filter("l_quantity >= 30").select("l_orderkey", "l_partkey")
+    """(network of the strongest 1 % of links, profile of customers over parts)."""
+    lines = t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     cells = lines.join(orders, "l_orderkey").groupBy(F.col("o_custkey").alias("individual"), F.col("l_partkey").alias("gene")).agg(F.count("*").cast("double").alias("value"))
-    return t.links(spark, sf_dir).filter("score >= 80"), cells
+    return materialise(t.edges(spark, sf_dir, 0.01), "strong"), cells
 
 
-@query("j5_classify_genes", f"WITH {t.LINKS}, {_BIG} SELECT gene, CASE WHEN m.gene IS NULL THEN 'network_only' WHEN n.gene IS NULL THEN 'mutation_only' ELSE 'common' END AS gene_class FROM net n FULL JOIN (SELECT DISTINCT gene FROM big) m USING (gene)".replace("SELECT gene, CASE", "SELECT coalesce(n.gene, m.gene) AS gene, CASE"))
+@query("j5_classify_genes", f"WITH {_BIG} SELECT gene, CASE WHEN m.gene IS NULL THEN 'network_only' WHEN n.gene IS NULL THEN 'mutation_only' ELSE 'common' END AS gene_class FROM net n FULL JOIN (SELECT DISTINCT gene FROM big) m USING (gene)".replace("SELECT gene, CASE", "SELECT coalesce(n.gene, m.gene) AS gene, CASE"))
 def j5_classify_genes(spark, sf_dir):
     strong, cells = _big(spark, sf_dir)
-    return mapping.classify_genes(network.network_genes(strong, "a", "b"), cells)
+    return mapping.classify_genes(network.network_genes(strong), cells)
 
 
-@query("j6_align_genes", f"WITH {t.LINKS}, {_BIG} SELECT individual, gene, value FROM big WHERE gene IN (SELECT gene FROM net)")
+@query("j6_align_genes", f"WITH {_BIG} SELECT individual, gene, value FROM big WHERE gene IN (SELECT gene FROM net)")
 def j6_align_genes(spark, sf_dir):
     strong, cells = _big(spark, sf_dir)
-    return network.align_genes(network.binary_adjacency(strong, "a", "b"), cells)[2].select("individual", "gene", "value")
+    return network.align_genes(strong, cells)[2].select("individual", "gene", "value")
 
 
-@query("j6_gene_universe", f"WITH {t.LINKS}, {_BIG}, e AS (SELECT a AS gene FROM links WHERE score >= 80 UNION ALL SELECT b FROM links WHERE score >= 80), d AS (SELECT gene, CAST(count(*) AS DOUBLE) AS degree FROM e GROUP BY 1) SELECT coalesce(d.gene, m.gene) AS gene, coalesce(degree, 0) AS degree FROM d FULL JOIN (SELECT DISTINCT gene FROM big) m ON d.gene = m.gene")
+@query("j6_gene_universe", f"WITH {_BIG}, d AS (SELECT src AS gene, sum(weight) AS degree FROM edges GROUP BY 1) SELECT coalesce(d.gene, m.gene) AS gene, coalesce(degree, 0) AS degree FROM d FULL JOIN (SELECT DISTINCT gene FROM big) m ON d.gene = m.gene")
 def j6_gene_universe(spark, sf_dir):
     strong, cells = _big(spark, sf_dir)
-    return network.align_genes(network.binary_adjacency(strong, "a", "b"), cells)[0].select("gene", "degree")
+    return network.align_genes(strong, cells)[0].select("gene", "degree")
 
 
-@query("j7_final_profile", f"WITH {t.LINKS}, {_BIG} SELECT sum(value) FILTER (gene IN (SELECT gene FROM net)) AS connected, sum(value) AS whole FROM big")
+@query("j7_final_profile", f"WITH {_BIG} SELECT sum(value) FILTER (gene IN (SELECT gene FROM net)) AS connected, sum(value) AS whole FROM big")
 def j7_final_profile(spark, sf_dir):
     strong, cells = _big(spark, sf_dir)
-    genes = network.align_genes(network.binary_adjacency(strong, "a", "b"), cells)[0]
+    genes = network.align_genes(strong, cells)[0]
     inner = network.final_profile(cells, genes, False).agg(F.sum("value").alias("connected"))
     return inner.join(network.final_profile(cells, genes, True).agg(F.sum("value").alias("whole")), F.lit(True))
 
 
-@query("j8_cluster_genes", "SELECT CAST(s_nationkey AS INTEGER) AS cluster, l_partkey AS gene FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'A'")
+@query("j8_cluster_genes", "SELECT CAST(s_nationkey AS INTEGER) AS cluster, l_partkey AS gene FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
 def j8_cluster_genes(spark, sf_dir):
     own = t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("cluster"))
-    lines = t.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("gene"))
+    lines = t.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("gene"))
     return clusters.cluster_genes(own, lines)
 
 
@@ -334,9 +343,9 @@ def a1_binary_adjacency(spark, sf_dir):
     return network.binary_adjacency(t.links(spark, sf_dir), "a", "b")
 
 
-@query("a2_count_adjacency", f"WITH {t.BRAND_PAIRS}, e AS (SELECT brand_a AS src, brand_b AS dst FROM brand_pairs WHERE brand_a <> brand_b UNION ALL SELECT brand_b, brand_a FROM brand_pairs WHERE brand_a <> brand_b) SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM e GROUP BY 1, 2")
+@query("a2_count_adjacency", f"WITH {t.RAW_PAIRS}, e AS (SELECT a AS src, b AS dst FROM raw_pairs WHERE a <> b UNION ALL SELECT b, a FROM raw_pairs WHERE a <> b) SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM e GROUP BY 1, 2")
 def a2_count_adjacency(spark, sf_dir):
-    return network.count_adjacency(t.brand_pairs(spark, sf_dir), "brand_a", "brand_b")
+    return network.count_adjacency(t.raw_pairs(spark, sf_dir), "a", "b")
 
 
 @query("a3_carrier_profile", "SELECT l_suppkey AS individual, l_partkey AS gene, round(sum(l_discount), 6) AS value FROM lineitem GROUP BY 1, 2 HAVING sum(l_discount) <> 0")
@@ -345,14 +354,14 @@ def a3_carrier_profile(spark, sf_dir):
     return profiles.carrier_profile(carriers).withColumn("value", r6("value"))
 
 
-_FLAGS = "p1 AS (SELECT l_suppkey AS individual, l_partkey AS gene, max(l_discount) AS value FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), p2 AS (SELECT l_suppkey AS individual, l_partkey AS gene, max(l_tax) AS value FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2)"
+_FLAGS = "p1 AS (SELECT l_suppkey AS individual, l_partkey AS gene, max(l_discount) AS value FROM lineitem GROUP BY 1, 2), p2 AS (SELECT l_suppkey AS individual, l_partkey AS gene, max(l_tax) AS value FROM lineitem GROUP BY 1, 2)"
 
 
 @query("a4_merge_profiles_max", f"WITH {_FLAGS}, u AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2) SELECT individual, gene, max(value) AS value FROM u GROUP BY 1, 2 HAVING max(value) > 0")
 def a4_merge_profiles_max(spark, sf_dir):
     lines = t.table(spark, sf_dir, "lineitem")
-    own = lambda flag, c: lines.filter(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("individual"), F.col("l_partkey").alias("gene")).agg(F.max(c).alias("value"))
-    return profiles.merge_profiles_max(own("A", "l_discount"), own("N", "l_tax"))
+    own = lambda c: lines.groupBy(F.col("l_suppkey").alias("individual"), F.col("l_partkey").alias("gene")).agg(F.max(c).alias("value"))
+    return profiles.merge_profiles_max(own("l_discount"), own("l_tax"))
 
 
 _DEGREES = "ends AS (SELECT a AS gene FROM links UNION ALL SELECT b FROM links), degrees AS (SELECT gene, CAST(count(*) AS DOUBLE) AS degree FROM ends GROUP BY 1)"
@@ -542,9 +551,9 @@ def a19_sweep_errors(spark, sf_dir):
     return found.select("k", "lambd", *(r6(c).alias(c) for c in ("error", "centred", "k_effect", "lambda_effect")))
 
 
-@query("a20_hoyer_sparseness", f"WITH {t.PROFILE}, n AS (SELECT count(DISTINCT p_brand) AS n FROM part) SELECT individual, round((sqrt(max(n)) - sum(abs(value)) / sqrt(sum(value * value))) / (sqrt(max(n)) - 1), 6) + 0.0 AS sparseness FROM profile, n GROUP BY 1")
+@query("a20_hoyer_sparseness", f"WITH {t.PROFILE}, n AS (SELECT count(*) AS n FROM part) SELECT individual, round((sqrt(max(n)) - sum(abs(value)) / sqrt(sum(value * value))) / (sqrt(max(n)) - 1), 6) + 0.0 AS sparseness FROM profile, n GROUP BY 1")
 def a20_hoyer_sparseness(spark, sf_dir):
-    n = t.table(spark, sf_dir, "part").select("p_brand").distinct().count()
+    n = t.table(spark, sf_dir, "part").count()
     return profiles.hoyer_sparseness(t.profile(spark, sf_dir), "individual", n).withColumn("sparseness", r6("sparseness"))
 
 
@@ -584,7 +593,7 @@ def w6_subsample(spark, sf_dir):
     return consensus.subsample(t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "id", 5, 0.8, 42)
 
 
-_DENSE = "dense AS (SELECT i.individual, g.gene, coalesce(value, 0) AS value FROM individuals i, (SELECT DISTINCT p_brand AS gene FROM part) g LEFT JOIN profile p ON p.individual = i.individual AND p.gene = g.gene)".replace("individuals i, (SELECT DISTINCT p_brand AS gene FROM part) g LEFT", "individuals i CROSS JOIN (SELECT DISTINCT p_brand AS gene FROM part) g LEFT")
+_DENSE = "dense AS (SELECT i.individual, g.gene, coalesce(value, 0) AS value FROM individuals i CROSS JOIN (SELECT p_partkey AS gene FROM part) g LEFT JOIN profile p ON p.individual = i.individual AND p.gene = g.gene)"
 
 
 def _quantile_sql(stat: str) -> str:
@@ -595,7 +604,7 @@ SELECT individual, gene, round(level, 6) AS value FROM ranked JOIN levels ON ran
 
 
 def _sizes(spark, sf_dir):
-    return t.table(spark, sf_dir, "supplier").count(), t.table(spark, sf_dir, "part").select("p_brand").distinct().count()
+    return t.table(spark, sf_dir, "supplier").count(), t.table(spark, sf_dir, "part").count()
 
 
 @query("w1_quantile_mean", _quantile_sql("avg"))
@@ -612,7 +621,7 @@ def w2_quantile_median(spark, sf_dir):
 @query("w3_quantile_rows", f"""WITH {t.PROFILE}, {t.INDIVIDUALS}, {_DENSE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY individual ORDER BY value, gene) AS rank FROM dense)
 SELECT individual, gene, round(avg(value) OVER (PARTITION BY rank), 6) AS value FROM ranked""")
 def w3_quantile_rows(spark, sf_dir):
-    genes = t.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene")).distinct()
+    genes = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"))
     return normalize.quantile_normalize_rows(t.profile(spark, sf_dir), t.individuals(spark, sf_dir), genes).withColumn("value", r6("value"))
 
 
@@ -629,109 +638,138 @@ _LOOPS = "looped AS (SELECT src, dst, weight FROM edges UNION ALL SELECT DISTINC
 _STEPS = "s1 AS (SELECT individual, gene, sum(v) AS value FROM (SELECT individual, dst AS gene, 0.6 * value * weight AS v FROM profile JOIN network ON gene = src UNION ALL SELECT individual, gene, 0.4 * value FROM profile) GROUP BY 1, 2)"
 
 
-@query("g1_normalize_network", f"WITH {t.BRAND_EDGES}, {_LOOPS} SELECT src, dst, round(weight, 6) AS weight FROM network")
+@query("g1_normalize_network", f"WITH {t.EDGES}, {_LOOPS} SELECT src, dst, round(weight, 6) AS weight FROM network")
 def g1_normalize_network(spark, sf_dir):
-    return diffusion.normalize_network(t.brand_edges(spark, sf_dir)).withColumn("weight", r6("weight"))
+    return diffusion.normalize_network(t.edges(spark, sf_dir)).withColumn("weight", r6("weight"))
 
 
-@query("g2_normalize_no_loops", f"WITH {t.BRAND_EDGES} SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY dst), 6) AS weight FROM edges")
+@query("g2_normalize_no_loops", f"WITH {t.EDGES} SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY dst), 6) AS weight FROM edges")
 def g2_normalize_no_loops(spark, sf_dir):
-    return diffusion.normalize_network(t.brand_edges(spark, sf_dir), False).withColumn("weight", r6("weight"))
+    return diffusion.normalize_network(t.edges(spark, sf_dir), False).withColumn("weight", r6("weight"))
 
 
-@query("g3_propagate", f"WITH {t.BRAND_EDGES}, {t.PROFILE}, {_LOOPS}, {_STEPS} SELECT individual, gene, round(value, 6) AS value FROM s1")
+@query("g3_propagate", f"WITH {t.EDGES}, {t.PROFILE}, {_LOOPS}, {_STEPS} SELECT individual, gene, round(value, 6) AS value FROM s1")
 def g3_propagate(spark, sf_dir):
     """G3, one step."""
-    network_ = diffusion.normalize_network(materialise(t.brand_edges(spark, sf_dir), "edges"))
+    network_ = diffusion.normalize_network(materialise(t.edges(spark, sf_dir), "edges"))
     return diffusion.propagate(t.profile(spark, sf_dir), network_, 0.6).withColumn("value", r6("value"))
 
 
+def _converged_sql(steps: int, tol: float) -> str:
+    """The first of so many unrolled steps whose change is within the limit."""
+    out, before = "s0 AS MATERIALIZED (SELECT individual, gene, value FROM profile)", "s0"
+    for i in range(1, steps + 1):
+        out += f", s{i} AS MATERIALIZED (SELECT individual, gene, sum(v) AS value FROM (SELECT individual, dst AS gene, 0.6 * value * weight AS v FROM {before} JOIN network ON gene = src UNION ALL SELECT individual, gene, 0.4 * value FROM profile) GROUP BY 1, 2)"
+        out += f", n{i} AS MATERIALIZED (SELECT {i} AS step, sqrt(sum((coalesce(x.value, 0) - coalesce(y.value, 0)) ** 2)) AS norm FROM s{i} x FULL JOIN {before} y USING (individual, gene))"
+        before = f"s{i}"
+    norms = " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(1, steps + 1))
+    rows = " UNION ALL ".join(f"SELECT individual, gene, value FROM s{i} WHERE {i} = (SELECT step FROM last)" for i in range(1, steps + 1))
+    return f"{out}, last AS (SELECT min(step) AS step FROM ({norms}) WHERE norm <= {tol}) SELECT individual, gene, round(value, 6) AS value FROM ({rows})"
+
+
+@query("g3_propagate_converged", f"WITH {t.EDGES}, {t.NATION_PROFILE}, {_LOOPS}, {_converged_sql(16, 1.0)}")
+def g3_propagate_converged(spark, sf_dir):
+    """G3 with a tolerance: steps until the whole change is within it."""
+    network_ = materialise(diffusion.normalize_network(materialise(t.edges(spark, sf_dir), "edges")), "network")
+    return diffusion.propagate(materialise(t.nation_profile(spark, sf_dir), "profile"), network_, 0.6, 1.0).withColumn("value", r6("value"))
+
+
 _SEEDS = "seeds AS (SELECT DISTINCT src AS seed, src AS gene, 1.0 AS value FROM edges), i1 AS (SELECT seed, gene, sum(v) AS value FROM (SELECT seed, dst AS gene, 0.6 * value * weight AS v FROM seeds JOIN network ON gene = src UNION ALL SELECT seed, gene, 0.4 * value FROM seeds) GROUP BY 1, 2)"
 
 
-@query("g4_network_influence", f"WITH {t.BRAND_EDGES}, {_LOOPS}, {_SEEDS} SELECT src, dst, round(value * weight, 6) AS value FROM i1 JOIN edges ON src = seed AND dst = gene")
+@query("g4_network_influence", f"WITH {t.EDGES}, {_LOOPS}, {_SEEDS} SELECT src, dst, round(value * weight, 6) AS value FROM i1 JOIN edges ON src = seed AND dst = gene")
 def g4_network_influence(spark, sf_dir):
-    return diffusion.network_influence(materialise(t.brand_edges(spark, sf_dir), "edges"), 0.6).withColumn("value", r6("value"))
+    return diffusion.network_influence(materialise(t.edges(spark, sf_dir), "edges"), 0.6).withColumn("value", r6("value"))
 
 
-@query("g4_influence_blocks", f"WITH {t.BRAND_EDGES}, {_LOOPS}, {_SEEDS}, i2 AS (SELECT seed, gene, sum(v) AS value FROM (SELECT seed, dst AS gene, 0.6 * value * weight AS v FROM i1 JOIN network ON gene = src UNION ALL SELECT seed, gene, 0.4 * value FROM seeds) GROUP BY 1, 2) SELECT src, dst, round(value * weight, 6) AS value FROM i2 JOIN edges ON src = seed AND dst = gene")
+@query("g4_influence_blocks", f"WITH {t.EDGES}, {_LOOPS}, {_SEEDS}, i2 AS (SELECT seed, gene, sum(v) AS value FROM (SELECT seed, dst AS gene, 0.6 * value * weight AS v FROM i1 JOIN network ON gene = src UNION ALL SELECT seed, gene, 0.4 * value FROM seeds) GROUP BY 1, 2) SELECT src, dst, round(value * weight, 8) AS value FROM i2 JOIN edges ON src = seed AND dst = gene")
 def g4_influence_blocks(spark, sf_dir):
     """Two steps in blocks of seeds."""
-    return diffusion.influence_blocks(materialise(t.brand_edges(spark, sf_dir), "edges"), 0.6, 2).withColumn("value", r6("value"))
+    return diffusion.influence_blocks(materialise(t.edges(spark, sf_dir), "edges"), 0.6, 2).withColumn("value", F.round("value", 8))
 
 
-_DIRECTED = "m AS (SELECT brand_a AS src, brand_b AS dst, CAST(n AS DOUBLE) AS value FROM brand_pairs WHERE n % 3 <> 0), pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(value) AS hi, CASE WHEN count(*) = 2 THEN min(value) END AS lo FROM m WHERE src <> dst GROUP BY 1, 2)"
+_DIRECTED = "m AS (SELECT a AS src, b AS dst, CAST(count(*) AS DOUBLE) AS value FROM raw_pairs GROUP BY 1, 2), pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(value) AS hi, CASE WHEN count(*) = 2 THEN min(value) END AS lo FROM m WHERE src <> dst GROUP BY 1, 2)"
 
 
 def _directed(spark, sf_dir):
-    return t.brand_pairs(spark, sf_dir).filter("n % 3 <> 0").select(F.col("brand_a").alias("src"), F.col("brand_b").alias("dst"), F.col("n").cast("double").alias("value"))
+    return t.raw_pairs(spark, sf_dir).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").cast("double").alias("value"))
 
 
-@query("g5_symmetrize_min", f"WITH {t.BRAND_PAIRS}, {_DIRECTED} SELECT a AS src, b AS dst, lo AS value FROM pairs WHERE lo IS NOT NULL UNION ALL SELECT b, a, lo FROM pairs WHERE lo IS NOT NULL UNION ALL SELECT src, dst, value FROM m WHERE src = dst")
+@query("g5_symmetrize_min", f"WITH {t.RAW_PAIRS}, {_DIRECTED} SELECT a AS src, b AS dst, lo AS value FROM pairs WHERE lo IS NOT NULL UNION ALL SELECT b, a, lo FROM pairs WHERE lo IS NOT NULL UNION ALL SELECT src, dst, value FROM m WHERE src = dst")
 def g5_symmetrize_min(spark, sf_dir):
     return network.symmetrize(_directed(spark, sf_dir), "min")
 
 
-@query("g5_symmetrize_max", f"WITH {t.BRAND_PAIRS}, {_DIRECTED} SELECT a AS src, b AS dst, hi AS value FROM pairs UNION ALL SELECT b, a, hi FROM pairs UNION ALL SELECT src, dst, value FROM m WHERE src = dst")
+@query("g5_symmetrize_max", f"WITH {t.RAW_PAIRS}, {_DIRECTED} SELECT a AS src, b AS dst, hi AS value FROM pairs UNION ALL SELECT b, a, hi FROM pairs UNION ALL SELECT src, dst, value FROM m WHERE src = dst")
 def g5_symmetrize_max(spark, sf_dir):
     return network.symmetrize(_directed(spark, sf_dir), "max")
 
 
-@query("w4_best_neighbours", f"""WITH {t.BRAND_EDGES}, influence AS (SELECT brand_a AS src, brand_b AS dst, n AS value FROM brand_pairs), chosen AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM influence),
+@query("w4_best_neighbours", f"""WITH {t.EDGES}, influence AS (SELECT a AS src, b AS dst, score AS value FROM links UNION ALL SELECT b, a, score FROM links), chosen AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM influence),
 kept AS (SELECT e.* FROM edges e JOIN chosen c USING (src, dst) WHERE r <= 7) SELECT src, dst, CAST(max(weight) AS DOUBLE) AS weight FROM (SELECT * FROM kept UNION ALL SELECT dst, src, weight FROM kept) GROUP BY 1, 2""")
 def w4_best_neighbours(spark, sf_dir):
-    influence = t.brand_pairs(spark, sf_dir).select(F.col("brand_a").alias("src"), F.col("brand_b").alias("dst"), F.col("n").alias("value"))
-    return network.best_neighbours(t.brand_edges(spark, sf_dir), influence, 6)
+    found = t.links(spark, sf_dir)
+    influence = found.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("score").alias("value")).union(found.select("b", "a", "score"))
+    return network.best_neighbours(t.edges(spark, sf_dir), influence, 6)
 
 
-@query("g6_diffused_profile", f"""WITH {t.BRAND_EDGES}, {t.PROFILE}, {t.INDIVIDUALS}, {_LOOPS}, {_STEPS},
-dense AS (SELECT i.individual, g.gene, round(coalesce(value, 0), 9) AS value FROM individuals i CROSS JOIN (SELECT DISTINCT p_brand AS gene FROM part) g LEFT JOIN s1 p ON p.individual = i.individual AND p.gene = g.gene),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY value, individual) AS own_rank FROM dense),
+@query("g6_diffused_profile", f"""WITH {t.EDGES}, {t.PROFILE}, {t.INDIVIDUALS}, {_LOOPS}, {_STEPS},
+dense AS (SELECT i.individual, g.gene, round(coalesce(value, 0), 9) AS value FROM individuals i CROSS JOIN (SELECT p_partkey AS gene FROM part) g LEFT JOIN s1 p ON p.individual = i.individual AND p.gene = g.gene),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY value, individual) AS own_rank, rank() OVER (PARTITION BY gene ORDER BY value) AS least_rank FROM dense),
 levels AS (SELECT own_rank AS rank, avg(value) AS level FROM ranked GROUP BY 1)
-SELECT count(*) FILTER (value > 0) AS n, round(sum(level) FILTER (value > 0), 2) AS total FROM ranked JOIN levels ON rank = own_rank""")
+SELECT individual, gene, round(level, 6) AS value FROM ranked JOIN levels ON rank = least_rank WHERE value > 0""")
 def g6_diffused_profile(spark, sf_dir):
-    """The sum of levels doesn't depend on which of equal cells comes first."""
-    edges = materialise(t.brand_edges(spark, sf_dir), "edges")
-    spread = diffusion.diffused_profile(t.profile(spark, sf_dir), edges, 0.6, None, "propagated", *_sizes(spark, sf_dir))
-    ranked = normalize.quantile_normalize(spread.withColumn("value", F.round("value", 9) + F.monotonically_increasing_id() * 1e-15), *_sizes(spark, sf_dir))[0]
-    return ranked.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    """One step and its normalisation; values are rounded between, or ranks of equal cells would hang on the last bits."""
+    edges, n_individuals, n_genes = materialise(t.edges(spark, sf_dir), "edges"), *_sizes(spark, sf_dir)
+    spread = diffusion.diffused_profile(t.profile(spark, sf_dir), edges, 0.6, None, "propagated", n_individuals, n_genes)
+    ranked = normalize.quantile_normalize(materialise(spread.withColumn("value", F.round("value", 9)), "spread"), n_individuals, n_genes)[0]
+    return ranked.withColumn("value", r6("value"))
 
 
 @query("g7_communities")
 def g7_communities(spark, sf_dir):
-    """Communities of brands; sizes."""
-    return diffusion.community_sizes(diffusion.communities(materialise(t.brand_edges(spark, sf_dir), "edges")))
+    """Sizes of communities of parts."""
+    return diffusion.community_sizes(diffusion.communities(materialise(t.edges(spark, sf_dir), "edges")))
 
 
 # Factorisation -----------------------------------------------------------------------------------------------------
 
-_START = "w AS (SELECT DISTINCT individual AS id, (individual % 7 + 1) / 10.0 AS w0, (individual % 5 + 1) / 10.0 AS w1 FROM profile), h AS (SELECT DISTINCT gene AS id, length(gene) / 10.0 AS h0, (ascii(substr(gene, length(gene), 1)) - 40) / 20.0 AS h1 FROM profile)"
+_START = "w AS (SELECT DISTINCT individual AS id, (individual % 7 + 1) / 10.0 AS w0, (individual % 5 + 1) / 10.0 AS w1 FROM profile), h AS (SELECT DISTINCT gene AS id, (gene % 9 + 1) / 10.0 AS h0, (gene % 4 + 1) / 8.0 AS h1 FROM profile)"
 
 
 def _start(spark, sf_dir, x):
     w = x.select(F.col("individual").alias("id")).distinct().select("id", F.array((F.col("id") % 7 + 1) / 10, (F.col("id") % 5 + 1) / 10).alias("weights"))
-    h = x.select(F.col("gene").alias("id")).distinct().select("id", F.array(F.length("id") / 10, (F.ascii(F.substring("id", -1, 1)) - 40) / 20).alias("weights"))
+    h = x.select(F.col("gene").alias("id")).distinct().select("id", F.array((F.col("id") % 9 + 1) / 10, (F.col("id") % 4 + 1) / 8).alias("weights"))
     return w, h
 
 
 _E = "2.2e-16"
-_GNMF = f"""r1 AS (SELECT individual, gene, (value + {_E}) / (w0 * h0 + w1 * h1 + {_E}) AS r, w0, w1 FROM profile JOIN w ON w.id = individual JOIN h ON h.id = gene),
-top AS (SELECT gene, sum(r * w0) AS t0, sum(r * w1) AS t1 FROM r1 GROUP BY 1),
-near AS (SELECT dst, sum(weight * h0) AS n0, sum(weight * h1) AS n1 FROM edges JOIN h ON id = src GROUP BY 1), deg AS (SELECT src, sum(weight) AS d FROM edges GROUP BY 1),
-tw AS (SELECT sum(w0) AS s0, sum(w1) AS s1 FROM w),
-hn AS (SELECT id, h0 * (5 * coalesce(n0, 0) + coalesce(t0, 0) + {_E}) / (5 * coalesce(d, 0) * h0 + s0 + {_E}) AS h0, h1 * (5 * coalesce(n1, 0) + coalesce(t1, 0) + {_E}) / (5 * coalesce(d, 0) * h1 + s1 + {_E}) AS h1
-  FROM h LEFT JOIN top ON gene = id LEFT JOIN near ON dst = id LEFT JOIN deg ON src = id, tw),
-r2 AS (SELECT individual, (value + {_E}) / (w0 * hn.h0 + w1 * hn.h1 + {_E}) AS r, hn.h0, hn.h1 FROM profile JOIN w ON w.id = individual JOIN hn ON hn.id = gene),
-topw AS (SELECT individual, sum(r * h0) AS t0, sum(r * h1) AS t1 FROM r2 GROUP BY 1), th AS (SELECT sum(h0) AS s0, sum(h1) AS s1 FROM hn),
-wn AS (SELECT id, w0 * (t0 + {_E}) / (s0 + {_E}) AS w0, w1 * (t1 + {_E}) / (s1 + {_E}) AS w1 FROM w JOIN topw ON individual = id, th)""".replace("LEFT JOIN deg ON src = id, tw)", "LEFT JOIN deg ON src = id CROSS JOIN tw)").replace("JOIN topw ON individual = id, th)", "JOIN topw ON individual = id CROSS JOIN th)")
-
-
-@query("f1_gnmf", f"WITH {t.BRAND_EDGES}, {t.PROFILE}, {_START}, {_GNMF} SELECT id, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM wn")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Both updates with the graph term, so many times: w{n} and h{n} from w and h."""
+    out, w, h = "deg AS (SELECT src, sum(weight) AS d FROM edges GROUP BY 1)", "w", "h"
+    for i in range(1, rounds + 1):
+        out += f""",
+r{i} AS MATERIALIZED (SELECT individual, gene, (value + {_E}) / (w0 * h0 + w1 * h1 + {_E}) AS r, w0, w1 FROM profile JOIN {w} w ON w.id = individual JOIN {h} h ON h.id = gene),
+top{i} AS (SELECT gene, sum(r * w0) AS t0, sum(r * w1) AS t1 FROM r{i} GROUP BY 1),
+near{i} AS (SELECT dst, sum(weight * h0) AS n0, sum(weight * h1) AS n1 FROM edges JOIN {h} ON id = src GROUP BY 1), tw{i} AS (SELECT sum(w0) AS s0, sum(w1) AS s1 FROM {w}),
+h{i} AS MATERIALIZED (SELECT id, h0 * (5 * coalesce(n0, 0) + coalesce(t0, 0) + {_E}) / (5 * coalesce(d, 0) * h0 + s0 + {_E}) AS h0, h1 * (5 * coalesce(n1, 0) + coalesce(t1, 0) + {_E}) / (5 * coalesce(d, 0) * h1 + s1 + {_E}) AS h1
+  FROM {h} LEFT JOIN top{i} ON gene = id LEFT JOIN near{i} ON dst = id LEFT JOIN deg ON src = id CROSS JOIN tw{i}),
+q{i} AS MATERIALIZED (SELECT individual, (value + {_E}) / (w0 * h0 + w1 * h1 + {_E}) AS r, h0, h1 FROM profile JOIN {w} w ON w.id = individual JOIN h{i} h ON h.id = gene),
+topw{i} AS (SELECT individual, sum(r * h0) AS t0, sum(r * h1) AS t1 FROM q{i} GROUP BY 1), th{i} AS (SELECT sum(h0) AS s0, sum(h1) AS s1 FROM h{i}),
+w{i} AS MATERIALIZED (SELECT id, w0 * (t0 + {_E}) / (s0 + {_E}) AS w0, w1 * (t1 + {_E}) / (s1 + {_E}) AS w1 FROM {w} JOIN topw{i} ON individual = id CROSS JOIN th{i})"""
+        w, h = f"w{i}", f"h{i}"
+    return out
+
+
+@query("f1_gnmf", f"WITH {t.EDGES}, {t.PROFILE}, {_START}, {_rounds_sql(3)} SELECT 'individual' AS side, id, round(w0, 6) AS f0, round(w1, 6) AS f1 FROM w3 UNION ALL SELECT 'gene', id, round(h0, 6), round(h1, 6) FROM h3")
 def f1_gnmf(spark, sf_dir):
-    """one round of both updates with the graph term, from a given start."""
+    """three rounds of both updates with the graph term, from a given start."""
     x = materialise(t.profile(spark, sf_dir), "profile")
-    w, _ = factorize.gnmf(x, materialise(t.brand_edges(spark, sf_dir), "edges"), *_start(spark, sf_dir, x), 2, 5.0, 1)
-    return w.select("id", r6(F.col("weights")[0]).alias("w0"), r6(F.col("weights")[1]).alias("w1"))
+    w, h = factorize.gnmf(x, materialise(t.edges(spark, sf_dir), "edges"), *(materialise(f, "start") for f in _start(spark, sf_dir, x)), 2, 5.0, 3)
+    own = lambda f, side: f.select(F.lit(side).alias("side"), "id", r6(F.col("weights")[0]).alias("f0"), r6(F.col("weights")[1]).alias("f1"))
+    return own(w, "individual").union(own(h, "gene"))
 
 
 @query("f4_reconstruction_error", f"WITH {t.PROFILE}, {_START} SELECT round(sqrt(sum((coalesce(value, 0) - (w0 * h0 + w1 * h1)) ** 2)), 4) AS error FROM w CROSS JOIN h LEFT JOIN profile ON individual = w.id AND gene = h.id")
@@ -756,24 +794,26 @@ def f3_nmf(spark, sf_dir):
 
 @query("f5_bootstrap_labels")
 def f5_bootstrap_labels(spark, sf_dir):
-    """all replicates in one job, the replicate as a key."""
+    """replicates side by side, labels of individuals and genes."""
     x = materialise(t.profile(spark, sf_dir), "profile")
-    return factorize.bootstrap_labels(x, materialise(t.brand_edges(spark, sf_dir), "edges"), 3, 4, max_iter=3)[0]
+    people, genes = factorize.bootstrap_labels(x, materialise(t.edges(spark, sf_dir), "edges"), 3, 20)
+    own = lambda f, side: f.select(F.lit(side).alias("side"), "replicate", "id", "cluster")
+    return own(people, "individual").union(own(genes, "gene"))
 
 
 # Hierarchy ---------------------------------------------------------------------------------------------------------
 
 
 def _distances(spark, sf_dir):
-    """Distances between brands by mean price and size; few objects, as a tree of clusters has."""
-    part = t.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 4).alias("x"), F.round(F.avg("p_size"), 4).alias("y"))
-    pairs = part.toDF("id_a", "xa", "ya").join(part.toDF("id_b", "xb", "yb"), F.col("id_a") < F.col("id_b"))
+    """Distances between suppliers by mean quantity and discount of their lines."""
+    own = t.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_quantity"), 4).alias("x"), F.round(100 * F.avg("l_discount"), 4).alias("y"))
+    pairs = own.toDF("id_a", "xa", "ya").join(own.toDF("id_b", "xb", "yb"), F.col("id_a") < F.col("id_b"))
     return pairs.select("id_a", "id_b", F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)).alias("distance"))
 
 
-_DISTANCES = "b AS (SELECT p_brand, round(avg(p_retailprice), 4) AS x, round(avg(p_size), 4) AS y FROM part GROUP BY 1), dist AS (SELECT a.p_brand AS id_a, c.p_brand AS id_b, sqrt((a.x - c.x) ** 2 + (a.y - c.y) ** 2) AS distance FROM b a JOIN b c ON a.p_brand < c.p_brand)"
+_DISTANCES = "b AS (SELECT l_suppkey AS id, round(avg(l_quantity), 4) AS x, round(100 * avg(l_discount), 4) AS y FROM lineitem GROUP BY 1), dist AS MATERIALIZED (SELECT a.id AS id_a, c.id AS id_b, sqrt((a.x - c.x) ** 2 + (a.y - c.y) ** 2) AS distance FROM b a JOIN b c ON a.id < c.id)"
 #: Single linkage merges at the heights of a least spanning tree: an edge is in it if no path of shorter edges joins its ends.
-_SINGLE = "WITH RECURSIVE " + _DISTANCES + ", both_ways AS (SELECT id_a AS u, id_b AS v, distance AS d FROM dist UNION ALL SELECT id_b, id_a, distance FROM dist), grown(n, tree, height) AS (SELECT 1, [min(p_brand)], 0.0::DOUBLE FROM b UNION ALL SELECT n + 1, list_append(tree, e.v), e.d FROM grown, LATERAL (SELECT v, d FROM both_ways WHERE list_contains(tree, u) AND NOT list_contains(tree, v) ORDER BY d, v LIMIT 1) e)"
+_SINGLE = "WITH RECURSIVE " + _DISTANCES + ", both_ways AS (SELECT id_a AS u, id_b AS v, distance AS d FROM dist UNION ALL SELECT id_b, id_a, distance FROM dist), grown(n, tree, height) AS (SELECT 1, [min(id)], 0.0::DOUBLE FROM b UNION ALL SELECT n + 1, list_append(tree, e.v), e.d FROM grown, LATERAL (SELECT v, d FROM both_ways WHERE list_contains(tree, u) AND NOT list_contains(tree, v) ORDER BY d, v LIMIT 1) e)"
 
 
 def _tree(spark, sf_dir, method="average"):
@@ -791,15 +831,15 @@ def f9_linkage_ward(spark, sf_dir):
     return _tree(spark, sf_dir, "ward")
 
 
-#: Single linkage joins a pair at the least largest step of any path between them: five squarings reach paths of 32 steps.
+#: Single linkage joins a pair at the least largest step of any path between them: eight squarings reach paths of 256 steps.
 _MINIMAX = (
     _DISTANCES
-    + ", p0 AS (SELECT id_a AS u, id_b AS v, distance AS d FROM dist UNION ALL SELECT id_b, id_a, distance FROM dist UNION ALL SELECT p_brand, p_brand, 0 FROM b)"
-    + "".join(f", p{i + 1} AS (SELECT x.u, y.v, min(greatest(x.d, y.d)) AS d FROM p{i} x JOIN p{i} y ON x.v = y.u GROUP BY 1, 2)" for i in range(5))
+    + ", p0 AS (SELECT id_a AS u, id_b AS v, distance AS d FROM dist UNION ALL SELECT id_b, id_a, distance FROM dist UNION ALL SELECT id, id, 0 FROM b)"
+    + "".join(f", p{i + 1} AS MATERIALIZED (SELECT x.u, y.v, min(greatest(x.d, y.d)) AS d FROM p{i} x JOIN p{i} y ON x.v = y.u GROUP BY 1, 2)" for i in range(8))
 )
 
 
-@query("f10_cut_tree", _SINGLE + ", heights AS (SELECT height, row_number() OVER (ORDER BY height) AS step, count(*) OVER () AS merges FROM grown WHERE n > 1), cut AS (SELECT max(height) AS h FROM heights WHERE step <= merges + 1 - 4), " + _MINIMAX.removeprefix(_DISTANCES + ", ") + ", roots AS (SELECT u AS id, min(v) AS root FROM p5, cut WHERE d <= h GROUP BY 1) SELECT id, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS cluster FROM roots")
+@query("f10_cut_tree", _SINGLE + ", heights AS (SELECT height, row_number() OVER (ORDER BY height) AS step, count(*) OVER () AS merges FROM grown WHERE n > 1), cut AS (SELECT max(height) AS h FROM heights WHERE step <= merges + 1 - 4), " + _MINIMAX.removeprefix(_DISTANCES + ", ") + ", roots AS (SELECT u AS id, min(v) AS root FROM p8, cut WHERE d <= h GROUP BY 1) SELECT id, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS cluster FROM roots")
 def f10_cut_tree(spark, sf_dir):
     return hierarchy.cut_tree(_tree(spark, sf_dir, "single"), 4)
 
@@ -811,7 +851,7 @@ def f11_leaf_order(spark, sf_dir):
     return hierarchy.reorder(_distances(spark, sf_dir).withColumnRenamed("distance", "consensus"), order)
 
 
-@query("f12_cophenetic", f"WITH {_MINIMAX} SELECT round(corr(distance, d), 6) AS correlation FROM dist JOIN p5 ON u = id_a AND v = id_b")
+@query("f12_cophenetic", f"WITH {_MINIMAX} SELECT round(corr(distance, d), 6) AS correlation FROM dist JOIN p8 ON u = id_a AND v = id_b")
 def f12_cophenetic(spark, sf_dir):
     found = hierarchy.cophenetic_correlation(_distances(spark, sf_dir), _tree(spark, sf_dir, "single"))
     return found.withColumn("correlation", r6("correlation"))
@@ -819,6 +859,20 @@ def f12_cophenetic(spark, sf_dir):
 
 # Tests and enrichment ----------------------------------------------------------------------------------------------
 
+
+def _chi2_sql(statistic: str, df: str) -> str:
+    """P(chi-square with df degrees > statistic), by the series of the incomplete gamma function."""
+    x, a = f"({statistic} / 2.0)", f"({df} / 2.0)"
+    return f"(CASE WHEN {statistic} > 0 AND {df} > 0 THEN greatest(0, 1 - list_sum([exp(({a} + n) * ln({x}) - {x} - lgamma({a} + n + 1)) for n in range(600)])) WHEN {statistic} IS NOT NULL AND {df} > 0 THEN 1.0 END)"
+
+
+def _kolmogorov_sql(x: str) -> str:
+    """P(sqrt(n) D > x) in the limit."""
+    small = f"1 - sqrt(2 * pi()) / {x} * list_sum([exp(-((2 * n - 1) ** 2) * pi() ** 2 / (8 * {x} ** 2)) for n in range(1, 60)])"
+    large = f"2 * list_sum([(-1) ** (n - 1) * exp(-2 * n * n * {x} ** 2) for n in range(1, 60)])"
+    return f"(CASE WHEN {x} <= 0.04 THEN 1.0 WHEN {x} < 1 THEN {small} ELSE {large} END)"
+
+
 _EXPECTED = "e AS (SELECT cluster, n_sibling, n_total * sum(n_sibling) OVER () / sum(n_total) OVER () AS expected FROM counts), f AS (SELECT *, round_even(expected, 0) AS r FROM e), g AS (SELECT *, r + CASE WHEN row_number() OVER (ORDER BY r DESC, cluster) = 1 THEN sum(n_sibling) OVER () - sum(r) OVER () ELSE 0 END AS rounded FROM f)"
 
 
@@ -835,9 +889,9 @@ def t1_round_keeping_sum(spark, sf_dir):
     return stats.round_keeping_sum(rows, ["run"], "expected", "n_sibling", "cluster").select("cluster", F.col("rounded").cast("double").alias("rounded"))
 
 
-@query("t2_chi2_counts", f"WITH {t.MEMBERS}, {_COUNTS}, {_EXPECTED} SELECT round(sum((n_sibling - rounded) ** 2 / rounded), 6) AS statistic, count(*) - 1 AS df FROM g")
+@query("t2_chi2_counts", f"WITH {t.MEMBERS}, {_COUNTS}, {_EXPECTED} SELECT round(statistic, 6) AS statistic, df, round({_chi2_sql('statistic', 'df')}, 6) AS p FROM (SELECT sum((n_sibling - rounded) ** 2 / rounded) AS statistic, count(*) - 1 AS df FROM g)")
 def t2_chi2_counts(spark, sf_dir):
-    return stats.chi2_counts(_counted(spark, sf_dir), ["run"], "n_sibling", "n_total", "cluster").select(r6("statistic").alias("statistic"), "df")
+    return stats.chi2_counts(_counted(spark, sf_dir), ["run"], "n_sibling", "n_total", "cluster").select(r6("statistic").alias("statistic"), "df", r6("p").alias("p"))
 
 
 @query("t3_fisher_exact", """WITH c AS (SELECT n_nationkey AS run, count(*) FILTER (c_acctbal > 4000 AND c_mktsegment < 'F') AS a, count(*) FILTER (c_acctbal > 4000 AND c_mktsegment >= 'F') AS b, count(*) FILTER (c_acctbal <= 4000 AND c_mktsegment < 'F') AS c, count(*) FILTER (c_acctbal <= 4000 AND c_mktsegment >= 'F') AS d FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
@@ -851,28 +905,53 @@ def t3_fisher_exact(spark, sf_dir):
     return stats.fisher_exact(cells, ["run"]).withColumn("p", r6("p"))
 
 
-@query("t4_ks_2sample", """WITH v AS (SELECT c_nationkey AS run, c_acctbal AS value, c_custkey % 2 AS g FROM customer), n AS (SELECT run, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1 FROM v GROUP BY 1),
+@query("t4_ks_2sample", f"""WITH v AS (SELECT c_nationkey AS run, c_acctbal AS value, c_custkey % 2 AS g FROM customer), n AS (SELECT run, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1 FROM v GROUP BY 1),
 s AS (SELECT v.run, abs(count(*) FILTER (g = 0) OVER w / n0 - count(*) FILTER (g = 1) OVER w / n1) AS d FROM v JOIN n USING (run) WINDOW w AS (PARTITION BY v.run ORDER BY value RANGE UNBOUNDED PRECEDING))
-SELECT run, round(max(d), 6) AS statistic FROM s GROUP BY 1""")
+SELECT run, round(d, 6) AS statistic, round({_kolmogorov_sql('(d * sqrt(n0 * n1 / (n0 + n1)))')}, 6) AS p FROM (SELECT run, max(d) AS d FROM s GROUP BY 1) JOIN n USING (run)""")
 def t4_ks_2sample(spark, sf_dir):
     rows = t.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run"), F.col("c_acctbal").alias("value"), (F.col("c_custkey") % 2).alias("g"))
-    return stats.ks_2sample(rows, ["run"], "value", "g").select("run", r6("statistic").alias("statistic"))
+    return stats.ks_2sample(rows, ["run"], "value", "g").select("run", r6("statistic").alias("statistic"), r6("p").alias("p"))
 
 
-@query("t5_kruskal", """WITH v AS (SELECT c_nationkey AS run, round(c_acctbal, -2) AS value, c_mktsegment AS g FROM customer), r AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY value) + (count(*) OVER (PARTITION BY run, value) - 1) / 2 AS r, count(*) OVER (PARTITION BY run, value) AS ties FROM v),
+@query("t5_kruskal", f"""WITH v AS (SELECT c_nationkey AS run, round(c_acctbal, -2) AS value, c_mktsegment AS g FROM customer), r AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY value) + (count(*) OVER (PARTITION BY run, value) - 1) / 2 AS r, count(*) OVER (PARTITION BY run, value) AS ties FROM v),
 n AS (SELECT run, count(*) AS n, 1 - sum(ties * ties - 1) / (count(*) ** 3 - count(*)) AS correction FROM r GROUP BY 1), s AS (SELECT run, g, sum(r) ** 2 / count(*) AS s FROM r GROUP BY 1, 2)
-SELECT run, round((12 / (max(n) * (max(n) + 1)) * sum(s) - 3 * (max(n) + 1)) / max(correction), 6) AS statistic, count(*) - 1 AS df FROM s JOIN n USING (run) GROUP BY 1""")
+SELECT run, round(h, 6) AS statistic, df, round({_chi2_sql('h', 'df')}, 6) AS p FROM (SELECT run, (12 / (max(n) * (max(n) + 1)) * sum(s) - 3 * (max(n) + 1)) / max(correction) AS h, count(*) - 1 AS df FROM s JOIN n USING (run) GROUP BY 1)""")
 def t5_kruskal(spark, sf_dir):
     rows = t.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run"), F.round("c_acctbal", -2).alias("value"), F.col("c_mktsegment").alias("g"))
-    return stats.kruskal(rows, ["run"], "value", "g").select("run", r6("statistic").alias("statistic"), "df")
-
-
-@query("t6_cluster_tests")
+    return stats.kruskal(rows, ["run"], "value", "g").select("run", r6("statistic").alias("statistic"), "df", r6("p").alias("p"))
+
+
+_FLAGGED = f"""{t.MEMBERS}, flagged AS (SELECT *, CASE WHEN coalesce(role, '') = 'sibling' THEN 1.0 ELSE 0.0 END AS sibling, CASE WHEN sex = 'female' THEN 1.0 ELSE 0.0 END AS female FROM members),
+flags AS ({' UNION ALL '.join(f"SELECT '{c}' AS measure, cluster, {c} AS v FROM flagged" for c in ('sibling', 'female'))}),
+numbers AS ({' UNION ALL '.join(f"SELECT '{c}' AS measure, cluster, {c} AS v FROM flagged WHERE {c} IS NOT NULL" for c in clusters.MEASURES)})"""
+_T6 = f"""WITH {_FLAGGED},
+c4 AS (SELECT measure, cluster, sum(v) AS hits, count(v) AS total FROM flags GROUP BY 1, 2),
+e4 AS (SELECT *, round_even(total * sum(hits) OVER (PARTITION BY measure) / sum(total) OVER (PARTITION BY measure), 0) AS r FROM c4),
+f4 AS (SELECT *, r + CASE WHEN row_number() OVER (PARTITION BY measure ORDER BY r DESC, cluster) = 1 THEN sum(hits) OVER (PARTITION BY measure) - sum(r) OVER (PARTITION BY measure) ELSE 0 END AS rounded FROM e4),
+chi AS (SELECT measure, CASE WHEN min(rounded) > 0 THEN sum((hits - rounded) ** 2 / rounded) END AS s, count(*) - 1 AS df FROM f4 GROUP BY 1),
+ranks AS (SELECT *, rank() OVER (PARTITION BY measure ORDER BY v) + (count(*) OVER (PARTITION BY measure, v) - 1) / 2 AS r, count(*) OVER (PARTITION BY measure, v) AS ties FROM numbers),
+sizes AS (SELECT measure, count(*)::DOUBLE AS n, 1 - sum(ties * ties - 1) / (count(*)::DOUBLE ** 3 - count(*)) AS correction FROM ranks GROUP BY 1),
+sums AS (SELECT measure, cluster, sum(r) ** 2 / count(*) AS q FROM ranks GROUP BY 1, 2),
+kw AS (SELECT measure, (12 / (max(n) * (max(n) + 1)) * sum(q) - 3 * (max(n) + 1)) / max(correction) AS s, count(*) - 1 AS df FROM sums JOIN sizes USING (measure) GROUP BY 1),
+two AS (SELECT measure, cluster % 2 AS g, v FROM flags),
+cells AS (SELECT measure, CAST(sum(v) FILTER (g = 0) AS BIGINT) AS a, CAST(count(*) FILTER (g = 0) - sum(v) FILTER (g = 0) AS BIGINT) AS b, CAST(sum(v) FILTER (g = 1) AS BIGINT) AS c, CAST(count(*) FILTER (g = 1) - sum(v) FILTER (g = 1) AS BIGINT) AS d FROM two GROUP BY 1),
+tables AS (SELECT measure, a, x, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1)) AS p FROM cells, LATERAL (SELECT unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x)),
+seen AS (SELECT *, max(CASE WHEN x = a THEN p END) OVER (PARTITION BY measure) AS own FROM tables),
+fisher AS (SELECT measure, least(1, sum(CASE WHEN p <= own * (1 + 1e-7) THEN p ELSE 0 END)) AS p FROM seen GROUP BY 1),
+halves AS (SELECT measure, v, cluster % 2 AS g FROM numbers),
+counted AS (SELECT measure, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1 FROM halves GROUP BY 1),
+gaps AS (SELECT measure, n0, n1, abs(count(*) FILTER (g = 0) OVER w / n0 - count(*) FILTER (g = 1) OVER w / n1) AS d FROM halves JOIN counted USING (measure) WINDOW w AS (PARTITION BY measure ORDER BY v RANGE UNBOUNDED PRECEDING)),
+ks AS (SELECT measure, max(d) * sqrt(max(n0) * max(n1) / (max(n0) + max(n1))) AS x FROM gaps GROUP BY 1)
+SELECT 4 AS k, measure, round({_chi2_sql('s', 'df')}, 6) AS p FROM (SELECT * FROM chi UNION ALL SELECT * FROM kw)
+UNION ALL SELECT 2, measure, round(p, 6) FROM fisher UNION ALL SELECT 2, measure, round({_kolmogorov_sql('x')}, 6) FROM ks"""
+
+
+@query("t6_cluster_tests", _T6)
 def t6_cluster_tests(spark, sf_dir):
     """All seven p-values for four clusters and for two."""
     m = t.members(spark, sf_dir).withColumns({"sibling": (F.coalesce("role", F.lit("")) == "sibling").cast("double"), "female": (F.col("sex") == "female").cast("double")})
     own = lambda k: stats.cluster_tests(m.withColumns({"k": F.lit(k), "cluster": F.col("cluster") % k}), ["k"], k, None, ["sibling", "female"], clusters.MEASURES)
-    return own(4).union(own(2))
+    return own(4).union(own(2)).withColumn("p", r6("p"))
 
 
 @query("t7_p_profile", f"WITH {_COHORTS}, p AS (SELECT x.k, (x.n % 20) / 100 AS p1, (y.n % 20) / 100 AS p2 FROM results x JOIN results y ON x.k = y.k WHERE x.cohort = 'F' AND y.cohort = 'O') SELECT k, CASE WHEN p1 < 0.05 THEN 2 WHEN p1 < 0.1 THEN 1 ELSE 0 END AS level1, CASE WHEN p2 < 0.05 THEN 2 WHEN p2 < 0.1 THEN 1 ELSE 0 END AS level2 FROM p")
@@ -882,17 +961,19 @@ def t7_p_profile(spark, sf_dir):
     return found.select("k", F.col("levels")[0].alias("level1"), F.col("levels")[1].alias("level2"))
 
 
-_TERMS = "parents AS (SELECT n_name AS term, r_name AS parent, 'nation' AS namespace, 2 AS depth FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD', 'region', 1 FROM region UNION ALL SELECT 'WORLD', NULL, 'region', 0), own AS (SELECT s_suppkey AS gene, n_name AS term, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), annotations AS (SELECT gene, term FROM own UNION SELECT gene, region FROM own UNION SELECT gene, 'WORLD' FROM own)"
+_TERMS = """kinds AS (SELECT DISTINCT p_brand || '/' || p_size AS kind, p_brand AS brand, 'Maker#' || substr(p_brand, 7, 1) AS maker FROM part),
+parents AS (SELECT kind AS term, brand AS parent, 'kind' AS namespace, 3 AS depth FROM kinds UNION ALL SELECT DISTINCT brand, maker, 'brand', 2 FROM kinds UNION ALL SELECT DISTINCT maker, 'ALL', 'maker', 1 FROM kinds UNION ALL SELECT 'ALL', NULL, 'maker', 0),
+own AS (SELECT p_partkey AS gene, p_brand || '/' || p_size AS kind, p_brand AS brand, 'Maker#' || substr(p_brand, 7, 1) AS maker FROM part),
+annotations AS (SELECT gene, kind AS term FROM own UNION ALL SELECT gene, brand FROM own UNION ALL SELECT gene, maker FROM own UNION ALL SELECT gene, 'ALL' FROM own)"""
+_NAMESPACES = ["kind", "brand", "maker"]
 
 
 def _terms(spark, sf_dir):
-    nation, region = t.table(spark, sf_dir, "nation"), t.table(spark, sf_dir, "region")
-    first = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("term"), F.col("r_name").alias("parent"), F.lit("nation").alias("namespace"), F.lit(2).alias("depth"))
-    second = region.select(F.col("r_name").alias("term"), F.lit("WORLD").alias("parent"), F.lit("region").alias("namespace"), F.lit(1).alias("depth"))
-    root = region.limit(1).select(F.lit("WORLD").alias("term"), F.lit(None).cast("string").alias("parent"), F.lit("region").alias("namespace"), F.lit(0).alias("depth"))
-    supplier = t.table(spark, sf_dir, "supplier")
-    genes = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(F.col("s_suppkey").alias("gene"), F.col("n_name").alias("term"))
-    return genes, first.union(second).union(root)
+    """(parts with their kind, kinds under brands under makers)."""
+    part = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.concat_ws("/", "p_brand", "p_size").alias("kind"), F.col("p_brand").alias("brand"), F.concat(F.lit("Maker#"), F.substring("p_brand", 7, 1)).alias("maker"))
+    level = lambda own, parent, namespace, depth: part.select(own.alias("term"), parent.alias("parent"), F.lit(namespace).alias("namespace"), F.lit(depth).alias("depth")).distinct()
+    parents = level(F.col("kind"), F.col("brand"), "kind", 3).union(level(F.col("brand"), F.col("maker"), "brand", 2)).union(level(F.col("maker"), F.lit("ALL"), "maker", 1)).union(level(F.lit("ALL"), F.lit(None).cast("string"), "maker", 0))
+    return part.select("gene", F.col("kind").alias("term")), parents
 
 
 @query("t8_propagate_annotations", f"WITH {_TERMS} SELECT gene, term FROM annotations")
@@ -900,25 +981,32 @@ def t8_propagate_annotations(spark, sf_dir):
     return enrichment.propagate_annotations(*_terms(spark, sf_dir))
 
 
-_ENRICH = f"""{_TERMS}, asked AS (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS cluster, l_suppkey AS gene FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R'),
-m AS (SELECT count(DISTINCT gene) AS m FROM annotations), sizes AS (SELECT term, count(*) AS n FROM annotations GROUP BY 1 HAVING count(*) BETWEEN 2 AND 500), q AS (SELECT cluster, count(*) AS q FROM asked GROUP BY 1),
+_ASKED = "asked AS (SELECT CAST(CAST(sum(l_quantity) AS BIGINT) % 6 AS INTEGER) AS cluster, l_partkey AS gene FROM lineitem GROUP BY l_partkey)"
+_TESTED = """m AS (SELECT count(DISTINCT gene) AS m FROM annotations), sizes AS (SELECT term, count(*) AS n FROM annotations GROUP BY 1 HAVING count(*) BETWEEN 2 AND 500), q AS (SELECT cluster, count(*) AS q FROM asked GROUP BY 1),
 hits AS (SELECT cluster, term, count(*) AS x FROM asked JOIN annotations USING (gene) GROUP BY 1, 2),
 tail AS (SELECT cluster, term, namespace, depth, x, n, q, m, i, CASE WHEN q - i <= m - n THEN exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + lgamma(m - n + 1) - lgamma(q - i + 1) - lgamma(m - n - q + i + 1) - lgamma(m + 1) + lgamma(q + 1) + lgamma(m - q + 1)) ELSE 0 END AS p
   FROM hits JOIN sizes USING (term) JOIN q USING (cluster) JOIN parents USING (term) CROSS JOIN m, LATERAL (SELECT unnest(range(x, least(n, q) + 1)) AS i)),
-found AS (SELECT cluster, term, namespace, depth, x, n, q AS n_query, m AS n_background, least(1, sum(p)) AS p FROM tail GROUP BY ALL)"""
+single AS (SELECT cluster, term, namespace, depth, x, n, q AS n_query, m AS n_background, least(1, sum(p)) AS p FROM tail GROUP BY ALL),
+placed AS (SELECT *, count(*) OVER (PARTITION BY cluster ORDER BY p) AS place, count(*) OVER (PARTITION BY cluster) AS tests FROM single),
+found AS (SELECT *, least(1, min(p * tests / place) OVER (PARTITION BY cluster ORDER BY p DESC)) AS q FROM placed)"""
+_ENRICH = f"{_TERMS}, {_ASKED}, {_TESTED}"
 
 
-def _enriched(spark, sf_dir):
+def _annotated(spark, sf_dir):
     genes, parents = _terms(spark, sf_dir)
-    annotations = materialise(enrichment.propagate_annotations(genes, parents), "annotations")
-    asked = t.table(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_returnflag = 'R'").select(F.col("l_linenumber").alias("cluster"), F.col("l_suppkey").alias("gene"))
-    return asked, annotations, parents
+    return materialise(enrichment.propagate_annotations(genes, parents), "annotations"), parents
+
+
+def _enriched(spark, sf_dir):
+    """(parts in clusters by their whole quantity, annotations, terms)."""
+    asked = t.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("gene")).agg((F.sum("l_quantity").cast("long") % 6).cast("int").alias("cluster"))
+    return asked.select("cluster", "gene"), *_annotated(spark, sf_dir)
 
 
-@query("t9_enrich", f"WITH {_ENRICH} SELECT cluster, term, namespace, x, n, n_query, n_background, round(p, 6) AS p FROM found")
+@query("t9_enrich", f"WITH {_ENRICH} SELECT cluster, term, namespace, x, n, n_query, n_background, round(p, 6) AS p, round(q, 6) AS q FROM found")
 def t9_enrich(spark, sf_dir):
     found = enrichment.enrich(*_enriched(spark, sf_dir), ["cluster"])
-    return found.select("cluster", "term", "namespace", "x", "n", "n_query", "n_background", r6("p").alias("p"))
+    return found.select("cluster", "term", "namespace", "x", "n", "n_query", "n_background", r6("p").alias("p"), r6("q").alias("q"))
 
 
 @query("t10_enrichment_scores", f"WITH {_ENRICH} SELECT cluster, term, round((x / n) / nullif(n_query / n_background - n_query, 0), 6) AS lod, round(-ln(p), 6) AS score FROM found WHERE p < 0.05")
@@ -934,21 +1022,21 @@ def a21_term_counts(spark, sf_dir):
 
 
 _BY_K = (
-    _ENRICH.replace("asked AS (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS cluster, l_suppkey AS gene FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')", "asked AS (SELECT DISTINCT l_returnflag || ':' || k || ':' || (l_linenumber % k) AS cluster, l_suppkey AS gene FROM lineitem, range(2, 6) AS r(k) WHERE l_quantity > 45 AND l_returnflag <> 'N')")
+    f"{_TERMS}, sums AS (SELECT l_returnflag AS cohort, l_partkey AS gene, CAST(sum(l_quantity) AS BIGINT) AS s FROM lineitem GROUP BY 1, 2), asked AS (SELECT cohort || ':' || k || ':' || (s % k) AS cluster, gene FROM sums, range(2, 6) AS r(k)), {_TESTED}"
     + """, counts AS (SELECT cluster, namespace, count(*) AS terms, count(*) FILTER (p < 0.05) AS hits FROM found GROUP BY 1, 2),
 wide AS (SELECT split_part(cluster, ':', 1) AS cohort, CAST(split_part(cluster, ':', 2) AS INTEGER) AS k, """
-    + ", ".join(f"CAST(coalesce(sum(hits) FILTER (namespace = '{s}'), 0) AS BIGINT) AS {s}_n, coalesce(max(hits / terms) FILTER (namespace = '{s}'), 0.0) AS {s}_ratio" for s in ("nation", "region"))
+    + ", ".join(f"CAST(coalesce(sum(hits) FILTER (namespace = '{s}'), 0) AS BIGINT) AS {s}_n, coalesce(max(hits / terms) FILTER (namespace = '{s}'), 0.0) AS {s}_ratio" for s in _NAMESPACES)
     + " FROM counts GROUP BY 1, 2)"
 )
 
 
-@query("t11_enrichment_by_k", f"WITH {_BY_K} SELECT x.k, " + ", ".join(f"{'xy'[i - 1]}.{s}_n AS {s}_n{i}, round({'xy'[i - 1]}.{s}_ratio, 6) AS {s}_ratio{i}" for i in (1, 2) for s in ("nation", "region")) + " FROM wide x JOIN wide y ON x.k = y.k AND x.cohort = 'A' AND y.cohort = 'R'")
+@query("t11_enrichment_by_k", f"WITH {_BY_K} SELECT x.k, " + ", ".join(f"{'xy'[i - 1]}.{s}_n AS {s}_n{i}, round({'xy'[i - 1]}.{s}_ratio, 6) AS {s}_ratio{i}" for i in (1, 2) for s in _NAMESPACES) + " FROM wide x JOIN wide y ON x.k = y.k AND x.cohort = 'A' AND y.cohort = 'R'")
 def t11_enrichment_by_k(spark, sf_dir):
-    """Two cohorts and all k as keys of one job."""
-    _, annotations, parents = _enriched(spark, sf_dir)
-    lines = t.table(spark, sf_dir, "lineitem").filter("l_quantity > 45 and l_returnflag <> 'N'").select(F.col("l_returnflag").alias("cohort"), F.col("l_suppkey").alias("gene"), "l_linenumber")
-    asked = lines.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(5)))).select("cohort", "k", (F.col("l_linenumber") % F.col("k")).alias("cluster"), "gene")
-    found = enrichment.enrichment_by_k(asked, annotations, parents, "A", "R", ["nation", "region"])
+    """All cohorts and all k as keys of one job."""
+    annotations, parents = _annotated(spark, sf_dir)
+    sums = t.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("cohort"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").cast("long").alias("s"))
+    asked = sums.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(5)))).select("cohort", "k", (F.col("s") % F.col("k")).alias("cluster"), "gene")
+    found = enrichment.enrichment_by_k(asked, annotations, parents, "A", "R", _NAMESPACES)
     return found.withColumns({c: r6(c) for c in found.columns if "_ratio" in c})
 
 
@@ -963,10 +1051,35 @@ def r2_resolve_run(spark, sf_dir):
     return sweep.resolve_run(kinds.crossJoin(sweep.parameter_grid(spark, network=["APID", "STRING", "none"], qn_mode=["none", "mean", "median"])))
 
 
+def _whole_run(spark, sf_dir, **parameters):
+    edges = t.edges(spark, sf_dir)
+    return job.run(t.profile(spark, sf_dir), edges, t.individuals(spark, sf_dir), 3, **({"n_replicates": 20} | parameters))
+
+
 @query("stratify")
 def stratify(spark, sf_dir):
     """The whole run: network, profile, influence, best neighbours, diffusion, normalisation, bootstrap, consensus, tree, clusters."""
-    from .stratify import stratify as run
+    return _whole_run(spark, sf_dir)["clusters"]
+
+
+@query("stratify_genes")
+def stratify_genes(spark, sf_dir):
+    """The clusters of genes of a run whose factors follow the network."""
+    return _whole_run(spark, sf_dir, mut_type="propagated", influence="max", genes=True)["gene_clusters"]
+
+
+@query("stratify_evidence")
+def stratify_evidence(spark, sf_dir):
+    """What describes the clusters of a run on raw profiles: counts, shares, medians, tests."""
+    found = _whole_run(spark, sf_dir, mut_type="raw")["clusters"]
+    return job.evidence(found, t.supplier_members(spark, sf_dir), 3).withColumn("value", r6("value"))
+
 
-    edges = t.brand_edges(spark, sf_dir)
-    return run(t.profile(spark, sf_dir), edges, t.individuals(spark, sf_dir), k=3, n_replicates=4, max_iter=3)
+@query("stratify_grid")
+def stratify_grid(spark, sf_dir):
+    """The runs of a grid, each written by its keys; those that are there already aren't done again."""
+    kinds = sweep.parameter_grid(spark, mut_type=["raw", "diff"], network=["APID", "none"], qn_mode=["none"])
+    grid = sweep.resolve_run(kinds).filter("mut_type = 'raw' or network <> 'none'").crossJoin(sweep.parameter_grid(spark, k=[2, 3]))
+    path, tables = new_path(spark, "runs"), (t.profile(spark, sf_dir), materialise(t.edges(spark, sf_dir), "edges"), t.individuals(spark, sf_dir))
+    job.run_grid(grid.filter("k = 2"), *tables, path, n_replicates=10)
+    return job.run_grid(grid, *tables, path, n_replicates=10)

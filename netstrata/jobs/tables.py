@@ -1,6 +1,6 @@
 """The driver tables in the roles of the domain, and the same roles as SQL.
 
-individual: supplier or customer; gene: part or brand; interaction: two parts in one order, scored by their quantities.
+individual: supplier, customer or nation; gene: part; interaction: two parts in one order, scored by their quantities.
 An order has a few lines, so pairs within orders grow with the orders.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,51 +28,54 @@ LINKS = """links AS (
   FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2)"""
 
 
-def brand_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(brand_a, brand_b, n): how many strong part pairs join two brands, in the order of parts; loops among them."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    strong = links(spark, sf_dir).filter("score >= 60")
-    named = strong.join(part.toDF("a", "brand_a"), "a").join(part.toDF("b", "brand_b"), "b")
-    return named.groupBy("brand_a", "brand_b").agg(F.count("*").alias("n"))
+def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): parts of two lines of one order, as they come: repeated, in either order, loops among them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"), F.col("l_linenumber").alias("i"))
+    return lines.join(lines.toDF("l_orderkey", "b", "j"), "l_orderkey").filter("i < j").select("a", "b")
 
 
-BRAND_PAIRS = (
-    LINKS
-    + """,
-brand_pairs AS (
-  SELECT pa.p_brand AS brand_a, pb.p_brand AS brand_b, count(*) AS n
-  FROM links JOIN part pa ON pa.p_partkey = a JOIN part pb ON pb.p_partkey = b WHERE score >= 60 GROUP BY 1, 2)"""
-)
+RAW_PAIRS = "raw_pairs AS (SELECT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber)"
 
 
-def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The symmetric 0/1 network of the strongest 30 % of brand pairs without loops."""
-    from ..operators.clean import drop_self_interactions, top_fraction
+def edges(spark: SparkSession, sf_dir: str, share: float = 0.3) -> DataFrame:
+    """The symmetric 0/1 network of the strongest links of parts."""
+    from ..operators.clean import top_fraction
     from ..operators.network import binary_adjacency
 
-    pairs = drop_self_interactions(brand_pairs(spark, sf_dir), "brand_a", "brand_b")
-    return binary_adjacency(top_fraction(pairs, "n", 0.3, ["brand_a", "brand_b"]), "brand_a", "brand_b")
+    # counted and then searched: the pairs are made once
+    return binary_adjacency(top_fraction(materialise(links(spark, sf_dir), "links"), "score", share, ["a", "b"]), "a", "b")
+
+
+def edges_sql(share: float = 0.3) -> str:
+    return (
+        LINKS
+        + f""",
+ranked_links AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS r, count(*) OVER () AS total FROM links),
+top_links AS (SELECT a, b FROM ranked_links WHERE r <= round_even(total * {share}::DOUBLE, 0)),
+edges AS (SELECT a AS src, b AS dst, 1.0::DOUBLE AS weight FROM top_links UNION ALL SELECT b, a, 1.0::DOUBLE FROM top_links)"""
+    )
 
 
-BRAND_EDGES = (
-    BRAND_PAIRS
-    + """,
-ranked_pairs AS (SELECT *, row_number() OVER (ORDER BY n DESC, brand_a, brand_b) AS r, count(*) OVER () AS total FROM brand_pairs WHERE brand_a <> brand_b),
-top_pairs AS (SELECT brand_a, brand_b FROM ranked_pairs WHERE r <= round_even(total * 0.3, 0)),
-edges AS (SELECT brand_a AS src, brand_b AS dst, 1.0 AS weight FROM top_pairs UNION SELECT brand_b, brand_a, 1.0 FROM top_pairs)"""
-)
+EDGES = edges_sql()
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(individual, gene, value): number of large returned lines of each supplier and brand."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 45").select("l_suppkey", "l_partkey")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return lines.join(part, "l_partkey").groupBy(F.col("l_suppkey").alias("individual"), F.col("p_brand").alias("gene")).agg(F.count("*").cast("double").alias("value"))
+    """(individual, gene, value): number of lines of each supplier and part."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_suppkey").alias("individual"), F.col("l_partkey").alias("gene")).agg(F.count("*").cast("double").alias("value"))
+
+
+PROFILE = "profile AS (SELECT l_suppkey AS individual, l_partkey AS gene, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"
 
 
-PROFILE = """profile AS (
-  SELECT l_suppkey AS individual, p_brand AS gene, CAST(count(*) AS DOUBLE) AS value
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1, 2)"""
+def nation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(individual, gene, value): number of lines of each supplier nation and part; few individuals, all genes."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("gene"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("individual"))
+    return lines.join(own, "l_suppkey").groupBy("individual", "gene").agg(F.count("*").cast("double").alias("value"))
+
+
+NATION_PROFILE = "profile AS (SELECT s_nationkey AS individual, l_partkey AS gene, CAST(count(*) AS DOUBLE) AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)"
 
 
 def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +111,20 @@ MEMBERS = """members AS (
     CAST(c_nationkey AS DOUBLE) AS vineland, c_acctbal * c_nationkey AS distance, burden
   FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS burden FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
 
+def supplier_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with role, sex and measures, for what describes clusters of them."""
+    own = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("individual"),
+        F.when(F.col("s_nationkey") % 3 == 0, "sibling").when(F.col("s_nationkey") % 3 == 1, "proband").alias("role"),
+        F.when(F.col("s_nationkey") < 12, "female").otherwise("male").alias("sex"),
+        F.col("s_acctbal").alias("iq"),
+        F.col("s_nationkey").cast("double").alias("srs"),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("individual"))
+    sold = lines.agg(F.avg("l_quantity").alias("vineland"), F.avg("l_discount").alias("distance"), F.count("*").cast("double").alias("burden"))
+    return own.join(sold, "individual", "left")
+
+
 REPLICATES = 12
 
 
