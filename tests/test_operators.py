@@ -5,8 +5,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tests.plain import modularity, naive_linkage, plain_nndsvd, plain_replicate
 
-from netstrata.functions import tails
+from netstrata.functions import scratch, tails
+from netstrata.jobs import stratify as job
 from netstrata.jobs.stratify import stratify
 from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, mapping, network, normalize, profiles, stats, sweep
 from netstrata.sources import io
@@ -141,12 +144,16 @@ def test_propagation(spark):
     assert np.allclose(dense([tuple(r) for r in diffusion.propagate(profile, table, 0.5, 0.05).collect()], 25, 20), now)
 
 
-def test_influence_blocks_are_the_relational_form(spark):
+def test_influence_blocks_are_the_relational_form(spark, monkeypatch):
     _, a, _, edges = random_case(spark)
     net, _ = column_normalised(a)
     one = (0.6 * np.eye(20) @ net + 0.4 * np.eye(20)) * a
     assert np.allclose(dense([tuple(r) for r in diffusion.network_influence(edges, 0.6).collect()], 20), one)
-    assert np.allclose(dense([tuple(r) for r in diffusion.influence_blocks(edges, 0.6, 1, block=7).collect()], 20), one)
+    two = (0.6 * (0.6 * np.eye(20) @ net + 0.4 * np.eye(20)) @ net + 0.4 * np.eye(20)) * a
+    for numbers, most in ((1 << 23, 10**6), (300, 10**6), (300, 3)):  # one block, many blocks, too large for blocks
+        monkeypatch.setattr(diffusion, "BLOCK_NUMBERS", numbers)
+        for steps, want in ((1, one), (2, two)):
+            assert np.allclose(dense([tuple(r) for r in diffusion.influence_blocks(edges, 0.6, steps, most).collect()], 20), want)
 
 
 @pytest.mark.parametrize("stat", ["mean", "median"])
@@ -249,40 +256,15 @@ def test_consensus_blocks_are_brute_force(spark):
         assert abs(r.distance - np.linalg.norm(m[r.id_a] - m[r.id_b])) < 1e-6
 
 
-def naive_linkage(d, method):
-    """Heights and member sets of the merges, the nearest pair first."""
-    d = {frozenset(k): v for k, v in d.items()}
-    size = {i: 1 for k in d for i in k}
-    members = {i: {i} for i in size}
-    out = []
-    while len(size) > 1:
-        pair = min(d, key=lambda k: (d[k], min(k), max(k)))
-        a, b = min(pair), max(pair)
-        height = d.pop(pair)
-        for c in [c for c in size if c not in pair]:
-            x, y = d.pop(frozenset((a, c))), d.pop(frozenset((b, c)))
-            na, nb, nc = size[a], size[b], size[c]
-            d[frozenset((a, c))] = {
-                "single": min(x, y),
-                "complete": max(x, y),
-                "average": (na * x + nb * y) / (na + nb),
-                "weighted": (x + y) / 2,
-                "ward": math.sqrt(max(0, ((na + nc) * x * x + (nb + nc) * y * y - nc * height * height) / (na + nb + nc))),
-            }[method]
-        size[a] += size.pop(b)
-        members[a] |= members.pop(b)
-        out.append((height, frozenset(members[a])))
-    return sorted(out, key=lambda r: (r[0], len(r[1])))
-
-
-@pytest.mark.parametrize("method", hierarchy.METHODS)
-def test_linkage(spark, method):
+@pytest.mark.parametrize("method, in_task", [(m, n) for m in hierarchy.METHODS for n in (hierarchy.IN_TASK, 4)])
+def test_linkage(spark, method, in_task):
     rng = np.random.default_rng(8)
     points = rng.random((14, 3))
     d = {(a, b): float(np.linalg.norm(points[a] - points[b])) for a in range(14) for b in range(a + 1, 14)}
     dist = spark.createDataFrame([(a, b, v) for (a, b), v in d.items()], "id_a long, id_b long, distance double")
     want = naive_linkage(d, method)
-    rows = sorted(hierarchy.linkage(dist, method).collect(), key=lambda r: r.step)
+    rows = sorted(hierarchy.linkage(dist, method, in_task).collect(), key=lambda r: r.step)
+    assert [r.step for r in rows] == list(range(1, 14))
     members = {i: {i} for i in range(14)}
     got = []
     for r in rows:
@@ -291,7 +273,7 @@ def test_linkage(spark, method):
         assert r.size == len(members[r.left])
         got.append((r.height, frozenset(members[r.left])))
     assert [g[1] for g in got] == [w[1] for w in want] and np.allclose([g[0] for g in got], [w[0] for w in want])
-    if method != "average":
+    if method not in ("average", "single") or in_task == 4:
         return
     merges = spark.createDataFrame(rows)
     for k in (1, 3, 14):
@@ -311,6 +293,22 @@ def test_linkage(spark, method):
     assert abs(hierarchy.cophenetic_correlation(dist, merges).first().correlation - r) < 1e-9
 
 
+@pytest.mark.parametrize("in_task", [hierarchy.IN_TASK, 3])
+def test_chain(spark, in_task):
+    """Points at growing steps: single linkage adds one at a time, so the tree is as deep as it has leaves."""
+    at = np.cumsum(np.arange(1, 31))
+    names = [f"n{i:02}" for i in range(30)]
+    pairs = [(names[i], names[j], float(at[j] - at[i])) for i in range(30) for j in range(i + 1, 30)]
+    dist = spark.createDataFrame(pairs, "id_a string, id_b string, distance double")
+    merges = scratch.materialise(hierarchy.linkage(dist, "single", in_task), "chain")
+    rows = sorted(merges.collect(), key=lambda r: r.step)
+    assert [(r.left, r.right, r.height, r.size) for r in rows] == [("n00", names[i], float(i + 1), i + 1) for i in range(1, 30)]
+    order = {r.id: r.position for r in hierarchy.leaf_order(merges).collect()}
+    assert [order[n] for n in reversed(names)] == [*range(28), 29, 28] or sorted(order.values()) == list(range(30))
+    heights = {(r.id_a, r.id_b): r.height for r in hierarchy.cophenetic_distance(merges).collect()}
+    assert heights == {(names[i], names[j]): float(j + 1) for i in range(30) for j in range(i + 1, 30)}
+
+
 def test_linkage_with_ties_and_nothing(spark):
     dist = spark.createDataFrame([(a, b, 1.0) for a in range(6) for b in range(a + 1, 6)], "id_a long, id_b long, distance double")
     rows = hierarchy.linkage(dist, "average").collect()
@@ -410,12 +408,64 @@ def test_burden_histogram_of_one_value(spark):
 def test_replicates_without_lambda_are_plain(spark, monkeypatch):
     cells = [(f"i{i:02}", f"g{g:02}", 1.0 + (i * g) % 3) for i in range(10) for g in range(8) if (i < 5) == (g < 4) or (i + g) % 7 == 0]
     profile = spark.createDataFrame(cells, "individual string, gene string, value double")
+    edges = spark.createDataFrame([("g00", "g01", 1.0), ("g01", "g00", 1.0)], "src string, dst string, weight double")
     made, plain = [], factorize.nmf
     monkeypatch.setattr(factorize, "nmf", lambda *given: made.append(plain(*given)) or made[-1])
-    labels, _ = factorize.bootstrap_labels(profile, None, 2, 1, lambd=0.0, max_iter=1)
+    labels, _ = factorize.bootstrap_labels(profile, None, 2, 1, lambd=0.0, max_iter=1, tol=None, block_cells=0)
     found = {r.id: r.cluster for r in labels.collect()}
     want = {r.id: max(range(2), key=lambda i: (r.weights[i], -i)) for r in made[0][0].collect()}
     assert len(found) == 8 and len(made) == 1 and all(found[i] == c for i, c in want.items())
+    for given in ({"edges": None}, {"edges": edges, "lambd": 0.0}, {"edges": edges, "raw": True}):  # in blocks
+        labels, _ = factorize.bootstrap_labels(profile, given.pop("edges"), 2, 1, max_iter=1, tol=None, **given)
+        assert {r.id: r.cluster for r in labels.collect()} == found
+    assert len(made) == 1
+
+
+def test_replicates_against_a_plain_one(spark):
+    x, a, profile, edges = random_case(spark, seed=11)
+    cells = {(i, g): float(x[i, g]) for i, g in zip(*np.nonzero(x), strict=True)}
+    weights = {(g, o): 1.0 for g, o in zip(*np.nonzero(a), strict=True)}
+    people, genes = sorted({i for i, _ in cells}), sorted({g for _, g in cells})
+    for k in (2, 3):
+        found = factorize.bootstrap_labels(profile, edges, k, 3, lambd=2.0, max_iter=4, tol=None)
+        got = {("individual", r.replicate, r.id): r.cluster for r in found[0].collect()} | {("gene", r.replicate, r.id): r.cluster for r in found[1].collect()}
+        assert len(got) == 3 * (int(0.8 * len(people)) + int(0.8 * len(genes)))
+        for replicate in range(3):
+            want = plain_replicate(cells, weights, people, genes, replicate, k, 2.0, 4)
+            assert want and all(got[side, replicate, i] == label for (side, i), label in want.items())
+
+
+def test_one_component_keeps_its_weights(spark):
+    x, _, profile, edges = random_case(spark, seed=12)
+    found, genes = factorize.bootstrap_labels(profile, edges, 1, 1, max_iter=2, tol=None)
+    assert len({r.cluster for r in found.collect()}) > 2 and len({r.cluster for r in genes.collect()}) > 2
+    whole, _ = factorize.bootstrap_labels(profile, edges, 1, 1, max_iter=2, tol=None, block_cells=0)
+    assert dict(whole.dtypes)["cluster"] == "double"
+
+
+def test_factors_end_by_error_or_fall(spark):
+    rng = np.random.default_rng(13)
+    x = rng.random((6, 2)) @ rng.random((2, 5)) + 0.1
+    profile = cells(spark, x, ("individual", "gene", "value"))
+    w0, h0 = plain_nndsvd(x, 2)
+    start = lambda f: spark.createDataFrame([(i, [float(v) + 0.1 for v in row]) for i, row in enumerate(f)], "id long, weights array<double>")
+    far = factor_arrays(*factorize.gnmf(profile, None, start(w0), start(h0.T), 2, 0.0, 8), 6, 5, 2)
+    one = factor_arrays(*factorize.gnmf(profile, None, start(w0), start(h0.T), 2, 0.0, 8, tol=1e9), 6, 5, 2)
+    two = factor_arrays(*factorize.gnmf(profile, None, start(w0), start(h0.T), 2, 0.0, 8, fall=1.0), 6, 5, 2)
+    errors = [np.linalg.norm(x - f @ g) for f, g in (one, two, far)]
+    assert errors[0] > errors[1] > errors[2]
+    w, h = factorize.block_gnmf(x, (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), w0 + 0.1, h0 + 0.1, 0.0, None, 8)
+    assert np.allclose(w, far[0]) and np.allclose(h, far[1])
+
+
+def test_block_start_is_the_distributed_one(spark):
+    rng = np.random.default_rng(14)
+    for shape in ((12, 7), (7, 12)):
+        x = rng.random(shape)
+        want = plain_nndsvd(x, 3)
+        assert all(np.allclose(f, g, atol=1e-7) for f, g in zip(factorize.block_start(x, 3), want, strict=True))
+        found = factor_arrays(*factorize.nndsvd_init(cells(spark, x, ("individual", "gene", "value")), 3), *shape, 3)
+        assert all(np.allclose(f, g, atol=1e-6) for f, g in zip(found, want, strict=True))
 
 
 def test_replicates_use_edges_of_their_own_genes(spark):
@@ -427,3 +477,82 @@ def test_replicates_use_edges_of_their_own_genes(spark):
     x = spark.createDataFrame([(0, "i00", "g00", 1.0), (1, "i00", "g00", 1.0)], "replicate int, individual string, gene string, value double")
     h = {(r.replicate, r.id): r.weights[0] for r in factorize.update_h(x, w, runs, factorize.sampled_edges(edges, columns), 1, 1.0, ["replicate"]).collect()}
     assert h[0, "g00"] == pytest.approx(1.0) and h[0, "g01"] == pytest.approx(0.5) and h[1, "g00"] == pytest.approx(1.0)
+
+
+def test_medians_by_counts(spark):
+    rng = np.random.default_rng(15)
+    rows = [(int(rng.integers(0, 4)) if i else None, None if rng.random() < 0.2 else float(rng.integers(0, 9)), None if i % 50 else 1.0) for i in range(300)]
+    found = clusters.cluster_medians(spark.createDataFrame(rows, "cluster int, a double, b double"), ["cluster"], ["a", "b"]).collect()
+    assert len(found) == 5
+    for r in found:
+        for name, place in (("a", 1), ("b", 2)):
+            own = [row[place] for row in rows if row[0] == r.cluster and row[place] is not None]
+            assert r[f"median_{name}"] == (float(np.median(own)) if own else None)
+
+
+def test_log_factorials(spark):
+    numbers = [*range(40), 100, 12345, 10**9]
+    found = spark.createDataFrame([(n,) for n in [*numbers, -1, None]], "n long").select("n", tails.log_factorial(F.col("n")).alias("v"), tails.log_factorial(F.col("n").cast("double")).alias("w")).collect()
+    for r in found:
+        if r.n is None or r.n < 0:
+            assert r.v is None and r.w is None
+        else:
+            assert r.v == r.w and abs(r.v - math.lgamma(r.n + 1)) <= 2e-14 * max(1, math.lgamma(r.n + 1))
+
+
+def test_scratch_scopes_and_numbers(spark):
+    with scratch.temporary(spark) as result:
+        first = scratch.materialise(spark.range(5), "gone")
+        with scratch.temporary(spark) as inner:
+            second = inner(first, "inner")
+        kept = result(second.withColumn("x", F.lit(1)), "kept")
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="(?i)not exist|no such file|not found"):
+        first.count()
+    rows = spark.range(1000).select(F.xxhash64("id").alias("h"), "id").repartition(7)
+    found = scratch.numbered(rows, ["h"], "place").collect()
+    assert [r.place for r in sorted(found, key=lambda r: r.h)] == list(range(1000))
+    assert scratch.numbered(spark.range(0), ["id"]).collect() == []
+
+
+def test_communities_are_a_local_best(spark):
+    rng = np.random.default_rng(16)
+    pairs = [(a, b) for a, b in itertools.combinations(range(40), 2) if rng.random() < (0.5 if a // 10 == b // 10 else 0.05)]
+    table = network.binary_adjacency(spark.createDataFrame(pairs, "a long, b long"), "a", "b")
+    found = {r.gene: r.community for r in diffusion.communities(table, 30).collect()}
+    edges = [(a, b) for a, b in pairs] + [(b, a) for a, b in pairs]
+    best = modularity(edges, found)
+    assert best > 0.3
+    for gene in found:
+        for community in set(found.values()):
+            assert modularity(edges, found | {gene: community}) <= best + 1e-9
+
+
+@pytest.mark.parametrize("mut_type, influence", [("raw", "min"), ("propagated", "max"), ("median_qn", "min")])
+def test_runs_by_their_parameters(spark, mut_type, influence):
+    rng = np.random.default_rng(17)
+    edges = [(a + 10 * p, a + 10 * p + s) for p in range(2) for a in range(10) for s in (1, 2) if a + s < 10]
+    rows = [(i, int(g) + 10 * (i % 2), 1.0) for i in range(16) for g in rng.choice(10, 6, replace=False)]
+    table = network.binary_adjacency(spark.createDataFrame(edges, "a long, b long"), "a", "b")
+    found = job.run(spark.createDataFrame(rows, "individual long, gene long, value double"), None if mut_type == "raw" else table, spark.createDataFrame([(i,) for i in range(16)], "individual long"), 2, 8, max_iter=30, mut_type=mut_type, influence=influence, genes=True)
+    for key, n, kind in (("clusters", 16, lambda i: i % 2), ("gene_clusters", 20, lambda g: g // 10)):
+        cluster = {r[0]: r.cluster for r in found[key].collect()}
+        assert len(cluster) == n
+        right = sum((cluster[i] == cluster[j]) == (kind(i) == kind(j)) for i in cluster for j in cluster if i < j) / (n * (n - 1) / 2)
+        assert right > 0.9, (key, right)
+    members = spark.createDataFrame([(i, "sibling" if i % 2 else "proband", "male", float(i), 1.0, 2.0, 3.0, 4.0) for i in range(16)], "individual long, role string, sex string, iq double, srs double, vineland double, distance double, burden double")
+    rows = job.evidence(found["clusters"], members, 2).collect()
+    assert sum(r.value for r in rows if (r.what, r.measure) == ("count", "n_total")) == 16
+    assert {r.measure for r in rows if r.what == "p"} == {"sibling", "female", *clusters.MEASURES}
+    assert min(r.value for r in rows if (r.what, r.measure) == ("p", "sibling")) < 0.01
+
+
+def test_grids_do_what_is_missing(spark, tmp_path, monkeypatch):
+    grid = sweep.resolve_run(sweep.parameter_grid(spark, mut_type=["raw"], network=["none"], qn_mode=["none"])).crossJoin(sweep.parameter_grid(spark, k=[2, 3]))
+    done = []
+    monkeypatch.setattr(job, "run", lambda *given, **more: done.append(given[3]) or {"clusters": spark.createDataFrame([(1, given[3])], "individual long, cluster int")})
+    people = spark.createDataFrame([(1,)], "individual long")
+    first = job.run_grid(grid.filter("k = 2"), None, None, people, str(tmp_path / "runs"))
+    assert done == [2] and first.count() == 1
+    whole = job.run_grid(grid, None, None, people, str(tmp_path / "runs"))
+    assert done == [2, 3] and {(r.k, r.cluster, r.label) for r in whole.collect()} == {(2, 2, "raw"), (3, 3, "raw")}
