@@ -12,8 +12,9 @@ so 1024-bit fingerprints of the distinct shingles, sharded by minima of shingle
 shingle hashes decide; see its docstring.
 
 Nulls and odd input: null, empty and blank texts have fingerprint zero and are linked like any other. A row with null
-doc_id gets its fingerprint's component. Equal rows keep one row each. Empty tables give no rows. Other columns of the
-input are ignored (link functions) or kept (near_duplicates).
+doc_id gets its fingerprint's component. Equal rows keep one row each. Very long texts take memory in proportion in the
+task that reads them. Empty tables give no rows. Other columns of the input are ignored (link functions) or kept
+(near_duplicates).
 """
 
 from __future__ import annotations

@@ -41,8 +41,10 @@ def test_quality_query_against_sql_and_python(spark):
 
 
 def test_quality_plan_has_no_python(spark):
-    plan = quality.op3_quality_rules(spark, MEDIUM)._jdf.queryExecution().executedPlan().toString()
+    plan = quality.measures(spark.read.parquet(f"{MEDIUM}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+    plan = quality.op3_quality_rules(spark, MEDIUM)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|hashpartitioning", plan)  # a small file is dealt over the cores
 
 
 def test_quality_odd_rows(spark):
