@@ -147,7 +147,7 @@ def p2_strip_prefix(spark, sf_dir):
 @query("p3_top_fraction", f"WITH {t.LINKS}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS r, count(*) OVER () AS n FROM links) SELECT a, b, score FROM r WHERE r <= round_even(n * 0.1, 0)")
 def p3_top_fraction(spark, sf_dir):
     """P3, K3."""
-    return clean.top_fraction(t.links(spark, sf_dir), "score", 0.1, ["a", "b"])
+    return clean.top_fraction(materialise(t.links(spark, sf_dir), "links"), "score", 0.1, ["a", "b"])
 
 
 _HALF = "half AS (SELECT a, b, CASE WHEN a % 3 <> 0 THEN CAST(a AS DOUBLE) END AS id_a, CASE WHEN b % 4 <> 0 THEN CAST(b AS DOUBLE) END AS id_b FROM links)"
@@ -682,10 +682,13 @@ def g4_network_influence(spark, sf_dir):
     return diffusion.network_influence(materialise(t.edges(spark, sf_dir), "edges"), 0.6).withColumn("value", r6("value"))
 
 
-@query("g4_influence_blocks", f"WITH {t.EDGES}, {_LOOPS}, {_SEEDS}, i2 AS (SELECT seed, gene, sum(v) AS value FROM (SELECT seed, dst AS gene, 0.6 * value * weight AS v FROM i1 JOIN network ON gene = src UNION ALL SELECT seed, gene, 0.4 * value FROM seeds) GROUP BY 1, 2) SELECT src, dst, round(value * weight, 8) AS value FROM i2 JOIN edges ON src = seed AND dst = gene")
+_SEEDS_S, _TWO_STEPS = (x.replace("0.6 *", "0.581 *").replace("0.4 *", "0.419 *") for x in (_SEEDS, "i2 AS (SELECT seed, gene, sum(v) AS value FROM (SELECT seed, dst AS gene, 0.6 * value * weight AS v FROM i1 JOIN network ON gene = src UNION ALL SELECT seed, gene, 0.4 * value FROM seeds) GROUP BY 1, 2)"))
+
+
+@query("g4_influence_blocks", f"WITH {t.EDGES}, {_LOOPS}, {_SEEDS_S}, {_TWO_STEPS} SELECT src, dst, round(value * weight, 6) AS value FROM i2 JOIN edges ON src = seed AND dst = gene")
 def g4_influence_blocks(spark, sf_dir):
     """Two steps in blocks of seeds."""
-    return diffusion.influence_blocks(materialise(t.edges(spark, sf_dir), "edges"), 0.6, 2).withColumn("value", F.round("value", 8))
+    return diffusion.influence_blocks(materialise(t.edges(spark, sf_dir), "edges"), sweep.ALPHA_STRING, 2).withColumn("value", r6("value"))
 
 
 _DIRECTED = "m AS (SELECT a AS src, b AS dst, CAST(count(*) AS DOUBLE) AS value FROM raw_pairs GROUP BY 1, 2), pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(value) AS hi, CASE WHEN count(*) = 2 THEN min(value) END AS lo FROM m WHERE src <> dst GROUP BY 1, 2)"
@@ -863,7 +866,7 @@ def f12_cophenetic(spark, sf_dir):
 def _chi2_sql(statistic: str, df: str) -> str:
     """P(chi-square with df degrees > statistic), by the series of the incomplete gamma function."""
     x, a = f"({statistic} / 2.0)", f"({df} / 2.0)"
-    return f"(CASE WHEN {statistic} > 0 AND {df} > 0 THEN greatest(0, 1 - list_sum([exp(({a} + n) * ln({x}) - {x} - lgamma({a} + n + 1)) for n in range(600)])) WHEN {statistic} IS NOT NULL AND {df} > 0 THEN 1.0 END)"
+    return f"(CASE WHEN {statistic} > 400 + 2 * {df} THEN 0.0 WHEN {statistic} > 0 AND {df} > 0 THEN greatest(0, 1 - list_sum([exp(({a} + n) * ln({x}) - {x} - lgamma({a} + n + 1)) for n in range(600)])) WHEN {statistic} IS NOT NULL AND {df} > 0 THEN 1.0 END)"
 
 
 def _kolmogorov_sql(x: str) -> str:

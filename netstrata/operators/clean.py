@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scratch import materialise
 
 def filter_species(df: DataFrame, cols: list[str], tag: str) -> DataFrame:
     """Rows whose endpoint names all contain the tag; null names don't."""
@@ -35,9 +36,10 @@ def top_fraction(df: DataFrame, score: str, frac: float, tiebreak: list[str]) ->
     """The n = round-half-even(rows * frac) rows with the largest scores; ties by the tiebreak columns, ascending.
 
     Counts by score give the score at which the rows run out, so only rows of that one score are ranked, and only if
-    they don't all fit. Integer-like scores have few values; the counts are a table of distinct scores.
+    they don't all fit. Integer-like scores have few values; the counts are a table of distinct scores, written once. The
+    rows are read three times, so give a written table where they are dear to make.
     """
-    counts = df.groupBy(score).agg(F.count("*").alias("_n"))
+    counts = materialise(df.groupBy(score).agg(F.count("*").alias("_n")), "score-counts")
     total = counts.agg(F.bround(F.coalesce(F.sum("_n"), F.lit(0)) * F.lit(frac)).cast("long").alias("_want"))
     # running counts over ranges of scores: partial sums of 1024 slices, then within a slice
     edge = counts.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
