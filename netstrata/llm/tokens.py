@@ -52,7 +52,7 @@ class WordEncoder(dict):
     SIGNS = b".,*%$&#|;:!?"
     CHUNK = 1 << 16
 
-    def __init__(self, path: str, limit: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 48):
         super().__init__({b"": b""})
         single_threaded()
         from tokenizers import Tokenizer
