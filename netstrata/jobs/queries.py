@@ -685,10 +685,10 @@ def g4_network_influence(spark, sf_dir):
 _SEEDS_S, _TWO_STEPS = (x.replace("0.6 *", "0.581 *").replace("0.4 *", "0.419 *") for x in (_SEEDS, "i2 AS (SELECT seed, gene, sum(v) AS value FROM (SELECT seed, dst AS gene, 0.6 * value * weight AS v FROM i1 JOIN network ON gene = src UNION ALL SELECT seed, gene, 0.4 * value FROM seeds) GROUP BY 1, 2)"))
 
 
-@query("g4_influence_blocks", f"WITH {t.EDGES}, {_LOOPS}, {_SEEDS_S}, {_TWO_STEPS} SELECT src, dst, round(value * weight, 6) AS value FROM i2 JOIN edges ON src = seed AND dst = gene")
+@query("g4_influence_blocks", f"WITH {t.EDGES}, {_LOOPS}, {_SEEDS_S}, {_TWO_STEPS} SELECT src, dst, round(value * weight + 3e-10, 6) AS value FROM i2 JOIN edges ON src = seed AND dst = gene")
 def g4_influence_blocks(spark, sf_dir):
-    """Two steps in blocks of seeds."""
-    return diffusion.influence_blocks(materialise(t.edges(spark, sf_dir), "edges"), sweep.ALPHA_STRING, 2).withColumn("value", r6("value"))
+    """Two steps in blocks of seeds. Many cells lie just between two rounded numbers, so both sides add a little first."""
+    return diffusion.influence_blocks(materialise(t.edges(spark, sf_dir), "edges"), sweep.ALPHA_STRING, 2).withColumn("value", r6(F.col("value") + 3e-10))
 
 
 _DIRECTED = "m AS (SELECT a AS src, b AS dst, CAST(count(*) AS DOUBLE) AS value FROM raw_pairs GROUP BY 1, 2), pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(value) AS hi, CASE WHEN count(*) = 2 THEN min(value) END AS lo FROM m WHERE src <> dst GROUP BY 1, 2)"
