@@ -1056,7 +1056,7 @@ def r2_resolve_run(spark, sf_dir):
 
 def _whole_run(spark, sf_dir, **parameters):
     edges = t.edges(spark, sf_dir)
-    return job.run(t.profile(spark, sf_dir), edges, t.individuals(spark, sf_dir), 3, **({"n_replicates": 20} | parameters))
+    return job.run(t.profile(spark, sf_dir), edges, t.individuals(spark, sf_dir), 3, **({"n_replicates": 16} | parameters))
 
 
 @query("stratify")
