@@ -799,7 +799,7 @@ def f3_nmf(spark, sf_dir):
 def f5_bootstrap_labels(spark, sf_dir):
     """replicates side by side, labels of individuals and genes."""
     x = materialise(t.profile(spark, sf_dir), "profile")
-    people, genes = factorize.bootstrap_labels(x, materialise(t.edges(spark, sf_dir), "edges"), 3, 20)
+    people, genes = factorize.bootstrap_labels(x, materialise(t.edges(spark, sf_dir), "edges"), 3, 8)
     own = lambda f, side: f.select(F.lit(side).alias("side"), "replicate", "id", "cluster")
     return own(people, "individual").union(own(genes, "gene"))
 
