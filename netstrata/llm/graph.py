@@ -9,12 +9,18 @@ from .common import materialise
 
 #: Rounds grow with the logarithm of the largest component; more than this means an error.
 MOST_ROUNDS = 60
+#: Tasks that the larger neighbours of one node are dealt over.
+SALTS = 16
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Link each node's larger neighbours to its smallest one. The neighbours of a hot node are dealt by salts, of which every
+    node that has larger neighbours, few once stars have formed, gets a copy."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.max("b").alias("top")).filter("top > a")
+    copies = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    larger = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return larger.join(copies, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
