@@ -44,7 +44,7 @@ WIDTH = REACH + LENGTH
 #: Fills segments past the ends of a document; no UTF-8 text has this byte.
 OUTSIDE = 0xFF
 #: Segments that a task sorts together, twice as many in memory; entries of a block of a queue; largest shard.
-IN_MEMORY, BLOCK, CROWD = 6_000, 1 << 20, 10_000
+IN_MEMORY, BLOCK, CROWD = 16_000, 1 << 20, 500_000
 #: Largest bitmap (2 ** 27 bits are 16 MB) by which anchors with single pieces are left out before the shuffle.
 MOST_BITS = 27
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
