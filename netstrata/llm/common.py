@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.scratch import materialise, new_path, shared_dir, temporary
 
-__all__ = ["forget", "kept", "local_path", "materialise", "new_path", "shared_dir", "single_threaded", "slices", "table", "temporary"]
+__all__ = ["delete", "forget", "kept", "local_path", "materialise", "new_path", "shared_dir", "single_threaded", "slices", "table", "temporary"]
 
 #: Rows of an Arrow batch that a Python step holds as Python objects at once.
 SLICE_ROWS = 128
@@ -47,6 +47,12 @@ def forget() -> None:
     _KEPT.clear()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder that nothing needs any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def local_path(path: str) -> str:
     """A path of the shared folder as one of this machine, for files that tasks write and map themselves."""
     scheme, _, rest = path.rpartition(":")

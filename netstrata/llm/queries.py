@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fim import OP12_SQL, op12_fill_in_middle
 from .langid import op10_language_id
 from .lines import OP9_SQL, op9_line_dedup
 from .media import op7_media_columns
+from .neighbours import op13_nearest_neighbours
 from .packing import op5_packing
 from .pieces import op4_sentencepiece
 from .quality import OP3_SQL, op3_quality_rules
@@ -16,6 +18,7 @@ from .simhash import op6_simhash
 from .suffix import op8_suffix_dedup
 from .tokens import op2_token_output
 from .urls import op1_url_filter
+from .vectorcode import op11_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_language_id": op10_language_id,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op9_line_dedup": OP9_SQL, "op12_fill_in_middle": OP12_SQL}
