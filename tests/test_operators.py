@@ -11,7 +11,7 @@ from tests.plain import modularity, naive_linkage, plain_nndsvd, plain_replicate
 from netstrata.functions import scratch, tails
 from netstrata.jobs import stratify as job
 from netstrata.jobs.stratify import stratify
-from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, mapping, network, normalize, profiles, stats, sweep
+from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, mapping, network, normalize, profiles, stats, svd, sweep
 from netstrata.sources import io
 
 PAIRS = [(1, 2), (1, 4), (2, 6), (3, 6), (4, 6), (5, 5), (2, 1)]
@@ -218,7 +218,7 @@ def test_gnmf_is_the_update_rule_and_falls(spark):
         last = new
 
 
-def test_nndsvd_and_nmf(spark):
+def test_nndsvd_and_nmf(spark, one_round):
     rng = np.random.default_rng(6)
     x = (rng.random((15, 2)) @ rng.random((2, 10))) + 0.01
     profile = cells(spark, x, ("individual", "gene", "value"))
@@ -226,7 +226,7 @@ def test_nndsvd_and_nmf(spark):
     assert (w >= 0).all() and (h >= 0).all()
     u, s, _ = np.linalg.svd(x)
     assert np.allclose(w[:, 0], np.abs(u[:, 0]) * np.sqrt(s[0]))
-    w, h = factorize.nmf(profile, 2, max_iter=40)
+    w, h = factorize.nmf(profile, 2, max_iter=12)
     a, b = factor_arrays(w, h, 15, 10, 2)
     assert np.linalg.norm(x - a @ b) < 0.02 * np.linalg.norm(x) and (a >= 0).all() and (b >= 0).all()
 
@@ -405,7 +405,7 @@ def test_burden_histogram_of_one_value(spark):
     assert sum(r.n for r in rows) == 2 and abs(sum(r.density for r in rows) * 0.25 - 1) < 1e-9
 
 
-def test_replicates_without_lambda_are_plain(spark, monkeypatch):
+def test_replicates_without_lambda_are_plain(spark, monkeypatch, one_round):
     cells = [(f"i{i:02}", f"g{g:02}", 1.0 + (i * g) % 3) for i in range(10) for g in range(8) if (i < 5) == (g < 4) or (i + g) % 7 == 0]
     profile = spark.createDataFrame(cells, "individual string, gene string, value double")
     edges = spark.createDataFrame([("g00", "g01", 1.0), ("g01", "g00", 1.0)], "src string, dst string, weight double")
@@ -435,7 +435,7 @@ def test_replicates_against_a_plain_one(spark):
             assert want and all(got[side, replicate, i] == label for (side, i), label in want.items())
 
 
-def test_one_component_keeps_its_weights(spark):
+def test_one_component_keeps_its_weights(spark, one_round):
     x, _, profile, edges = random_case(spark, seed=12)
     found, genes = factorize.bootstrap_labels(profile, edges, 1, 1, max_iter=2, tol=None)
     assert len({r.cluster for r in found.collect()}) > 2 and len({r.cluster for r in genes.collect()}) > 2
@@ -458,16 +458,76 @@ def test_factors_end_by_error_or_fall(spark):
     assert np.allclose(w, far[0]) and np.allclose(h, far[1])
 
 
-def test_block_start_is_the_distributed_one(spark):
+def test_block_start_is_the_distributed_one(spark, one_round):
     rng = np.random.default_rng(14)
     for shape in ((12, 7), (7, 12)):
         x = rng.random(shape)
         want = plain_nndsvd(x, 3)
-        assert all(np.allclose(f, g, atol=1e-7) for f, g in zip(factorize.block_start(x, 3), want, strict=True))
+        assert all(np.allclose(f, g, atol=1e-7) for f, g in zip(factorize.block_start(x, list(range(shape[1])), 3), want, strict=True))
         found = factor_arrays(*factorize.nndsvd_init(cells(spark, x, ("individual", "gene", "value")), 3), *shape, 3)
         assert all(np.allclose(f, g, atol=1e-6) for f, g in zip(found, want, strict=True))
 
 
+@pytest.fixture
+def one_round(monkeypatch):
+    """Enough where the sketch spans everything."""
+    monkeypatch.setattr(svd, "ROUNDS", 1)
+
+
+def test_randomised_svd_by_run(spark):
+    """Two runs at once: against numpy where the sketch spans everything, against the same steps on a matrix where it doesn't."""
+    rng = np.random.default_rng(21)
+    small, large = rng.random((6, 9)), rng.random((40, 60)) * (rng.random((40, 60)) < 0.3) + np.outer(np.arange(40) % 3 == 0, np.arange(60) % 4 == 0)
+    rows = [(run, int(i), int(j), float(x[i, j])) for run, x in (("a", small), ("b", large)) for i, j in zip(*np.nonzero(x), strict=True)]
+    table = spark.createDataFrame(rows, "run string, individual long, gene long, value double").repartition(7)
+    left, values, right = svd.randomised_svd(table, 3, ["run"])
+    s = {r.run: r.s for r in values.collect()}
+    side = {name: {(r.run, r.id): r.weights for r in df.collect()} for name, df in (("left", left), ("right", right))}
+    exact = np.linalg.svd(small)[1]
+    assert np.allclose(s["a"], exact[:3])
+    u, own, v = svd.block_svd(large, list(range(60)), 3)
+    assert np.allclose(s["b"], own) and np.allclose(own, np.linalg.svd(large)[1][:3], rtol=0.02) and np.isclose(own[0], np.linalg.svd(large)[1][0], rtol=1e-9)
+    for name, want in (("left", u), ("right", v)):
+        got = np.array([side[name]["b", i] for i in range(len(want))])
+        assert np.allclose(np.abs((got * want).sum(axis=0)), 1, atol=1e-8)  # the same vectors but for signs
+    assert np.allclose(np.array([side["left"]["a", i] for i in range(6)]).T @ np.array([side["left"]["a", i] for i in range(6)]), np.eye(3), atol=1e-9)
+
+
+def test_triangles_of_many_parts(spark, one_round):
+    rng = np.random.default_rng(22)
+    f = rng.random((500, 4))
+    f[:, 3] = f[:, 0] + f[:, 1]  # of rank 3
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(f)], "id long, weights array<double>").repartition(23)
+    (r,) = svd.triangles(table, 4, []).collect()
+    r = np.array(r.r).reshape(-1, 4)
+    assert np.allclose(r.T @ r, f.T @ f)
+    left, values, right = svd.randomised_svd(cells(spark, f, ("individual", "gene", "value")), 4)
+    s = values.first().s
+    assert np.allclose(s, np.r_[np.linalg.svd(f)[1][:3], 0]) and all(row.weights[3] == 0 for row in left.collect() + right.collect())
+
+
+def test_starts_of_empty_and_small_matrices(spark, one_round):
+    empty = spark.createDataFrame([], "individual long, gene long, value double")
+    assert all(f.count() == 0 for f in factorize.nndsvd_init(empty, 2))
+    one = spark.createDataFrame([(1, 1, 4.0)], "individual long, gene long, value double")
+    w, h = (f.first().weights for f in factorize.nndsvd_init(one, 3))
+    assert np.allclose(w, [2, 0, 0]) and np.allclose(h, [2, 0, 0])
+    assert all(np.allclose(f, g) for f, g in zip(factorize.block_start(np.array([[4.0]]), [1], 3), ([[2, 0, 0]], [[2], [0], [0]]), strict=True))
+
+
+@pytest.mark.parametrize("lambd", [0.0, 2.0])
+def test_replicates_are_the_same_in_blocks_and_as_tables(spark, one_round, lambd):
+    rng = np.random.default_rng(23)
+    x = (rng.random((40, 60)) < 0.15) * rng.integers(1, 4, (40, 60)) + np.kron(np.eye(2), np.ones((20, 30))) * (rng.random((40, 60)) < 0.3)
+    a = np.triu(rng.random((60, 60)) < 0.1, 1)
+    profile, edges = cells(spark, x, ("individual", "gene", "value")), cells(spark, (a | a.T).astype(float), ("src", "dst", "weight"))
+    tol = 5e-3 if lambd == 0 else 20.0  # replicates end by themselves
+    found = [factorize.bootstrap_labels(profile, edges, 3, 2, lambd=lambd, max_iter=4, tol=tol, block_cells=most) for most in (0, 1 << 20)]
+    for one, other in zip(*found, strict=True):
+        one, other = ({(r.replicate, r.id): r.cluster for r in df.collect()} for df in (one, other))
+        assert one.keys() == other.keys() and one == other and len(set(one.values())) == 3
+
+
 def test_replicates_use_edges_of_their_own_genes(spark):
     edges = spark.createDataFrame([(f"g{a:02}", f"g{b:02}", 1.0) for a in range(4) for b in range(4) if a != b], "src string, dst string, weight double")
     columns = spark.createDataFrame([(0, "g00"), (0, "g01"), (1, "g00")], "replicate int, gene string")
