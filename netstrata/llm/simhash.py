@@ -4,7 +4,7 @@
 within a small radius: of radius + 1 blocks of bits at least one is equal in both, so block values are shard keys, a
 shard's tree is built by the task that holds it, and every task returns one edge for each item of a local component
 rather than all pairs. A shard over ``HOT`` items is dealt again by the blocks of its remaining bits, which must again
-agree in one place, so no link is lost.
+agree in one place, so no link is lost, and so on until it is small.
 
 ``near_duplicates`` is the wider search of the pipeline stage: five-word shingles and a similarity of 0.8. A radius of 3
 in 64 bits can't reach that similarity (it stands for about 10 differing bits, at which equal blocks no longer shard),
@@ -12,7 +12,7 @@ so 1024-bit fingerprints of the distinct shingles, sharded by minima of shingle
 shingle hashes decide; see its docstring.
 
 Nulls and odd input: null, empty and blank texts have fingerprint zero and are linked like any other. A row with null
-doc_id gets its fingerprint's component. Equal rows keep one row each. Very long texts take memory in proportion in the
+doc_id gets its component's smallest id (null where there is none), and links others. Equal rows keep one row each. Very long texts take memory in proportion in the
 task that reads them. Empty tables give no rows. Other columns of the input are ignored (link functions) or kept
 (near_duplicates).
 """
@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import forget, local_path, materialise, new_path, slices, table, temporary
+from .common import forget, keeps_columns, local_path, materialise, new_path, slices, table, temporary
 from .graph import components
 
 SEED = 42
 RADIUS = 3
 #: Items of a shard from which it is dealt again by further blocks.
 HOT = 4096
+#: Times that shards are dealt again at most; four blocks then have used up all but 20 bits.
+DEALS = 4
 #: Rows that a task searches together, when shards are small.
 GATHER = 100_000
 WHITE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -90,22 +92,39 @@ def _block(column: str, first: int, width: int) -> F.Column:
     return F.shiftrightunsigned(column, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _deal_again(rows: DataFrame, parts: int) -> DataFrame:
+    """rows(shard, simhash, node, mask) once for each of so many equal parts of the bits in their mask: the shard is that of
+    before and the part's value, and the mask loses the part."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, value, node, mask = (batch.column(c).to_numpy() for c in ("shard", "simhash", "node", "mask"))
+            for own in np.unique(mask):
+                at = np.flatnonzero(mask == own)
+                bits = [1 << i for i in range(64) if int(own) >> i & 1]
+                for j, (first, width) in enumerate(_cut(0, len(bits), parts)):
+                    part = np.array([sum(bits[first : first + width])], np.uint64).view(np.int64)[0]
+                    key = _mixed((shard[at] ^ np.int64(j + 1)).view(np.uint64), _ODD[:1])[:, 0] ^ _mixed((value[at] & part).view(np.uint64), _ODD[1:2])[:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value[at]), pa.array(node[at]), pa.array(np.full(len(at), own & ~part))], ["shard", "simhash", "node", "mask"])
+
+    return rows.mapInArrow(deal, "shard long, simhash long, node long, mask long")
+
+
 def _shards(prints: DataFrame, radius: int, hot: int) -> DataFrame:
-    """(shard, simhash, node): each fingerprint under the value of each of radius + 1 blocks; hot shards dealt by two blocks."""
+    """(shard, simhash, node): each fingerprint under the value of each of radius + 1 blocks. Shards over ``hot`` rows are dealt
+    again by the same number of parts of their remaining bits, one of which must agree as well, until they are small."""
     blocks = _cut(0, 64, radius + 1)
-    keys = F.array(*(F.struct(F.lit(i).alias("i"), _block("simhash", *b).alias("v")) for i, b in enumerate(blocks)))
-    dealt = prints.select("simhash", "node", F.explode(keys).alias("k")).select("simhash", "node", "k.i", "k.v")
-    crowded = dealt.groupBy("i", "v").count().filter(F.col("count") > hot).select("i", "v")
-    calm = dealt.join(crowded, ["i", "v"], "left_anti").select(F.xxhash64("i", "v").alias("shard"), "simhash", "node")
-    rest = None
-    for i, (first, width) in enumerate(blocks):
-        left = sorted(set(range(64)) - set(range(first, first + width)))
-        parts = [left[a : a + w] for a, w in _cut(0, len(left), radius + 1)]
-        runs = [sum((F.shiftleft(F.shiftrightunsigned("simhash", bit).bitwiseAND(F.lit(1)), at) for at, bit in enumerate(part)), F.lit(0).cast("long")) for part in parts]
-        again = F.array(*(F.xxhash64(F.lit(i), "v", F.lit(j), run) for j, run in enumerate(runs)))
-        more = dealt.filter(F.col("i") == i).join(crowded, ["i", "v"], "left_semi").select(F.explode(again).alias("shard"), "simhash", "node")
-        rest = more if rest is None else rest.union(more)
-    return calm.union(rest)
+    masks = [np.array([2**64 - 1 - ((1 << width) - 1 << first)], np.uint64).view(np.int64)[0] for first, width in blocks]
+    keys = F.array(*(F.struct(F.xxhash64(F.lit(i), _block("simhash", *b)).alias("shard"), F.lit(int(m)).alias("mask")) for i, (b, m) in enumerate(zip(blocks, masks, strict=True))))
+    dealt = prints.select("simhash", "node", F.explode(keys).alias("k")).select("k.shard", "simhash", "node", "k.mask")
+    done = []
+    for _ in range(DEALS):
+        crowded = materialise(dealt.groupBy("shard").count().filter(F.col("count") > hot).select("shard"), "crowded-shards")
+        if not crowded.limit(1).count():
+            break
+        done.append(dealt.join(crowded, "shard", "left_anti"))
+        dealt = materialise(_deal_again(dealt.join(crowded, "shard", "left_semi"), radius + 1), "dealt-again")
+    return reduce(DataFrame.union, [*done, dealt]).select("shard", "simhash", "node")
 
 
 def _local_edges(shards: DataFrame, words: int, link) -> DataFrame:
@@ -147,11 +166,15 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -
 
 
 def similar_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, simhash, component_id: the smallest doc_id that links within the radius lead to."""
+    """doc_id, simhash, component_id: the smallest doc_id that links within the radius lead to. Fingerprints themselves are the
+    nodes, so those that only rows without an id have link others as well."""
     with temporary(prints.sparkSession) as result:
-        classes = materialise(prints.groupBy("simhash").agg(F.min("doc_id").alias("node")).filter("node is not null"), "classes")
-        found = components(link_fingerprints(classes, radius))
-        named = result(classes.join(found, "node", "left").select("simhash", F.coalesce("component", "node").alias("component_id")), "components")
+        classes = materialise(prints.groupBy("simhash").agg(F.min("doc_id").alias("first")), "classes")
+        found = components(link_fingerprints(classes.select("simhash", F.col("simhash").alias("node")), radius))
+        grouped = classes.join(found, classes["simhash"] == found["node"], "left").select("simhash", "first", F.coalesce("component", "simhash").alias("component"))
+        grouped = materialise(grouped, "grouped")
+        least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = result(grouped.join(least, "component").select("simhash", "component_id"), "components")
     return prints.join(named, "simhash", "left")
 
 
@@ -372,6 +395,7 @@ def link_sets(rows: pa.Table) -> np.ndarray:
     return bktree.components(rows["shard"].to_numpy(), prints, reach, accept, CROWDED)
 
 
+@keeps_columns()
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """The input's rows without those that are near copies of one with a smaller doc_id; of equal rows one stays, and rows
     without a doc_id all stay. Different texts under one doc_id are one member of a group."""

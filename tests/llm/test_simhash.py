@@ -62,6 +62,28 @@ def test_hot_shards_lose_no_link(spark):
         assert {i: got.get(i, i) for i in value} == best
 
 
+def test_fingerprints_that_share_most_bits(spark):
+    """Fingerprints with 40 equal bits: two of the four blocks are one shard each, however often they are cut the same way."""
+    rng = np.random.default_rng(8)
+    low = np.unique(rng.integers(0, 1 << 24, 50_000)).astype(np.uint64)
+    value = (np.uint64(0xABCDE12345) << np.uint64(24)) | low
+    table = spark.createDataFrame([(int(v), int(v)) for v in value.view(np.int64)], "node long, simhash long")
+    shards = simhash._shards(table, 3, 4096).groupBy("shard").count().agg({"count": "max"}).first()[0]
+    assert shards <= 4096
+    found = {r.node: r.component for r in components(simhash.link_fingerprints(table)).collect()}
+    some = np.sort(rng.choice(len(value), 300, replace=False))
+    for i in some:  # every link of some of them
+        for j in np.flatnonzero(np.bitwise_count(value ^ value[i]) <= 3):
+            a, b = (int(value.view(np.int64)[k]) for k in (i, j))
+            assert found.get(a, a) == found.get(b, b)
+
+
+def test_rows_without_ids_link_others(spark):
+    rows = [(1, 0), (None, 7), (2, 63), (3, 1 << 40), (None, 15 << 50)]
+    found = sorted((r.doc_id or 0, r.simhash, r.component_id) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, simhash long")).collect())
+    assert found == sorted([(1, 0, 1), (0, 7, 1), (2, 63, 1), (3, 1 << 40, 1), (0, 15 << 50, None)], key=lambda r: r[:2])
+
+
 def test_forest_finds_what_brute_force_finds():
     rng = np.random.default_rng(5)
     prints = rng.integers(0, 2**64, (400, 2), dtype=np.uint64) & rng.integers(0, 2**64, (1, 2), dtype=np.uint64) & np.uint64(0x0F0F0F0F0F0F0F0F)
