@@ -4,8 +4,9 @@ A rule is a host and a path prefix and fits the host and its subdomains; the lon
 block train two Witten-Bell smoothed models with contexts of up to ``ORDER - 1`` characters; a context that a model has seen
 less than ``FEWEST`` times is left to its shorter ones, so the order used varies with what is known. All other URLs get the
 difference of the models' log likelihoods for each character, over the host and all that follows it; the threshold is
-calibrated on ruled URLs of one fold of hosts that the models haven't seen, so that at most ``MOST_LOST`` of the allowed ones
-are blocked, and is never above 0, where a URL looks more like the allowed ones.
+calibrated by cross-fitting: hosts are dealt to ``FOLDS`` folds, ruled URLs of each are scored by models of the other folds,
+and at most ``MOST_LOST`` of all allowed ones may score below the threshold. The models that judge learn from all ruled URLs.
+``report`` says what the threshold loses and catches among them.
 
 Nulls and odd input: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed. Without
 URLs of both kinds to learn from, everything without a rule is allowed. Repeated rows are judged alike. Very long URLs take
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 ORDER = 6
 FEWEST = 2
 MOST_LOST = 0.02
+FOLDS = 3
 #: Width and number of the buckets in which scores are counted for calibration.
 STEP, BUCKETS = 0.02, 400
 
@@ -56,12 +59,12 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     return parts.withColumns({"rule": rule, "ruling": ruling})
 
 
-def _calibration_fold() -> Column:
-    return F.crc32(F.col("host").cast("binary")) % 5 == 0
+def _fold() -> Column:
+    return F.crc32(F.col("host").cast("binary")) % FOLDS
 
 
 def train(found: DataFrame, order: int = ORDER) -> Model | None:
-    """The two models from ruled URLs outside the calibration fold; None unless both kinds are there."""
+    """The two models from ruled URLs; None unless both kinds are there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def add(counter: Counter, batch: pa.RecordBatch) -> None:
@@ -71,7 +74,7 @@ def train(found: DataFrame, order: int = ORDER) -> Model | None:
 
         return _counts(batches, add, ["label", "gram", "n"])
 
-    known = found.filter(F.col("ruling").isNotNull() & ~_calibration_fold()).select("ruling", "unit")
+    known = found.filter(F.col("ruling").isNotNull()).select("ruling", "unit")
     grams = known.mapInArrow(count, "label string, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     grams = materialise(grams, "gram-counts")
     labels = sorted(r["label"] for r in grams.select("label").distinct().collect())
@@ -91,18 +94,33 @@ def log_ratio(found: DataFrame, model: Model) -> DataFrame:
     return found.mapInArrow(score, f"{fields}, ratio double")
 
 
+def cross_scored(found: DataFrame) -> DataFrame:
+    """(ruling, ratio) of ruled URLs, each by models that haven't seen its host; folds whose rest lacks a kind are left out."""
+    ruled_ones, parts = found.filter(F.col("ruling").isNotNull()), []
+    for f in range(FOLDS):
+        model = train(ruled_ones.filter(_fold() != f))
+        if model is not None:
+            parts.append(log_ratio(ruled_ones.filter(_fold() == f), model).select("ruling", "ratio"))
+    whole = reduce(DataFrame.union, parts) if parts else ruled_ones.select("ruling", F.lit(None).cast("double").alias("ratio")).limit(0)
+    return materialise(whole, "cross-scored")
+
+
 def calibrate(scored: DataFrame, most_lost: float = MOST_LOST) -> float:
-    """The highest bucket edge below which at most most_lost of the allowed URLs of the calibration fold lie; 0 without any."""
+    """The highest bucket edge below which at most most_lost of the allowed URLs of scored(ruling, ratio) lie; 0 without any."""
     bucket = F.least(F.greatest(F.floor(F.col("ratio") / STEP), F.lit(-BUCKETS)), F.lit(BUCKETS))
-    rows = scored.filter((F.col("ruling") == "allow") & _calibration_fold()).groupBy(bucket.alias("b")).count().collect()
-    total, below = sum(r["count"] for r in rows), 0
-    edge = 0.0
+    rows = scored.filter(F.col("ruling") == "allow").groupBy(bucket.alias("b")).count().collect()
+    total, below, edge = sum(r["count"] for r in rows), 0, 0.0
     for r in sorted(rows, key=lambda r: r["b"]):
         edge = float(r["b"]) * STEP
         below += r["count"]
         if below > most_lost * total:
             break
-    return min(edge, 0.0)
+    return edge
+
+
+def report(scored: DataFrame, limit: float) -> DataFrame:
+    """(ruling, n, n_below): of scored(ruling, ratio), how many of each kind score below the limit."""
+    return scored.groupBy("ruling").agg(F.count("*").alias("n"), F.sum((F.col("ratio") < limit).cast("long")).alias("n_below"))
 
 
 def judge(pages: DataFrame) -> DataFrame:
@@ -111,8 +129,8 @@ def judge(pages: DataFrame) -> DataFrame:
     model = train(found)
     if model is None:
         return found.select("page_id", "host", "path", "rule", F.coalesce("ruling", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("ratio"))
+    limit = calibrate(cross_scored(found))
     scored = log_ratio(found, model)
-    limit = calibrate(scored)
     method = F.when((F.col("ratio") < limit) & (F.col("host") != ""), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruling", method).alias("verdict"), F.when(F.col("ruling").isNull(), F.col("ratio")).alias("ratio"))
 

@@ -209,17 +209,29 @@ def test_url_models_tell_kinds_apart(spark):
     rows = spark.createDataFrame(good + bad + new, "page_id long, url string")
     verdicts = {r.page_id: r.verdict for r in urls.judge(rows).collect()}
     assert verdicts[5001] == "allow" and verdicts[5002] == "block"
+    scored = urls.cross_scored(urls.ruled(rows))
+    found = {r.ruling: (r.n, r.n_below) for r in urls.report(scored, urls.calibrate(scored)).collect()}
+    assert found["allow"][0] == 300 and found["allow"][1] <= 6 and found["block"] == (300, 300)
 
 
 def test_url_query_against_the_recursion(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     parts = {i: plain_rule(url) for i, url in pages.items()}
     unit = {i: parts[i][0] + re.sub(r"(?s)^.*?://[^/?#]*", "", url) if url and "://" in url else "" for i, url in pages.items()}
-    held = {i: zlib.crc32(parts[i][0].encode()) % 5 == 0 for i in pages}
-    plain = Plain(Counter((parts[i][3], unit[i]) for i in pages if parts[i][3] and not held[i]), urls.ORDER, None, urls.FEWEST)
-    ratio = {i: (plain.score("allow", u) - plain.score("block", u)) / (len(u) + 1) for i, u in unit.items()}
-    buckets = sorted(max(-urls.BUCKETS, min(urls.BUCKETS, math.floor(ratio[i] / urls.STEP))) for i in pages if parts[i][3] == "allow" and held[i])
-    limit = min(buckets[math.floor(urls.MOST_LOST * len(buckets))] * urls.STEP, 0.0)
+    fold = {i: zlib.crc32(parts[i][0].encode()) % urls.FOLDS for i in pages}
+
+    def ratios(learn, score):
+        plain = Plain(Counter((parts[i][3], unit[i]) for i in learn if parts[i][3]), urls.ORDER, None, urls.FEWEST)
+        return {i: (plain.score("allow", unit[i]) - plain.score("block", unit[i])) / (len(unit[i]) + 1) for i in score}
+
+    seen = {}
+    for f in range(urls.FOLDS):
+        learn = [i for i in pages if fold[i] != f]
+        if {parts[i][3] for i in learn} >= {"allow", "block"}:
+            seen |= ratios(learn, [i for i in pages if fold[i] == f and parts[i][3]])
+    buckets = sorted(max(-urls.BUCKETS, min(urls.BUCKETS, math.floor(r / urls.STEP))) for i, r in seen.items() if parts[i][3] == "allow")
+    limit = buckets[math.floor(urls.MOST_LOST * len(buckets))] * urls.STEP
+    ratio = ratios(list(pages), list(pages))
     for r in urls.op1_url_filter(spark, SMALL).collect():
         host, path, rule, ruling = parts[r.page_id]
         assert (r.host, r.path, r.rule) == (host, path, rule)
