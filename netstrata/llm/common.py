@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Hashable, Iterator
+from functools import wraps
 from typing import Any
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.scratch import materialise, new_path, shared_dir, temporary
 
-__all__ = ["delete", "forget", "kept", "local_path", "materialise", "new_path", "shared_dir", "single_threaded", "slices", "table", "temporary"]
+__all__ = ["delete", "forget", "kept", "keeps_columns", "local_path", "materialise", "new_path", "shared_dir", "single_threaded", "slices", "table", "temporary"]
 
 #: Rows of an Arrow batch that a Python step holds as Python objects at once.
 SLICE_ROWS = 128
@@ -30,6 +31,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def keeps_columns(*results: str, reads: tuple[str, ...] = ()) -> Callable:
+    """For functions of a table that return its columns and ``results``. Helper columns begin with an underscore, so columns
+    of the input that do are set aside under other names meanwhile, but for those in ``reads``; a column that is named as a
+    result, in any case of letters, is replaced by it."""
+
+    def decorate(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(function)
+        def run(docs: DataFrame, *given, **more) -> DataFrame:
+            aside = {c: f"aside{i}" for i, c in enumerate(docs.columns) if c.startswith("_") and c not in reads}
+            while set(aside.values()) & {c.lower() for c in docs.columns}:
+                aside = {c: f"{other}x" for c, other in aside.items()}
+            replaced = {c for c in docs.columns if c.lower() in results and c not in reads}
+            named = docs.select(*(docs[f"`{c}`"].alias(aside.get(c, c)) for c in docs.columns if c not in replaced)) if aside else docs
+            out = function(named, *given, **more)
+            return out.withColumnsRenamed({other: c for c, other in aside.items() if c not in replaced}) if aside else out
+
+        return run
+
+    return decorate
+
+
 _KEPT: dict[Hashable, Any] = {}
 
 

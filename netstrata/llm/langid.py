@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charmodel import Model, count_units, kneser_ney
-from .common import kept, materialise, slices, table
+from .common import keeps_columns, kept, materialise, slices, table
 
 ORDER = 4
 #: Entries that a task counts before it passes them on.
@@ -158,6 +158,7 @@ class _Held:
         return self.broadcast.value
 
 
+@keeps_columns("_lang", "_score", "_entropy", "_letters")
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """The input's columns with _lang, _score, _entropy and _letters."""
     if model is None:

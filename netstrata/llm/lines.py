@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, temporary
+from .common import keeps_columns, materialise, table, temporary
 
 MOST_SITES = 10
 #: log2 of the sketch's registers; its standard error is 1.04 / sqrt(2 ** LOG_REGISTERS).
@@ -75,6 +75,7 @@ def _removals(docs: DataFrame, most_sites: int) -> DataFrame:
         return result(removed, "line-removals")
 
 
+@keeps_columns("_n_lines", "_n_removed")
 def dedup_lines(docs: DataFrame, most_sites: int = MOST_SITES) -> DataFrame:
     """The input's columns with text cut, and _n_lines, _n_removed (long)."""
     removed = _removals(docs, most_sites)

@@ -3,7 +3,7 @@
 Documents are cut at multiples of the sequence length; all pieces, full ones included, are dealt to groups by a hash of
 document, piece and the row's place in its task, so rows without a doc_id, or many of one, spread like others. Every group
 is packed on its own, in Arrow, where ids beside a null stay whole. A group has about ``GROUP_PIECES`` pieces whatever the
-size of the input, so a task's memory doesn't grow with it. Sequences are padded to the full length unless their fill is a
+size of the input, which is counted in pieces, so a task's memory doesn't grow with it. Sequences are padded to the full length unless their fill is a
 power of two.
 
 Nulls and odd input: a null or empty text is the end id alone. Null doc_ids stay null. Rows with equal doc_id are packed
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialise, slices, table
 from .tokens import END_ID, default_tokenizer, encoder, utf8
 
 SEQUENCE = 4096
@@ -88,5 +88,5 @@ def pack(pieces: DataFrame, n_pieces: int, capacity: int = SEQUENCE, group_piece
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pack(tokenised_pieces(docs), docs.count())
+    pieces = materialise(tokenised_pieces(table(spark, sf_dir, "documents")), "pieces")
+    return pack(pieces, pieces.count())

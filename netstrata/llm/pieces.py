@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, slices, table
+from .common import keeps_columns, kept, slices, table
 
 PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
@@ -223,6 +223,7 @@ def default_model() -> str:
     return public_tokenizers.path(PIECE_BPE)
 
 
+@keeps_columns("_ids")
 def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe") -> DataFrame:
     """The input's columns and _ids (array<int>)."""
     model, names = model or default_model(), docs.columns
@@ -238,6 +239,7 @@ def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe") -> Data
     return docs.mapInArrow(run, f"{fields}, _ids array<int>")
 
 
+@keeps_columns("_decoded", reads=("_ids",))
 def decode(encoded: DataFrame, model: str | None = None, kind: str = "bpe") -> DataFrame:
     """The input's columns, _ids among them, and _decoded."""
     model, names = model or default_model(), encoded.columns

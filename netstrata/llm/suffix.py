@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, slices, table, temporary
+from .common import forget, keeps_columns, materialise, slices, table, temporary
 
 LENGTH = 100
 PIECE = 32  # a power of two
@@ -415,6 +415,7 @@ def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+@keeps_columns("_n_bytes", "_n_removed", "_n_spans", "_kept_sha256")
 def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The input's columns with text cut (a character that is cut through goes whole), and _n_bytes, _n_removed, _n_spans, _kept_sha256."""
     with temporary(docs.sparkSession) as result:

@@ -7,7 +7,7 @@ reader can take metadata without ids, or the ids of a range of documents, withou
 each document's global start from per-file totals.
 
 Nulls and odd input: a null or empty text has only the end id. Null doc_ids come first. Rows with equal doc_id are
-ordered by text; equal rows keep one row each. A very long text is one row, and takes memory in proportion in the task that
+ordered by the text's hash, then text; equal rows keep one row each. A very long text is one row, and takes memory in proportion in the task that
 writes it. An empty table writes no rows. Other columns of the input are ignored.
 """
 
