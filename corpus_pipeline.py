@@ -51,7 +51,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(packing.tokenised_pieces(docs), docs.count())
+    pieces = materialise(packing.tokenised_pieces(docs), "pieces")
+    return packing.pack(pieces, pieces.count())
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
