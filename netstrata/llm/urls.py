@@ -5,7 +5,7 @@ block train two Witten-Bell smoothed models with contexts of up to ``ORDER - 1``
 less than ``FEWEST`` times is left to its shorter ones, so the order used varies with what is known. All other URLs get the
 difference of the models' log likelihoods for each character, over the host and all that follows it; the threshold is
 calibrated by cross-fitting: hosts are dealt to ``FOLDS`` folds, ruled URLs of each are scored by models of the other folds,
-and at most ``MOST_LOST`` of all allowed ones may score below the threshold. The models that judge learn from all ruled URLs.
+and at most ``MOST_LOST`` of all allowed ones may score below the threshold (see calibrate). The models that judge learn from all ruled URLs.
 ``report`` says what the threshold loses and catches among them.
 
 Nulls and odd input: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed. Without
@@ -106,16 +106,26 @@ def cross_scored(found: DataFrame) -> DataFrame:
 
 
 def calibrate(scored: DataFrame, most_lost: float = MOST_LOST) -> float:
-    """The highest bucket edge below which at most most_lost of the allowed URLs of scored(ruling, ratio) lie; 0 without any."""
+    """The threshold from scored(ruling, ratio), counted in buckets: the highest edge below which at most most_lost of the
+    allowed URLs lie. Where the kinds lie farther apart than that, nearly all blocked ones below an edge still lower, it is
+    the middle between both edges, as far from one kind as from the other. 0 without allowed URLs."""
     bucket = F.least(F.greatest(F.floor(F.col("ratio") / STEP), F.lit(-BUCKETS)), F.lit(BUCKETS))
-    rows = scored.filter(F.col("ruling") == "allow").groupBy(bucket.alias("b")).count().collect()
-    total, below, edge = sum(r["count"] for r in rows), 0, 0.0
-    for r in sorted(rows, key=lambda r: r["b"]):
-        edge = float(r["b"]) * STEP
-        below += r["count"]
-        if below > most_lost * total:
-            break
-    return edge
+    rows = scored.groupBy("ruling", bucket.alias("b")).count().collect()
+
+    def reached(kind: str, down: bool) -> int | None:
+        """The bucket at which more than most_lost of a kind have been passed, from below or from above."""
+        own = sorted(((r["b"], r["count"]) for r in rows if r["ruling"] == kind), reverse=down)
+        passed, total = 0, sum(n for _, n in own)
+        for b, n in own:
+            passed += n
+            if passed > most_lost * total:
+                return b
+        return None
+
+    allowed, blocked = reached("allow", False), reached("block", True)
+    if allowed is None:
+        return 0.0
+    return float(allowed if blocked is None or blocked + 1 >= allowed else (allowed + blocked + 1) / 2) * STEP
 
 
 def report(scored: DataFrame, limit: float) -> DataFrame:

@@ -229,8 +229,10 @@ def test_url_query_against_the_recursion(spark):
         learn = [i for i in pages if fold[i] != f]
         if {parts[i][3] for i in learn} >= {"allow", "block"}:
             seen |= ratios(learn, [i for i in pages if fold[i] == f and parts[i][3]])
-    buckets = sorted(max(-urls.BUCKETS, min(urls.BUCKETS, math.floor(r / urls.STEP))) for i, r in seen.items() if parts[i][3] == "allow")
-    limit = buckets[math.floor(urls.MOST_LOST * len(buckets))] * urls.STEP
+    buckets = {kind: sorted(max(-urls.BUCKETS, min(urls.BUCKETS, math.floor(r / urls.STEP))) for i, r in seen.items() if parts[i][3] == kind) for kind in ("allow", "block")}
+    low = buckets["allow"][math.floor(urls.MOST_LOST * len(buckets["allow"]))]
+    high = buckets["block"][::-1][math.floor(urls.MOST_LOST * len(buckets["block"]))] + 1 if buckets["block"] else low
+    limit = (low if high >= low else (low + high) / 2) * urls.STEP
     ratio = ratios(list(pages), list(pages))
     for r in urls.op1_url_filter(spark, SMALL).collect():
         host, path, rule, ruling = parts[r.page_id]
