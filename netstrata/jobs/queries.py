@@ -1078,11 +1078,63 @@ def stratify_evidence(spark, sf_dir):
     return job.evidence(found, t.supplier_members(spark, sf_dir), 3).withColumn("value", r6("value"))
 
 
+_GENE_EVIDENCE = f"""WITH {_ENRICH}, counts AS (SELECT cluster, namespace, count(*) AS n, count(*) FILTER (p < 0.05) AS hits FROM found GROUP BY 1, 2)
+SELECT 'count' AS what, cluster, 'n_genes' AS measure, CAST(count(*) AS DOUBLE) AS value FROM asked GROUP BY cluster
+UNION ALL SELECT 'terms', cluster, namespace, CAST(n AS DOUBLE) FROM counts UNION ALL SELECT 'enriched', cluster, namespace, CAST(hits AS DOUBLE) FROM counts
+UNION ALL SELECT 'enriched_share', cluster, namespace, round(hits / n, 6) FROM counts"""
+
+
+@query("gene_evidence", _GENE_EVIDENCE)
+def gene_evidence(spark, sf_dir):
+    """What describes given clusters of genes; their members are written."""
+    asked, annotations, parents = _enriched(spark, sf_dir)
+    return job.gene_evidence(asked, annotations, parents, new_path(spark, "members")).withColumn("value", r6("value"))
+
+
+_COHORT_TESTS = f"""WITH {t.MEMBERS}, given AS (SELECT *, CASE WHEN individual % 2 = 0 THEN 'even' ELSE 'odd' END AS cohort, cluster % 2 AS g FROM members),
+halves AS ({' UNION ALL '.join(f"SELECT cohort, '{c}' AS measure, g, {c} AS v FROM given WHERE {c} IS NOT NULL" for c in clusters.MEASURES)}),
+counted AS (SELECT cohort, measure, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1 FROM halves GROUP BY 1, 2),
+gaps AS (SELECT cohort, measure, n0, n1, abs(count(*) FILTER (g = 0) OVER w / n0 - count(*) FILTER (g = 1) OVER w / n1) AS d FROM halves JOIN counted USING (cohort, measure) WINDOW w AS (PARTITION BY cohort, measure ORDER BY v RANGE UNBOUNDED PRECEDING)),
+ks AS (SELECT cohort, measure, max(d) * sqrt(max(n0) * max(n1) / (max(n0) + max(n1))) AS x FROM gaps GROUP BY 1, 2),
+p AS (SELECT cohort, measure, round({_kolmogorov_sql('x')}, 6) AS p FROM ks)
+SELECT 2 AS k, x.measure, x.p AS p1, y.p AS p2, CASE WHEN x.p < 0.05 THEN 2 WHEN x.p < 0.1 THEN 1 ELSE 0 END AS level1, CASE WHEN y.p < 0.05 THEN 2 WHEN y.p < 0.1 THEN 1 ELSE 0 END AS level2
+FROM p x JOIN p y USING (measure) WHERE x.cohort = 'even' AND y.cohort = 'odd'"""
+
+
+@query("cohort_tests", _COHORT_TESTS)
+def cohort_tests(spark, sf_dir):
+    """Tests between given clusters of two cohorts, side by side."""
+    m = t.members(spark, sf_dir)
+    given = m.select(F.when(F.col("individual") % 2 == 0, "even").otherwise("odd").alias("cohort"), F.lit(2).alias("k"), "individual", (F.col("cluster") % 2).alias("cluster"))
+    found = job.cohort_tests(given, m, "even", "odd").filter(F.col("measure").isin(clusters.MEASURES))
+    return found.select("k", "measure", r6("p1").alias("p1"), r6("p2").alias("p2"), F.col("levels")[0].alias("level1"), F.col("levels")[1].alias("level2"))
+
+
+@query("stratify_cohorts")
+def stratify_cohorts(spark, sf_dir):
+    """Runs over two halves of the suppliers by themselves, and the tests of their clusters side by side."""
+    cohorts = t.individuals(spark, sf_dir).withColumn("cohort", F.when(F.col("individual") % 2 == 0, "even").otherwise("odd"))
+    found = job.run_cohorts(t.profile(spark, sf_dir), None, cohorts, [2, 3], 8, mut_type="raw", alpha=0.0)
+    return job.cohort_tests(found, t.supplier_members(spark, sf_dir), "even", "odd").withColumns({"p1": r6("p1"), "p2": r6("p2")})
+
+
+def _grid_runs(spark, sf_dir):
+    """(path, results) of raw and diffused profiles, two networks, two lambdas, two k; the first k in a call of its own."""
+    kinds = sweep.parameter_grid(spark, mut_type=["raw", "diff"], network=["APID", "STRING", "none"], qn_mode=["none"])
+    grid = sweep.resolve_run(kinds).filter("mut_type = 'raw' or network <> 'none'").crossJoin(sweep.parameter_grid(spark, k=[2, 3], lambd=[1.0, 200.0])).filter("mut_type <> 'raw' or lambd = 1.0")
+    links = materialise(t.links(spark, sf_dir), "links")
+    networks = {name: materialise(network.binary_adjacency(clean.top_fraction(links, "score", share, ["a", "b"]), "a", "b"), "edges") for name, share in (("APID", 0.3), ("STRING", 0.1))}
+    path, given = new_path(spark, "runs"), (t.profile(spark, sf_dir), networks, t.individuals(spark, sf_dir))
+    job.run_grid(grid.filter("k = 2"), *given, path, n_replicates=10, max_iter=20)
+    return path, job.run_grid(grid, *given, path, n_replicates=10, max_iter=20)
+
+
 @query("stratify_grid")
 def stratify_grid(spark, sf_dir):
-    """The runs of a grid, each written by its keys; those that are there already aren't done again."""
-    kinds = sweep.parameter_grid(spark, mut_type=["raw", "diff"], network=["APID", "none"], qn_mode=["none"])
-    grid = sweep.resolve_run(kinds).filter("mut_type = 'raw' or network <> 'none'").crossJoin(sweep.parameter_grid(spark, k=[2, 3]))
-    path, tables = new_path(spark, "runs"), (t.profile(spark, sf_dir), materialise(t.edges(spark, sf_dir), "edges"), t.individuals(spark, sf_dir))
-    job.run_grid(grid.filter("k = 2"), *tables, path, n_replicates=10)
-    return job.run_grid(grid, *tables, path, n_replicates=10)
+    """The runs of a grid, each written by its network and parameters, with the share of ambiguous pairs
+    and the best k of each group; those that are there already aren't done again."""
+    path, found = _grid_runs(spark, sf_dir)
+    scores, best = job.grid_stability(spark, path)
+    keys = ["label", "network", "lambd"]
+    found = found.select("run", *keys, "k", "individual", "cluster").join(scores.select("run", r6("pac").alias("pac")), "run")
+    return found.join(best.select(*keys, "best_k"), keys).drop("run")

@@ -23,10 +23,11 @@ def attach_phenotypes(clusters: DataFrame, phenotypes: DataFrame, distances: Dat
     return found.join(burdens, "individual", "left")
 
 
-def compare_cohorts(results: DataFrame, a: str, b: str, on: str = "k") -> DataFrame:
-    """Rows of cohorts a and b side by side, columns with suffixes 1 and 2, in order of the key."""
-    own = lambda name, s: results.filter(F.col("cohort") == name).select(on, *(F.col(c).alias(f"{c}{s}") for c in results.columns if c not in (on, "cohort")))
-    return own(a, "1").join(own(b, "2"), on).orderBy(on)
+def compare_cohorts(results: DataFrame, a: str, b: str, on: str | list[str] = "k") -> DataFrame:
+    """Rows of cohorts a and b side by side, columns with suffixes 1 and 2, in order of the keys."""
+    keys = [on] if isinstance(on, str) else on
+    own = lambda name, s: results.filter(F.col("cohort") == name).select(*keys, *(F.col(c).alias(f"{c}{s}") for c in results.columns if c not in (*keys, "cohort")))
+    return own(a, "1").join(own(b, "2"), keys).orderBy(*keys)
 
 
 def cluster_counts(members: DataFrame, keys: list[str]) -> DataFrame:

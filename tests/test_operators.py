@@ -608,11 +608,55 @@ def test_runs_by_their_parameters(spark, mut_type, influence):
 
 
 def test_grids_do_what_is_missing(spark, tmp_path, monkeypatch):
-    grid = sweep.resolve_run(sweep.parameter_grid(spark, mut_type=["raw"], network=["none"], qn_mode=["none"])).crossJoin(sweep.parameter_grid(spark, k=[2, 3]))
-    done = []
-    monkeypatch.setattr(job, "run", lambda *given, **more: done.append(given[3]) or {"clusters": spark.createDataFrame([(1, given[3])], "individual long, cluster int")})
-    people = spark.createDataFrame([(1,)], "individual long")
-    first = job.run_grid(grid.filter("k = 2"), None, None, people, str(tmp_path / "runs"))
-    assert done == [2] and first.count() == 1
-    whole = job.run_grid(grid, None, None, people, str(tmp_path / "runs"))
-    assert done == [2, 3] and {(r.k, r.cluster, r.label) for r in whole.collect()} == {(2, 2, "raw"), (3, 3, "raw")}
+    """Networks and parameters are keys: runs that differ in one have results of their own, and none is done twice."""
+    kinds = sweep.parameter_grid(spark, mut_type=["raw", "diff"], network=["APID", "STRING", "none"], qn_mode=["none"])
+    grid = sweep.resolve_run(kinds).filter("mut_type = 'raw' or network <> 'none'").crossJoin(sweep.parameter_grid(spark, k=[2, 3]))
+    prepared, done = [], []
+    monkeypatch.setattr(job, "prepare", lambda profile, edges, people, **given: prepared.append((edges, given["mut_type"], given["alpha"])) or (profile, edges))
+
+    def clustered(ready, pruned, given):
+        done.append((pruned, given["k"], given["lambd"], given["tol"]))
+        return {"clusters": spark.createDataFrame([(1, len(done))], "individual long, cluster int"), "consensus": spark.createDataFrame([(0.5 if given["k"] == 2 else 1.0,)], "consensus double")}
+
+    monkeypatch.setattr(job, "_clustered", clustered)
+    path, networks = str(tmp_path / "runs"), {"APID": "a", "STRING": "s"}
+    first = job.run_grid(grid.filter("k = 2"), None, networks, None, path)
+    assert sorted(done, key=repr) == [("a", 2, 1.0, None), ("s", 2, 1.0, None), (None, 2, 1.0, None)] and first.count() == 3
+    whole = job.run_grid(grid, None, networks, None, path)
+    assert len(done) == 6 and {(r.label, r.network, r.k) for r in whole.collect()} == {(label, name, k) for label, name in (("diffused", "APID"), ("diffused", "STRING"), ("raw", "none")) for k in (2, 3)}
+    assert len({r.cluster for r in whole.collect()}) == 6
+    more = job.run_grid(grid.filter("k = 2"), None, networks, None, path, lambd=200.0, tol=0.01)
+    assert len(done) == 9 and {r.lambd for r in more.collect()} == {200.0} and {r.tol for r in more.collect()} == {0.01}
+    prepared.clear()
+    both = job.run_grid(grid.crossJoin(sweep.parameter_grid(spark, lambd=[1.0, 5.0])), None, networks, None, path)
+    assert both.count() == 12 and len(done) == 15 and sorted(prepared, key=repr) == [("a", "propagated", 0.6), ("s", "propagated", 0.581), (None, "raw", 0.0)]
+    scores, best = job.grid_stability(spark, path)
+    assert scores.count() == 15 and {r.best_k for r in best.filter("lambd = 5.0").collect()} == {3}
+    with pytest.raises(ValueError, match="lambda"):
+        job.run_grid(grid, None, networks, None, path, **{"lambda": 3})
+
+
+def test_singletons_stay_as_they_are(spark):
+    """Genes without a neighbour: left out, or kept with their values, by parameter."""
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "b", 1.0)], "src string, dst string, weight double")
+    profile = spark.createDataFrame([(1, "a", 1.0), (1, "x", 3.0), (2, "c", 2.0)], "individual long, gene string, value double")
+    people = spark.createDataFrame([(1,), (2,)], "individual long")
+    given = {**job.PREPARING, "mut_type": "propagated"}
+    cells = lambda keep: {(r.individual, r.gene): r.value for r in job.prepare(profile, edges, people, **(given | {"keep_singletons": keep}))[0].collect()}
+    without, kept = cells(False), cells(True)
+    assert kept == without | {(1, "x"): pytest.approx(3.0)} and (1, "x") not in without
+    dense = job.prepare(profile, edges, people, **(given | {"simplification": False, "n_best": 1}))[1]
+    assert {(r.src, r.dst) for r in dense.collect()} <= {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")}
+
+
+def test_cohorts_side_by_side(spark):
+    rows = [(i, g, 1.0) for i in range(24) for g in range(12) if (i % 2 == 0) == (g < 6) or (i * g) % 11 == 1]
+    profile = spark.createDataFrame(rows, "individual long, gene long, value double")
+    cohorts = spark.createDataFrame([(i, "x" if i < 12 else "y") for i in range(24)], "individual long, cohort string")
+    found = job.run_cohorts(profile, None, cohorts, [2, 3], 6, mut_type="raw", max_iter=20)
+    rows = found.collect()
+    assert len(rows) == 48 and {(r.cohort, r.k) for r in rows} == {(c, k) for c in "xy" for k in (2, 3)} and all((r.individual < 12) == (r.cohort == "x") for r in rows)
+    members = spark.createDataFrame([(i, "sibling" if i % 2 else "proband", "male", float(i), float(i % 2)) for i in range(24)], "individual long, role string, sex string, iq double, srs double")
+    tests = {(r.k, r.measure): r for r in job.cohort_tests(found, members, "x", "y", ["iq", "srs"]).collect()}
+    assert set(tests) == {(k, m) for k in (2, 3) for m in ("sibling", "female", "iq", "srs")}
+    assert tests[2, "srs"].p1 < 0.05 and tests[2, "srs"].p2 < 0.05 and tests[2, "srs"].levels == [2, 2] and tests[2, "iq"].levels[0] == 0
