@@ -619,8 +619,9 @@ def w2_quantile_median(spark, sf_dir):
 
 
 @query("w3_quantile_rows", f"""WITH {t.PROFILE}, {t.INDIVIDUALS}, {_DENSE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY individual ORDER BY value, gene) AS rank FROM dense)
-SELECT individual, gene, round(avg(value) OVER (PARTITION BY rank), 6) AS value FROM ranked""")
+SELECT individual, gene, round(level, 6) AS value FROM (SELECT individual, gene, avg(value) OVER (PARTITION BY rank) AS level FROM ranked) WHERE level <> 0""")
 def w3_quantile_rows(spark, sf_dir):
+    """Zeros are ranked without being made; cells that come out 0 aren't rows."""
     genes = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"))
     return normalize.quantile_normalize_rows(t.profile(spark, sf_dir), t.individuals(spark, sf_dir), genes).withColumn("value", r6("value"))
 
@@ -694,6 +695,13 @@ def g4_influence_blocks(spark, sf_dir):
 _DIRECTED = "m AS (SELECT a AS src, b AS dst, CAST(count(*) AS DOUBLE) AS value FROM raw_pairs GROUP BY 1, 2), pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(value) AS hi, CASE WHEN count(*) = 2 THEN min(value) END AS lo FROM m WHERE src <> dst GROUP BY 1, 2)"
 
 
+@query("g4_influence_converged")
+def g4_influence_converged(spark, sf_dir):
+    """G4 with a tolerance of 0.01: blocks of seeds go on until the whole change of a step is within it."""
+    found = diffusion.influence_blocks(materialise(t.edges(spark, sf_dir), "edges"), 0.6, tol=0.01)
+    return found.select("src", "dst", r6("value").alias("value"))
+
+
 def _directed(spark, sf_dir):
     return t.raw_pairs(spark, sf_dir).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").cast("double").alias("value"))
 

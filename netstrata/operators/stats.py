@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.tails import chi2_p, ks_p, log_factorial
+from ..functions.tails import chi2_p, ks_p
 
 
 def round_keeping_sum(df: DataFrame, keys: list[str], expected: str, observed: str, order: str, out: str = "rounded") -> DataFrame:
@@ -27,18 +27,46 @@ def chi2_counts(df: DataFrame, keys: list[str], observed: str, total: str, order
     return whole.withColumn("p", chi2_p("statistic", "df"))
 
 
+#: Standard deviations from the likeliest table, and tables beyond those, after which chances are below the smallest number.
+FAR, MORE = 60, 300
+
+
 def fisher_exact(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, p): two-sided exact test of 2 x 2 tables (a, b, c, d): tables no likelier than the one seen, with its margins."""
-    r1, r2, c1 = F.col("a") + F.col("b"), F.col("c") + F.col("d"), F.col("a") + F.col("c")
-    base = tables.select(*keys, F.col("a").alias("_a"), r1.alias("_r1"), r2.alias("_r2"), c1.alias("_c1"), (r1 + r2).alias("_n"))
-    rows = base.withColumn("_x", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_c1") - F.col("_r2")).cast("long"), F.least("_r1", "_c1").cast("long"))))
-    lf = lambda c: log_factorial(c.cast("double"))
-    x = F.col("_x")
-    free = lf(x) + lf(F.col("_r1") - x) + lf(F.col("_c1") - x) + lf(F.col("_r2") - F.col("_c1") + x)
-    fixed = lf(F.col("_r1")) + lf(F.col("_r2")) + lf(F.col("_c1")) + lf(F.col("_n") - F.col("_c1")) - lf(F.col("_n"))
-    likely = rows.withColumn("_p", F.exp(fixed - free))
-    seen = F.max(F.when(x == F.col("_a"), F.col("_p"))).over(Window.partitionBy(*keys))
-    return likely.withColumn("_seen", seen).groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("_p") <= F.col("_seen") * (1 + 1e-7), F.col("_p")).otherwise(0.0))).alias("p"))
+    """(keys, p): two-sided exact test of 2 x 2 tables (a, b, c, d): tables no likelier than the one seen, with its margins.
+
+    Chances go by ratios of neighbouring tables from the likeliest one outwards, on both sides, as far as they count: some
+    hundred standard deviations, which grow with the root of the margins. No factorial and no row for a table is made.
+    """
+    d = lambda c: F.col(c).cast("double")
+    base = tables.select(*keys, d("a").alias("_a"), (d("a") + d("b")).alias("_r"), (d("c") + d("d")).alias("_s"), (d("a") + d("c")).alias("_c"))
+    r, s, c, a = (F.col(x) for x in ("_r", "_s", "_c", "_a"))
+    n = r + s
+    low, high = F.greatest(F.lit(0.0), c - s), F.least(r, c)
+    top = F.least(F.greatest(F.floor((r + 1) * (c + 1) / (n + 2)).cast("double"), low), high)
+    reach = F.ceil(FAR * F.sqrt(r * s * c * (n - c) / F.greatest(n * n * F.greatest(n - 1, F.lit(1.0)), F.lit(1.0)))) + MORE
+    base = base.withColumns({"_top": top, "_low": F.greatest(low, top - reach), "_high": F.least(high, top + reach)})
+    none = F.array().cast("array<long>")
+    steps = lambda begin, end, forth: F.when(begin <= end if forth else begin >= end, F.sequence(begin.cast("long"), end.cast("long"), F.lit(1 if forth else -1).cast("long"))).otherwise(none)
+    up = lambda x: (r - x + 1) * (c - x + 1) / (x * (s - c + x))  # noqa: E731  chance of x over that of x - 1
+    down = lambda x: (x + 1) * (s - c + x + 1) / ((r - x) * (c - x))  # noqa: E731  chance of x over that of x + 1
+    peak, first, last = F.col("_top"), F.col("_low"), F.col("_high")
+    product = lambda places, ratio: F.aggregate(places, F.lit(1.0), lambda t, x: t * ratio(x))
+    seen = F.when((a > last) | (a < first), 0.0).otherwise(product(steps(peak + 1, F.least(a, last), True), up) * product(steps(peak - 1, F.greatest(a, first), False), down))
+    base = base.withColumn("_seen", seen * (1 + 1e-7))
+
+    def side(places: Column, ratio) -> Column:
+        """(chance so far, sum of all, sum of those no likelier than the one seen)."""
+        start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("whole"), F.lit(0.0).alias("rare"))
+
+        def add(state: Column, x: Column) -> Column:
+            t = state["t"] * ratio(x)
+            return F.struct(t.alias("t"), (state["whole"] + t).alias("whole"), (state["rare"] + F.when(t <= F.col("_seen"), t).otherwise(0.0)).alias("rare"))
+
+        return F.aggregate(places, start, add)
+
+    rows = base.withColumns({"_above": side(steps(peak + 1, last, True), up), "_below": side(steps(peak - 1, first, False), down)})
+    rare = F.when(F.col("_seen") >= 1, 1.0).otherwise(0.0) + F.col("_above.rare") + F.col("_below.rare")
+    return rows.select(*keys, F.least(F.lit(1.0), rare / (1.0 + F.col("_above.whole") + F.col("_below.whole"))).alias("p"))
 
 
 def ks_2sample(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:

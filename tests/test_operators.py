@@ -2,16 +2,17 @@
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.plain import modularity, naive_linkage, plain_nndsvd, plain_replicate
+from tests.plain import modularity, naive_linkage, plain_nndsvd, plain_replicate, sampled
 
 from netstrata.functions import scratch, tails
 from netstrata.jobs import stratify as job
 from netstrata.jobs.stratify import stratify
-from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, mapping, network, normalize, profiles, stats, svd, sweep
+from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, network, normalize, profiles, stats, svd, sweep
 from netstrata.sources import io
 
 PAIRS = [(1, 2), (1, 4), (2, 6), (3, 6), (4, 6), (5, 5), (2, 1)]
@@ -607,6 +608,76 @@ def test_runs_by_their_parameters(spark, mut_type, influence):
     assert min(r.value for r in rows if (r.what, r.measure) == ("p", "sibling")) < 0.01
 
 
+def exact_fisher(a, b, c, d):
+    """With whole numbers."""
+    r, s, k = a + b, c + d, a + c
+    ways = {x: math.comb(r, x) * math.comb(s, k - x) for x in range(max(0, k - s), min(r, k) + 1)}
+    return float(Fraction(sum(w for w in ways.values() if w * 10**7 <= ways[a] * (10**7 + 1)), sum(ways.values())))
+
+
+def test_fisher_by_ratios(spark):
+    rng = np.random.default_rng(31)
+    rows = [tuple(int(v) for v in rng.integers(0, top, 4)) for top in (2, 5, 30, 200) for _ in range(12)] + [(0, 0, 0, 0), (7, 0, 0, 9), (0, 400, 300, 0), (1, 2, 3, 4), (500, 1, 1, 500)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "run long, a long, b long, c long, d long")
+    for r in stats.fisher_exact(table, ["run"]).collect():
+        assert r.p == pytest.approx(exact_fisher(*rows[r.run]), rel=1e-9, abs=1e-300)
+    large = spark.createDataFrame([(0, 50_000_000, 50_000_000, 50_000_000, 50_000_000), (1, 50_010_000, 49_990_000, 49_990_000, 50_010_000), (2, 60_000_000, 40_000_000, 1, 10), (3, 90_000_000, 1_000_000, 1_000_000, 90_000_000)], "run long, a long, b long, c long, d long")
+    found = {r.run: r.p for r in stats.fisher_exact(large, ["run"]).collect()}
+    # 10^4 from the mean, at a standard deviation of sqrt(10^8 / 8)
+    assert found[0] == pytest.approx(1.0) and found[1] == pytest.approx(math.erfc((10_000 - 0.5) / math.sqrt(1e8 / 8) / math.sqrt(2)), rel=1e-3) and 0 < found[2] < 1e-2 and found[3] == 0
+
+
+def test_samples_are_the_first_by_draw(spark):
+    ids = [f"n{i}" for i in range(500)]
+    table = spark.createDataFrame([(i,) for i in ids], "id string")
+    for frac in (0.0, 0.001, 0.5, 0.8, 1.0):
+        found = {}
+        for r in consensus.subsample(table, "id", 3, frac, 7).collect():
+            found.setdefault(r.replicate, []).append(r.id)
+        assert all(sorted(found.get(n, [])) == sampled(ids, n, 7, frac) for n in range(3))
+
+
+def test_rows_are_ranked_without_their_zeros(spark):
+    rng = np.random.default_rng(32)
+    for share in (0.1, 0.5, 0.95):
+        x = (rng.random((8, 13)) < share) * rng.integers(1, 4, (8, 13)).astype(float)
+        x[3] = 0
+        order = np.argsort(x, axis=1, kind="stable")
+        levels, want = np.sort(x, axis=1).mean(axis=0), np.zeros_like(x)
+        np.put_along_axis(want, order, levels[None, :], axis=1)
+        people, genes = spark.createDataFrame([(i,) for i in range(8)], "individual long"), spark.createDataFrame([(j,) for j in range(13)], "gene long")
+        found = normalize.quantile_normalize_rows(cells(spark, x, ("individual", "gene", "value")), people, genes)
+        got = np.zeros_like(x)
+        for r in found.collect():
+            assert r.value != 0 and got[r.individual, r.gene] == 0
+            got[r.individual, r.gene] = r.value
+        assert np.allclose(got, want)
+
+
+def test_hubs_are_dealt_to_several_tasks(spark):
+    """A star: its centre's edges in equal parts, the same result as unsplit."""
+    pairs = [(0, i) for i in range(1, 401)]
+    edges = spark.createDataFrame([(a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))], "src long, dst long, weight double")
+    salted, meets = hubs.split(edges, most=50)
+    sizes = [r["count"] for r in salted.filter("src = 0").groupBy("_salt").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * np.median(sizes) and salted.filter("src <> 0 and _salt <> 0").count() == 0
+    profile = spark.createDataFrame([(p, g, 1.0 + p) for p in range(5) for g in (0, 1, 7)], "individual long, gene long, value double")
+    assert hubs.meeting(profile, meets, "gene").count() == 5 * (8 + 2)
+    network = diffusion.normalize_network(edges)
+    one, other = ({(r.individual, r.gene): r.value for r in diffusion.propagate(profile, network, 0.6, 1e-3, 4, hub).collect()} for hub in (50, 10**6))
+    assert one.keys() == other.keys() and all(one[c] == pytest.approx(other[c]) for c in one)
+
+
+def test_influence_within_a_tolerance(spark):
+    """In blocks and by joins, the same step ends it."""
+    rng = np.random.default_rng(33)
+    a = np.triu(rng.random((30, 30)) < 0.15, 1)
+    edges = cells(spark, (a | a.T).astype(float), ("src", "dst", "weight"))
+    for alpha, tol in ((0.6, 0.01), (0.3, 1e-4), (0.95, 0.5), (0.6, None)):
+        one, other = ({(r.src, r.dst): r.value for r in found.collect()} for found in (diffusion.influence_blocks(edges, alpha, tol=tol), diffusion.influence_blocks(edges, alpha, tol=tol, most_edges=0)))
+        assert one.keys() == other.keys() and len(one) and all(one[c] == pytest.approx(other[c], abs=1e-12) for c in one)
+
+
 def test_grids_do_what_is_missing(spark, tmp_path, monkeypatch):
     """Networks and parameters are keys: runs that differ in one have results of their own, and none is done twice."""
     kinds = sweep.parameter_grid(spark, mut_type=["raw", "diff"], network=["APID", "STRING", "none"], qn_mode=["none"])
