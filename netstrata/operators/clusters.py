@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scratch import materialise
+from .running import beside, running_sums
 
 COUNTS = ["n_total", "n_sibling", "n_proband", "n_female", "n_male"]
 MEASURES = ["iq", "srs", "vineland", "distance", "burden"]
@@ -45,16 +46,17 @@ def cluster_ratios(counts: DataFrame, run: list[str]) -> DataFrame:
 
 def cluster_medians(members: DataFrame, keys: list[str], measures: list[str] = MEASURES) -> DataFrame:
     """(keys, median_<measure>): nulls don't count; null without values. Values are counted first, and running counts over
-    the sorted distinct values find the middle ones, so no task holds a cluster's values."""
+    ranges of the distinct values (running.py) find the middle ones, so no task holds a cluster's values."""
     long = members.unpivot(keys, [F.col(c).cast("double").alias(c) for c in measures], "_measure", "_value")
     counts = long.groupBy(*keys, "_measure", "_value").agg(F.count("_value").alias("_n"))
-    own = Window.partitionBy(*keys, "_measure")
-    upto = F.sum("_n").over(own.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
-    running = counts.select(*keys, "_measure", "_value", "_n", F.sum("_n").over(own).alias("_total"), upto.alias("_upto"))
+    counts, own = counts.filter("_n > 0"), [*keys, "_measure"]
+    running = running_sums(counts, own, "_value", ["_n"]).withColumnRenamed("_upto__n", "_upto")
+    running = beside(running, counts.groupBy(*own).agg(F.sum("_n").alias("_total")), own)
     at = lambda place: F.max(F.when((F.col("_upto") - F.col("_n") < place) & (place <= F.col("_upto")), F.col("_value")))
     low, high = (F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1)
     middle = running.groupBy(*keys, "_measure").agg(((at(low) + at(high)) / 2).alias("_median"))
-    return middle.groupBy(*keys).agg(*(F.max(F.when(F.col("_measure") == c, F.col("_median"))).alias(f"median_{c}") for c in measures))
+    known = members.select(*keys).distinct().select(*keys, F.lit(None).cast("string").alias("_measure"), F.lit(None).cast("double").alias("_median"))
+    return middle.union(known).groupBy(*keys).agg(*(F.max(F.when(F.col("_measure") == c, F.col("_median"))).alias(f"median_{c}") for c in measures))
 
 
 def component_composition(labels: DataFrame, category: str) -> DataFrame:

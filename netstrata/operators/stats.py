@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tails import chi2_p, ks_p
+from .running import beside, running_sums
 
 
 def round_keeping_sum(df: DataFrame, keys: list[str], expected: str, observed: str, order: str, out: str = "rounded") -> DataFrame:
@@ -72,15 +73,15 @@ def fisher_exact(tables: DataFrame, keys: list[str]) -> DataFrame:
 def ks_2sample(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
     """(keys, statistic, p) of the two groups that sort first and last; nulls left out; null without both groups.
 
-    Values are counted first, so running counts go over distinct values.
+    Values are counted first, so running counts go over distinct values, in ranges of them (running.py).
     """
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     ends = rows.groupBy(*keys).agg(F.min(group).alias("_g1"), F.max(group).alias("_g2"))
     counts = rows.join(ends, keys).groupBy(*keys, value).agg(F.sum((F.col(group) == F.col("_g1")).cast("double")).alias("_n1"), F.sum((F.col(group) == F.col("_g2")).cast("double")).alias("_n2"), F.max((F.col("_g1") != F.col("_g2"))).alias("_two"))
-    own = Window.partitionBy(*keys)
-    upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gaps = counts.select(*keys, "_two", F.sum("_n1").over(own).alias("_a"), F.sum("_n2").over(own).alias("_b"), F.sum("_n1").over(upto).alias("_ca"), F.sum("_n2").over(upto).alias("_cb"))
-    found = gaps.groupBy(*keys).agg(F.when(F.max("_two"), F.max(F.abs(F.col("_ca") / F.col("_a") - F.col("_cb") / F.col("_b")))).alias("statistic"), F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    running = running_sums(counts, keys, value, ["_n1", "_n2"])
+    whole = beside(running, counts.groupBy(*keys).agg(F.sum("_n1").alias("_a"), F.sum("_n2").alias("_b"), F.max("_two").alias("_both")), keys)
+    gap = F.abs(F.col("_upto__n1") / F.col("_a") - F.col("_upto__n2") / F.col("_b"))
+    found = whole.groupBy(*keys).agg(F.when(F.max("_both"), F.max(gap)).alias("statistic"), F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     return found.withColumn("p", ks_p(F.col("statistic") * F.sqrt(F.col("_a") * F.col("_b") / (F.col("_a") + F.col("_b"))))).select(*keys, "statistic", "p")
 
 
@@ -88,8 +89,8 @@ def kruskal(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame
     """(keys, statistic, df, p) with the tie correction; nulls left out; null with under two groups or one value."""
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     ties = rows.groupBy(*keys, value).agg(F.count("*").alias("_t"))
-    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = ties.select(*keys, value, (before + (F.col("_t") + 1) / 2).alias("_rank"))
+    running = running_sums(ties, keys, value, ["_t"])
+    ranks = running.select(*keys, value, (F.col("_upto__t") - F.col("_t") + (F.col("_t") + 1) / 2).alias("_rank"))
     groups = rows.join(ranks, [*keys, value]).groupBy(*keys, group).agg(F.sum("_rank").alias("_sum"), F.count("*").alias("_n"))
     parts = groups.groupBy(*keys).agg(F.sum(F.col("_sum") * F.col("_sum") / F.col("_n")).alias("_s"), F.sum("_n").alias("_n"), (F.count("*") - 1).alias("df"))
     tied = ties.groupBy(*keys).agg(F.sum(F.pow(F.col("_t").cast("double"), 3) - F.col("_t")).alias("_tied"))

@@ -12,7 +12,7 @@ from tests.plain import modularity, naive_linkage, plain_nndsvd, plain_replicate
 from netstrata.functions import scratch, tails
 from netstrata.jobs import stratify as job
 from netstrata.jobs.stratify import stratify
-from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, network, normalize, profiles, stats, svd, sweep
+from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, network, normalize, profiles, running, stats, svd, sweep
 from netstrata.sources import io
 
 PAIRS = [(1, 2), (1, 4), (2, 6), (3, 6), (4, 6), (5, 5), (2, 1)]
@@ -471,7 +471,7 @@ def test_block_start_is_the_distributed_one(spark, one_round):
 
 @pytest.fixture
 def one_round(monkeypatch):
-    """Enough where the sketch spans everything."""
+    """Enough where the sketch spans everything; workers keep their own number."""
     monkeypatch.setattr(svd, "ROUNDS", 1)
 
 
@@ -517,7 +517,7 @@ def test_starts_of_empty_and_small_matrices(spark, one_round):
 
 
 @pytest.mark.parametrize("lambd", [0.0, 2.0])
-def test_replicates_are_the_same_in_blocks_and_as_tables(spark, one_round, lambd):
+def test_replicates_are_the_same_in_blocks_and_as_tables(spark, lambd):
     rng = np.random.default_rng(23)
     x = (rng.random((40, 60)) < 0.15) * rng.integers(1, 4, (40, 60)) + np.kron(np.eye(2), np.ones((20, 30))) * (rng.random((40, 60)) < 0.3)
     a = np.triu(rng.random((60, 60)) < 0.1, 1)
@@ -668,6 +668,30 @@ def test_hubs_are_dealt_to_several_tasks(spark):
     assert one.keys() == other.keys() and all(one[c] == pytest.approx(other[c]) for c in one)
 
 
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(34)
+    rows = sorted({(int(k) if k else None, float(v)) for k, v in rng.integers(0, 400, (3000, 2)) % [3, 400]}, key=repr)
+    rows = [(k, v, i % 5) for i, (k, v) in enumerate(rows)]
+    found = running.running_sums(spark.createDataFrame(rows, "k int, v double, n int").repartition(9), ["k"], "v", ["n"]).collect()
+    assert len(found) == len(rows) and all(r._upto_n == sum(n for k, v, n in rows if k == r.k and v <= r.v) for r in found)
+
+
+def test_communities_of_communities(spark):
+    """Cliques in pairs: single moves find cliques, levels the pairs; never below the single level."""
+    pairs = set()
+    for c in range(16):
+        nodes = [4 * c + i for i in range(4)]
+        pairs |= set(itertools.combinations(nodes, 2)) | {(nodes[0], 4 * ((c + 1) % 16) + 1)}
+        if c % 2 == 0:
+            pairs |= {(n, n + 4) for n in nodes}
+    both = [(a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))]
+    edges = spark.createDataFrame(both, "src long, dst long, weight double")
+    one, whole = ({r.gene: r.community for r in diffusion.communities(edges, levels=n).collect()} for n in (1, 10))
+    score = lambda found: modularity([(a, b) for a, b, _ in both], found)
+    assert score(whole) >= score(one) and diffusion.modularity(edges, spark.createDataFrame(list(whole.items()), "gene long, community long")) == pytest.approx(score(whole))
+    assert len(set(whole.values())) <= 8 and all(len({whole[4 * c + i] for i in range(4)}) == 1 for c in range(16))
+
+
 def test_influence_within_a_tolerance(spark):
     """In blocks and by joins, the same step ends it."""
     rng = np.random.default_rng(33)
