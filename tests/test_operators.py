@@ -668,6 +668,23 @@ def test_hubs_are_dealt_to_several_tasks(spark):
     assert one.keys() == other.keys() and all(one[c] == pytest.approx(other[c]) for c in one)
 
 
+def test_row_distances_in_tiles(spark, monkeypatch):
+    """Many tiles, rows in many parts, names as ids: as on the whole matrix."""
+    monkeypatch.setattr(consensus, "INNER", 7)
+    rng = np.random.default_rng(35)
+    n = 40
+    m = rng.random((n, n))
+    m = (m + m.T) / 2
+    np.fill_diagonal(m, 1)
+    rows = [(f"n{i:02}", f"n{j:02}", float(m[i, j])) for i in range(n) for j in range(i + 1, n)]
+    table = spark.createDataFrame(rows, "id_a string, id_b string, consensus double")
+    for most in (4096, 9):
+        monkeypatch.setattr(consensus, "TILE", most)
+        found = {(r.id_a, r.id_b): r.distance for r in consensus.consensus_row_distance(table, n).collect()}
+        assert len(found) == n * (n - 1) // 2
+        assert all(d == pytest.approx(np.linalg.norm(m[int(a[1:])] - m[int(b[1:])]), abs=1e-9) for (a, b), d in found.items())
+
+
 def test_running_sums_over_ranges(spark):
     rng = np.random.default_rng(34)
     rows = sorted({(int(k) if k else None, float(v)) for k, v in rng.integers(0, 400, (3000, 2)) % [3, 400]}, key=repr)
