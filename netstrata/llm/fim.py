@@ -95,7 +95,7 @@ def _in_duckdb(df: DataFrame, column: str, sql: str, schema: str) -> DataFrame:
         with duckdb.connect(config={"threads": 1, "temp_directory": ""}) as con:
             for batch in _cut(batches, column, BATCH_BYTES):
                 con.register("batch", pa.Table.from_batches([batch]))
-                yield from con.execute(sql).to_arrow_table().to_batches()
+                yield from con.sql(sql).to_arrow_table().to_batches()
                 con.unregister("batch")
 
     return df.mapInArrow(run, schema)
