@@ -18,7 +18,7 @@ from .simhash import op6_simhash
 from .suffix import op8_suffix_dedup
 from .tokens import op2_token_output
 from .urls import op1_url_filter
-from .vectorcode import op11_vector_codes
+from .vectorcode import OP11_SQL, op11_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -40,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op9_line_dedup": OP9_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_fill_in_middle": OP12_SQL}

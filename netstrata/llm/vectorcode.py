@@ -260,3 +260,30 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = fit(whole_vectors(table(spark, sf_dir, "embeddings")))
     text = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code")
     return with_label_errors(codes.rows).select("vec_id", text, "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
+
+
+def _sql() -> str:
+    """All rounds unrolled, by whole scans of all entries."""
+    out = f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+size AS (SELECT len(ints) // {PARTS} AS w FROM kept ORDER BY vec_id LIMIT 1),
+parts AS MATERIALIZED (SELECT row, p, ints[p * w + 1 : (p + 1) * w] AS v, w FROM kept, size, range({PARTS}) AS r(p)),
+book0 AS MATERIALIZED (SELECT p, j, v AS e FROM parts JOIN (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM kept ORDER BY vec_id LIMIT {ENTRIES}) USING (row))"""
+    for i in range(ROUNDS + 1):
+        out += f""",
+near{i} AS MATERIALIZED (SELECT row, p, min(struct_pack(d := list_sum(list_transform(range(1, w + 1), lambda i: (v[i] - e[i]) * (v[i] - e[i]))), j := j)) AS best, any_value(v) AS v FROM parts JOIN book{i} USING (p) GROUP BY row, p)"""
+        if i < ROUNDS:
+            out += f""",
+mean{i} AS (SELECT p, j, list(m ORDER BY i) AS e FROM (SELECT p, best.j AS j, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM near{i}, size, LATERAL (SELECT unnest(range(1, w + 1)) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+book{i + 1} AS MATERIALIZED (SELECT b.p, b.j, coalesce(m.e, b.e) AS e FROM book{i} b LEFT JOIN mean{i} m ON b.p = m.p AND b.j = m.j)"""
+    return (
+        out
+        + f""",
+coded AS (SELECT row, string_agg(printf('%02x', CAST(best.j AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{ROUNDS} GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM book{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (row), digest"""
+    )
+
+
+OP11_SQL = _sql()

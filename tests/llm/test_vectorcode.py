@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -53,7 +54,11 @@ def test_query_against_whole_scans(spark):
         label[rows[i][2]] += error
     digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
     want = sorted((rows[i][0], "".join(f"{x:02x}" for x in c), e, label[rows[i][2]], digest) for i, (c, e) in codes.items())
-    assert sorted(map(tuple, vc.op11_vector_codes(spark, MEDIUM).select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect())) == want
+    names = ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert sorted(map(tuple, vc.op11_vector_codes(spark, MEDIUM).select(*names).collect())) == want
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{MEDIUM}/embeddings.parquet'")
+    assert sorted(con.execute(f"select {', '.join(names)} from ({vc.OP11_SQL})").fetchall()) == want
 
 
 def test_odd_rows(spark):
