@@ -12,7 +12,7 @@ from tests.plain import modularity, naive_linkage, plain_nndsvd, plain_replicate
 from netstrata.functions import scratch, tails
 from netstrata.jobs import stratify as job
 from netstrata.jobs.stratify import stratify
-from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, network, normalize, profiles, running, stats, svd, sweep
+from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, matrixrows, network, normalize, profiles, running, stats, svd, sweep
 from netstrata.sources import io
 
 PAIRS = [(1, 2), (1, 4), (2, 6), (3, 6), (4, 6), (5, 5), (2, 1)]
@@ -257,14 +257,14 @@ def test_consensus_blocks_are_brute_force(spark):
         assert abs(r.distance - np.linalg.norm(m[r.id_a] - m[r.id_b])) < 1e-6
 
 
-@pytest.mark.parametrize("method, in_task", [(m, n) for m in hierarchy.METHODS for n in (hierarchy.IN_TASK, 4)])
-def test_linkage(spark, method, in_task):
+@pytest.mark.parametrize("method, in_task, in_rows", [(m, n, r) for m in hierarchy.METHODS for n, r in ((hierarchy.IN_TASK, 0), (4, hierarchy.IN_ROWS), (4, 0)) if (m, n, r) != ("single", 4, 0)])
+def test_linkage(spark, method, in_task, in_rows):
     rng = np.random.default_rng(8)
     points = rng.random((14, 3))
     d = {(a, b): float(np.linalg.norm(points[a] - points[b])) for a in range(14) for b in range(a + 1, 14)}
     dist = spark.createDataFrame([(a, b, v) for (a, b), v in d.items()], "id_a long, id_b long, distance double")
     want = naive_linkage(d, method)
-    rows = sorted(hierarchy.linkage(dist, method, in_task).collect(), key=lambda r: r.step)
+    rows = sorted(hierarchy.linkage(dist, method, in_task, in_rows).collect(), key=lambda r: r.step)
     assert [r.step for r in rows] == list(range(1, 14))
     members = {i: {i} for i in range(14)}
     got = []
@@ -310,6 +310,36 @@ def test_chain(spark, in_task):
     assert heights == {(names[i], names[j]): float(j + 1) for i in range(30) for j in range(i + 1, 30)}
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_linkage_by_rows(spark, method, monkeypatch):
+    """Text ids, several blocks of rows, and rows written whole after every second round give the tree of one task."""
+    monkeypatch.setattr(matrixrows, "ROUNDS", 2)
+    monkeypatch.setattr(matrixrows, "CELLS", 2000)
+    points = np.random.default_rng(5).random((150, 4))
+    name = [f"id{i:03}" for i in range(150)]
+    d = [(name[a], name[b], float(np.linalg.norm(points[a] - points[b]))) for a in range(150) for b in range(a)]
+    dist = scratch.materialise(spark.createDataFrame(d, "id_a string, id_b string, distance double"), "dist")
+    want, got = (sorted(hierarchy.linkage(dist, method, n).collect(), key=lambda r: r.step) for n in (hierarchy.IN_TASK, 20))
+    assert [(r.step, r.left, r.right, r.size) for r in got] == [(r.step, r.left, r.right, r.size) for r in want]
+    assert np.allclose([r.height for r in got], [r.height for r in want])
+
+
+def test_linkage_by_rows_with_ties(spark):
+    """Points at whole places: many equal distances; each of the merges joins two clusters at their distance."""
+    points = [(i % 6, i // 6) for i in range(36)]
+    d = {(a, b): float(abs(points[a][0] - points[b][0]) + abs(points[a][1] - points[b][1])) for a in range(36) for b in range(a + 1, 36)}
+    dist = spark.createDataFrame([(a, b, v) for (a, b), v in d.items()], "id_a long, id_b long, distance double")
+    rows = sorted(hierarchy.linkage(dist, "complete", 3).collect(), key=lambda r: r.step)
+    members = {i: {i} for i in range(36)}
+    assert len(rows) == 35
+    for r in rows:
+        left, right = members[r.left], members.pop(r.right)
+        assert r.height == max(d[min(a, b), max(a, b)] for a in left for b in right)
+        left |= right
+    with pytest.raises(ValueError, match="missing"):
+        hierarchy.linkage(dist.filter("id_a % 6 = 0 and id_b = id_a + 1"), "complete", 3)
+
+
 def test_linkage_with_ties_and_nothing(spark):
     dist = spark.createDataFrame([(a, b, 1.0) for a in range(6) for b in range(a + 1, 6)], "id_a long, id_b long, distance double")
     rows = hierarchy.linkage(dist, "average").collect()
