@@ -815,9 +815,13 @@ def f5_bootstrap_labels(spark, sf_dir):
 # Hierarchy ---------------------------------------------------------------------------------------------------------
 
 
-def _distances(spark, sf_dir):
-    """Distances between suppliers by mean quantity and discount of their lines."""
-    own = t.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_quantity"), 4).alias("x"), F.round(100 * F.avg("l_discount"), 4).alias("y"))
+def _distances(spark, sf_dir, key="l_suppkey"):
+    """Distances between suppliers, or parts, by mean quantity and discount of their lines."""
+    own = t.table(spark, sf_dir, "lineitem").groupBy(key).agg(F.round(F.avg("l_quantity"), 4).alias("x"), F.round(100 * F.avg("l_discount"), 4).alias("y"))
+    return _apart(own)
+
+
+def _apart(own):
     pairs = own.toDF("id_a", "xa", "ya").join(own.toDF("id_b", "xb", "yb"), F.col("id_a") < F.col("id_b"))
     return pairs.select("id_a", "id_b", F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)).alias("distance"))
 
@@ -842,6 +846,41 @@ def f9_linkage_ward(spark, sf_dir):
     return _tree(spark, sf_dir, "ward")
 
 
+@query("f9_linkage_parts")
+def f9_linkage_parts(spark, sf_dir):
+    """F9 over all genes (20,000 at sf0.1), in rows above 1,024 of them."""
+    return hierarchy.linkage(materialise(_distances(spark, sf_dir, "l_partkey"), "distances"), "average", in_task=1024)
+
+
+def _ward_sql(merges: int) -> str:
+    """Ward's tree of at most merges + 1 objects of dist, a step of the recursion for each merge."""
+    steps = ["d0 AS MATERIALIZED (SELECT id_a AS x, id_b AS y, distance AS d, 1 AS nx, 1 AS ny FROM dist)"]
+    for i in range(1, merges + 1):
+        steps.append(f"m{i} AS MATERIALIZED (SELECT * FROM d{i - 1} ORDER BY d, x, y LIMIT 1)")
+        steps.append(f"""d{i} AS MATERIALIZED (SELECT least(u, v) AS x, greatest(u, v) AS y,
+CASE WHEN count(*) = 1 THEN max(d) ELSE sqrt(greatest((sum((nx + ny) * d * d) - max(other * h * h)) / max(wu + wv), 0)) END AS d,
+max(CASE WHEN u < v THEN wu ELSE wv END) AS nx, max(CASE WHEN u < v THEN wv ELSE wu END) AS ny
+FROM (SELECT p.d, p.nx, p.ny, m.d AS h, CASE WHEN p.x = m.y THEN m.x ELSE p.x END AS u, CASE WHEN p.y = m.y THEN m.x ELSE p.y END AS v,
+CASE WHEN p.x IN (m.x, m.y) THEN m.nx + m.ny ELSE p.nx END AS wu, CASE WHEN p.y IN (m.x, m.y) THEN m.nx + m.ny ELSE p.ny END AS wv,
+CASE WHEN p.x IN (m.x, m.y) THEN p.ny ELSE p.nx END AS other FROM d{i - 1} p, m{i} m WHERE NOT (p.x = m.x AND p.y = m.y)) GROUP BY 1, 2)""")
+    return ", ".join(steps)
+
+
+@query(
+    "f9_linkage_nations",
+    "WITH b AS (SELECT c_nationkey AS id, round(avg(c_acctbal) / 100, 4) AS x, round(100 * avg(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END), 4) AS y FROM customer GROUP BY 1), "
+    + "dist AS MATERIALIZED (SELECT a.id AS id_a, c.id AS id_b, sqrt((a.x - c.x) ** 2 + (a.y - c.y) ** 2) AS distance FROM b a JOIN b c ON a.id < c.id), "
+    + _ward_sql(24)
+    + " "
+    + " UNION ALL ".join(f'SELECT {i} AS step, x AS "left", y AS "right", round(d, 6) AS height, nx + ny AS size FROM m{i}' for i in range(1, 25)),
+)
+def f9_linkage_nations(spark, sf_dir):
+    """F9 by rounds over rows, as for more clusters than a task holds: nations by their customers."""
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
+    own = t.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal") / 100, 4).alias("x"), F.round(100 * F.avg(segment), 4).alias("y"))
+    return hierarchy.linkage(materialise(_apart(own), "distances"), "ward", in_task=4).withColumn("height", r6("height"))
+
+
 #: Single linkage joins a pair at the least largest step of any path between them: eight squarings reach paths of 256 steps.
 _MINIMAX = (
     _DISTANCES
