@@ -7,8 +7,8 @@ reader can take metadata without ids, or the ids of a range of documents, withou
 each document's global start from per-file totals.
 
 Nulls and odd input: a null or empty text has only the end id. Null doc_ids come first. Rows with equal doc_id are
-ordered by the text's hash, then text; equal rows keep one row each. A very long text is one row, and takes memory in proportion in the task that
-writes it. An empty table writes no rows. Other columns of the input are ignored.
+ordered by the text's hash, then text; equal rows keep one row each. A very long text is one row, and takes memory in
+proportion in the task that writes it. An empty table writes no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept, new_path, single_threaded, slices, table
+from .common import kept, new_path, single_threaded, table
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
@@ -65,6 +66,13 @@ class WordEncoder(dict):
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         return [self._encode(text.lower().replace(b"\n", b" ").split(b" ")) if text else b"" for text in texts]
 
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some words."""
+        if len(self) > self.limit:
+            self.clear()
+            self[b""] = b""
+        return list(map(self.__getitem__, words))
+
     def _encode(self, words: list[bytes]) -> bytes:
         ids = []
         for at in range(0, len(words), self.CHUNK):
@@ -108,15 +116,100 @@ class WordEncoder(dict):
         return {ord(letter): x[0][0] for letter, x in spelt.items()}
 
 
+class ColumnEncoder:
+    """Encodes whole columns of texts, word by word as ``WordEncoder`` does, but with the words it remembers in Arrow.
+
+    Arrow cuts a column into words and numbers the different ones, one hash lookup places those among the known, and only
+    new ones are Python objects; ids are laid out by the words' numbers. A known word takes about 45 bytes. When there are
+    over ``limit``, or over ``most`` bytes of them, the half of ``limit`` that stood in most columns stays, without words over
+    ``longest`` bytes. Texts over ``PIECE`` bytes are cut at blanks and encoded a piece at a time.
+    """
+
+    PIECE = 4 << 20
+    BLANK = re.compile(rb"[ \n]").search
+    #: Words of which Python objects are at hand, for words that are others with signs after them.
+    FRESH = 50_000
+
+    def __init__(self, path: str, limit: int = 500_000, most: int = 32 << 20, longest: int = 48):
+        self.words, self.limit, self.most, self.longest = WordEncoder(path, self.FRESH), limit, most, longest
+        self.known, self.seen = pa.array([], pa.string()), np.zeros(0, np.int32)
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text and the end id."""
+        if len(texts) == 1 and texts.nbytes > self.PIECE:
+            whole, pieces, at = utf8(texts)[0] or b"", [], 0
+            while at < len(whole):
+                blank = self.BLANK(whole, at + self.PIECE)
+                stop = blank.end() if blank else len(whole)
+                pieces.append(self._ids(pa.array([whole[at:stop]], pa.binary()).cast(pa.string()))[0])
+                at = stop
+            ids, ends = np.concatenate([np.zeros(0, np.int32), *pieces]), np.array([sum(map(len, pieces))])
+        else:
+            ids, ends = self._ids(texts)
+        offsets = np.r_[0, ends + np.arange(1, len(ends) + 1)].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.insert(ids, ends, np.int32(end_id))))
+
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where those of each end."""
+        words = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts.fill_null("")), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        order = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        taken = self.sizes[order]
+        stops = np.r_[0, np.cumsum(taken)]
+        places = np.repeat((np.cumsum(self.sizes) - self.sizes)[order] - stops[:-1], taken) + np.arange(stops[-1])
+        out = self.ids[places]
+        if len(self.known) > self.limit or self.known.nbytes + self.ids.nbytes > self.most:
+            self._thin()
+        return out, stops[np.cumsum(words.value_lengths().to_numpy())]
+
+    def _places(self, different: pa.Array) -> np.ndarray:
+        """Where different words are among the known ones, to which new ones are added."""
+        found, n = pc.index_in(different, value_set=self.known), len(self.known)
+        new = different.filter(found.is_null())
+        places = found.fill_null(-1).to_numpy().astype(np.int64)
+        places[places < 0] = np.arange(n, n + len(new))
+        ids = self.words.each(utf8(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.sizes = np.r_[self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 4]
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<i4")])
+        self.seen = np.r_[self.seen, np.zeros(len(new), np.int32)]
+        self.seen[places] += 1
+        return places
+
+    def _thin(self) -> None:
+        short = np.flatnonzero(pc.binary_length(self.known).to_numpy() <= self.longest)
+        kept = np.sort(short[np.argsort(-self.seen[short], kind="stable")[: self.limit // 2]])
+        stays = np.zeros(len(self.known), bool)
+        stays[kept] = True
+        self.ids = self.ids[np.repeat(stays, self.sizes)]
+        self.known, self.sizes, self.seen = self.known.filter(pa.array(stays)), self.sizes[kept], self.seen[kept] // 2
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker, kept between tasks."""
     return kept(("words", path), lambda: WordEncoder(path))
 
 
+def column_encoder(path: str) -> ColumnEncoder:
+    return kept(("columns", path), lambda: ColumnEncoder(path))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()
 
 
+def of_bytes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has at most so many bytes of text, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def default_tokenizer() -> str:
     return public_tokenizers.path(WORD_BPE)
 
@@ -124,20 +217,18 @@ def default_tokenizer() -> str:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Write the ids of every document, in ascending doc_id order, each file a contiguous range."""
     tokenizer = tokenizer or default_tokenizer()
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            ids = [got + end for got in encoder(tokenizer).encode(utf8(batch.column("text")))]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(sizes)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        for batch in of_bytes(batches, ColumnEncoder.PIECE):
+            lists = column_encoder(tokenizer).encode(batch.column("text"), end_id)
+            ends = lists.offsets.to_numpy()[1:].astype(np.int64)
+            sizes = np.diff(ends, prepend=0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - sizes), lists],
+                [batch.column("doc_id"), pa.array(sizes), pa.array(np.full(len(ends), part, np.int32)), pa.array(at + ends - sizes), lists],
                 ["doc_id", "n_tokens", "part", "part_start", "ids"],
             )
-            at += int(ends[-1]) if len(ends) else 0
+            at += int(ends[-1])
 
     order = ["doc_id", F.xxhash64("text"), "text"]
     (

@@ -36,6 +36,47 @@ def test_encoder_forgets_when_full(library):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(library, t)[:-1] for t in TEXTS]
 
 
+def test_columns_give_the_ids_of_whole_texts(library):
+    import pyarrow as pa
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from netstrata.llm.tokens import ColumnEncoder
+
+    want = [ids_of(library, t) for t in TEXTS]
+    whole = ColumnEncoder(default_tokenizer())
+    forgetful = ColumnEncoder(default_tokenizer(), limit=3, longest=4)
+    for own in (whole, forgetful, forgetful, whole):
+        assert own.encode(pa.array(TEXTS, pa.string()), 2).to_pylist() == want
+    assert len(forgetful.known) <= 3 and max(map(len, forgetful.known.to_pylist()), default=0) <= 4
+    assert whole.encode(pa.array([], pa.string()), 2).to_pylist() == []
+    assert whole.encode(pa.array(["x", None, *TEXTS], pa.string()).slice(2), 2).to_pylist() == want
+    small = ColumnEncoder(default_tokenizer())
+    small.PIECE = 16
+    for text, ids in zip(TEXTS, want, strict=True):
+        assert small.encode(pa.array([text], pa.string()), 2).to_pylist() == [ids]
+
+    words = st.lists(st.one_of(st.text(max_size=8), st.sampled_from(["Déjà", "the,", "the", "...", "İ", "A#b|", "9.", "\n", "\u00a0x"])), max_size=12)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(words.map(" ".join), min_size=1, max_size=4))
+    def agree(texts):
+        assert forgetful.encode(pa.array(texts, pa.string()), 2).to_pylist() == [ids_of(library, t) for t in texts]
+
+    agree()
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from netstrata.llm.tokens import of_bytes
+
+    texts = ["ab", None, "abcd", "", "abcdefghijkl", "a", "b"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["text"]) for t in (texts, [], texts[3:])]
+    cut = [b.column("text").to_pylist() for b in of_bytes(batches, 5)]
+    assert cut == [["ab", None], ["abcd", ""], ["abcdefghijkl"], ["a", "b"], [""], ["abcdefghijkl"], ["a", "b"]]
+
+
 def test_token_files_round_trip(spark, library):
     docs = crowded(odd_documents(spark), "part", "ids", "n_tokens", "start")
     path = new_path(spark, "t")
