@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Hashable, Iterator
-from functools import wraps
-from typing import Any
+from functools import cache, wraps
+from typing import Any, BinaryIO
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scratch import materialise, new_path, shared_dir, temporary
 
-__all__ = ["delete", "forget", "kept", "keeps_columns", "local_path", "materialise", "new_path", "shared_dir", "single_threaded", "slices", "table", "temporary"]
+__all__ = ["create", "delete", "few", "forget", "kept", "keeps_columns", "local_path", "materialise", "new_path", "read_at", "shared_dir", "single_threaded", "slices", "table", "temporary"]
 
 #: Rows of an Arrow batch that a Python step holds as Python objects at once.
 SLICE_ROWS = 128
+#: Rows up to which a counted table of a few numbers each is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +79,43 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table with the hint to broadcast it if it has at most so many rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def mounted(path: str) -> bool:
+    return path.rpartition(":")[0] in ("", "file")
+
+
+@cache
+def _folder(uri: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(uri.replace("s3a:", "s3:", 1))
+
+
+def create(path: str) -> BinaryIO:
+    """A new file of the shared folder, which need not be mounted, to write from its start to its end."""
+    folder, _, name = path.rpartition("/")
+    if mounted(path):
+        os.makedirs(local_path(folder), exist_ok=True)
+        return open(local_path(path), "wb")
+    files, inner = _folder(folder)
+    files.create_dir(inner)
+    return files.open_output_stream(f"{inner}/{name}")
+
+
+def read_at(path: str, place: int, size: int) -> bytes:
+    """Bytes of a file of the shared folder, which need not be mounted."""
+    if mounted(path):
+        with open(local_path(path), "rb") as whole:
+            whole.seek(place)
+            return whole.read(size)
+    folder, _, name = path.rpartition("/")
+    files, inner = _folder(folder)
+    with files.open_input_file(f"{inner}/{name}") as whole:
+        return whole.read_at(size, place)
+
+
 def local_path(path: str) -> str:
     """A path of the shared folder as one of this machine, for files that tasks write and map themselves."""
     scheme, _, rest = path.rpartition(":")

@@ -19,7 +19,6 @@ task that reads them. Empty tables give no rows. Other columns of the input are
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bktree
-from .common import forget, keeps_columns, local_path, materialise, new_path, slices, table, temporary
+from .common import create, few, forget, keeps_columns, materialise, new_path, read_at, slices, table, temporary
 from .graph import components
 
 SEED = 42
@@ -205,13 +204,12 @@ def _mixed(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (text hash), print (binary, 64 * WIDE_WORDS bits over the distinct shingles), n_shingles, keys (minima of
     KEYS hashes), digest of the set of shingle hashes, and the file and place in it at which the task wrote the set, sorted."""
-    folder = local_path(new_path(docs.sparkSession, "shingle-sets"))
+    folder = new_path(docs.sparkSession, "shingle-sets")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        os.makedirs(folder, exist_ok=True)
         path = f"{folder}/{uuid.uuid4().hex}"
-        with open(path, "wb") as out:
+        with create(path) as out:
             for batch in slices(batches):
                 prints, sizes, keys, digests, places = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
@@ -242,15 +240,13 @@ class ShingleSets:
 
     def __init__(self, rows: pa.Table):
         self.file, self.place, self.size = rows["file"].to_pylist(), rows["place"].to_pylist(), rows["n_shingles"].to_numpy()
-        self.held: OrderedDict[tuple[str, int], np.ndarray] = OrderedDict()
+        self.held: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
         self.bytes = 0
 
     def hashes(self, row: int) -> np.ndarray:
-        key = self.file[row], self.place[row]
+        key = self.file[row], self.place[row], 8 * int(self.size[row])  # an empty set has the place of the next
         if key not in self.held:
-            with open(key[0], "rb") as whole:
-                whole.seek(key[1])
-                self.held[key] = np.fromfile(whole, np.uint64, int(self.size[row]))
+            self.held[key] = np.frombuffer(read_at(*key), np.uint64)
             self.bytes += self.held[key].nbytes
             while self.bytes > HELD_SETS and len(self.held) > 2:
                 self.bytes -= self.held.popitem(last=False)[1].nbytes
@@ -293,7 +289,7 @@ def _parts(n: F.Column, hot: int) -> F.Column:
 
 def _in_pairs(rows: DataFrame, hot: int) -> DataFrame:
     """Rows of each shard in shards of about ``hot`` rows, at least one of which holds any two of them: pairs of parts."""
-    counted = rows.join(F.broadcast(rows.groupBy("shard").agg(_parts(F.count("*"), hot).alias("parts"))), "shard")
+    counted = rows.join(few(materialise(rows.groupBy("shard").agg(_parts(F.count("*"), hot).alias("parts")), "parts")), "shard")
     own = counted.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("other <> own or parts = 1")
     return other.withColumn("shard", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).select(*MEMBER)
@@ -303,7 +299,7 @@ def _across(judged: DataFrame, turn: int, hot: int) -> DataFrame:
     """Followers and the rows that may be near to one, in shards of about ``hot`` rows that bring each two of them together."""
     count = lambda role: F.count(F.when(F.col("role") == role, 1))
     sizes = judged.groupBy("shard").agg(_parts(count(1), hot).alias("between"), _parts(count(2), hot).alias("followers")).filter("between > 0")
-    both = judged.filter("role > 0").join(F.broadcast(sizes), "shard")
+    both = judged.filter("role > 0").join(few(materialise(sizes, "parts")), "shard")
     mine, theirs = (F.when(F.col("role") == role, F.col("between")).otherwise(F.col("followers")) for role in (1, 2))
     both = both.withColumns({"own": F.pmod(F.xxhash64("node", F.lit(1)), mine), "other": F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1))})
     first = F.when(F.col("role") == 1, F.col("own")).otherwise(F.col("other"))
@@ -330,7 +326,7 @@ def _judged(members: DataFrame, leaders: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(role)], names)
 
     kinds = ", ".join(f"{c} {t}" for c, t in members.select(*MEMBER).dtypes)
-    return members.join(F.broadcast(leaders), "shard").mapInArrow(judge, f"{kinds}, leader long, role long")
+    return members.join(few(leaders), "shard").mapInArrow(judge, f"{kinds}, leader long, role long")
 
 
 def _thinned(members: DataFrame, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -339,15 +335,15 @@ def _thinned(members: DataFrame, hot: int) -> tuple[list[DataFrame], list[DataFr
     then is over ``hot`` still is searched in pairs of parts."""
     edges, rows = [], []
     for turn in range(ROUNDS):
-        sizes = members.groupBy("shard").count().filter(F.col("count") > hot)
+        sizes = materialise(members.groupBy("shard").count().filter(F.col("count") > hot), "crowded-shards")
         leader = F.min_by(F.struct(F.col("node").alias("leader"), F.col("file").alias("leader_file"), F.col("place").alias("leader_place"), F.col("n_shingles").alias("leader_n")), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
-        leaders = materialise(members.join(F.broadcast(sizes), "shard", "left_semi").groupBy("shard").agg(leader.alias("l")).select("shard", "l.*"), "leaders")
+        leaders = materialise(members.join(few(sizes), "shard", "left_semi").groupBy("shard").agg(leader.alias("l")).select("shard", "l.*"), "leaders")
         if not leaders.limit(1).count():
             break
         judged = materialise(_judged(members, leaders), "judged")
         edges.append(judged.filter("role = 2 and node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
         rows.append(_across(judged, turn, hot))
-        rows.append(members.join(F.broadcast(leaders), "shard", "left_anti").select(*MEMBER))
+        rows.append(members.join(few(leaders), "shard", "left_anti").select(*MEMBER))
         members = judged.filter("role < 2").select(*MEMBER)
     return edges, [*rows, _in_pairs(members, hot)]
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from tests.conftest import MEDIUM
 from tests.llm.samples import SCHEMA, crowded, odd_documents
@@ -135,3 +136,28 @@ def test_odd_rows(spark):
     assert by[14] == by[21] == by[28] == 14
     assert {r.component_id for r in rows if r.doc_id == 7} == {0, 7}
     assert simhash.similar_groups(simhash.fingerprints(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_sets_are_read_from_folders_that_are_not_mounted(spark, tmp_path):
+    from netstrata.llm.common import create, new_path, read_at
+
+    sets = [np.arange(40, dtype=np.uint64), np.arange(2, 40, dtype=np.uint64), np.zeros(0, np.uint64), np.arange(100, 130, dtype=np.uint64)]
+    # a file system in memory stands for one that is reached by its address only
+    for folder in ("mock:///shared/sets", f"file:{tmp_path}/sets", f"{tmp_path}/more", new_path(spark, "sets")):
+        places = []
+        with create(f"{folder}/one") as out:
+            for x in sets:
+                places.append(out.tell())
+                out.write(x.tobytes())
+        rows = pa.table({"file": [f"{folder}/one"] * 4, "place": places, "n_shingles": pa.array(map(len, sets), pa.int64())})
+        held = simhash.ShingleSets(rows)
+        assert all(np.array_equal(held.hashes(i), x) for i, x in enumerate(sets))
+        assert held.similar(np.array([0, 0, 0]), np.array([1, 2, 3])).tolist() == [True, False, False]
+        assert read_at(f"{folder}/one", places[3] + 8, 8) == sets[3][1:2].tobytes()
+
+
+def test_broadcasts_are_counted(spark):
+    from netstrata.llm.common import few
+
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower() or "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(few(spark.range(5), 5)) and not hinted(few(spark.range(6), 5)) and hinted(few(spark.range(0), 5))
