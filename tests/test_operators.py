@@ -684,6 +684,23 @@ def test_rows_are_ranked_without_their_zeros(spark):
         assert np.allclose(got, want)
 
 
+def test_rows_of_ranks_with_their_zeros(spark, monkeypatch):
+    """Every cell once, also those of individuals without values, in runs within a piece and over several."""
+    monkeypatch.setattr(normalize, "PIECE", 4)
+    rng = np.random.default_rng(34)
+    people, genes = spark.createDataFrame([(i,) for i in range(8)], "individual long"), spark.createDataFrame([(j,) for j in range(13)], "gene long")
+    for share in (0.0, 0.1, 0.5, 0.95):
+        x = (rng.random((8, 13)) < share) * rng.integers(1, 4, (8, 13)).astype(float)
+        x[3], x[5, 1:] = 0, 0
+        order = np.argsort(x, axis=1, kind="stable")
+        levels, want = np.sort(x, axis=1).mean(axis=0), np.zeros_like(x)
+        np.put_along_axis(want, order, levels[None, :], axis=1)
+        found = normalize.quantile_normalize_rows(cells(spark, x, ("individual", "gene", "value")), people, genes, zeros=True)
+        got = sorted((r.individual, r.gene, r.value) for r in found.collect())
+        assert [c[:2] for c in got] == list(itertools.product(range(8), range(13)))
+        assert np.allclose([c[2] for c in got], want.ravel())
+
+
 def test_hubs_are_dealt_to_several_tasks(spark):
     """A star: its centre's edges in equal parts, the same result as unsplit."""
     pairs = [(0, i) for i in range(1, 401)]
