@@ -12,7 +12,7 @@ from tests.plain import modularity, naive_linkage, plain_nndsvd, plain_replicate
 from netstrata.functions import scratch, tails
 from netstrata.jobs import stratify as job
 from netstrata.jobs.stratify import stratify
-from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, matrixrows, network, normalize, profiles, running, stats, svd, sweep
+from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, matrixrows, network, normalize, points, profiles, running, stats, svd, sweep
 from netstrata.sources import io
 
 PAIRS = [(1, 2), (1, 4), (2, 6), (3, 6), (4, 6), (5, 5), (2, 1)]
@@ -347,6 +347,47 @@ def test_linkage_with_ties_and_nothing(spark):
     assert hierarchy.linkage(dist.filter("false"), "ward").collect() == []
 
 
+@pytest.mark.parametrize("method", points.METHODS)
+def test_linkage_of_points(spark, method, monkeypatch):
+    """Points without a table of pairs give the tree of the pairs, equal points among them, and no table of pairs is written."""
+    rng = np.random.default_rng(11)
+    x, y = rng.random((2, 60))
+    x[40:50], y[40:50] = x[0], y[0]
+    x[50:52], y[50:52] = x[7], y[7]
+    table = spark.createDataFrame([(f"p{i:02}", float(x[i]), float(y[i])) for i in range(60)], "id string, x double, y double")
+    pairs = scratch.materialise(points.apart(table), "pairs")
+    want = sorted(hierarchy.linkage(pairs, method).collect(), key=lambda r: r.step)
+    correlation = hierarchy.cophenetic_correlation(pairs, scratch.materialise(hierarchy.linkage(pairs, method), "tree")).first()[0]
+    monkeypatch.setattr(points, "CELLS", 200)
+    monkeypatch.setattr(points, "apart", lambda _: 1 / 0)
+    merges = scratch.materialise(points.linkage_points(table, method, 6), "tree")
+    got = sorted(merges.collect(), key=lambda r: r.step)
+    assert [(r.step, r.left, r.right, r.size) for r in got] == [(r.step, r.left, r.right, r.size) for r in want]
+    assert np.allclose([r.height for r in got], [r.height for r in want])
+    assert abs(points.cophenetic_correlation(table, merges).first()[0] - correlation) < 1e-9
+    order = {r.id: r.position for r in hierarchy.leaf_order(merges).collect()}
+    found = {(r.row, r.column): r.distance for r in points.leaf_pairs(table, hierarchy.leaf_order(merges)).collect()}
+    assert found == {tuple(sorted((order[r.id_a], order[r.id_b]))): r.distance for r in pairs.collect()}
+
+
+def test_linkage_of_points_on_a_grid(spark):
+    """Many equal distances: each merge is of two clusters at their distance, and an average's last bits stop nothing."""
+    at = [(i % 9, i // 9) for i in range(81)]
+    table = spark.createDataFrame([(i, float(a) / 3, float(b) / 7) for i, (a, b) in enumerate(at)], "id long, x double, y double")
+    for method in ("average", "ward"):
+        members = {i: {i} for i in range(81)}
+        for r in sorted(points.linkage_points(table, method, 2).collect(), key=lambda r: r.step):
+            left, right = members[r.left], members.pop(r.right)
+            own = [np.array([(at[i][0] / 3, at[i][1] / 7) for i in sorted(side)]) for side in (left, right)]
+            d = np.sqrt(((own[0][:, None] - own[1][None]) ** 2).sum(axis=2)).mean()
+            if method == "ward":
+                a, b = len(left), len(right)
+                d = np.sqrt(2 * a * b / (a + b)) * np.linalg.norm(own[0].mean(axis=0) - own[1].mean(axis=0))
+            assert abs(r.height - d) < 1e-9
+            left |= right
+        assert list(map(len, members.values())) == [81]
+
+
 def test_align_labels(spark):
     a = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, label long")
     b = spark.createDataFrame([(i, (i + 1) % 3) for i in range(30)], "id long, label long")
