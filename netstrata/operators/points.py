@@ -12,7 +12,7 @@ matrix, whose rows all tasks make. Beyond ``MOST``, and for other methods, pairs
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.dealt import over
 from ..functions.scratch import materialise
 from . import hierarchy
 from .hierarchy import IN_TASK
@@ -114,19 +115,6 @@ class Clusters:
         return _distances(self.cx, self.cy, np.array([row]), later)[0] * np.sqrt(2 * (a * b) / (a + b))
 
 
-def _over(spark: SparkSession, which: np.ndarray, work: Callable[[np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """work(numbers) on the numbers, dealt to tasks."""
-    tasks = min(max(1, len(which) // 16), 4 * spark.sparkContext.defaultParallelism)
-    table = spark.createDataFrame(pd.DataFrame({"i": which.astype(np.int64), "part": np.arange(len(which)) % tasks}))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield work(np.sort(batch.column("i").to_numpy()))
-
-    return table.repartition(tasks, "part").mapInArrow(run, schema)
-
-
 def _rounds(spark: SparkSession, x: np.ndarray, y: np.ndarray, n: np.ndarray, method: str, in_task: int) -> list[tuple[np.ndarray, ...]]:
     """(left, right, height, size) of the merges of points by their places."""
     cluster, merges = np.arange(len(x)), []
@@ -136,12 +124,12 @@ def _rounds(spark: SparkSession, x: np.ndarray, y: np.ndarray, n: np.ndarray, me
         now = Clusters.of(cluster, x, y, n)
         held = spark.sparkContext.broadcast(now)
 
-        def find(which: np.ndarray, held=held) -> pa.RecordBatch:
+        def find(which: np.ndarray, held=held) -> Iterator[pa.RecordBatch]:
             rows = np.searchsorted(held.value.node, which)
             found, d = held.value.nearest(rows, method)
-            return pa.record_batch([pa.array(which), pa.array(held.value.node[found].astype(np.int64)), pa.array(d)], ["node", "near", "d"])
+            yield pa.record_batch([pa.array(which), pa.array(held.value.node[found].astype(np.int64)), pa.array(d)], ["node", "near", "d"])
 
-        found = _over(spark, stale, find, "node long, near long, d double").toArrow()  # 24 bytes a cluster
+        found = over(spark, stale, find, "node long, near long, d double").toArrow()  # 24 bytes a cluster
         held.unpersist()
         node = found["node"].to_numpy()
         near[node], height[node] = found["near"].to_numpy(), found["d"].to_numpy()
@@ -162,14 +150,14 @@ def _rounds(spark: SparkSession, x: np.ndarray, y: np.ndarray, n: np.ndarray, me
     now = Clusters.of(cluster, x, y, n)
     held = spark.sparkContext.broadcast(now)
 
-    def rows(which: np.ndarray) -> pa.RecordBatch:
+    def rows(which: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = [held.value.to_later(int(row), method) for row in which]
         count = np.array([len(d) for d in own])
         later = [np.arange(row + 1, row + 1 + len(d)) for row, d in zip(which, own, strict=True)]
-        return pa.record_batch([pa.array(np.repeat(which, count)), pa.array(np.concatenate(later)), pa.array(np.concatenate(own))], ["x", "y", "d"])
+        yield pa.record_batch([pa.array(np.repeat(which, count)), pa.array(np.concatenate(later)), pa.array(np.concatenate(own))], ["x", "y", "d"])
 
     if len(now.node) > 1:
-        pairs = _over(spark, np.arange(len(now.node) - 1), rows, "x long, y long, d double")
+        pairs = over(spark, np.arange(len(now.node) - 1), rows, "x long, y long, d double")
         sizes = spark.createDataFrame(pd.DataFrame({"node": np.arange(len(now.node)), "n": now.size}))
         rest = hierarchy._in_task(pairs, sizes, hierarchy._schema("long"), lambda d, size, names, _: hierarchy._table(names, hierarchy._tree(d, size, method))).toArrow()
         merges.append((now.node[rest["left"].to_numpy()], now.node[rest["right"].to_numpy()], rest["height"].to_numpy(), rest["size"].to_numpy()))
@@ -182,7 +170,7 @@ def _spanning(spark: SparkSession, x: np.ndarray, y: np.ndarray) -> tuple[np.nda
     while (cluster != cluster[0]).any():
         held = spark.sparkContext.broadcast((x, y, cluster))
 
-        def find(which: np.ndarray, held=held) -> pa.RecordBatch:
+        def find(which: np.ndarray, held=held) -> Iterator[pa.RecordBatch]:
             x, y, cluster = held.value
             near, least = np.zeros(len(which), np.int64), np.zeros(len(which))
             step = max(1, CELLS // len(x))
@@ -192,9 +180,9 @@ def _spanning(spark: SparkSession, x: np.ndarray, y: np.ndarray) -> tuple[np.nda
                 d[cluster[rows, None] == cluster[None, :]] = np.inf
                 near[at : at + step] = best = d.argmin(axis=1)
                 least[at : at + step] = d[np.arange(len(rows)), best]
-            return pa.record_batch([pa.array(which), pa.array(near), pa.array(least)], ["node", "near", "d"])
+            yield pa.record_batch([pa.array(which), pa.array(near), pa.array(least)], ["node", "near", "d"])
 
-        found = _over(spark, np.arange(len(x)), find, "node long, near long, d double").toArrow()  # 24 bytes a point
+        found = over(spark, np.arange(len(x)), find, "node long, near long, d double").toArrow()  # 24 bytes a point
         held.unpersist()
         node, near, d = (found[c].to_numpy() for c in ("node", "near", "d"))
         u, v = np.minimum(node, near), np.maximum(node, near)
@@ -268,16 +256,16 @@ def cophenetic_correlation(points: DataFrame, merges: DataFrame, most: int = MOS
     middle = float(np.sqrt(2 * (x.var() + y.var()))), float(np.mean(height[1:]))
     held = points.sparkSession.sparkContext.broadcast((x, y, height))
 
-    def sums(which: np.ndarray) -> pa.RecordBatch:
+    def sums(which: np.ndarray) -> Iterator[pa.RecordBatch]:
         x, y, height = held.value
         out = np.zeros((len(which), 6))
         for i, row in enumerate(which):
             d = np.sqrt((x[row] - x[row + 1 :]) ** 2 + (y[row] - y[row + 1 :]) ** 2) - middle[0]
             h = np.maximum.accumulate(height[row + 1 :]) - middle[1]
             out[i] = len(d), d.sum(), h.sum(), d @ d, h @ h, d @ h
-        return pa.record_batch(list(out.sum(axis=0, keepdims=True).T), ["n", "d", "h", "dd", "hh", "dh"])
+        yield pa.record_batch(list(out.sum(axis=0, keepdims=True).T), ["n", "d", "h", "dd", "hh", "dh"])
 
-    parts = _over(points.sparkSession, np.arange(len(x) - 1), sums, "n double, d double, h double, dd double, hh double, dh double")
+    parts = over(points.sparkSession, np.arange(len(x) - 1), sums, "n double, d double, h double, dd double, hh double, dh double")
     total = parts.agg(*(F.sum(c).alias(c) for c in parts.columns))
     of = lambda a, b, both: F.col("n") * F.col(both) - F.col(a) * F.col(b)
     spread = F.sqrt(of("d", "d", "dd") * of("h", "h", "hh"))

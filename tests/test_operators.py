@@ -257,6 +257,26 @@ def test_consensus_blocks_are_brute_force(spark):
         assert abs(r.distance - np.linalg.norm(m[r.id_a] - m[r.id_b])) < 1e-6
 
 
+def _labels(spark, seed=7, n=40):
+    """Labels of replicates, among them equal vectors, and their numbers."""
+    rng = np.random.default_rng(seed)
+    labels = {(r, i): int(rng.integers(0, 3)) for r in range(6) for i in range(n) if rng.random() < 0.7}
+    labels |= {(r, 1): labels[r, 0] for r in range(6) if (r, 0) in labels}
+    labels = {k: v for k, v in labels.items() if k[1] != 1 or (k[0], 0) in labels}
+    return labels, spark.createDataFrame([(r, i, c) for (r, i), c in labels.items()], "replicate int, id long, cluster int")
+
+
+def test_consensus_by_marks(spark, monkeypatch):
+    """Counts by products of marks are those of blocks, rounded as Spark does, in batches of few pairs."""
+    _, table = _labels(spark)
+    monkeypatch.setattr(consensus, "pairwise", lambda *_: 1 / 0)
+    monkeypatch.setattr(consensus, "BATCH_PAIRS", 50)
+    found = sorted(map(tuple, consensus.consensus(table, 6, 40, 6).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(consensus, "MOST_LABELS", 0)
+    assert found == sorted(map(tuple, consensus.consensus(table, 6, 40, 6).collect())) and len(found) == 780
+
+
 @pytest.mark.parametrize("method, in_task, in_rows", [(m, n, r) for m in hierarchy.METHODS for n, r in ((hierarchy.IN_TASK, 0), (4, hierarchy.IN_ROWS), (4, 0)) if (m, n, r) != ("single", 4, 0)])
 def test_linkage(spark, method, in_task, in_rows):
     rng = np.random.default_rng(8)
