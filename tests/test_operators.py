@@ -277,6 +277,15 @@ def test_consensus_by_marks(spark, monkeypatch):
     assert found == sorted(map(tuple, consensus.consensus(table, 6, 40, 6).collect())) and len(found) == 780
 
 
+def test_jaccard_by_marks(spark, monkeypatch):
+    _, table = _labels(spark, 9)
+    monkeypatch.setattr(consensus, "pairwise", lambda *_: 1 / 0)
+    found = sorted(map(tuple, consensus.jaccard_distance(table, 6, 40, 6).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(consensus, "MOST_LABELS", 0)
+    assert found == sorted(map(tuple, consensus.jaccard_distance(table, 6, 40, 6).collect())) and len(found) == 780
+
+
 @pytest.mark.parametrize("method, in_task, in_rows", [(m, n, r) for m in hierarchy.METHODS for n, r in ((hierarchy.IN_TASK, 0), (4, hierarchy.IN_ROWS), (4, 0)) if (m, n, r) != ("single", 4, 0)])
 def test_linkage(spark, method, in_task, in_rows):
     rng = np.random.default_rng(8)
