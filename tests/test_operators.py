@@ -286,6 +286,22 @@ def test_jaccard_by_marks(spark, monkeypatch):
     assert found == sorted(map(tuple, consensus.jaccard_distance(table, 6, 40, 6).collect())) and len(found) == 780
 
 
+def test_row_distance_of_labels(spark, monkeypatch):
+    """Rows of the consensus aren't a table; equal label vectors are at 0."""
+    labels, table = _labels(spark, 10)
+    monkeypatch.setattr(consensus, "SQUARE", 7)
+    monkeypatch.setattr(consensus, "ACROSS", 5)
+    monkeypatch.setattr(consensus, "consensus_row_distance", lambda *_: 1 / 0)
+    m = np.eye(40)
+    for a in range(40):
+        for b in range(a):
+            both = [r for r in range(6) if (r, a) in labels and (r, b) in labels]
+            m[a, b] = m[b, a] = np.mean([labels[r, a] == labels[r, b] for r in both]) if both else 0
+    found = {(r.id_a, r.id_b): r.distance for r in consensus.labels_row_distance(table, 6, 40).collect()}
+    assert found.keys() == {(a, b) for b in range(40) for a in range(b)} and found[0, 1] == 0
+    assert all(abs(d - np.linalg.norm(m[a] - m[b])) < 1e-9 for (a, b), d in found.items())
+
+
 @pytest.mark.parametrize("method, in_task, in_rows", [(m, n, r) for m in hierarchy.METHODS for n, r in ((hierarchy.IN_TASK, 0), (4, hierarchy.IN_ROWS), (4, 0)) if (m, n, r) != ("single", 4, 0)])
 def test_linkage(spark, method, in_task, in_rows):
     rng = np.random.default_rng(8)
