@@ -12,7 +12,7 @@ from tests.plain import modularity, naive_linkage, plain_nndsvd, plain_replicate
 from netstrata.functions import scratch, tails
 from netstrata.jobs import stratify as job
 from netstrata.jobs.stratify import stratify
-from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, matrixrows, network, normalize, points, profiles, running, stats, svd, sweep
+from netstrata.operators import clean, clusters, consensus, diffusion, enrichment, factorize, hierarchy, hubs, mapping, matrixrows, network, normalize, packed, points, profiles, running, stats, svd, sweep
 from netstrata.sources import io
 
 PAIRS = [(1, 2), (1, 4), (2, 6), (3, 6), (4, 6), (5, 5), (2, 1)]
@@ -181,6 +181,19 @@ def test_communities(spark):
     assert len(set(found.values())) == 3
 
 
+def test_communities_of_packed_networks(spark, monkeypatch):
+    """Labels that all tasks hold move as those of tables do, over several levels and slices."""
+    rng = np.random.default_rng(19)
+    pairs = [(f"g{a}", f"g{b}") for a, b in itertools.combinations(range(60), 2) if rng.random() < (0.6 if a // 6 == b // 6 else 0.08 if a // 20 == b // 20 else 0.02)]
+    table = network.binary_adjacency(spark.createDataFrame(pairs, "a string, b string"), "a", "b")
+    with monkeypatch.context() as m:
+        m.setattr(packed, "communities", lambda *_: None)
+        want = sorted(map(tuple, diffusion.communities(table).collect()))
+    monkeypatch.setattr(packed, "EDGES", 40)
+    monkeypatch.setattr(diffusion, "_moved", lambda *_: 1 / 0)
+    assert sorted(map(tuple, diffusion.communities(table).collect())) == want
+
+
 # Factorisation
 
 
