@@ -194,6 +194,22 @@ def test_communities_of_packed_networks(spark, monkeypatch):
     assert sorted(map(tuple, diffusion.communities(table).collect())) == want
 
 
+def test_propagation_in_blocks(spark, monkeypatch):
+    """Blocks of individuals over a packed network end at the step at which tables end; genes without edges keep their share."""
+    rng = np.random.default_rng(20)
+    table = network.binary_adjacency(spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 30, (70, 2)) if a != b], "a long, b long"), "a", "b")
+    profile = spark.createDataFrame([(f"i{i % 7}", int(g), float(i % 3 + 1)) for i, g in enumerate(rng.permutation(35))], "individual string, gene long, value double")
+    net = diffusion.normalize_network(table)
+    with monkeypatch.context() as m:
+        m.setattr(packed, "MOST_CELLS", 0)
+        want = {(r.individual, r.gene): r.value for r in diffusion.propagate(profile, net, 0.6, 0.05).collect()}
+    monkeypatch.setattr(packed, "BLOCK", 100)
+    monkeypatch.setattr(packed, "EDGES", 20)
+    monkeypatch.setattr(diffusion, "one_step", lambda *_: 1 / 0)
+    got = {(r.individual, r.gene): r.value for r in diffusion.propagate(profile, net, 0.6, 0.05).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 # Factorisation
 
 
