@@ -210,6 +210,21 @@ def test_propagation_in_blocks(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_propagation_in_parts(spark, monkeypatch):
+    """A step in parts of the individuals gives the same, and no part meets as many rows as the whole."""
+    rng = np.random.default_rng(21)
+    net = diffusion.normalize_network(network.binary_adjacency(spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 20, (60, 2)) if a != b], "a long, b long"), "a", "b"))
+    profile = spark.createDataFrame([(i, int(g), 1.0) for i in range(12) for g in rng.choice(20, 4, False)], "individual long, gene long, value double")
+    want = sorted(map(tuple, diffusion.propagate(profile, net, 0.6).collect()))
+    sizes, step = [], diffusion.one_step
+    monkeypatch.setattr(diffusion, "PART_ROWS", 60)
+    monkeypatch.setattr(diffusion, "PART_NETWORKS", 0)
+    monkeypatch.setattr(diffusion, "one_step", lambda now, *more: sizes.append(now.count()) or step(now, *more))
+    got = sorted(map(tuple, diffusion.propagate(profile, net, 0.6).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    assert len(sizes) > 2 and sum(sizes) == 48 and max(sizes) < 48
+
+
 # Factorisation
 
 
