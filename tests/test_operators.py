@@ -225,6 +225,17 @@ def test_propagation_in_parts(spark, monkeypatch):
     assert len(sizes) > 2 and sum(sizes) == 48 and max(sizes) < 48
 
 
+def test_quantiles_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    profile = spark.createDataFrame([(i, g, float(rng.integers(1, 4))) for i in range(9) for g in range(11) if rng.random() < 0.6], "individual long, gene long, value double")
+    want = [[sorted(map(tuple, df.collect())) for df in normalize.quantile_normalize(profile, 9, 11, stat)] for stat in ("mean", "median")]
+    monkeypatch.setattr(normalize, "PART_CELLS", 10)
+    kept, write = [], normalize.materialise
+    monkeypatch.setattr(normalize, "materialise", lambda df, name: kept.append(name) or write(df, name))
+    assert [[sorted(map(tuple, df.collect())) for df in normalize.quantile_normalize(profile, 9, 11, stat)] for stat in ("mean", "median")] == want
+    assert len(kept) > 4
+
+
 # Factorisation
 
 
