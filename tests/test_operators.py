@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 from fractions import Fraction
 
 import numpy as np
@@ -225,6 +226,21 @@ def test_propagation_in_parts(spark, monkeypatch):
     assert len(sizes) > 2 and sum(sizes) == 48 and max(sizes) < 48
 
 
+def test_influence_in_parts(spark, monkeypatch):
+    """Two steps from parts of the seeds; cells that are no edges are deleted after each part."""
+    rng = np.random.default_rng(23)
+    edges = scratch.materialise(network.binary_adjacency(spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 20, (40, 2)) if a != b], "a long, b long"), "a", "b"), "edges")
+    want = sorted(map(tuple, diffusion.influence_blocks(edges, 0.6, 2).collect()))
+    monkeypatch.setattr(diffusion, "PART_ROWS", 150)
+    monkeypatch.setattr(diffusion, "PART_NETWORKS", 0)
+    paths, new = [], scratch.new_path
+    monkeypatch.setattr(scratch, "new_path", lambda spark, name: paths.append(new(spark, name)) or paths[-1])
+    got = sorted(map(tuple, diffusion.influence_blocks(edges, 0.6, 2, most_edges=0).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    steps = [path for path in paths if "/diffusion-" in path]
+    assert len(steps) > 4 and not any(os.path.exists(path.removeprefix("file:")) for path in steps)
+
+
 def test_quantiles_in_parts(spark, monkeypatch):
     rng = np.random.default_rng(22)
     profile = spark.createDataFrame([(i, g, float(rng.integers(1, 4))) for i in range(9) for g in range(11) if rng.random() < 0.6], "individual long, gene long, value double")
